@@ -439,3 +439,224 @@ def q_standardize(spark, sf):
     p = tbl(spark, sf, "part")
     stats = FE.standardize_stats(p, ["p_size", "p_retailprice"])
     return rounded(p.select("p_partkey", *FE.standardized_columns(stats)))
+
+
+# ---------------------------------------------------------------- B3: matrix on part + lineitem aggregates
+_PART_NUM = ["p_size", "p_retailprice", "n_lines_log1p", "qty_sum_log1p", "avg_discount"]
+
+
+def part_input(spark, sf):
+    """part LEFT JOIN per-part lineitem aggregates (partial aggregation before the join)."""
+    li = tbl(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty_sum"),
+        F.avg("l_discount").alias("avg_discount"))
+    p = tbl(spark, sf, "part")
+    j = p.join(li, p["p_partkey"] == li["l_partkey"], "left")
+    return j.select("p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"),
+                    "p_retailprice", T.log1p_clipped("n_lines").alias("n_lines_log1p"),
+                    T.log1p_clipped("qty_sum").alias("qty_sum_log1p"), "avg_discount")
+
+
+_PART_INPUT_SQL = """li AS (SELECT l_partkey, count(*) AS n_lines, sum(l_quantity) AS qty_sum, avg(l_discount) AS avg_discount
+       FROM lineitem GROUP BY 1),
+b AS (SELECT p.p_partkey, p.p_name, p.p_brand, p.p_type, CAST(p.p_size AS DOUBLE) AS p_size, p.p_retailprice,
+       CASE WHEN li.n_lines IS NOT NULL THEN ln(1 + greatest(CAST(li.n_lines AS DOUBLE), 0.0)) END AS n_lines_log1p,
+       CASE WHEN li.qty_sum IS NOT NULL THEN ln(1 + greatest(li.qty_sum, 0.0)) END AS qty_sum_log1p,
+       li.avg_discount FROM part p LEFT JOIN li ON p.p_partkey = li.l_partkey)"""
+
+
+def _matrix_sql():
+    med = ", ".join(f"median({c}) AS m_{c}" for c in _PART_NUM)
+    imp = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _PART_NUM)
+    st = ", ".join(f"avg({c}) AS a_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _PART_NUM)
+    num = " UNION ALL ".join(f"SELECT p_partkey, 'numeric__{c}' AS feature, ({c} - a_{c}) / s_{c} AS value FROM i, s"
+                             for c in _PART_NUM)
+    cat = []
+    for c in ["p_type", "p_brand"]:
+        cat.append(f"""SELECT i.p_partkey, f.feature, CASE WHEN f.level IS NOT NULL THEN CAST(i.{c} = f.level AS DOUBLE)
+  ELSE CAST(i.{c} NOT IN (SELECT level FROM keep_{c}) AS DOUBLE) END AS value FROM i, feats_{c} f""")
+    lv = []
+    for c in ["p_type", "p_brand"]:
+        lv.append(f"""cnt_{c} AS (SELECT {c} AS level, count(*) AS cnt FROM i GROUP BY 1),
+keep_{c} AS (SELECT level FROM cnt_{c} WHERE cnt >= 0.01 * (SELECT count(*) FROM i)),
+feats_{c} AS (SELECT level, 'categorical__{c}_' || level AS feature FROM keep_{c}
+  UNION ALL SELECT NULL, 'categorical__{c}_infrequent_sklearn' WHERE (SELECT count(*) FROM cnt_{c}) > (SELECT count(*) FROM keep_{c}))""")
+    return f"""WITH {_PART_INPUT_SQL},
+m AS (SELECT {med} FROM b),
+i AS (SELECT p_partkey, coalesce(p_type, 'missing') AS p_type, coalesce(p_brand, 'missing') AS p_brand,
+      string_split(p_name, ' ') AS tags, {imp} FROM b, m),
+s AS (SELECT {st} FROM i),
+{", ".join(lv)},
+vocab AS (SELECT tag FROM (SELECT tag, row_number() OVER (ORDER BY count(*) DESC, tag) AS rk
+          FROM (SELECT unnest(tags) AS tag FROM i) GROUP BY tag) WHERE rk <= 50),
+longf AS ({num} UNION ALL {" UNION ALL ".join(cat)} UNION ALL
+  SELECT i.p_partkey, 'p_name__' || v.tag AS feature, CASE WHEN list_contains(i.tags, v.tag) THEN 1.0 ELSE 0.0 END
+  FROM i, vocab v)"""
+
+
+def _part_matrix(spark, sf):
+    return FE.build_features(part_input(spark, sf), ["p_partkey"], numeric=_PART_NUM,
+                             categorical=["p_type", "p_brand"], multi_label={"p_name": _words()},
+                             min_frequency=0.01, vocab_size=50)
+
+
+@register("feature_matrix", _matrix_sql() + """
+SELECT p_partkey, feature, round(value, 6) + 0.0 AS value FROM longf""")
+def q_feature_matrix(spark, sf):
+    _, names, wide = _part_matrix(spark, sf)
+    return rounded(FE.unpivot_features(wide, ["p_partkey"], names))
+
+
+@register("matrix_quality", _matrix_sql() + """
+SELECT count(DISTINCT p_partkey) AS "rows", count(DISTINCT feature) AS dims,
+  count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS null_cells, count(*) FILTER (WHERE value = 0) AS zero_cells,
+  round(count(*) FILTER (WHERE value = 0) / count(*), 6) + 0.0 AS zero_cell_ratio,
+  count(DISTINCT p_partkey) FILTER (WHERE value IS NULL OR isnan(value)) AS rows_with_null,
+  count(DISTINCT feature) FILTER (WHERE feature LIKE 'numeric\\_\\_%' ESCAPE '\\') AS numeric_features,
+  count(DISTINCT feature) FILTER (WHERE feature LIKE 'categorical\\_\\_%' ESCAPE '\\') AS categorical_features,
+  count(DISTINCT feature) FILTER (WHERE feature LIKE 'p\\_name\\_\\_%' ESCAPE '\\') AS multi_hot_features
+FROM longf""")
+def q_matrix_quality(spark, sf):
+    matrix, names, _ = _part_matrix(spark, sf)
+    return rounded(FE.matrix_quality(matrix, names))
+
+
+# ---------------------------------------------------------------- B4: cluster profiles (part, cluster = p_type)
+from clusterlens.operators import evaluate as EV  # noqa: E402
+
+
+@register("cluster_sizes", """
+SELECT p_type AS cluster, count(*) AS size, round(count(*) / (SELECT count(*) FROM part), 6) + 0.0 AS proportion
+FROM part GROUP BY 1
+""")
+def q_cluster_sizes(spark, sf):
+    return rounded(EV.cluster_sizes(tbl(spark, sf, "part"), "p_type"))
+
+
+def _cluster_numeric_sql():
+    parts = [f"SELECT p_type AS cluster, '{c}' AS col, {c} AS v FROM b" for c in _PART_NUM]
+    return f"""WITH {_PART_INPUT_SQL}, u AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT col, avg(v) AS gm, coalesce(nullif(stddev_samp(v), 0), 1) AS gs FROM u GROUP BY col),
+c AS (SELECT cluster, col, count(v) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median,
+      quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.75) AS p75,
+      CASE WHEN count(v) > 1 THEN stddev_samp(v) ELSE 0.0 END AS std FROM u GROUP BY cluster, col)"""
+
+
+@register("cluster_numeric", _cluster_numeric_sql() + """
+SELECT cluster, c.col AS "column", n, round(mean, 4) + 0.0 AS mean, round(median, 4) + 0.0 AS median,
+  round(p25, 4) + 0.0 AS p25, round(p75, 4) + 0.0 AS p75, round(std, 4) + 0.0 AS std,
+  round((mean - gm) / gs, 4) + 0.0 AS z_score_vs_global FROM c JOIN g ON c.col = g.col WHERE n > 0
+""")
+def q_cluster_numeric(spark, sf):
+    return rounded(EV.cluster_numeric(part_input(spark, sf), "p_type", _PART_NUM), 4)
+
+
+@register("top_z_features", _cluster_numeric_sql() + """,
+z AS (SELECT cluster, c.col AS "column", (mean - gm) / gs AS z FROM c JOIN g ON c.col = g.col WHERE n > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, "column") AS rk FROM z)
+SELECT cluster, "column", round(z, 4) + 0.0 AS z_score_vs_global, CAST(rk AS INTEGER) AS "rank" FROM r WHERE rk <= 4
+""")
+def q_top_z_features(spark, sf):
+    num = EV.cluster_numeric(part_input(spark, sf), "p_type", _PART_NUM)
+    return rounded(EV.top_z_features(num, 4), 4)
+
+
+@register("cluster_zheat", f"""
+WITH {_PART_INPUT_SQL}, m AS (SELECT p_type AS cluster, {", ".join(f"avg({c}) AS {c}" for c in _PART_NUM)} FROM b GROUP BY 1)
+{" UNION ALL ".join(f"SELECT cluster, '{c}' AS \"column\", round(({c} - (SELECT avg({c}) FROM m)) / coalesce(nullif((SELECT stddev_pop({c}) FROM m), 0), 1), 4) + 0.0 AS z FROM m" for c in _PART_NUM)}
+""")
+def q_cluster_zheat(spark, sf):
+    return rounded(EV.cluster_zheat(part_input(spark, sf), "p_type", _PART_NUM), 4)
+
+
+_WORDS_CNT_SQL = """w AS (SELECT p_type AS cluster, unnest(string_split(p_name, ' ')) AS value FROM part),
+wc AS (SELECT cluster, value, count(*) AS "count" FROM w WHERE value <> 'missing' GROUP BY 1, 2),
+bc AS (SELECT p_type AS cluster, coalesce(p_brand, 'missing') AS value, count(*) AS "count" FROM part GROUP BY 1, 2)"""
+
+
+@register("top_per_cluster", f"""
+WITH {_WORDS_CNT_SQL},
+r1 AS (SELECT 'genre' AS kind, *, row_number() OVER (PARTITION BY cluster ORDER BY "count" DESC, value) AS rk FROM wc),
+r2 AS (SELECT 'type' AS kind, *, row_number() OVER (PARTITION BY cluster ORDER BY "count" DESC, value) AS rk FROM bc)
+SELECT kind, cluster, value, "count", CAST(rk AS INTEGER) AS "rank" FROM r1 WHERE rk <= 3
+UNION ALL SELECT kind, cluster, value, "count", CAST(rk AS INTEGER) FROM r2 WHERE rk <= 1
+""")
+def q_top_per_cluster(spark, sf):
+    p = tbl(spark, sf, "part")
+    words = (p.select(F.col("p_type").alias("cluster"), F.explode(_words()).alias("value"))
+             .where(F.col("value") != "missing").groupBy("cluster", "value").agg(F.count(F.lit(1)).alias("count")))
+    brands = (p.select(F.col("p_type").alias("cluster"), F.coalesce("p_brand", F.lit("missing")).alias("value"))
+              .groupBy("cluster", "value").agg(F.count(F.lit(1)).alias("count")))
+    a = EV.top_per_group(words, "cluster", 3).select(F.lit("genre").alias("kind"), "*")
+    b = EV.top_per_group(brands, "cluster", 1).select(F.lit("type").alias("kind"), "*")
+    return a.unionByName(b)
+
+
+def _lift_sql(name, tags: bool, top):
+    if tags:
+        ex = ("SELECT p_type AS cluster, CASE WHEN trim(t) = '' THEN 'missing' ELSE trim(t) END AS value FROM "
+              "(SELECT p_type, unnest(string_split(p_name, ' ')) AS t FROM part)")
+    else:
+        ex = "SELECT p_type AS cluster, coalesce(CAST(p_brand AS VARCHAR), 'missing') AS value FROM part"
+    return f"""ex_{name} AS ({ex}),
+cv_{name} AS (SELECT cluster, value, count(*) AS cnt FROM ex_{name} GROUP BY 1, 2),
+cs_{name} AS (SELECT p_type AS cluster, count(*) AS n_c FROM part GROUP BY 1),
+gv_{name} AS (SELECT value, sum(cnt) AS g FROM cv_{name} GROUP BY 1),
+rec_{name} AS (SELECT * FROM (SELECT cv.cluster, cv.value, cv.cnt, cv.cnt / cs.n_c AS share,
+   CASE WHEN gv.g > 0 THEN (cv.cnt / cs.n_c) / (gv.g / (SELECT count(*) FROM part)) END AS lift,
+   row_number() OVER (PARTITION BY cv.cluster ORDER BY cv.cnt DESC, cv.value) AS rk
+   FROM cv_{name} cv JOIN cs_{name} cs ON cv.cluster = cs.cluster JOIN gv_{name} gv ON cv.value = gv.value)
+   WHERE rk <= {top})"""
+
+
+def _oi_sql(name, share, n):
+    return f"""oi_{name} AS (SELECT * FROM (SELECT cluster, value, share, lift,
+   row_number() OVER (PARTITION BY cluster ORDER BY lift DESC, share DESC, value) AS oi FROM rec_{name}
+   WHERE share >= {share} AND lift IS NOT NULL) WHERE oi <= {n})"""
+
+
+@register("overindexed", f"""
+WITH {_lift_sql('g', True, 8)}, {_lift_sql('t', False, 5)}, {_oi_sql('g', 0.08, 2)}, {_oi_sql('t', 0.15, 1)}
+SELECT 'genre' AS kind, cluster, value, round(share, 6) + 0.0 AS cluster_share, round(lift, 6) + 0.0 AS lift_vs_global,
+  CAST(oi AS INTEGER) AS oi_rank FROM oi_g
+UNION ALL SELECT 'type', cluster, value, round(share, 6) + 0.0, round(lift, 6) + 0.0, CAST(oi AS INTEGER) FROM oi_t
+""")
+def q_overindexed(spark, sf):
+    p = tbl(spark, sf, "part")
+    g = EV.overindexed(L.multilabel_lift(p, "p_type", _words(), 8), 0.08, 2).select(F.lit("genre").alias("kind"), "*")
+    t = EV.overindexed(L.category_lift(p, "p_type", "p_brand", 5), 0.15, 1).select(F.lit("type").alias("kind"), "*")
+    cols = ["kind", "cluster", "value", "cluster_share", "lift_vs_global", "oi_rank"]
+    return rounded(g.select(*cols).unionByName(t.select(*cols)))
+
+
+def _part_profile_frames(spark, sf):
+    p = tbl(spark, sf, "part")
+    genres = L.multilabel_lift(p, "p_type", _words(), 8)
+    types = L.category_lift(p, "p_type", "p_brand", 5)
+    labels = EV.interpretation_labels(genres, types, None, p.select(F.col("p_type").alias("cluster")))
+    return p, genres, types, labels
+
+
+@register("interpretation_label", f"""
+WITH {_lift_sql('g', True, 8)}, {_lift_sql('t', False, 5)}, {_oi_sql('g', 0.08, 2)}, {_oi_sql('t', 0.15, 1)},
+cl AS (SELECT DISTINCT p_type AS cluster FROM part),
+bits AS (SELECT cl.cluster,
+   list_concat(coalesce((SELECT list(value ORDER BY oi) FROM oi_g WHERE oi_g.cluster = cl.cluster), []),
+               coalesce((SELECT list(value ORDER BY oi) FROM oi_t WHERE oi_t.cluster = cl.cluster), [])) AS b,
+   list_concat(coalesce((SELECT list(value ORDER BY rk) FROM rec_g WHERE rec_g.cluster = cl.cluster AND rk <= 2), []),
+               coalesce((SELECT list(value ORDER BY rk) FROM rec_t WHERE rec_t.cluster = cl.cluster AND rk <= 1), [])) AS fb
+   FROM cl)
+SELECT cluster, CASE WHEN len(b) > 0 THEN array_to_string(b[1:4], ', ')
+                     WHEN len(fb) > 0 THEN array_to_string(fb, ', ') ELSE 'cluster ' || cluster END AS interpretation_label
+FROM bits
+""")
+def q_interpretation_label(spark, sf):
+    return _part_profile_frames(spark, sf)[3]
+
+
+@register("cluster_profile")
+def q_cluster_profile(spark, sf):
+    p, genres, types, labels = _part_profile_frames(spark, sf)
+    sizes = EV.cluster_sizes(p, "p_type")
+    num = EV.cluster_numeric(part_input(spark, sf), "p_type", _PART_NUM)
+    return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels))
