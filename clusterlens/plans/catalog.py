@@ -660,3 +660,113 @@ def q_cluster_profile(spark, sf):
     sizes = EV.cluster_sizes(p, "p_type")
     num = EV.cluster_numeric(part_input(spark, sf), "p_type", _PART_NUM)
     return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels))
+
+
+# ---------------------------------------------------------------- B5: metrics on embeddings (cluster = label)
+from clusterlens.operators import metrics as M  # noqa: E402
+from clusterlens.functions.vectors import argmax_index, lit_vector, sq_dist  # noqa: E402
+
+_EMB_SQL = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+_CENT_SQL = """u AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e),
+c AS (SELECT label, i, avg(v) AS m FROM u GROUP BY 1, 2),
+cv AS (SELECT c.label, list(m ORDER BY i) AS cx, any_value(n) AS n FROM c
+       JOIN (SELECT label, count(*) AS n FROM e GROUP BY 1) nn ON nn.label = c.label GROUP BY 1)"""
+
+
+def emb(spark, sf):
+    return tbl(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+@register("silhouette", f"""
+WITH {_EMB_SQL},
+per AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x)) AS s
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+cnt AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+ab AS (SELECT p.vec_id, max(CASE WHEN p.lb = p.la THEN p.s / (c.n - 1) END) AS a,
+              min(CASE WHEN p.lb <> p.la THEN p.s / c.n END) AS b
+       FROM per p JOIN cnt c ON c.label = p.lb GROUP BY p.vec_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette,
+       count(*) AS sample_rows FROM ab
+""")
+def q_silhouette(spark, sf):
+    return rounded(M.silhouette(emb(spark, sf), "x", "label", "vec_id", sample_size=5000))
+
+
+@register("davies_bouldin", f"""
+WITH {_EMB_SQL}, {_CENT_SQL},
+s AS (SELECT e.label, avg(list_distance(e.x, cv.cx)) AS s FROM e JOIN cv ON e.label = cv.label GROUP BY 1),
+r AS (SELECT a.label, max((sa.s + sb.s) / list_distance(a.cx, b.cx)) AS r FROM cv a JOIN cv b ON a.label <> b.label
+      JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY 1)
+SELECT round(avg(r), 6) + 0.0 AS davies_bouldin FROM r
+""")
+def q_davies_bouldin(spark, sf):
+    return rounded(M.davies_bouldin(emb(spark, sf), "x", "label"))
+
+
+@register("calinski_harabasz", f"""
+WITH {_EMB_SQL}, {_CENT_SQL},
+g AS (SELECT list(m ORDER BY i) AS gx FROM (SELECT i, avg(v) AS m FROM u GROUP BY 1)),
+bw AS (SELECT sum(n * list_distance(cx, gx) ^ 2) AS between_ss, count(*) AS k, sum(n) AS n FROM cv, g),
+ww AS (SELECT sum(list_distance(e.x, cv.cx) ^ 2) AS within_ss FROM e JOIN cv ON e.label = cv.label)
+SELECT round(CASE WHEN within_ss = 0 THEN 1.0 ELSE between_ss * (n - k) / (within_ss * (k - 1)) END, 4) + 0.0
+  AS calinski_harabasz FROM bw, ww
+""")
+def q_calinski_harabasz(spark, sf):
+    return rounded(M.calinski_harabasz(emb(spark, sf), "x", "label"), 4)
+
+
+def _fixed_centres(spark, sf):
+    """Centre per label = embedding of its lowest vec_id (k rows, collected)."""
+    e = emb(spark, sf)
+    rows = e.groupBy("label").agg(F.min_by("x", "vec_id").alias("c")).orderBy("label").collect()
+    return [r["label"] for r in rows], [list(r["c"]) for r in rows]
+
+
+def nearest_centre(vec_col, centres, labels=None):
+    """Index (or label) of the nearest centre; centres are a bounded literal list; ties -> first."""
+    d = F.array(*[sq_dist(vec_col, lit_vector(c)) for c in centres])
+    idx = (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    if labels is None:
+        return idx
+    return F.element_at(F.array(*[F.lit(v) for v in labels]), idx + 1)
+
+
+_NEAREST_SQL = """fc AS (SELECT label AS cl, x AS cx FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn
+                                                    FROM e) WHERE rn = 1),
+nn AS (SELECT vec_id, label, cl AS pred FROM (SELECT e.vec_id, e.label, fc.cl,
+         row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.x, fc.cx), fc.cl) AS r FROM e, fc) WHERE r = 1)"""
+
+
+def _ari_nmi_sql(which):
+    return f"""WITH {_EMB_SQL}, {_NEAREST_SQL},
+ct AS (SELECT label AS a, pred AS b, CAST(count(*) AS DOUBLE) AS nij FROM nn GROUP BY 1, 2),
+ra AS (SELECT a, sum(nij) AS na FROM ct GROUP BY 1), rb AS (SELECT b, sum(nij) AS nb FROM ct GROUP BY 1),
+t AS (SELECT (SELECT sum(nij) FROM ct) AS n, (SELECT sum(nij * nij) FROM ct) AS ssq,
+             (SELECT sum(na * na) FROM ra) AS sa2, (SELECT sum(nb * nb) FROM rb) AS sb2,
+             (SELECT count(*) FROM ra) AS ka, (SELECT count(*) FROM rb) AS kb),
+q AS (SELECT *, ssq - n AS tp, sb2 - ssq AS fp, sa2 - ssq AS fn, n * n - (sb2 - ssq) - (sa2 - ssq) - ssq AS tn FROM t),
+mi AS (SELECT sum(nij / t.n * ln(nij * t.n / (na * nb))) AS mi FROM ct JOIN ra USING (a) JOIN rb USING (b), t),
+h AS (SELECT (SELECT -sum(na / t.n * ln(na / t.n)) FROM ra, t) AS ha, (SELECT -sum(nb / t.n * ln(nb / t.n)) FROM rb, t) AS hb)
+SELECT round(CASE WHEN fn = 0 AND fp = 0 THEN 1.0
+                  ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END, 6) + 0.0 AS ari,
+       round(CASE WHEN ka = 1 AND kb = 1 THEN 1.0 WHEN abs(mi) < 2.220446049250313e-16 THEN 0.0
+                  ELSE mi / ((ha + hb) / 2) END, 6) + 0.0 AS nmi
+FROM q, mi, h"""
+
+
+@register("ari_nmi", _ari_nmi_sql("both"))
+def q_ari_nmi(spark, sf):
+    labels, centres = _fixed_centres(spark, sf)
+    e = emb(spark, sf)
+    e = e.withColumn("pred", nearest_centre(F.col("x"), centres, labels))
+    return rounded(M.ari_nmi(e, "label", "pred"))
+
+
+@register("close_means", f"""
+WITH {_EMB_SQL}, {_CENT_SQL}
+SELECT a.label AS cluster_a, b.label AS cluster_b, round(list_distance(a.cx, b.cx), 6) + 0.0 AS distance,
+       list_distance(a.cx, b.cx) < 0.5 AS "close"
+FROM cv a JOIN cv b ON a.label < b.label
+""")
+def q_close_means(spark, sf):
+    return rounded(M.close_means(emb(spark, sf), "x", "label", 0.5))
