@@ -770,3 +770,255 @@ FROM cv a JOIN cv b ON a.label < b.label
 """)
 def q_close_means(spark, sf):
     return rounded(M.close_means(emb(spark, sf), "x", "label", 0.5))
+
+
+# ---------------------------------------------------------------- B6/B7: K-means, GMM, PCA on embeddings
+from clusterlens.operators import mixture as MX  # noqa: E402
+from clusterlens.operators import pca as PCA  # noqa: E402
+from clusterlens.operators import select as SEL  # noqa: E402
+
+
+def _lloyd_sql_step(t):
+    return f"""a{t} AS (SELECT vec_id, x, cl FROM (SELECT e.vec_id, e.x, c.cl,
+       row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.x, c.cx), c.cl) AS r FROM e, c{t} c) WHERE r = 1),
+m{t} AS (SELECT cl, list(m ORDER BY i) AS cx FROM (SELECT cl, i, avg(v) AS m FROM
+       (SELECT cl, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{t}) GROUP BY 1, 2) GROUP BY 1),
+c{t + 1} AS (SELECT cl, cx FROM m{t} UNION ALL SELECT cl, cx FROM c{t} WHERE cl NOT IN (SELECT cl FROM m{t}))"""
+
+
+@register("kmeans_fixed_start", f"""
+WITH {_EMB_SQL},
+c0 AS (SELECT label AS cl, x AS cx FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM e)
+       WHERE rn = 1),
+{_lloyd_sql_step(0)}, {_lloyd_sql_step(1)}, {_lloyd_sql_step(2)},
+fin AS (SELECT vec_id, cl, d FROM (SELECT e.vec_id, c.cl, list_distance(e.x, c.cx) AS d,
+       row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.x, c.cx), c.cl) AS r FROM e, c3 c) WHERE r = 1)
+SELECT CAST(c3.cl AS INTEGER) AS cluster, count(fin.vec_id) AS size,
+       round(list_sum(c3.cx), 6) + 0.0 AS centre_sum, round((SELECT sum(d * d) FROM fin), 4) + 0.0 AS inertia
+FROM c3 LEFT JOIN fin ON fin.cl = c3.cl GROUP BY c3.cl, c3.cx
+""")
+def q_kmeans_fixed_start(spark, sf):
+    labels, centres = _fixed_centres(spark, sf)
+    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
+    fits = {0: MX.KMeansFit(len(centres), seed=0)}
+    MX.kmeans_many(m, fits, max_iter=3, tol=-1.0, init_centres={0: np.asarray(centres)})
+    f = fits[0]
+    C = f.centres + m.shift
+    rows = [(int(labels[j]), int(f.sizes[j]), float(C[j].sum()), float(f.inertia)) for j in range(len(C))]
+    m.release()
+    out = spark.createDataFrame(rows, "cluster int, size long, centre_sum double, inertia double")
+    return rounded(out.select("cluster", "size", F.round("centre_sum", 6).alias("centre_sum"),
+                              F.round("inertia", 4).alias("inertia")))
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf):
+    """M-8 / M-14: k-means++ then Lloyd (k = 10); per-cluster size with empty clusters kept."""
+    e = emb(spark, sf)
+    m = MX.Matrix.of(e, "x", "vec_id")
+    fits = MX.kmeans_many(m, {0: MX.KMeansFit(10, seed=42)}, max_iter=300, tol=1e-4)
+    model = {"kind": "kmeans", "centres": fits[0].centres + m.shift}
+    m.release()
+    return rounded(EV_sizes(MX.assign(e, "x", "vec_id", model), 10))
+
+
+def EV_sizes(assigned, k):
+    from clusterlens.operators.evaluate import cluster_sizes
+    return cluster_sizes(assigned, "cluster", k)
+
+
+def _label_gmm(spark, sf):
+    """Diagonal GMM whose parameters are the label groups (weights = shares, means, population
+    variances + 1e-6); k x d statistics from one partial aggregate."""
+    e = emb(spark, sf)
+    stats = M.centroids(e, "x", "label").collect()
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    var = {r["label"]: (np.asarray(r["v"].toArray()), r["n"]) for r in
+           e.groupBy("label").agg(Summarizer.variance(array_to_vector("x")).alias("v"),
+                                  F.count(F.lit(1)).alias("n")).collect()}
+    stats = sorted(stats, key=lambda r: r["cluster"])
+    n = sum(r["n"] for r in stats)
+    weights = np.array([r["n"] / n for r in stats])
+    means = np.array([r["centroid"] for r in stats])
+    covs = np.array([var[r["cluster"]][0] * (r["n"] - 1) / r["n"] + 1e-6 for r in stats])
+    return e, {"kind": "gmm", "weights": weights, "means": means, "covs": covs, "cov_type": "diag"}
+
+
+_ESTEP_SQL = f"""{_EMB_SQL},
+u AS (SELECT vec_id, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e),
+p AS (SELECT label, i, avg(v) AS mu, var_pop(v) + 1e-6 AS var FROM u GROUP BY 1, 2),
+w AS (SELECT label, count(*) / (SELECT count(*) FROM e) AS w FROM e GROUP BY 1),
+lp AS (SELECT u.vec_id, p.label AS k, -0.5 * sum(ln(2 * pi()) + ln(p.var) + (u.v - p.mu) ^ 2 / p.var) AS lg
+       FROM u JOIN p ON u.i = p.i GROUP BY 1, 2),
+lw AS (SELECT vec_id, k, lg + ln(w.w) AS a FROM lp JOIN w ON w.label = lp.k),
+mx AS (SELECT vec_id, max(a) AS mx FROM lw GROUP BY 1),
+lse AS (SELECT lw.vec_id, any_value(mx.mx) + ln(sum(exp(a - mx.mx))) AS lse FROM lw JOIN mx USING (vec_id) GROUP BY 1),
+r AS (SELECT lw.vec_id, lw.k, exp(a - lse.lse) AS p FROM lw JOIN lse USING (vec_id)),
+asg AS (SELECT vec_id, CAST(arg_max(k, p) AS INTEGER) AS cluster, max(p) AS max_probability,
+        -sum(p * ln(p + 1e-12)) AS assignment_entropy FROM r GROUP BY 1)"""
+
+
+@register("gmm_assignments", f"""WITH {_ESTEP_SQL}
+SELECT vec_id, cluster, round(max_probability, 6) + 0.0 AS max_probability,
+       round(assignment_entropy, 6) + 0.0 AS assignment_entropy FROM asg
+""")
+def q_gmm_assignments(spark, sf):
+    e, model = _label_gmm(spark, sf)
+    a = MX.assign(e, "x", "vec_id", model)
+    return rounded(a.select("vec_id", "cluster", "max_probability", "assignment_entropy"))
+
+
+@register("bic_aic", f"""WITH {_ESTEP_SQL}
+SELECT round(avg(lse), 4) + 0.0 AS log_likelihood,
+       round(-2 * avg(lse) * count(*) + (SELECT 2 * 10 * 64 + 10 - 1) * ln(count(*)), 2) + 0.0 AS bic,
+       round(-2 * avg(lse) * count(*) + 2 * (SELECT 2 * 10 * 64 + 10 - 1), 2) + 0.0 AS aic,
+       CAST(2 * 10 * 64 + 10 - 1 AS BIGINT) AS n_parameters FROM lse
+""")
+def q_bic_aic(spark, sf):
+    e, model = _label_gmm(spark, sf)
+    ll = MX.assign(e, "x", "vec_id", model).agg(F.avg("log_density").alias("ll"), F.count(F.lit(1)).alias("n")).first()
+    k, d = len(model["weights"]), len(model["means"][0])
+    bic, aic = MX.bic_aic(ll["ll"], ll["n"], k, d, "diag")
+    row = (round(ll["ll"], 4) + 0.0, round(bic, 2) + 0.0, round(aic, 2) + 0.0, MX.n_parameters(k, d, "diag"))
+    return spark.createDataFrame([row], "log_likelihood double, bic double, aic double, n_parameters long")
+
+
+@register("representative_rows", f"""WITH {_ESTEP_SQL},
+rr AS (SELECT 'representative' AS kind, cluster, vec_id,
+       row_number() OVER (PARTITION BY cluster ORDER BY round(max_probability, 6) DESC, vec_id) AS rk FROM asg
+       UNION ALL SELECT 'ambiguous', cluster, vec_id,
+       row_number() OVER (PARTITION BY cluster ORDER BY round(assignment_entropy, 6) DESC, vec_id) FROM asg)
+SELECT kind, cluster, vec_id, CAST(rk AS INTEGER) AS "rank" FROM rr WHERE rk <= 3
+""")
+def q_representative_rows(spark, sf):
+    e, model = _label_gmm(spark, sf)
+    a = rounded(MX.assign(e, "x", "vec_id", model).select("vec_id", "cluster", "max_probability",
+                                                          "assignment_entropy")).persist()
+    rep = EV.top_rows(a, "cluster", "max_probability", "vec_id", 3).select(F.lit("representative").alias("kind"),
+                                                                          "cluster", "vec_id", "rank")
+    amb = EV.top_rows(a, "cluster", "assignment_entropy", "vec_id", 3).select(F.lit("ambiguous").alias("kind"),
+                                                                             "cluster", "vec_id", "rank")
+    return rep.unionByName(amb)
+
+
+@register("assignment_summary", f"""WITH {_ESTEP_SQL}
+SELECT round(avg(max_probability), 6) + 0.0 AS mean_max_responsibility,
+       round(avg(assignment_entropy), 6) + 0.0 AS assignment_entropy_mean,
+       round(max(assignment_entropy), 6) + 0.0 AS assignment_entropy_max,
+       round(avg(CASE WHEN max_probability < 0.5 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS low_confidence_fraction,
+       round(median(max_probability), 6) + 0.0 AS median_max_responsibility,
+       round(median(assignment_entropy), 6) + 0.0 AS assignment_entropy_median FROM asg
+""")
+def q_assignment_summary(spark, sf):
+    e, model = _label_gmm(spark, sf)
+    return rounded(EV.assignment_summary(MX.assign(e, "x", "vec_id", model)))
+
+
+@register("gmm_fit")
+def q_gmm_fit(spark, sf):
+    """M-5: diagonal GMM (k = 10, k-means init, tol 1e-3): weight, hard size, converged per component."""
+    e = emb(spark, sf)
+    m = MX.Matrix.of(e, "x", "vec_id")
+    f = MX.gmm_many(m, {0: MX.GMMFit(10, "diag", seed=42)}, max_iter=100, tol=1e-3)[0]
+    m.release()
+    rows = [(j, float(f.weights[j]), int(f.sizes[j]), bool(f.converged), int(f.n_iter)) for j in range(f.k)]
+    return spark.createDataFrame(rows, "component int, weight double, size long, converged boolean, n_iter int")
+
+
+def _cov_sql():
+    return f"""WITH {_EMB_SQL}, u AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e)
+SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov
+FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.i, b.i"""
+
+
+@register("pca_covariance", _cov_sql())
+def q_pca_covariance(spark, sf):
+    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
+    cov = PCA.covariance(m)
+    m.release()
+    d = len(cov)
+    rows = [(i, j, float(cov[i, j])) for i in range(d) for j in range(d)]
+    return rounded(spark.createDataFrame(rows, "i int, j int, cov double"))
+
+
+def _pca(spark, sf, target=0.9):
+    e = emb(spark, sf)
+    m = MX.Matrix.of(e, "x", "vec_id")
+    model = PCA.fit(m, target)
+    m.release()
+    return e, model
+
+
+@register("pca_fit")
+def q_pca_fit(spark, sf):
+    _, model = _pca(spark, sf)
+    return rounded(PCA.component_table(spark, model))
+
+
+@register("pca_transform")
+def q_pca_transform(spark, sf):
+    e, model = _pca(spark, sf)
+    pc = PCA.transform(e, "x", "vec_id", model)
+    return rounded(pc.select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2")))
+
+
+@register("top_loadings")
+def q_top_loadings(spark, sf):
+    _, model = _pca(spark, sf)
+    names = [f"dim_{i:02d}" for i in range(model.components.shape[1])]
+    return rounded(PCA.top_loadings(PCA.loadings(spark, model, names), 10, 5))
+
+
+@register("select_model")
+def q_select_model(spark, sf):
+    """M-15..M-19: K-means search K 2..8 x 3 seeds (n_init 2) with stability, guardrails and ranking."""
+    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
+    ranked, _, _ = SEL.search(m, "kmeans", range(2, 9), seeds=(42, 43, 44), n_init=2, max_iter=300)
+    out = ranked.select("selection_rank", "k", "silhouette", "davies_bouldin", "inertia", "stability_ari_mean",
+                        "smallest_cluster_proportion", "selection_valid", "passes_stability_guardrail")
+    out = rounded(out).persist()
+    out.count()
+    m.release()
+    return out
+
+
+@register("select_gmm")
+def q_select_gmm(spark, sf):
+    """GMM search over K 2..4 x {diag, full} x 2 seeds on the PCA-reduced embeddings (gmm_reduced)."""
+    e, model = _pca(spark, sf)
+    red = PCA.transform(e, "x", "vec_id", model)
+    m = MX.Matrix.of(red, "pc", "vec_id")
+    ranked, _, _ = SEL.search(m, "gmm", range(2, 5), cov_types=("diag", "full"), seeds=(42, 43), n_init=1,
+                              max_iter=100)
+    out = rounded(ranked.select("selection_rank", "k", "covariance_type", "bic", "aic", "log_likelihood",
+                                "stability_ari_mean", "selection_valid")).persist()
+    out.count()
+    m.release()
+    return out
+
+
+import numpy as np  # noqa: E402
+
+
+# ---------------------------------------------------------------- flagship
+def flagship_profile(spark, sf):
+    """part (+ lineitem aggregates) -> features -> K-means -> cluster profile."""
+    matrix, _, _ = _part_matrix(spark, sf)
+    m = MX.Matrix.of(matrix, "features", "p_partkey")
+    fit = MX.kmeans_many(m, {0: MX.KMeansFit(6, seed=42)}, max_iter=300, tol=1e-4)[0]
+    model = {"kind": "kmeans", "centres": fit.centres + m.shift}
+    m.release()
+    assigned = MX.assign(matrix, "features", "p_partkey", model)
+    meta = part_input(spark, sf).join(assigned.select("p_partkey", "cluster"), "p_partkey")
+    genres = L.multilabel_lift(meta, "cluster", _words(), 8)
+    types = L.category_lift(meta, "cluster", "p_type", 5)
+    labels = EV.interpretation_labels(genres, types, None, meta.select("cluster"))
+    num = EV.cluster_numeric(meta, "cluster", _PART_NUM)
+    sizes = EV.cluster_sizes(assigned, "cluster", 6)
+    return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels))
+
+
+@register("flagship_profile")
+def q_flagship_profile(spark, sf):
+    return flagship_profile(spark, sf)
