@@ -37,7 +37,10 @@ def distribution_lift(df: DataFrame, cluster_col: str, value_col: str | None = N
         if not keep_missing:
             pairs = pairs.where(F.col("value") != missing)
     counts = pairs.groupBy("cluster", "value").agg(F.count(F.lit(1)).alias("count"))
-    sizes = df.select(cluster).groupBy("cluster").agg(F.count(F.lit(1)).alias("n_c"))
+    if tags is None:  # one value per row: cluster sizes follow from the aggregated counts
+        sizes = counts.groupBy("cluster").agg(F.sum("count").alias("n_c"))
+    else:  # shares are per row, not per tag
+        sizes = df.select(cluster).groupBy("cluster").agg(F.count(F.lit(1)).alias("n_c"))
     sizes = sizes.withColumn("n_total", F.sum("n_c").over(Window.partitionBy()))
     glob = counts.groupBy("value").agg(F.sum("count").alias("g"))
     out = (counts.join(sizes, counts["cluster"].eqNullSafe(sizes["cluster"]), "inner").drop(sizes["cluster"])
