@@ -1022,3 +1022,117 @@ def flagship_profile(spark, sf):
 @register("flagship_profile")
 def q_flagship_profile(spark, sf):
     return flagship_profile(spark, sf)
+
+
+# ---------------------------------------------------------------- composed steps, diagnostics, chart tables
+from clusterlens.operators import models as MOD  # noqa: E402
+from clusterlens.plans import workflow as WF  # noqa: E402
+
+
+def _cleaned_events(spark, sf):
+    return C.clean(_events_tokenized(spark, sf), key="event_id", numeric=["value"], categorical=["event_type"],
+                   order_col="event_id", keep="first")
+
+
+@register("clean_table", f"""
+SELECT event_id, user_id,
+       CASE WHEN et IS NULL OR lower(trim(et)) IN ('unknown', '') THEN 'missing' ELSE lower(trim(et)) END AS event_type,
+       value
+FROM (SELECT event_id, user_id, {_EVT_TOKEN_SQL} AS et, value FROM events) WHERE event_id IS NOT NULL
+""")
+def q_clean_table(spark, sf):
+    out, _ = _cleaned_events(spark, sf)
+    return out.select("event_id", "user_id", "event_type", "value")
+
+
+@register("clean_summary", """
+SELECT count(*) AS rows_in, count(DISTINCT event_id) AS rows_out, count(*) - count(DISTINCT event_id) AS rows_dropped,
+       CAST(1 AS BIGINT) AS imputed_columns FROM events
+""")
+def q_clean_summary(spark, sf):
+    _, s = _cleaned_events(spark, sf)
+    return spark.createDataFrame([(s["rows_in"], s["rows_out"], s["rows_dropped"], len(s["imputed_columns"]))],
+                                 "rows_in long, rows_out long, rows_dropped long, imputed_columns long")
+
+
+def _conf_hist_sql():
+    parts = [f"""SELECT '{c}' AS "column", {c} AS x, lo, hi FROM asg,
+ (SELECT min({c}) AS lo, max({c}) AS hi FROM asg) s WHERE {c} IS NOT NULL""" for c in
+             ["max_probability", "assignment_entropy"]]
+    return (f"WITH {_ESTEP_SQL}, hu AS (" + " UNION ALL ".join(parts) + "), b AS (SELECT \"column\", lo, hi, "
+            "CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 30), 29) ELSE 0 END AS INTEGER) AS bin FROM hu) "
+            "SELECT \"column\", bin, round(lo + bin * ((hi - lo) / 30), 6) + 0.0 AS bin_start, "
+            "round(lo + (bin + 1) * ((hi - lo) / 30), 6) + 0.0 AS bin_end, count(*) AS \"count\" "
+            "FROM b GROUP BY \"column\", lo, hi, bin")
+
+
+@register("confidence_histogram", _conf_hist_sql())
+def q_confidence_histogram(spark, sf):
+    """C-6: confidence and entropy histograms of the assignment table."""
+    e, model = _label_gmm(spark, sf)
+    a = MX.assign(e, "x", "vec_id", model).persist()
+    return rounded(P.histogram(a, ["max_probability", "assignment_entropy"], 30))
+
+
+@register("metadata_join", f"""WITH {_ESTEP_SQL}
+SELECT asg.vec_id, asg.cluster, e.label, round(asg.max_probability, 6) + 0.0 AS max_probability
+FROM asg LEFT JOIN e ON asg.vec_id IS NOT DISTINCT FROM e.vec_id
+""")
+def q_metadata_join(spark, sf):
+    """J-1: assignments LEFT JOIN metadata on the key, NULL-safe."""
+    e, model = _label_gmm(spark, sf)
+    a = MX.assign(e, "x", "vec_id", model).select("vec_id", "cluster", "max_probability")
+    j = WF.metadata_join(a, tbl(spark, sf, "embeddings").select("vec_id", "label"), ["vec_id"])
+    return rounded(j.select("vec_id", "cluster", "label", "max_probability"))
+
+
+@register("projection_2d")
+def q_projection_2d(spark, sf):
+    """M-4 / C-10: first two centred components with cluster and opacity = clip(max prob, 0.2, 1)."""
+    e, model = _label_gmm(spark, sf)
+    m = MX.Matrix.of(e, "x", "vec_id")
+    p2 = PCA.fit(m, 2)
+    m.release()
+    pts = PCA.transform(e, "x", "vec_id", p2).select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    a = MX.assign(e, "x", "vec_id", model).select("vec_id", "cluster", "max_probability")
+    return rounded(pts.join(a, "vec_id").select(
+        "vec_id", "pc1", "pc2", "cluster",
+        F.least(F.greatest("max_probability", F.lit(0.2)), F.lit(1.0)).alias("opacity")))
+
+
+@register("model_diagnostics")
+def q_model_diagnostics(spark, sf):
+    """M-22 / M-23: fitted diagonal GMM (k = 10, n_init 2) parameters and health checks."""
+    e = emb(spark, sf)
+    m = MX.Matrix.of(e, "x", "vec_id")
+    model = MOD.get_adapter("gmm").fit(m, {"k": 10, "covariance_type": "diag", "n_init": 2, "max_iter": 100}, 42)
+    out = MOD.diagnostics(spark, model, m.n, m.d)
+    m.release()
+    return rounded(out)
+
+
+@register("final_metrics")
+def q_final_metrics(spark, sf):
+    """P-7: size stats, confidence summary, silhouette, Davies-Bouldin, Calinski-Harabasz of the label GMM."""
+    e, model = _label_gmm(spark, sf)
+    a = MX.assign(e, "x", "vec_id", model)
+    return rounded(WF.final_metrics(a, e, "vec_id", "x", k=10))
+
+
+@register("distribution_report")
+def q_distribution_report(spark, sf):
+    """P-6: nested (cluster -> genres / type records) report over part clustered by p_type."""
+    p = tbl(spark, sf, "part").withColumn("cluster", F.col("p_type"))
+    rep = WF.distribution_report(p, _words(), ["p_brand"])
+    return rep.select("cluster", F.size("genres").alias("n_genre_records"), F.size("p_brand").alias("n_type_records"),
+                      F.to_json("genres").alias("genres_json"))
+
+
+@register("model_stage_reduced")
+def q_model_stage_reduced(spark, sf):
+    """End to end on the PCA-reduced embeddings: K-means search (K 2..5 x 2 seeds), final fit, assign."""
+    e = emb(spark, sf)
+    red, _ = WF.reduce_matrix(e.withColumnRenamed("x", "features"), "vec_id", 0.9)
+    res = WF.model_stage(red, "vec_id", "kmeans_reduced", features="pc", candidate_k=range(2, 6), seeds=(42, 43),
+                         search_kw={"n_init": 1, "max_iter": 100}, final_override={"n_init": 2, "max_iter": 100})
+    return rounded(EV.cluster_sizes(res["assignments"], "cluster", res["model"]["k"]))
