@@ -29,13 +29,15 @@ def multi_hot_columns(tags, prefix: str, vocab, dtype: str = "int") -> list:
 
 
 def frequent_levels(df: DataFrame, col: str, min_frequency: float) -> tuple[list[str], bool]:
-    """A-14: levels with count >= min_frequency * n (alphabetical), and whether any level folds."""
-    from pyspark.sql import Window
-    n_expr = F.sum("c").over(Window.partitionBy())
-    counts = df.groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("c"))
-    rows = counts.withColumn("n", n_expr).collect()  # one row per level: bounded by the level count
-    keep = sorted(r["level"] for r in rows if r["c"] >= min_frequency * r["n"])
-    return keep, len(keep) < len(rows)
+    """A-14: levels with count >= min_frequency * n (alphabetical), and whether any level folds.
+
+    Only retained levels reach the driver (at most 1 / min_frequency of them); the number
+    of levels and rows comes from one aggregate over the (level, count) table."""
+    counts = df.groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("c")).persist()
+    tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("levels")).first()
+    keep = sorted(r["level"] for r in counts.where(F.col("c") >= F.lit(min_frequency * tot["n"])).collect())
+    counts.unpersist()
+    return keep, len(keep) < tot["levels"]
 
 
 def one_hot_columns(col: str, levels, has_infrequent: bool, prefix: str = "categorical"):

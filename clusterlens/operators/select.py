@@ -77,6 +77,42 @@ def _label_scan(matrix: MX.Matrix, chosen: dict, family: str, sample_ids: set):
     return keys, labelled, bc
 
 
+def _sampled_silhouettes(spark, srows) -> dict:
+    """{fit index: mean silhouette} over the bounded sample; fits with one cluster are absent (None)."""
+    if not srows:
+        return {}
+    X = np.array([r["x"] for r in srows], dtype=float)
+    Lab = np.array([r["labels"] for r in srows], dtype=int)
+    bc = spark.sparkContext.broadcast((X, Lab))
+
+    def score(batches):
+        Xa, La = bc.value
+        for b in batches:
+            ii = b["i"].to_numpy()
+            if len(ii) == 0:
+                continue
+            D = np.sqrt(np.maximum(((Xa[ii, None, :] - Xa[None, :, :]) ** 2).sum(-1), 0.0))
+            for f in range(La.shape[1]):
+                lab = La[:, f]
+                u = np.unique(lab)
+                if len(u) < 2:
+                    continue
+                cnt = np.array([(lab == v).sum() for v in u])
+                sums = np.stack([D[:, lab == v].sum(1) for v in u], 1)
+                own = np.searchsorted(u, lab[ii])
+                a = sums[np.arange(len(ii)), own] / np.maximum(cnt[own] - 1, 1)
+                other = sums / cnt[None, :]
+                other[np.arange(len(ii)), own] = np.inf
+                bb = other.min(1)
+                s = np.nan_to_num(np.where(cnt[own] > 1, (bb - a) / np.maximum(a, bb), 0.0))
+                yield pd.DataFrame({"fit": np.full(len(ii), f), "s": s})
+
+    idx = spark.createDataFrame([(i,) for i in range(len(X))], "i long").repartition(8)
+    rows = idx.mapInPandas(score, "fit long, s double").groupBy("fit").agg(F.avg("s").alias("s")).collect()
+    bc.unpersist()
+    return {r["fit"]: r["s"] for r in rows}
+
+
 def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13), cov_types=("diag", "full"),
            seeds=(42, 43, 44, 45, 46), n_init: int = 1, max_iter: int = 300, tol: float | None = None,
            reg_covar: float = 1e-6, guardrails: dict | None = None, scoring=None, sample_size: int = 5000):
@@ -114,25 +150,11 @@ def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13),
     keys, labelled, bc = _label_scan(matrix, chosen, family, sample_ids)
     kidx = {k: i for i, k in enumerate(keys)}
 
-    # sampled silhouette per fit: rows of the bounded sample with all their labels
+    # sampled silhouette of every fit in one job: the bounded sample (vectors + labels of all fits)
+    # is broadcast and each task scores a slice of its rows against the whole sample
     srows = (labelled.join(matrix.df.select("id", "x"), "id")
              .where(F.col("id").isin(list(sample_ids))).select("x", "labels").collect())
-    Xs = np.array([r["x"] for r in srows], dtype=float)
-    Ls = np.array([r["labels"] for r in srows], dtype=int) if srows else np.zeros((0, len(keys)), int)
-    Ds = np.sqrt(np.maximum(((Xs[:, None, :] - Xs[None, :, :]) ** 2).sum(-1), 0.0)) if len(Xs) else None
-
-    def sil(lab):
-        u = np.unique(lab)
-        if len(u) < 2:
-            return None
-        cnt = np.array([(lab == v).sum() for v in u])
-        sums = np.stack([Ds[:, lab == v].sum(1) for v in u], 1)
-        own = np.searchsorted(u, lab)
-        a = sums[np.arange(len(lab)), own] / np.maximum(cnt[own] - 1, 1)
-        other = sums / cnt[None, :]
-        other[np.arange(len(lab)), own] = np.inf
-        b = other.min(1)
-        return float(np.nan_to_num(np.where(cnt[own] > 1, (b - a) / np.maximum(a, b), 0.0)).mean())
+    sil_by_fit = _sampled_silhouettes(spark, srows)
 
     # Davies-Bouldin inputs (k-means): mean distance to own centre per (fit, cluster), partial-aggregated
     spread = {}
@@ -176,7 +198,7 @@ def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13),
                "largest_cluster_proportion": float(sizes.max() / n),
                "tiny_cluster_count": int((sizes / n < g["tiny_cluster_threshold"]).sum()),
                "n_iter": int(f.n_iter), "converged": bool(f.converged),
-               "silhouette": sil(Ls[:, kidx[(ci, s)]]) if Ds is not None else None}
+               "silhouette": sil_by_fit.get(kidx[(ci, s)])}
         if family == "kmeans":
             rec["degenerate_component"] = bool((sizes == 0).any())
             rec["inertia"] = float(f.inertia)
