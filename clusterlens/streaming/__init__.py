@@ -1,0 +1,8 @@
+"""Streaming: none.
+
+The operators being rebuilt are batch-only (no watermarks, windows over
+event time, stateful or late-data operators exist in the source system), so
+no streaming operator is provided. ``clusterlens.operators.mixture.assign``
+is a ``mapInPandas`` over a broadcast model and therefore also applies to a
+streaming DataFrame unchanged.
+"""
