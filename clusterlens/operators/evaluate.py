@@ -140,3 +140,10 @@ def assignment_summary(assigned: DataFrame) -> DataFrame:
            exact_quantiles(assigned, ["max_probability", "assignment_entropy"], [0.5]).collect()}
     return base.select("*", F.lit(med.get("max_probability")).cast("double").alias("median_max_responsibility"),
                        F.lit(med.get("assignment_entropy")).cast("double").alias("assignment_entropy_median"))
+
+
+def share_dominance(type_records: DataFrame, warn_share: float = 0.8) -> DataFrame:
+    """A-31: mean top-value share over clusters and the number of clusters whose top share >= warn_share."""
+    top = type_records.where(F.col("rank") == 1)
+    return top.agg(F.avg("cluster_share").alias("mean_top_share"),
+                   F.count_if(F.col("cluster_share") >= warn_share).alias("dominated_clusters"))

@@ -91,3 +91,16 @@ def diagnostics(spark, model: dict, n_rows: int, d: int, close_threshold: float
         F.lit(n_rows >= max(10 * d, 5 * k)).alias("enough_rows"),
         F.lit(bool(model.get("converged"))).alias("converged"),
         F.lit(int(model.get("n_iter", 0))).alias("n_iter"))
+
+
+def training_summary(spark, model: dict, params: dict, n_rows: int, d: int, run_id: str = "") -> DataFrame:
+    """M-24: one-row training record."""
+    rec = {"run_id": run_id, "model_kind": model["kind"], "k": int(model["k"]),
+           "covariance_type": model.get("cov_type"), "rows": int(n_rows), "dims": int(d),
+           "converged": bool(model.get("converged")), "n_iter": int(model.get("n_iter", 0)),
+           "lower_bound": float(model["lower_bound"]) if model.get("lower_bound") is not None else None,
+           "inertia": float(model["inertia"]) if model.get("inertia") is not None else None,
+           "n_init": int(params.get("n_init", 1)), "max_iter": int(params.get("max_iter", 0))}
+    schema = ("run_id string, model_kind string, k int, covariance_type string, rows long, dims int, "
+              "converged boolean, n_iter int, lower_bound double, inertia double, n_init int, max_iter int")
+    return spark.createDataFrame([tuple(rec.values())], schema)

@@ -76,6 +76,8 @@ def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, smal
                               T.StructField("t_lo", T.DoubleType()), T.StructField("t_hi", T.DoubleType()),
                               T.StructField("collect", T.BooleanType())])
 
+    # keep each pass's driver result near 200k cells whatever the number of targets
+    buckets = int(min(buckets, max(64, 200_000 // max(1, len(targets)))))
     for _ in range(max_passes):
         open_t = [t for t, s in targets.items() if s["value"] is None]
         if not open_t:

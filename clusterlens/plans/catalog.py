@@ -1136,3 +1136,43 @@ def q_model_stage_reduced(spark, sf):
     res = WF.model_stage(red, "vec_id", "kmeans_reduced", features="pc", candidate_k=range(2, 6), seeds=(42, 43),
                          search_kw={"n_init": 1, "max_iter": 100}, final_override={"n_init": 2, "max_iter": 100})
     return rounded(EV.cluster_sizes(res["assignments"], "cluster", res["model"]["k"]))
+
+
+@register("share_dominance", f"""
+WITH {_lift_sql('t', False, 5)}
+SELECT round(avg(share), 6) + 0.0 AS mean_top_share, count(*) FILTER (WHERE share >= 0.8) AS dominated_clusters
+FROM rec_t WHERE rk = 1
+""")
+def q_share_dominance(spark, sf):
+    """A-31 / P-4: dominance of the top p_brand per p_type cluster."""
+    types = L.category_lift(tbl(spark, sf, "part"), "p_type", "p_brand", 5)
+    return rounded(EV.share_dominance(types))
+
+
+@register("metric_curve")
+def q_metric_curve(spark, sf):
+    """K-6 / C-5: BIC / AIC / log-likelihood by K and covariance type (from the GMM search)."""
+    return q_select_gmm(spark, sf).select("covariance_type", "k", "bic", "aic", "log_likelihood") \
+        .orderBy("covariance_type", "k")
+
+
+@register("selection_warnings")
+def q_selection_warnings(spark, sf):
+    """M-18: degenerate / imbalance / low-stability warnings of a K-means search (K 2..12 x 3 seeds)."""
+    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
+    ranked, _, warn = SEL.search(m, "kmeans", range(2, 13), seeds=(42, 43, 44), n_init=1, max_iter=100)
+    out = rounded(warn).persist()
+    out.count()
+    m.release()
+    return out
+
+
+@register("training_summary")
+def q_training_summary(spark, sf):
+    """M-20 / M-24: final K-means fit with parameter precedence (training <- best <- override) and its record."""
+    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
+    params = SEL.final_params({"k": 10}, MOD.TRAINING["kmeans"], {"n_init": 3, "max_iter": 100})
+    model = MOD.get_adapter("kmeans_reduced").fit(m, params, 42)
+    out = MOD.training_summary(spark, model, params, m.n, m.d, run_id="embeddings-kmeans")
+    m.release()
+    return rounded(out, 4)
