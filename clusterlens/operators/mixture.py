@@ -76,8 +76,45 @@ class Matrix:
         self.df.unpersist()
 
 
+SHARD_BYTES = 64 << 20  # budget for one scan's broadcast parameters and per-partition statistics
+
+
+def _nbytes(obj) -> int:
+    if isinstance(obj, np.ndarray):
+        return obj.nbytes
+    if isinstance(obj, (tuple, list)):
+        return sum(_nbytes(o) for o in obj)
+    return 64
+
+
+def _shards(payload: dict, budget: int = SHARD_BYTES):
+    """Split the model payload so that each scan stays under the byte budget (statistics are of the
+    same order as the parameters: counts, first and second moments)."""
+    if not isinstance(payload, dict):
+        yield payload
+        return
+    cur, size = {}, 0
+    for mid, params in payload.items():
+        b = 2 * _nbytes(params)
+        if cur and size + b > budget:
+            yield cur
+            cur, size = {}, 0
+        cur[mid] = params
+        size += b
+    if cur:
+        yield cur
+
+
 def _reduce(matrix: Matrix, fn, payload) -> dict:
-    """Run one scan: fn(X, ids, payload) -> {model: flat stats}; sum per model; return {model: np.ndarray}."""
+    """One scan per shard: fn(X, ids, payload) -> {model: flat stats}; summed per model map-side; the
+    driver receives one vector per model."""
+    out = {}
+    for shard in _shards(payload, SHARD_BYTES):
+        out.update(_reduce_one(matrix, fn, shard))
+    return out
+
+
+def _reduce_one(matrix: Matrix, fn, payload) -> dict:
     spark = matrix.df.sparkSession
     bc = spark.sparkContext.broadcast(payload)
     shift = matrix.shift

@@ -42,3 +42,22 @@ def test_gmm_em_recovers_blobs_and_lower_bound_rises(spark):
         assert np.all(np.diff(f.history) > -1e-9)  # EM never decreases the bound
         assert sorted(np.round(np.sort(f.weights), 1)) == sorted(np.round(np.sort(np.bincount(lab) / len(lab)), 1))
     m.release()
+
+
+def test_sharded_scans_give_the_same_statistics(spark):
+    df, X, _ = _blobs(spark)
+    m = MX.Matrix.of(df, "x", "id")
+    starts = {i: X[[i, i + 1, i + 2]] for i in range(6)}
+    a = {i: MX.KMeansFit(3, seed=i) for i in starts}
+    b = {i: MX.KMeansFit(3, seed=i) for i in starts}
+    MX.kmeans_many(m, a, max_iter=3, tol=-1.0, init_centres=starts)
+    old = MX.SHARD_BYTES
+    MX.SHARD_BYTES = 1  # one model per scan
+    try:
+        assert len(list(MX._shards({i: f for i, f in enumerate(range(4))}, 1))) == 4
+        MX.kmeans_many(m, b, max_iter=3, tol=-1.0, init_centres=starts)
+    finally:
+        MX.SHARD_BYTES = old
+    for i in starts:
+        assert abs(a[i].inertia - b[i].inertia) < 1e-9
+    m.release()
