@@ -398,7 +398,7 @@ def q_tag_vocab(spark, sf):
 WITH v AS (SELECT tag FROM (SELECT tag, row_number() OVER (ORDER BY count(*) DESC, tag) AS rk
            FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY tag) WHERE rk <= 50)
 SELECT p.p_partkey, 'p_name__' || v.tag AS feature,
-       CASE WHEN list_contains(string_split(p.p_name, ' '), v.tag) THEN 1.0 ELSE 0.0 END AS value
+       CAST(list_contains(string_split(p.p_name, ' '), v.tag) AS DOUBLE) AS value
 FROM part p, v
 """)
 def q_multi_hot(spark, sf):
