@@ -91,6 +91,11 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pairwise_dist(A, sa, B, sb):
+    """Euclidean distances of row blocks via |a|^2 + |b|^2 - 2ab (no rows x sample x d temporary)."""
+    return np.sqrt(np.maximum(sa[:, None] + sb[None, :] - 2.0 * (A @ B.T), 0.0))
+
+
 def silhouette(df: DataFrame, vec_col: str, cluster_col: str, id_col: str, sample_size: int = 5000,
                seed: int = 42) -> DataFrame:
     """M-9 (Euclidean) on <= sample_size rows chosen by a seeded hash order (distributed top-k)."""
@@ -112,18 +117,20 @@ def silhouette(df: DataFrame, vec_col: str, cluster_col: str, id_col: str, sampl
         Xa, la = bX.value
         uniq = np.unique(la)
         counts = np.array([(la == u).sum() for u in uniq])
+        sq = (Xa * Xa).sum(1)
         for b in batches:
-            ii = b["i"].to_numpy()
-            D = np.sqrt(np.maximum(((Xa[ii, None, :] - Xa[None, :, :]) ** 2).sum(-1), 0.0))
-            sums = np.stack([D[:, la == u].sum(1) for u in uniq], axis=1)
-            own = np.searchsorted(uniq, la[ii])
-            n_own = counts[own]
-            a = sums[np.arange(len(ii)), own] / np.maximum(n_own - 1, 1)
-            mean_other = sums / counts[None, :]
-            mean_other[np.arange(len(ii)), own] = np.inf
-            bb = mean_other.min(1)
-            s = np.where(n_own > 1, (bb - a) / np.maximum(a, bb), 0.0)
-            yield pd.DataFrame({"s": np.nan_to_num(s)})
+            for start in range(0, len(b), 256):  # 256 x sample distance block per step
+                ii = b["i"].to_numpy()[start:start + 256]
+                D = pairwise_dist(Xa[ii], sq[ii], Xa, sq)
+                sums = np.stack([D[:, la == u].sum(1) for u in uniq], axis=1)
+                own = np.searchsorted(uniq, la[ii])
+                n_own = counts[own]
+                a = sums[np.arange(len(ii)), own] / np.maximum(n_own - 1, 1)
+                mean_other = sums / counts[None, :]
+                mean_other[np.arange(len(ii)), own] = np.inf
+                bb = mean_other.min(1)
+                s = np.where(n_own > 1, (bb - a) / np.maximum(a, bb), 0.0)
+                yield pd.DataFrame({"s": np.nan_to_num(s)})
 
     per_row = idx.mapInPandas(score, "s double")
     return per_row.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("sample_rows"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.operators import mixture as MX
-from clusterlens.operators.metrics import ari_nmi_from_table
+from clusterlens.operators.metrics import ari_nmi_from_table, pairwise_dist
 
 GUARDRAILS = {"reject_smallest_cluster_below": 0.005, "tiny_cluster_threshold": 0.01,
               "reject_if_degenerate": True, "stability_warn_below": 0.6}
@@ -87,25 +87,26 @@ def _sampled_silhouettes(spark, srows) -> dict:
 
     def score(batches):
         Xa, La = bc.value
+        sq = (Xa * Xa).sum(1)
         for b in batches:
-            ii = b["i"].to_numpy()
-            if len(ii) == 0:
-                continue
-            D = np.sqrt(np.maximum(((Xa[ii, None, :] - Xa[None, :, :]) ** 2).sum(-1), 0.0))
-            for f in range(La.shape[1]):
-                lab = La[:, f]
-                u = np.unique(lab)
-                if len(u) < 2:
-                    continue
-                cnt = np.array([(lab == v).sum() for v in u])
-                sums = np.stack([D[:, lab == v].sum(1) for v in u], 1)
-                own = np.searchsorted(u, lab[ii])
-                a = sums[np.arange(len(ii)), own] / np.maximum(cnt[own] - 1, 1)
-                other = sums / cnt[None, :]
-                other[np.arange(len(ii)), own] = np.inf
-                bb = other.min(1)
-                s = np.nan_to_num(np.where(cnt[own] > 1, (bb - a) / np.maximum(a, bb), 0.0))
-                yield pd.DataFrame({"fit": np.full(len(ii), f), "s": s})
+            ids = b["i"].to_numpy()
+            for start in range(0, len(ids), 256):  # 256 x sample distance block per step
+                ii = ids[start:start + 256]
+                D = pairwise_dist(Xa[ii], sq[ii], Xa, sq)
+                for f in range(La.shape[1]):
+                    lab = La[:, f]
+                    u = np.unique(lab)
+                    if len(u) < 2:
+                        continue
+                    cnt = np.array([(lab == v).sum() for v in u])
+                    sums = np.stack([D[:, lab == v].sum(1) for v in u], 1)
+                    own = np.searchsorted(u, lab[ii])
+                    a = sums[np.arange(len(ii)), own] / np.maximum(cnt[own] - 1, 1)
+                    other = sums / cnt[None, :]
+                    other[np.arange(len(ii)), own] = np.inf
+                    bb = other.min(1)
+                    s = np.nan_to_num(np.where(cnt[own] > 1, (bb - a) / np.maximum(a, bb), 0.0))
+                    yield pd.DataFrame({"fit": np.full(len(ii), f), "s": s})
 
     idx = spark.createDataFrame([(i,) for i in range(len(X))], "i long").repartition(8)
     rows = idx.mapInPandas(score, "fit long, s double").groupBy("fit").agg(F.avg("s").alias("s")).collect()
