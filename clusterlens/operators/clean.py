@@ -53,9 +53,9 @@ def dedup(df: DataFrame, keys, order_col: str, keep: str = "first") -> DataFrame
     return out.select(*keys, "r.*").select(*df.columns)
 
 
-def median_impute(df: DataFrame, cols) -> tuple[DataFrame, dict]:
+def median_impute(df: DataFrame, cols, method: str = "exact") -> tuple[DataFrame, dict]:
     """A-11: fill NULLs with the exact column median; an all-NULL column is left alone."""
-    med = medians(df, cols)
+    med = medians(df, cols, method=method)
     fills = {c: med[c] for c in cols if c in med}
     out = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fills[c])).alias(c) if c in fills else F.col(c)
                       for c in df.columns])

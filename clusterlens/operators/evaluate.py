@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterlens.operators.quantiles import exact_quantiles
+from clusterlens.operators.quantiles import exact_quantiles, quantiles
 
 
 def cluster_sizes(assigned: DataFrame, cluster_col: str = "cluster", k: int | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def cluster_sizes(assigned: DataFrame, cluster_col: str = "cluster", k: int | No
     return sizes.select("cluster", "size", (F.col("size") / total).alias("proportion"))
 
 
-def cluster_numeric(df: DataFrame, cluster_col: str, cols) -> DataFrame:
+def cluster_numeric(df: DataFrame, cluster_col: str, cols, method: str = "exact") -> DataFrame:
     """A-23 / A-24: per (cluster, column) mean, median, p25, p75, std (ddof 1; n=1 -> 0) and z vs global."""
     cols = list(cols)
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
@@ -36,7 +36,7 @@ def cluster_numeric(df: DataFrame, cluster_col: str, cols) -> DataFrame:
         F.when(F.count("v") > 1, F.stddev_samp("v")).otherwise(F.lit(0.0)).alias("std"))
     glob = long.groupBy("column").agg(F.avg("v").alias("g_mean"),
                                       F.coalesce(F.nullif(F.stddev_samp("v"), F.lit(0.0)), F.lit(1.0)).alias("g_std"))
-    q = exact_quantiles(df.withColumn("cluster", F.col(cluster_col)), cols, [0.25, 0.5, 0.75], by=["cluster"])
+    q = quantiles(df.withColumn("cluster", F.col(cluster_col)), cols, [0.25, 0.5, 0.75], by=["cluster"], method=method)
     qw = q.groupBy("cluster", "column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
     qw = qw.toDF("cluster", "column", "p25", "median", "p75")
     out = (per.where(F.col("n") > 0).join(glob, "column")

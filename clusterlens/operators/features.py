@@ -61,7 +61,7 @@ def standardized_columns(stats: dict, prefix: str = "numeric"):
 
 
 def build_features(df: DataFrame, id_cols, numeric=(), categorical=(), multi_label=None,
-                   min_frequency: float = 0.01, vocab_size: int = 50):
+                   min_frequency: float = 0.01, vocab_size: int = 50, quantile_method: str = "exact"):
     """Assemble the matrix. ``multi_label``: {name: array column expression}.
 
     Returns (DataFrame[id..., features], feature_names, wide DataFrame of named columns).
@@ -73,7 +73,7 @@ def build_features(df: DataFrame, id_cols, numeric=(), categorical=(), multi_lab
     base = df.select(*id_cols, *numeric, *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c)
                                            for c in categorical],
                      *[expr.alias(f"__tags_{name}") for name, expr in multi_label.items()])
-    med = medians(base, numeric) if numeric else {}
+    med = medians(base, numeric, method=quantile_method) if numeric else {}
     num = [c for c in numeric if c in med]
     base = base.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) if c in num else F.col(c)
                          for c in base.columns])

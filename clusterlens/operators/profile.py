@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterlens.operators.quantiles import exact_quantiles
+from clusterlens.operators.quantiles import quantiles
 
 
 def _unpivot_row(row_df: DataFrame, cols, fields) -> DataFrame:
@@ -41,15 +41,15 @@ def duplicate_key_count(df: DataFrame, key: str) -> DataFrame:
             .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
 
 
-def numeric_summary(df: DataFrame, cols) -> DataFrame:
-    """A-4: count, mean, std (ddof 1, one row -> 0), min, exact median, max."""
+def numeric_summary(df: DataFrame, cols, method: str = "exact") -> DataFrame:
+    """A-4: count, mean, std (ddof 1, one row -> 0), min, median (exact or approx), max."""
     cols = list(cols)
     row = df.agg(*[a for c in cols for a in (
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
         F.when(F.count(c) > 1, F.stddev_samp(c)).otherwise(F.lit(0.0)).alias(f"{c}__std"),
         F.min(F.col(c).cast("double")).alias(f"{c}__min"), F.max(F.col(c).cast("double")).alias(f"{c}__max"))])
     long = _unpivot_row(row, cols, ["count", "mean", "std", "min", "max"]).where(F.col("count") > 0)
-    med = exact_quantiles(df, cols, [0.5]).select("column", F.col("value").alias("median"))
+    med = quantiles(df, cols, [0.5], method=method).select("column", F.col("value").alias("median"))
     return long.join(med, "column", "left").select("column", "count", "mean", "std", "min", "median", "max")
 
 

@@ -142,9 +142,31 @@ def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, smal
     return spark.createDataFrame(out, schema)
 
 
-def medians(df: DataFrame, cols, by=()) -> dict:
+def approx_quantiles(df: DataFrame, cols, probs, by=(), accuracy: int = 10_000) -> DataFrame:
+    """Same output as ``exact_quantiles`` from ``percentile_approx`` (one pass, bounded-memory sketch per
+    group, merged map-side); returns an element of the column (no interpolation), rank error ~ 1/accuracy."""
+    by = list(by)
+    probs = [float(p) for p in probs]
+    data = long_values(df, cols, by)
+    agg = data.groupBy(*by, "column").agg(
+        F.percentile_approx("value", probs, accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
+    z = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("prob"), F.col("q").alias("value"))
+    return agg.select(*by, "column", F.explode(z).alias("pq"), "n").select(
+        *by, "column", F.col("pq.prob").alias("prob"), F.col("pq.value").alias("value"), "n")
+
+
+def quantiles(df: DataFrame, cols, probs, by=(), method: str = "exact") -> DataFrame:
+    """Dispatch: ``exact`` (bracket search, default) or ``approx`` (sketch, one pass)."""
+    if method == "approx":
+        return approx_quantiles(df, cols, probs, by)
+    if method != "exact":
+        raise ValueError("method must be 'exact' or 'approx'")
+    return exact_quantiles(df, cols, probs, by)
+
+
+def medians(df: DataFrame, cols, by=(), method: str = "exact") -> dict:
     """{column: median} (no grouping) or {(group..., column): median}."""
-    res = exact_quantiles(df, cols, [0.5], by=by).collect()
+    res = quantiles(df, cols, [0.5], by=by, method=method).collect()
     if not by:
         return {r["column"]: r["value"] for r in res}
     return {(*[r[b] for b in by], r["column"]): r["value"] for r in res}

@@ -26,3 +26,15 @@ def test_exact_quantiles_global_single_value(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": [5.0, 5.0, 5.0]}))
     got = exact_quantiles(df, ["x"], [0.5]).collect()
     assert got[0]["value"] == 5.0
+
+
+def test_approx_quantiles_are_close_and_same_shape(spark):
+    from clusterlens.operators.quantiles import quantiles
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 5000), "a": rng.normal(size=5000)})
+    df = spark.createDataFrame(pdf)
+    ex = quantiles(df, ["a"], [0.25, 0.5], by=["g"]).toPandas().sort_values(["g", "prob"]).reset_index(drop=True)
+    ap = quantiles(df, ["a"], [0.25, 0.5], by=["g"], method="approx").toPandas()
+    ap = ap.sort_values(["g", "prob"]).reset_index(drop=True)
+    assert list(ex.columns) == list(ap.columns)
+    assert (abs(ex["value"] - ap["value"]) < 0.01).all()
