@@ -83,9 +83,13 @@ def clean(df: DataFrame, key: str, numeric=(), categorical=(), multi_label=(), l
     x = x.select(*[normalize_category(c).alias(c) if c in categorical
                    else normalize_multilabel(c).alias(c) if c in multi_label else F.col(c) for c in x.columns])
     num = list(numeric) + (["duration_minutes"] if duration_col else [])
+    any_null = F.lit(False)
+    for c in num:
+        any_null = any_null | F.col(c).isNull()
+    pre = x.agg(F.count(F.lit(1)).alias("rows_out"), F.count_if(any_null).alias("rows_imputed")).first()
     x, fills = median_impute(x, num)
-    counts = df.agg(F.count(F.lit(1)).alias("rows_in")).first()
-    out_n = x.count()
-    summary = {"rows_in": counts["rows_in"], "rows_out": out_n, "rows_dropped": counts["rows_in"] - out_n,
-               "imputed_columns": sorted(fills), "medians": fills}
+    rows_in = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    # D-2: true row count and column count of the imputation, named so
+    summary = {"rows_in": rows_in, "rows_out": pre["rows_out"], "rows_dropped": rows_in - pre["rows_out"],
+               "rows_imputed": pre["rows_imputed"], "imputed_columns": sorted(fills), "medians": fills}
     return x, summary
