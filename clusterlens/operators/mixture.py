@@ -200,15 +200,30 @@ def kmeans_pp(matrix: Matrix, fits: dict) -> None:
 
 
 def _lloyd_scan(X, ids, payload):
-    out = {}
-    for mid, C in payload.items():
-        k = len(C)
-        D = _sq_dists(X, C)
-        lab = D.argmin(1)
-        sse = D[np.arange(len(X)), lab].sum()
-        onehot = (lab[:, None] == np.arange(k)[None, :]).astype(np.float64)
-        out[mid] = np.concatenate([onehot.sum(0), (onehot.T @ X).ravel(), [sse]])
-    return out
+    """Counts, sums and SSE per (model, cluster). All models' centres are stacked into one matrix so a
+    row block needs one GEMM for every distance (2048-row blocks bound the n x sum(k) temporaries)."""
+    mids = list(payload)
+    ks = [len(payload[m]) for m in mids]
+    offs = np.concatenate([[0], np.cumsum(ks)])
+    C = np.vstack([payload[m] for m in mids])
+    cn = (C * C).sum(1)
+    counts = np.zeros(offs[-1])
+    sums = np.zeros((offs[-1], X.shape[1]))
+    sse = np.zeros(len(mids))
+    for start in range(0, len(X), 2048):
+        Xb = X[start:start + 2048]
+        rows = np.arange(len(Xb))
+        D = np.maximum((Xb * Xb).sum(1)[:, None] - 2.0 * Xb @ C.T + cn[None, :], 0.0)
+        onehot = np.zeros_like(D)
+        for j in range(len(mids)):
+            block = D[:, offs[j]:offs[j + 1]]
+            lab = block.argmin(1)
+            sse[j] += block[rows, lab].sum()
+            onehot[rows, offs[j] + lab] = 1.0
+        counts += onehot.sum(0)
+        sums += onehot.T @ Xb
+    return {m: np.concatenate([counts[offs[j]:offs[j + 1]], sums[offs[j]:offs[j + 1]].ravel(), [sse[j]]])
+            for j, m in enumerate(mids)}
 
 
 def kmeans_many(matrix: Matrix, fits: dict, max_iter: int = 300, tol: float = 1e-4,
