@@ -329,9 +329,50 @@ def _suff(X, resp, cov_type):
     return nk, sx, sxx
 
 
+def _diag_stacked(X, params: dict) -> dict:
+    """E-step statistics of many diagonal models at once: every component's log density is one column
+    of [x^2, x] @ [-prec/2; mean*prec]^T, so a row block needs two GEMMs for all models."""
+    mids = list(params)
+    ks = [len(params[m][0]) for m in mids]
+    offs = np.concatenate([[0], np.cumsum(ks)])
+    d = X.shape[1]
+    P = np.vstack([params[m][2] ** 2 for m in mids])                      # precisions
+    MP = np.vstack([params[m][1] * params[m][2] ** 2 for m in mids])
+    const = np.concatenate([-0.5 * (d * LOG2PI + ((params[m][1] ** 2) * params[m][2] ** 2).sum(1))
+                            + np.log(params[m][2]).sum(1) + np.log(params[m][0]) for m in mids])
+    K = offs[-1]
+    nk, sx, sxx, hard = np.zeros(K), np.zeros((K, d)), np.zeros((K, d)), np.zeros(K)
+    lse_sum, maxr_sum = np.zeros(len(mids)), np.zeros(len(mids))
+    for start in range(0, len(X), 2048):
+        Xb = X[start:start + 2048]
+        X2 = Xb * Xb
+        lw = -0.5 * (X2 @ P.T) + Xb @ MP.T + const[None, :]
+        resp = np.empty_like(lw)
+        for j in range(len(mids)):
+            block = lw[:, offs[j]:offs[j + 1]]
+            mx = block.max(1, keepdims=True)
+            lse = (mx + np.log(np.exp(block - mx).sum(1, keepdims=True))).ravel()
+            r = np.exp(block - lse[:, None])
+            resp[:, offs[j]:offs[j + 1]] = r
+            lse_sum[j] += lse.sum()
+            maxr_sum[j] += r.max(1).sum()
+            np.add.at(hard, offs[j] + r.argmax(1), 1.0)
+        nk += resp.sum(0)
+        sx += resp.T @ Xb
+        sxx += resp.T @ X2
+    return {m: np.concatenate([[lse_sum[j], maxr_sum[j]], nk[offs[j]:offs[j + 1]], sx[offs[j]:offs[j + 1]].ravel(),
+                               sxx[offs[j]:offs[j + 1]].ravel(), hard[offs[j]:offs[j + 1]]])
+            for j, m in enumerate(mids)}
+
+
 def _em_scan(X, ids, payload):
     out = {}
+    diag = {mid: p[1:4] for mid, p in payload.items() if p[0] == "soft" and p[4] == "diag"}
+    if diag:
+        out.update(_diag_stacked(X, diag))
     for mid, params in payload.items():
+        if mid in diag:
+            continue
         kind = params[0]
         if kind == "hard":
             C, cov_type = params[1], params[2]

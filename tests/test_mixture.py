@@ -61,3 +61,22 @@ def test_sharded_scans_give_the_same_statistics(spark):
     for i in starts:
         assert abs(a[i].inertia - b[i].inertia) < 1e-9
     m.release()
+
+
+def test_stacked_diag_estep_matches_per_model(spark):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(300, 4))
+    params = {}
+    for m in range(3):
+        k = 2 + m
+        w = rng.dirichlet(np.ones(k))
+        means = rng.normal(size=(k, 4))
+        covs = rng.uniform(0.5, 2.0, size=(k, 4))
+        params[m] = ("soft", w, means, MX._prec_chol(covs, "diag"), "diag")
+    stacked = MX._em_scan(X, None, params)
+    for m, p in params.items():
+        resp, lse = MX._estep(X, p[1:])
+        nk, sx, sxx = MX._suff(X, resp, "diag")
+        hard = np.bincount(resp.argmax(1), minlength=resp.shape[1]).astype(float)
+        ref = np.concatenate([[lse.sum(), resp.max(1).sum()], nk, sx.ravel(), sxx.ravel(), hard])
+        np.testing.assert_allclose(stacked[m], ref, rtol=1e-9, atol=1e-9)
