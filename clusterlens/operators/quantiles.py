@@ -45,8 +45,15 @@ def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, smal
     cols = list(cols)
     probs = [float(p) for p in probs]
     spark = df.sparkSession
-    data = long_values(df, cols, by)
+    # the unpivoted values are read by every pass: persist them for the duration of the search
+    data = long_values(df, cols, by).persist()
+    try:
+        return _search(spark, df, data, cols, probs, by, buckets, small, max_passes)
+    finally:
+        data.unpersist()
+
 
+def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
     stats = data.groupBy(*by, "column").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
     if len(stats) * 2 * len(probs) > MAX_TARGETS:

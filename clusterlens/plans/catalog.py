@@ -1008,9 +1008,11 @@ def flagship_profile(spark, sf):
     m = MX.Matrix.of(matrix, "features", "p_partkey")
     fit = MX.kmeans_many(m, {0: MX.KMeansFit(6, seed=42)}, max_iter=300, tol=1e-4)[0]
     model = {"kind": "kmeans", "centres": fit.centres + m.shift}
+    # score the persisted matrix once; every profile aggregate below reuses the persisted assignment
+    assigned = MX.assign(m.df, "x", "id", model).withColumnRenamed("id", "p_partkey").persist()
+    meta = part_input(spark, sf).join(assigned.select("p_partkey", "cluster"), "p_partkey").persist()
+    meta.count()
     m.release()
-    assigned = MX.assign(matrix, "features", "p_partkey", model)
-    meta = part_input(spark, sf).join(assigned.select("p_partkey", "cluster"), "p_partkey")
     genres = L.multilabel_lift(meta, "cluster", _words(), 8)
     types = L.category_lift(meta, "cluster", "p_type", 5)
     labels = EV.interpretation_labels(genres, types, None, meta.select("cluster"))
