@@ -44,9 +44,13 @@ def model_stage(matrix: DataFrame, id_col: str, model_name: str = "gmm", feature
                 final_override: dict | None = None, seed: int = 42):
     """Search, final fit with parameter precedence (M-20), assignment and diagnostics."""
     adapter = MOD.get_adapter(model_name)
+    # candidates inherit the training settings (n_init, max_iter, tol, reg_covar) unless overridden
+    train = MOD.TRAINING[adapter.family]
+    kw = {k: train[k] for k in ("n_init", "max_iter", "tol", "reg_covar") if k in train}
+    kw.update(search_kw or {})
     m = MX.Matrix.of(matrix, features, id_col)
     try:
-        ranked, best, warnings = adapter.search(m, candidate_k, seeds, **(search_kw or {}))
+        ranked, best, warnings = adapter.search(m, candidate_k, seeds, **kw)
         params = SEL.final_params(best, MOD.TRAINING[adapter.family], final_override)
         model = adapter.fit(m, params, seed)
         diag = MOD.diagnostics(matrix.sparkSession, model, m.n, m.d)
