@@ -84,13 +84,6 @@ def calinski_harabasz(df: DataFrame, vec_col: str, cluster_col: str) -> DataFram
     return spark.createDataFrame([(float(value),)], "calinski_harabasz double")
 
 
-def _splitmix(x: np.ndarray) -> np.ndarray:
-    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    x = ((x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)).astype(np.uint64)
-    x = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).astype(np.uint64)
-    return x ^ (x >> np.uint64(31))
-
-
 def pairwise_dist(A, sa, B, sb):
     """Euclidean distances of row blocks via |a|^2 + |b|^2 - 2ab (no rows x sample x d temporary)."""
     return np.sqrt(np.maximum(sa[:, None] + sb[None, :] - 2.0 * (A @ B.T), 0.0))

@@ -12,7 +12,6 @@ operations on it.
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pandas as pd
@@ -279,6 +278,3 @@ def final_params(best: dict, training: dict | None = None, override: dict | None
     out.update({k: v for k, v in (override or {}).items() if v is not None})
     return out
 
-
-def isclose(a, b):
-    return a is not None and b is not None and math.isclose(a, b)

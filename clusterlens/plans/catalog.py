@@ -8,6 +8,7 @@ on both sides.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clusterlens.functions import text as T
@@ -998,8 +999,6 @@ def q_select_gmm(spark, sf):
     return out
 
 
-import numpy as np  # noqa: E402
-
 
 # ---------------------------------------------------------------- flagship
 def flagship_profile(spark, sf):
