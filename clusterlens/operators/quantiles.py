@@ -54,10 +54,12 @@ def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, smal
 
 
 def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
+    max_groups = MAX_TARGETS // (2 * len(probs))
     stats = data.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    if len(stats) * 2 * len(probs) > MAX_TARGETS:
-        raise ValueError("exact_quantiles: too many groups for a bounded target table; use approx quantiles")
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    ).limit(max_groups + 1).collect()  # bounded collect: fail before a large table reaches the driver
+    if len(stats) > max_groups:
+        raise ValueError("exact_quantiles: too many groups for a bounded target table; use method='approx'")
 
     # One target per distinct wanted rank of each (group, column).
     groups = []
