@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from clusterlens.functions.vectors import sq_dist
 
 MAX_BROADCAST_ROWS = 5000
+MAX_CONTINGENCY_CELLS = 1_000_000
 
 
 def centroids(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
@@ -33,7 +34,7 @@ def centroids(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
 
 
 def _centroid_table(df, vec_col, cluster_col):
-    rows = centroids(df, vec_col, cluster_col).collect()  # k rows (model-sized)
+    rows = centroids(df, vec_col, cluster_col).limit(MAX_BROADCAST_ROWS + 1).collect()  # k rows (bounded)
     if len(rows) > MAX_BROADCAST_ROWS:
         raise ValueError("too many clusters for a broadcast centroid table")
     spark = df.sparkSession
@@ -157,7 +158,9 @@ def ari_nmi_from_table(ct) -> tuple[float, float]:
 
 def ari_nmi(df: DataFrame, a: str, b: str) -> DataFrame:
     """M-12 / M-13: the contingency table is aggregated on the executors (k_a x k_b cells reach the driver)."""
-    cells = contingency(df, a, b).collect()
+    cells = contingency(df, a, b).limit(MAX_CONTINGENCY_CELLS + 1).collect()  # k_a x k_b cells (bounded)
+    if len(cells) > MAX_CONTINGENCY_CELLS:
+        raise ValueError("ari_nmi: too many label combinations for a clustering comparison")
     ia = {v: i for i, v in enumerate(sorted({r["a"] for r in cells}, key=repr))}
     ib = {v: i for i, v in enumerate(sorted({r["b"] for r in cells}, key=repr))}
     ct = np.zeros((len(ia), len(ib)))
