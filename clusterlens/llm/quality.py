@@ -83,12 +83,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def order_rules(with_base: DataFrame, rules: list[Rule], text_col: str, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(df: DataFrame, rules: list[Rule], text_col: str, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejection per cost: each runs alone over a cached sample; seconds above an empty pass are its cost."""
-    total = with_base.select().count()
-    keep = min(1.0, sample_rows / max(total, 1))
-    sample = with_base.filter(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1).cache()
+    keep = min(1.0, sample_rows / max(df.select().count(), 1))
     text = text_or_empty(F.col(f"`{text_col}`"))
+    some = df.select(F.col(f"`{text_col}`")).filter(
+        F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
+    sample = base_columns(some, text_col).cache()
     try:
         n = max(sample.count(), 1)
 
@@ -128,7 +129,7 @@ def quality_filter(df: DataFrame, text_col: str = "text", rules: list[Rule] | No
     """
     rules = RULES if rules is None else rules
     base = base_columns(df, text_col)
-    ordered = order_rules(base_columns(df.select(F.col(f"`{text_col}`")), text_col), rules, text_col, sample_rows)
+    ordered = order_rules(df, rules, text_col, sample_rows)
     text = text_or_empty(F.col(f"`{text_col}`"))
     first = F.when(base_failed(), F.lit("base")).otherwise(cascade(ordered, text))
     out = attach(base, {"base_failed": base_failed(), "rejected_by": first})
