@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                              ["key", "root", "blocks", "own", "grams"])
             yield out.filter(fits)
 
-    placed = (base.join(place, base["doc_id"].eqNullSafe(place["id"])).select("text", "key", "root", "blocks", "own")
+    # the same plan at every size: whole texts meet their candidates by a shuffle
+    placed = (base.join(place.hint("merge"), base["doc_id"].eqNullSafe(place["id"])).select("text", "key", "root", "blocks", "own")
               .mapInArrow(full, "key binary, root binary, blocks int, own int, grams binary"))
     # each set meets every block once: (i, j) with i <= j, side 0 if the set's own block is i
     tasks = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
