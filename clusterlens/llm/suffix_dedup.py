@@ -378,7 +378,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stored(_repeated(_runs(base, length, gram)))
     hot = (found.filter(F.col("h").isNotNull()).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
            .filter(F.col("n") > HOT_CONTEXTS).select("h", F.lit(True).alias("hot")))
-    marked = found.join(hot, "h", "left")
+    # repeats have no minimiser to look up; they pass by the join
+    marked = (found.filter(F.col("h").isNotNull()).join(hot, "h", "left")
+              .unionByName(found.filter(F.col("h").isNull()).withColumn("hot", F.lit(None).cast("boolean"))))
     per_doc = marked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last", "h", "hot")).alias("runs"))
     both = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["doc_id"]) & (base["tie"] == per_doc["tie"]), "left") \
         .select(base["doc_id"], base["tie"], "text", "runs")
