@@ -62,24 +62,36 @@ def median_impute(df: DataFrame, cols, method: str = "exact") -> tuple[DataFrame
     return out, fills
 
 
-def clean(df: DataFrame, key: str, numeric=(), categorical=(), multi_label=(), label_cols=(),
+def clean(df: DataFrame, key: str, numeric=(), categorical=(), multi_label=(), label_cols=None,
           duration_col: str | None = None, tokens=DEFAULT_TOKENS, order_col: str | None = None,
-          keep: str = "first") -> tuple[DataFrame, dict]:
-    """Composed clean step; returns the cleaned frame and a summary record."""
+          keep: str = "first", dedup_cols=None) -> tuple[DataFrame, dict]:
+    """Composed clean step; returns the cleaned frame and a summary record.
+
+    Labels are cleaned in every string column, or in ``label_cols`` if given. Duplicates are found by ``dedup_cols``
+    (the key by default).
+    """
     string_cols = [c for c, t in df.dtypes if t == "string"]
+    label_cols = string_cols if label_cols is None else label_cols
+    types = dict(df.dtypes)
     x = df.select(*[clean_label(c).alias(c) if c in label_cols else F.col(c) for c in df.columns])
-    x = replace_missing_tokens(x, [c for c in string_cols if c in x.columns], tokens)
+    replaced = x.agg(*[F.count_if(F.col(c).isNotNull() & null_tokens(c, tokens).isNull()).alias(c) for c in string_cols]).first() \
+        if string_cols else None
+    x = replace_missing_tokens(x, string_cols, tokens)
     proj = []
     for c in x.columns:
-        if c in numeric:
+        if c in numeric and types[c] != "string":
+            v = F.col(c).cast("double")
+            proj.append(F.when(~F.isnan(v), v).alias(c))
+        elif c in numeric:
             proj.append(coerce_numeric(c).alias(c))
         else:
             proj.append(F.col(c))
     if duration_col:
         proj.append(parse_duration_minutes(duration_col).alias("duration_minutes"))
     x = x.select(*proj).where(F.col(key).isNotNull())
+    keyed = x
     if order_col:
-        x = dedup(x, [key], order_col, keep)
+        x = dedup(x, list(dedup_cols or [key]), order_col, keep)
     x = x.select(*[normalize_category(c).alias(c) if c in categorical
                    else normalize_multilabel(c).alias(c) if c in multi_label else F.col(c) for c in x.columns])
     num = list(numeric) + (["duration_minutes"] if duration_col else [])
@@ -89,7 +101,10 @@ def clean(df: DataFrame, key: str, numeric=(), categorical=(), multi_label=(), l
     pre = x.agg(F.count(F.lit(1)).alias("rows_out"), F.count_if(any_null).alias("rows_imputed")).first()
     x, fills = median_impute(x, num)
     rows_in = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    with_key = keyed.agg(F.count(F.lit(1)).alias("n")).first()["n"] if order_col else pre["rows_out"]
     # D-2: true row count and column count of the imputation, named so
     summary = {"rows_in": rows_in, "rows_out": pre["rows_out"], "rows_dropped": rows_in - pre["rows_out"],
+               "duplicates_removed": with_key - pre["rows_out"],
+               "tokens_replaced": {c: replaced[c] for c in string_cols},
                "rows_imputed": pre["rows_imputed"], "imputed_columns": sorted(fills), "medians": fills}
     return x, summary

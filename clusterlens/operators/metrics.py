@@ -1,12 +1,9 @@
-"""Cluster-quality metrics (M-9..M-14, J-5, J-6).
-
-Row data stays on the executors: centroids are a partial-aggregated
-``Summarizer`` per cluster (k x d reach the driver), per-row distances to the
-own centroid use an explicitly broadcast k-row table, ARI / NMI come from a
-``groupBy(a, b).count()`` contingency table. The Euclidean silhouette works
-on a bounded deterministic sample (<= ``sample_size`` rows, the selection
-setting of the reference): the sample is broadcast and each task scores a
-slice of it with NumPy; with n <= sample_size it is the exact silhouette.
+"""Cluster-quality metrics (M-9..M-14, J-5, J-6), over all rows and without size limits.
+
+Row data stays on the executors: centroids are a partial-aggregated ``Summarizer`` per cluster and join the rows by
+cluster, ARI / NMI are joins and sums over a ``groupBy(a, b).count()`` contingency table. The silhouette is the
+squared-Euclidean one: the mean squared distance of a row to a cluster has a closed form in the cluster's mean and mean
+squared norm, so one pass over the rows is exact and no pairs of rows are built.
 """
 
 from __future__ import annotations
@@ -17,12 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from clusterlens.functions.vectors import sq_dist
 
-MAX_BROADCAST_ROWS = 5000
-MAX_CONTINGENCY_CELLS = 1_000_000
+from clusterlens.functions.vectors import lit_vector, sq_dist
 
 
 def centroids(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
@@ -33,101 +26,89 @@ def centroids(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
             .select("cluster", "n", vector_to_array("c").alias("centroid")))
 
 
-def _centroid_table(df, vec_col, cluster_col):
-    rows = centroids(df, vec_col, cluster_col).limit(MAX_BROADCAST_ROWS + 1).collect()  # k rows (bounded)
-    if len(rows) > MAX_BROADCAST_ROWS:
-        raise ValueError("too many clusters for a broadcast centroid table")
-    spark = df.sparkSession
-    dtype = df.schema[cluster_col].dataType
-    schema = T.StructType([T.StructField("_k", dtype), T.StructField("_n", T.LongType()),
-                           T.StructField("_c", T.ArrayType(T.DoubleType()))])
-    return rows, spark.createDataFrame([(r["cluster"], r["n"], list(r["centroid"])) for r in rows], schema)
-
-
 def _with_own_centroid(df, vec_col, cluster_col):
-    rows, table = _centroid_table(df, vec_col, cluster_col)
-    joined = df.join(F.broadcast(table), F.col(cluster_col) == F.col("_k"))
-    return rows, joined.withColumn("_d2", sq_dist(F.col(vec_col).cast("array<double>"), "_c"))
+    table = centroids(df, vec_col, cluster_col).select(F.col("cluster").alias("_k"), F.col("n").alias("_n"),
+                                                       F.col("centroid").alias("_c"))
+    joined = df.join(table, F.col(cluster_col) == F.col("_k"))
+    return table, joined.withColumn("_d2", sq_dist(F.col(vec_col).cast("array<double>"), "_c"))
 
 
 def davies_bouldin(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     """M-10: mean over clusters of max_j (s_i + s_j) / d(c_i, c_j); NULL for one cluster."""
-    rows, j = _with_own_centroid(df, vec_col, cluster_col)
-    spread = {r["_k"]: r["s"] for r in j.groupBy("_k").agg(F.avg(F.sqrt("_d2")).alias("s")).collect()}
-    spark = df.sparkSession
-    if len(rows) < 2:
-        return spark.createDataFrame([(None,)], "davies_bouldin double")
-    ks = [r["cluster"] for r in rows]
-    C = np.array([r["centroid"] for r in rows])
-    s = np.array([spread[k] for k in ks])
-    D = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        R = (s[:, None] + s[None, :]) / D
-    R[~np.isfinite(R)] = 0.0
-    np.fill_diagonal(R, 0.0)
-    return spark.createDataFrame([(float(R.max(axis=1).mean()),)], "davies_bouldin double")
+    _, j = _with_own_centroid(df, vec_col, cluster_col)
+    spread = j.groupBy("_k").agg(F.avg(F.sqrt("_d2")).alias("s"), F.any_value("_c").alias("c"))
+    other = spread.select(F.col("_k").alias("k2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
+    pairs = spread.join(other, F.col("_k") != F.col("k2"))  # pairs of clusters, not of rows: the metric is over these
+    d = F.sqrt(sq_dist("c", "c2"))
+    ratio = F.when(d > 0, (F.col("s") + F.col("s2")) / d).otherwise(0.0)
+    return pairs.groupBy("_k").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def calinski_harabasz(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     """M-11: (between / (k-1)) / (within / (n-k)); within 0 -> 1.0; NULL for one cluster."""
-    rows, j = _with_own_centroid(df, vec_col, cluster_col)
-    within = j.agg(F.sum("_d2").alias("w")).first()["w"]
+    table, j = _with_own_centroid(df, vec_col, cluster_col)
+    row = j.agg(F.sum("_d2").alias("w"), F.count(F.lit(1)).alias("n"),
+                Summarizer.mean(array_to_vector(F.col(vec_col).cast("array<double>"))).alias("m")).first()
+    value = None
+    if row["n"]:
+        b = table.agg(F.sum(F.col("_n") * sq_dist("_c", lit_vector(row["m"].toArray()))).alias("b"),
+                      F.count(F.lit(1)).alias("k")).first()
+        if b["k"] > 1:
+            value = 1.0 if row["w"] == 0 else float(b["b"] * (row["n"] - b["k"]) / (row["w"] * (b["k"] - 1)))
+    return df.sparkSession.createDataFrame([(value,)], "calinski_harabasz double")
+
+
+def row_silhouettes(X: np.ndarray, own: np.ndarray, means: np.ndarray, norms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Silhouette of each row with squared distances, given every cluster's mean, mean squared norm and size.
+
+    The mean squared distance of x to a cluster is |x|^2 - 2 x.mean + mean squared norm; in the own cluster it is scaled
+    by n / (n - 1), as the row itself is left out. Rows of clusters of one are 0. Empty clusters do not count.
+    """
+    at = np.arange(len(X))
+    d = np.maximum((X * X).sum(1)[:, None] - 2.0 * X @ means.T + norms[None, :], 0.0)
+    n = sizes[own]
+    a = d[at, own] * n / np.maximum(n - 1, 1)
+    d[:, sizes == 0] = np.inf
+    d[at, own] = np.inf
+    b = d.min(1)
+    top = np.maximum(a, b)
+    return np.where((n > 1) & (top > 0) & np.isfinite(top), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+
+
+def silhouette(df: DataFrame, vec_col: str, cluster_col: str, id_col: str | None = None) -> DataFrame:
+    """M-9: mean squared-Euclidean silhouette of all rows, and their number; NULL for one cluster.
+
+    What tasks receive is one mean, norm and size for each cluster, as for scoring a K-means model.
+    """
     spark = df.sparkSession
-    k = len(rows)
-    n = sum(r["n"] for r in rows)
-    if k < 2:
-        return spark.createDataFrame([(None,)], "calinski_harabasz double")
-    C = np.array([r["centroid"] for r in rows])
-    ns = np.array([r["n"] for r in rows], dtype=float)
-    mean = (C * ns[:, None]).sum(0) / n
-    between = float((ns * ((C - mean) ** 2).sum(1)).sum())
-    value = 1.0 if within == 0 else between * (n - k) / (within * (k - 1))
-    return spark.createDataFrame([(float(value),)], "calinski_harabasz double")
-
-
-def pairwise_dist(A, sa, B, sb):
-    """Euclidean distances of row blocks via |a|^2 + |b|^2 - 2ab (no rows x sample x d temporary)."""
-    return np.sqrt(np.maximum(sa[:, None] + sb[None, :] - 2.0 * (A @ B.T), 0.0))
-
-
-def silhouette(df: DataFrame, vec_col: str, cluster_col: str, id_col: str, sample_size: int = 5000,
-               seed: int = 42) -> DataFrame:
-    """M-9 (Euclidean) on <= sample_size rows chosen by a seeded hash order (distributed top-k)."""
-    if sample_size > MAX_BROADCAST_ROWS:
-        raise ValueError("sample_size above the broadcast bound")
-    spark = df.sparkSession
-    sample = (df.select(F.col(id_col).alias("id"), F.col(cluster_col).alias("label"),
-                        F.col(vec_col).cast("array<double>").alias("x"))
-              .orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample_size))
-    rows = sample.collect()  # bounded by sample_size
-    labels = np.array([r["label"] for r in rows])
-    if len(set(labels.tolist())) < 2:
-        return spark.createDataFrame([(None, len(rows))], "silhouette double, sample_rows long")
-    X = np.array([r["x"] for r in rows], dtype=float)
-    bX = spark.sparkContext.broadcast((X, labels))
-    idx = spark.createDataFrame([(i,) for i in range(len(rows))], "i long").repartition(8)
+    x = df.select(F.col(cluster_col).alias("k"), F.col(vec_col).cast("array<double>").alias("x")).where(F.col("k").isNotNull())
+    stats = x.groupBy("k").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("x")).alias("m"),
+                               Summarizer.normL2(array_to_vector("x")).alias("s")).collect()  # one row a cluster
+    n = int(sum(r["n"] for r in stats))
+    if len(stats) < 2:
+        return spark.createDataFrame([(None, n)], "silhouette double, rows long")
+    number = {r["k"]: i for i, r in enumerate(stats)}
+    sizes = np.array([r["n"] for r in stats], float)
+    means = np.array([r["m"].toArray() for r in stats])
+    shift = (means * sizes[:, None]).sum(0) / n  # about the common mean nothing cancels
+    # sum |x - shift|^2 = sum |x|^2 - 2 shift.sum x + n |shift|^2, by column
+    squares = np.array([(r["s"].toArray() ** 2) for r in stats]) / sizes[:, None]
+    norms = (squares - 2.0 * means * shift + shift ** 2).sum(1)
+    bc = spark.sparkContext.broadcast((number, means - shift, norms, sizes, shift))
 
     def score(batches):
-        Xa, la = bX.value
-        uniq = np.unique(la)
-        counts = np.array([(la == u).sum() for u in uniq])
-        sq = (Xa * Xa).sum(1)
-        for b in batches:
-            for start in range(0, len(b), 256):  # 256 x sample distance block per step
-                ii = b["i"].to_numpy()[start:start + 256]
-                D = pairwise_dist(Xa[ii], sq[ii], Xa, sq)
-                sums = np.stack([D[:, la == u].sum(1) for u in uniq], axis=1)
-                own = np.searchsorted(uniq, la[ii])
-                n_own = counts[own]
-                a = sums[np.arange(len(ii)), own] / np.maximum(n_own - 1, 1)
-                mean_other = sums / counts[None, :]
-                mean_other[np.arange(len(ii)), own] = np.inf
-                bb = mean_other.min(1)
-                s = np.where(n_own > 1, (bb - a) / np.maximum(a, bb), 0.0)
-                yield pd.DataFrame({"s": np.nan_to_num(s)})
-
-    per_row = idx.mapInPandas(score, "s double")
-    return per_row.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("sample_rows"))
+        number_, m, q, size, mu = bc.value
+        total, count = 0.0, 0
+        for pdf in batches:
+            for i in range(0, len(pdf), 4096):
+                part = pdf.iloc[i:i + 4096]
+                X = np.stack(part["x"].to_numpy()).astype(float) - mu
+                total += float(row_silhouettes(X, part["k"].map(number_).to_numpy(), m, q, size).sum())
+                count += len(part)
+        yield pd.DataFrame({"s": [total], "n": [count]})
+
+    return (x.mapInPandas(score, "s double, n long")
+            .agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").alias("rows")))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -157,17 +138,25 @@ def ari_nmi_from_table(ct) -> tuple[float, float]:
 
 
 def ari_nmi(df: DataFrame, a: str, b: str) -> DataFrame:
-    """M-12 / M-13: the contingency table is aggregated on the executors (k_a x k_b cells reach the driver)."""
-    cells = contingency(df, a, b).limit(MAX_CONTINGENCY_CELLS + 1).collect()  # k_a x k_b cells (bounded)
-    if len(cells) > MAX_CONTINGENCY_CELLS:
-        raise ValueError("ari_nmi: too many label combinations for a clustering comparison")
-    ia = {v: i for i, v in enumerate(sorted({r["a"] for r in cells}, key=repr))}
-    ib = {v: i for i, v in enumerate(sorted({r["b"] for r in cells}, key=repr))}
-    ct = np.zeros((len(ia), len(ib)))
-    for r in cells:
-        ct[ia[r["a"]], ib[r["b"]]] = r["nij"]
-    ari, nmi = ari_nmi_from_table(ct)
-    return df.sparkSession.createDataFrame([(ari, nmi)], "ari double, nmi double")
+    """M-12 / M-13: sums over the contingency table, its margins joined back to the cells."""
+    ct = contingency(df, a, b)
+    rows = ct.groupBy("a").agg(F.sum("nij").alias("na"))
+    cols = ct.groupBy("b").agg(F.sum("nij").alias("nb"))
+    one = lambda t, c: t.agg(F.sum(F.col(c) * F.col(c)).alias("sq"), F.sum(c).alias("n"), F.count(F.lit(1)).alias("k")).first()
+    c, ra, cb = one(ct, "nij"), one(rows, "na"), one(cols, "nb")
+    n, ssq = c["n"] or 0.0, c["sq"] or 0.0
+    fp, fn = (cb["sq"] or 0.0) - ssq, (ra["sq"] or 0.0) - ssq
+    tp = ssq - n
+    tn = n * n - fp - fn - ssq
+    ari = 1.0 if fn == 0 and fp == 0 else 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))
+    nmi = 1.0
+    if n and not (ra["k"] == 1 and cb["k"] == 1):
+        cell = (ct.join(rows.withColumnRenamed("a", "a2"), F.col("a").eqNullSafe(F.col("a2")))
+                .join(cols.withColumnRenamed("b", "b2"), F.col("b").eqNullSafe(F.col("b2"))))
+        mi = cell.agg(F.sum(F.col("nij") / n * F.log(F.col("nij") * n / (F.col("na") * F.col("nb"))))).first()[0]
+        entropy = lambda t, x: -t.agg(F.sum(F.col(x) / n * F.log(F.col(x) / n))).first()[0]
+        nmi = 0.0 if abs(mi) < np.finfo(float).eps else float(mi / ((entropy(rows, "na") + entropy(cols, "nb")) / 2))
+    return df.sparkSession.createDataFrame([(float(ari), nmi)], "ari double, nmi double")
 
 
 def close_means(df: DataFrame, vec_col: str, cluster_col: str, threshold: float = 0.5) -> DataFrame:

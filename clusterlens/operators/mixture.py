@@ -76,6 +76,7 @@ class Matrix:
         self.df.unpersist()
 
 
+CHUNK = 4096  # numbers of a statistics vector that are added up under one key
 SHARD_BYTES = 64 << 20  # budget for one scan's broadcast parameters and per-partition statistics
 
 
@@ -106,8 +107,9 @@ def _shards(payload: dict, budget: int = SHARD_BYTES):
 
 
 def _reduce(matrix: Matrix, fn, payload) -> dict:
-    """One scan per shard: fn(X, ids, payload) -> {model: flat stats}; summed per model map-side; the
-    driver receives one vector per model."""
+    """One scan per shard: fn(X, ids, payload) -> {model: flat stats}, added up within each partition. The partitions'
+    vectors meet in chunks, so no task holds more than partitions x CHUNK numbers of one model; the driver receives one
+    vector per model."""
     out = {}
     for shard in _shards(payload, SHARD_BYTES):
         out.update(_reduce_one(matrix, fn, shard))
@@ -128,14 +130,19 @@ def _reduce_one(matrix: Matrix, fn, payload) -> dict:
             ids = pdf["id"].to_numpy()
             for mid, vec in fn(X, ids, bc.value).items():
                 acc[mid] = acc[mid] + vec if mid in acc else vec
-        if acc:
-            yield pd.DataFrame({"model": list(acc.keys()), "s": [v.tolist() for v in acc.values()]})
-
-    part = matrix.df.mapInPandas(per_partition, "model long, s array<double>")
-    rows = (part.groupBy("model").agg(Summarizer.sum(array_to_vector("s")).alias("t"))
-            .select("model", vector_to_array("t").alias("t")).collect())
+        parts = [(mid, c, v[c * CHUNK:(c + 1) * CHUNK].tolist()) for mid, v in acc.items()
+                 for c in range(-(-len(v) // CHUNK))]
+        if parts:
+            yield pd.DataFrame(parts, columns=["model", "chunk", "s"])
+
+    part = matrix.df.mapInPandas(per_partition, "model long, chunk int, s array<double>")
+    rows = (part.groupBy("model", "chunk").agg(Summarizer.sum(array_to_vector("s")).alias("t"))
+            .select("model", "chunk", vector_to_array("t").alias("t")).collect())
     bc.unpersist()
-    return {r["model"]: np.asarray(r["t"]) for r in rows}
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["model"], r["chunk"])):
+        out.setdefault(r["model"], []).append(np.asarray(r["t"]))
+    return {m: np.concatenate(v) for m, v in out.items()}
 
 
 # ------------------------------------------------------------------ K-means
@@ -485,11 +492,11 @@ def assign(matrix_df: DataFrame, vec_col: str, id_col: str, model: dict, shift=N
             if p[0] == "kmeans":
                 lab = _sq_dists(X, p[1]).argmin(1)
                 prob = (lab[:, None] == np.arange(len(p[1]))[None, :]).astype(np.float64)
+                lse = np.full(len(X), np.nan)
             else:
-                prob, _ = _estep(X, p[1:])
+                prob, lse = _estep(X, p[1:])
                 lab = prob.argmax(1)
             ent = -(prob * np.log(prob + 1e-12)).sum(1)
-            lse = _estep(X, p[1:])[1] if p[0] == "gmm" else np.full(len(X), np.nan)
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "cluster": lab.astype(np.int32),
                                 "prob": list(prob), "max_probability": prob.max(1), "assignment_entropy": ent,
                                 "log_density": lse})

@@ -75,16 +75,19 @@ def top_tags(df: DataFrame, col: str, delimiter: str = ",", n: int = 20) -> Data
 
 
 def histogram(df: DataFrame, cols, bins: int = 30) -> DataFrame:
-    """A-27: equal-width bins between min and max, last bin closed; only non-empty bins."""
+    """A-27: equal-width bins between min and max, last bin closed; only non-empty bins. Values that are not finite
+    have no bin and do not count for the range."""
     cols = list(cols)
-    stats = df.agg(*[a for c in cols for a in (F.min(F.col(c).cast("double")).alias(f"{c}__lo"),
-                                               F.max(F.col(c).cast("double")).alias(f"{c}__hi"))]).first()
+    inf = float("inf")
+    finite = lambda c: F.when((F.col(c).cast("double") > -inf) & (F.col(c).cast("double") < inf), F.col(c).cast("double"))
+    stats = df.agg(*[a for c in cols for a in (F.min(finite(c)).alias(f"{c}__lo"),
+                                               F.max(finite(c)).alias(f"{c}__hi"))]).first()
     parts = []
     for c in cols:
         lo, hi = stats[f"{c}__lo"], stats[f"{c}__hi"]
         if lo is None:
             continue
-        x = F.col(c).cast("double")
+        x = finite(c)
         width = (hi - lo) / bins if hi > lo else 0.0
         b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)) if hi > lo else F.lit(0)
         parts.append(F.struct(F.lit(c).alias("column"), F.when(x.isNotNull(), b.cast("int")).alias("bin"),

@@ -1,11 +1,9 @@
 """Model search and selection (M-15..M-20, K-1, A-30, M-16..M-18, J-8).
 
-All candidate x seed x init fits run together in the multi-model engine. One
-more scan labels every row for every chosen fit; from it come the
-between-seed contingency tables (stability ARI / NMI) and the per-cluster
-distance sums (Davies-Bouldin) with partial aggregation, and the sampled
-silhouette of every fit in one job. The per-seed metric table is a small
-Spark DataFrame: seed aggregation, guardrails and ranking are DataFrame
+All candidate x seed x init fits run together in the multi-model engine. Two more scans over all rows score every
+chosen fit: the first adds up cluster sizes, means, norms and distances (Davies-Bouldin) and the contingency cells of
+each pair of seeds (stability ARI / NMI), the second the squared-Euclidean silhouettes. Only such sums leave the
+tasks. The per-seed metric table is a small Spark DataFrame: seed aggregation, guardrails and ranking are DataFrame
 operations on it.
 """
 
@@ -14,15 +12,19 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.operators import mixture as MX
-from clusterlens.operators.metrics import ari_nmi_from_table, pairwise_dist
+from clusterlens.operators.metrics import ari_nmi_from_table, row_silhouettes
 
-GUARDRAILS = {"reject_smallest_cluster_below": 0.005, "tiny_cluster_threshold": 0.01,
+GUARDRAILS = {"reject_smallest_cluster_below": 0.005, "warn_smallest_cluster_below": 0.01, "tiny_cluster_threshold": 0.01,
               "reject_if_degenerate": True, "stability_warn_below": 0.6}
+_RECORD = ("candidate int, seed int, k int, covariance_type string, smallest_cluster_proportion double, "
+           "largest_cluster_proportion double, tiny_cluster_count int, n_iter int, converged boolean, silhouette double, "
+           "degenerate_component boolean, ")
+KMEANS_RECORD = _RECORD + "inertia double, davies_bouldin double"
+GMM_RECORD = _RECORD + "bic double, aic double, log_likelihood double, lower_bound double, mean_max_responsibility double"
 KMEANS_SCORING = [("silhouette", "max"), ("davies_bouldin", "min"), ("inertia", "min")]
 GMM_SCORING = [("bic", "min"), ("aic", "min")]
 
@@ -34,88 +36,60 @@ def candidates(family: str, candidate_k, cov_types=("diag", "full")):
     return [{"k": int(k), "covariance_type": c} for k in candidate_k for c in cov_types]
 
 
-def seed_sequence(base: int, n_seeds: int = 5, stride: int = 1, enabled: bool = True):
-    return [base + i * stride for i in range(n_seeds)] if enabled else [base]
-
-
-def _label_scan(matrix: MX.Matrix, chosen: dict, family: str, sample_ids: set):
-    """Label every row for every chosen fit; return contingency cells per seed pair, DB distance sums,
-    and labels of the bounded sample (driver-side, <= sample size x models)."""
-    spark = matrix.df.sparkSession
-    payload = {}
-    for key, f in chosen.items():
-        if family == "kmeans":
-            payload[key] = ("kmeans", f.centres)
-        else:
-            payload[key] = ("gmm", f.weights, f.means, MX._prec_chol(f.covs, f.cov_type), f.cov_type)
-    keys = sorted(payload)
-    bc = spark.sparkContext.broadcast((keys, payload))
-    shift = matrix.shift
-
-    def label(batches):
-        ks, p = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = MX._block(pdf, shift)
-            labs, dist = [], []
-            for key in ks:
-                q = p[key]
-                if q[0] == "kmeans":
-                    D = MX._sq_dists(X, q[1])
-                    lab = D.argmin(1)
-                    dist.append(np.sqrt(D[np.arange(len(X)), lab]))
-                else:
-                    lab = MX._estep(X, q[1:])[0].argmax(1)
-                    dist.append(np.zeros(len(X)))
-                labs.append(lab.astype(np.int32))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "labels": list(np.stack(labs, 1)),
-                                "dist": list(np.stack(dist, 1))})
-
-    labelled = matrix.df.mapInPandas(label, "id long, labels array<int>, dist array<double>").persist()
-    return keys, labelled, bc
-
-
-def _sampled_silhouettes(spark, srows) -> dict:
-    """{fit index: mean silhouette} over the bounded sample; fits with one cluster are absent (None)."""
-    if not srows:
-        return {}
-    X = np.array([r["x"] for r in srows], dtype=float)
-    Lab = np.array([r["labels"] for r in srows], dtype=int)
-    bc = spark.sparkContext.broadcast((X, Lab))
+def _labels(X, params):
+    """Label of each row and its squared distance to the own centre (0 for mixtures)."""
+    if params[0] == "kmeans":
+        D = MX._sq_dists(X, params[1])
+        lab = D.argmin(1)
+        return lab, D[np.arange(len(X)), lab]
+    return MX._estep(X, params[1:])[0].argmax(1), np.zeros(len(X))
+
+
+def _blocks(X, rows: int = 2048):
+    for start in range(0, len(X), rows):
+        yield X[start:start + rows]
+
+
+def _label_stats(X, ids, payload):
+    """For each candidate, one vector over its seeds: sizes, sums, squared norms and distances of each cluster, then
+    the contingency cells of every pair of seeds. Nothing of the rows leaves the scan."""
+    out = {}
+    for ci, fits in payload.items():
+        k, d = fits[0][0], X.shape[1]
+        stats = np.zeros((len(fits), k, d + 3))
+        pairs = list(itertools.combinations(range(len(fits)), 2))
+        cells = np.zeros((len(pairs), k * k))
+        for Xb in _blocks(X):
+            labs = []
+            for i, (_, params) in enumerate(fits):
+                lab, d2 = _labels(Xb, params)
+                onehot = (lab[:, None] == np.arange(k)[None, :]).astype(float)
+                stats[i, :, 0] += onehot.sum(0)
+                stats[i, :, 1:d + 1] += onehot.T @ Xb
+                stats[i, :, d + 1] += onehot.T @ (Xb * Xb).sum(1)
+                stats[i, :, d + 2] += onehot.T @ np.sqrt(d2)
+                labs.append(lab)
+            for p, (a, b) in enumerate(pairs):
+                cells[p] += np.bincount(labs[a] * k + labs[b], minlength=k * k)
+        out[ci] = np.concatenate([stats.ravel(), cells.ravel()])
+    return out
 
-    def score(batches):
-        Xa, La = bc.value
-        sq = (Xa * Xa).sum(1)
-        for b in batches:
-            ids = b["i"].to_numpy()
-            for start in range(0, len(ids), 256):  # 256 x sample distance block per step
-                ii = ids[start:start + 256]
-                D = pairwise_dist(Xa[ii], sq[ii], Xa, sq)
-                for f in range(La.shape[1]):
-                    lab = La[:, f]
-                    u = np.unique(lab)
-                    if len(u) < 2:
-                        continue
-                    cnt = np.array([(lab == v).sum() for v in u])
-                    sums = np.stack([D[:, lab == v].sum(1) for v in u], 1)
-                    own = np.searchsorted(u, lab[ii])
-                    a = sums[np.arange(len(ii)), own] / np.maximum(cnt[own] - 1, 1)
-                    other = sums / cnt[None, :]
-                    other[np.arange(len(ii)), own] = np.inf
-                    bb = other.min(1)
-                    s = np.nan_to_num(np.where(cnt[own] > 1, (bb - a) / np.maximum(a, bb), 0.0))
-                    yield pd.DataFrame({"fit": np.full(len(ii), f), "s": s})
 
-    idx = spark.createDataFrame([(i,) for i in range(len(X))], "i long").repartition(8)
-    rows = idx.mapInPandas(score, "fit long, s double").groupBy("fit").agg(F.avg("s").alias("s")).collect()
-    bc.unpersist()
-    return {r["fit"]: r["s"] for r in rows}
+def _silhouette_sums(X, ids, payload):
+    """For each candidate, the sum of the rows' silhouettes under each seed."""
+    out = {}
+    for ci, fits in payload.items():
+        total = np.zeros(len(fits))
+        for Xb in _blocks(X):
+            for i, (_, params, means, norms, sizes) in enumerate(fits):
+                total[i] += row_silhouettes(Xb, _labels(Xb, params)[0], means, norms, sizes).sum()
+        out[ci] = total
+    return out
 
 
 def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13), cov_types=("diag", "full"),
            seeds=(42, 43, 44, 45, 46), n_init: int = 1, max_iter: int = 300, tol: float | None = None,
-           reg_covar: float = 1e-6, guardrails: dict | None = None, scoring=None, sample_size: int = 5000):
+           reg_covar: float = 1e-6, guardrails: dict | None = None, scoring=None):
     """Fit every candidate for every seed; return (ranked candidate DataFrame, best params, warnings DataFrame)."""
     spark = matrix.df.sparkSession
     g = {**GUARDRAILS, **(guardrails or {})}
@@ -143,49 +117,31 @@ def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13),
         if key not in chosen or best_of(f) > best_of(chosen[key]):
             chosen[key] = f
 
-    # bounded deterministic sample for the silhouette
-    sample = (matrix.df.select("id").orderBy(F.xxhash64("id", F.lit(seeds[0])), "id").limit(sample_size)
-              .collect())
-    sample_ids = {r["id"] for r in sample}
-    keys, labelled, bc = _label_scan(matrix, chosen, family, sample_ids)
-    kidx = {k: i for i, k in enumerate(keys)}
-
-    # sampled silhouette of every fit in one job: the bounded sample (vectors + labels of all fits)
-    # is broadcast and each task scores a slice of its rows against the whole sample
-    srows = (labelled.join(matrix.df.select("id", "x"), "id")
-             .where(F.col("id").isin(list(sample_ids))).select("x", "labels").collect())
-    sil_by_fit = _sampled_silhouettes(spark, srows)
-
-    # Davies-Bouldin inputs (k-means): mean distance to own centre per (fit, cluster), partial-aggregated
-    spread = {}
-    if family == "kmeans":
-        ex = labelled.select(F.posexplode(F.arrays_zip("labels", "dist")).alias("fit", "ld"))
-        for r in ex.groupBy("fit", F.col("ld.labels").alias("c")).agg(F.avg("ld.dist").alias("s")).collect():
-            spread[(r["fit"], r["c"])] = r["s"]
-
-    # stability: contingency of every seed pair of a candidate (cells <= pairs x k^2)
-    pairs = []
+    # one scan for sizes, spread and the seeds' agreement, one for the silhouettes; both over all rows
+    payload = {}
     for ci in range(len(cands)):
-        for s1, s2 in itertools.combinations(seeds, 2):
-            pairs.append((ci, kidx[(ci, s1)], kidx[(ci, s2)]))
-    stab = {}
-    if pairs:
-        pa = F.array(*[F.struct(F.lit(i).alias("p"), F.col("labels")[a].alias("a"), F.col("labels")[b].alias("b"))
-                       for i, (_, a, b) in enumerate(pairs)])
-        cells = (labelled.select(F.explode(pa).alias("t")).groupBy("t.p", "t.a", "t.b")
-                 .agg(F.count(F.lit(1)).alias("n")).collect())
-        per = {}
-        for r in cells:
-            per.setdefault(r["p"], []).append((r["a"], r["b"], r["n"]))
-        for i, (ci, _, _) in enumerate(pairs):
-            c = per.get(i, [])
-            ua = sorted({x[0] for x in c}); ub = sorted({x[1] for x in c})
-            ct = np.zeros((len(ua), len(ub)))
-            for a, b, n in c:
-                ct[ua.index(a), ub.index(b)] = n
-            stab.setdefault(ci, []).append(ari_nmi_from_table(ct))
-    labelled.unpersist()
-    bc.unpersist()
+        own = []
+        for seed in seeds:
+            f = chosen[(ci, seed)]
+            own.append((f.k, ("kmeans", f.centres) if family == "kmeans" else
+                        ("gmm", f.weights, f.means, MX._prec_chol(f.covs, f.cov_type), f.cov_type)))
+        payload[ci] = own
+    sil_by_fit, spread, stab, second = {}, {}, {}, {}
+    for ci, v in MX._reduce(matrix, _label_stats, payload).items():
+        k, m = payload[ci][0][0], len(seeds)
+        stats = v[:m * k * (matrix.d + 3)].reshape(m, k, matrix.d + 3)
+        size = np.maximum(stats[:, :, 0], 1.0)
+        for i, seed in enumerate(seeds):
+            spread[(ci, seed)] = stats[i, :, -1] / size[i]
+        second[ci] = [(*payload[ci][i], stats[i, :, 1:-2] / size[i][:, None], stats[i, :, -2] / size[i], stats[i, :, 0])
+                      for i in range(m)]
+        for cells in v[m * k * (matrix.d + 3):].reshape(-1, k, k):
+            cells = cells[cells.sum(1) > 0][:, cells.sum(0) > 0]
+            stab.setdefault(ci, []).append(ari_nmi_from_table(cells))
+    for ci, v in MX._reduce(matrix, _silhouette_sums, second).items():
+        for i, seed in enumerate(seeds):
+            if (second[ci][i][4] > 0).sum() > 1:
+                sil_by_fit[(ci, seed)] = float(v[i] / matrix.n)
 
     n = matrix.n
     recs = []
@@ -198,12 +154,12 @@ def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13),
                "largest_cluster_proportion": float(sizes.max() / n),
                "tiny_cluster_count": int((sizes / n < g["tiny_cluster_threshold"]).sum()),
                "n_iter": int(f.n_iter), "converged": bool(f.converged),
-               "silhouette": sil_by_fit.get(kidx[(ci, s)])}
+               "silhouette": sil_by_fit.get((ci, s))}
         if family == "kmeans":
             rec["degenerate_component"] = bool((sizes == 0).any())
             rec["inertia"] = float(f.inertia)
             C = f.centres
-            sp = np.array([spread.get((kidx[(ci, s)], j), 0.0) for j in range(k)])
+            sp = spread[(ci, s)]
             D = np.sqrt(((C[:, None] - C[None]) ** 2).sum(-1))
             with np.errstate(divide="ignore", invalid="ignore"):
                 R = (sp[:, None] + sp[None]) / D
@@ -212,11 +168,11 @@ def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13),
             rec["davies_bouldin"] = float(R.max(1).mean()) if k > 1 else None
         else:
             bic, aic = MX.bic_aic(f.log_likelihood, n, k, matrix.d, f.cov_type)
-            rec.update({"degenerate_component": bool((f.weights < 1e-4).any()), "bic": bic, "aic": aic,
+            rec.update({"degenerate_component": bool((f.weights < 1e-4).any()), "bic": float(bic), "aic": float(aic),
                         "log_likelihood": float(f.log_likelihood), "lower_bound": float(f.lower_bound),
                         "mean_max_responsibility": float(f.mean_max_resp)})
         recs.append(rec)
-    per_seed = spark.createDataFrame(pd.DataFrame(recs))
+    per_seed = spark.createDataFrame(recs, KMEANS_RECORD if family == "kmeans" else GMM_RECORD)
     metric_cols = [c for c in per_seed.columns if c not in ("candidate", "seed", "k", "covariance_type",
                                                             "converged", "degenerate_component")]
     agg = per_seed.groupBy("candidate", "k", "covariance_type").agg(
@@ -263,7 +219,7 @@ def warnings(ranked: DataFrame, g: dict = GUARDRAILS) -> DataFrame:
     items = F.array(
         F.when(F.col("degenerate_component"), F.struct(F.lit("degenerate").alias("kind"),
                                                        F.lit(1.0).alias("value"))),
-        F.when(F.col("smallest_cluster_proportion") < g["tiny_cluster_threshold"],
+        F.when(F.col("smallest_cluster_proportion") < g["warn_smallest_cluster_below"],
                F.struct(F.lit("imbalance").alias("kind"), F.col("smallest_cluster_proportion").alias("value"))),
         F.when(F.coalesce("stability_ari_mean", F.lit(1.0)) < g["stability_warn_below"],
                F.struct(F.lit("low_stability").alias("kind"), F.col("stability_ari_mean").alias("value"))))

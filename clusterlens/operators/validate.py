@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterlens.functions.text import clean_label, coerce_numeric, parse_duration_minutes
+
 
 def _blank(c):
-    return F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    """NULL, or nothing but white space of any kind."""
+    return clean_label(F.col(c).cast("string")).isNull()
+
+
+def _number(c):
+    """Values that are no number are NULL, and so fail no range check."""
+    return coerce_numeric(c)
 
 
 def flag_frame(df: DataFrame, key: str, name: str | None = None, ranges=None, nonneg=(), positive=(),
@@ -21,14 +29,18 @@ def flag_frame(df: DataFrame, key: str, name: str | None = None, ranges=None, no
     flags = {f"missing_{key}": _blank(key)}
     if name:
         flags[f"missing_{name}"] = _blank(name)
+
+    def invalid(c, fails):  # a column of several rule groups fails if one of them does
+        fails = F.coalesce(fails, F.lit(False))
+        flags[f"invalid_{c}"] = flags[f"invalid_{c}"] | fails if f"invalid_{c}" in flags else fails
+
     for c, (lo, hi) in (ranges or {}).items():
-        flags[f"invalid_{c}"] = F.coalesce(~F.col(c).cast("double").between(lo, hi), F.lit(False))
+        invalid(c, ~_number(c).between(lo, hi))
     for c in nonneg:
-        flags[f"invalid_{c}"] = F.coalesce(F.col(c).cast("double") < 0, F.lit(False))
+        invalid(c, _number(c) < 0)
     for c in positive:
-        flags[f"invalid_{c}"] = F.coalesce(F.col(c).cast("double") <= 0, F.lit(False))
+        invalid(c, _number(c) <= 0)
     if duration_col:
-        from clusterlens.functions.text import parse_duration_minutes
         flags[f"invalid_{duration_col}"] = (F.trim(F.coalesce(F.col(duration_col), F.lit(""))) != "") & \
             parse_duration_minutes(duration_col).isNull()
     out = df.select("*", *[v.alias(k) for k, v in flags.items()])
@@ -41,7 +53,9 @@ def flag_frame(df: DataFrame, key: str, name: str | None = None, ranges=None, no
 
 def validate(df: DataFrame, key: str, name: str | None = None, ranges=None, nonneg=(), positive=(),
              duration_col: str | None = None, strict: bool = False):
-    """Return (report one-row DataFrame, rejected rows with rejection_reasons)."""
+    """Return (report one-row DataFrame, rejected rows with rejection_reasons).
+
+    ``warning_rows`` counts every row that fails any check, rejected or not."""
     flagged, names = flag_frame(df, key, name, ranges, nonneg, positive, duration_col)
     hard = [f"missing_{key}"] + ([f"missing_{name}"] if name else [])
     reject_on = names if strict else hard
@@ -55,6 +69,6 @@ def validate(df: DataFrame, key: str, name: str | None = None, ranges=None, nonn
     report = flagged.agg(F.count(F.lit(1)).alias("rows"),
                          *[F.count_if(F.col(f)).alias(f) for f in names],
                          F.count_if(any_reject).alias("rejected_rows"),
-                         F.count_if(any_flag & ~any_reject).alias("warning_rows"))
+                         F.count_if(any_flag).alias("warning_rows"))
     rejected = flagged.where(any_reject).select(*df.columns, reasons.alias("rejection_reasons"))
     return report, rejected

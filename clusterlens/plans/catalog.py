@@ -241,8 +241,8 @@ SELECT count(*) AS "rows", count(*) FILTER (WHERE missing_text) AS missing_text,
        count(*) FILTER (WHERE invalid_quality) AS invalid_quality,
        count(*) FILTER (WHERE duplicate_text) AS duplicate_text,
        count(*) FILTER (WHERE missing_text OR missing_source) AS rejected_rows,
-       count(*) FILTER (WHERE NOT (missing_text OR missing_source)
-                         AND (invalid_n_chars OR invalid_quality OR duplicate_text)) AS warning_rows
+       count(*) FILTER (WHERE missing_text OR missing_source OR invalid_n_chars OR invalid_quality OR duplicate_text)
+         AS warning_rows
 FROM f
 """)
 def q_validate_report(spark, sf):
@@ -680,17 +680,36 @@ def emb(spark, sf):
 
 @register("silhouette", f"""
 WITH {_EMB_SQL},
-per AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x)) AS s
+per AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x) ^ 2) AS s
         FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
 cnt AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
 ab AS (SELECT p.vec_id, max(CASE WHEN p.lb = p.la THEN p.s / (c.n - 1) END) AS a,
               min(CASE WHEN p.lb <> p.la THEN p.s / c.n END) AS b
        FROM per p JOIN cnt c ON c.label = p.lb GROUP BY p.vec_id)
 SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette,
-       count(*) AS sample_rows FROM ab
+       count(*) AS "rows" FROM ab
 """)
 def q_silhouette(spark, sf):
-    return rounded(M.silhouette(emb(spark, sf), "x", "label", "vec_id", sample_size=5000))
+    """M-9 over all rows, with squared distances; the twin joins all pairs."""
+    return rounded(M.silhouette(emb(spark, sf), "x", "label"))
+
+
+@register("validate_dirty", """
+WITH d AS (SELECT CASE WHEN doc_id % 7 = 0 THEN chr(9) ELSE source END AS source,
+                  CASE WHEN doc_id % 5 = 0 THEN 'UNKNOWN' ELSE CAST(n_chars AS VARCHAR) END AS n, doc_id FROM documents),
+f AS (SELECT trim(source, chr(9) || ' ') = '' AS m, coalesce(NOT (TRY_CAST(n AS DOUBLE) BETWEEN 100 AND 5000), false)
+             OR coalesce(TRY_CAST(n AS DOUBLE) <= 0, false) AS i FROM d)
+SELECT count(*) AS "rows", CAST(0 AS BIGINT) AS missing_doc_id, count(*) FILTER (WHERE m) AS missing_source,
+       count(*) FILTER (WHERE i) AS invalid_n, CAST(0 AS BIGINT) AS duplicate_doc_id,
+       count(*) FILTER (WHERE m OR i) AS rejected_rows, count(*) FILTER (WHERE m OR i) AS warning_rows FROM f
+""")
+def q_validate_dirty(spark, sf):
+    """V-1..V-10 strict on values that are no numbers, names of tabs only, and one column under two rules."""
+    d = tbl(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 7 == 0, "\t").otherwise(F.col("source")).alias("source"),
+        F.when(F.col("doc_id") % 5 == 0, "UNKNOWN").otherwise(F.col("n_chars").cast("string")).alias("n"))
+    report, _ = V.validate(d, key="doc_id", name="source", ranges={"n": (100, 5000)}, positive=["n"], strict=True)
+    return report
 
 
 @register("davies_bouldin", f"""

@@ -64,16 +64,19 @@ def model_stage(matrix: DataFrame, id_col: str, model_name: str = "gmm", feature
 def final_metrics(assigned: DataFrame, matrix: DataFrame, id_col: str, features: str = "features",
                   k: int | None = None) -> DataFrame:
     """P-7: one record joining size stats, confidence summary and the quality metrics."""
-    feats = matrix.join(assigned.select(id_col, "cluster"), id_col)
+    feats = matrix.join(assigned.select(id_col, "cluster"), id_col).persist()
     sizes = EV.cluster_sizes(assigned, "cluster", k).agg(
         F.min("size").alias("min_cluster_size"), F.max("size").alias("max_cluster_size"),
         F.avg("size").alias("mean_cluster_size")).first().asDict()
     conf = EV.assignment_summary(assigned).first().asDict()
-    sil = M.silhouette(feats, features, "cluster", id_col).first()["silhouette"]
+    sil = M.silhouette(feats, features, "cluster").first()["silhouette"]
     db = M.davies_bouldin(feats, features, "cluster").first()[0]
     ch = M.calinski_harabasz(feats, features, "cluster").first()[0]
     rec = {**sizes, **conf, "silhouette": sil, "davies_bouldin": db, "calinski_harabasz": ch}
-    return matrix.sparkSession.createDataFrame([rec])
+    feats.unpersist()
+    kinds = {int: "long", float: "double", bool: "boolean", str: "string"}
+    schema = ", ".join(f"{c} {kinds.get(type(v), 'double')}" for c, v in rec.items())
+    return matrix.sparkSession.createDataFrame([tuple(rec.values())], schema)
 
 
 def distribution_report(meta_assigned: DataFrame, tags_col, categorical) -> DataFrame:

@@ -19,7 +19,7 @@ __all__ = [
     "normalize_strings", "ingest", "schema_summary", "select_present", "PANDAS_NA_TOKENS",
 ]
 
-SUPPORTED = ("csv", "parquet")
+SUPPORTED = ("csv", "parquet", "json")
 
 # The words a pandas CSV reader turns into missing values by default.
 PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -60,11 +60,11 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     fmt = _fmt(path, fmt)
-    return read_csv(spark, path) if fmt == "csv" else spark.read.parquet(path)
+    return read_csv(spark, path) if fmt == "csv" else spark.read.json(path) if fmt == "json" else spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, overwrite: bool = False) -> str:
-    """Parquet / CSV sink. ``overwrite=False`` leaves existing output alone (skip-if-exists)."""
+    """Parquet / CSV / JSON-lines sink. ``overwrite=False`` leaves existing output alone (skip-if-exists)."""
     fmt = _fmt(path, fmt)
     mode = "overwrite" if overwrite else "ignore"
     if fmt == "csv":
@@ -72,15 +72,18 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, overwrite: boo
                         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
         df = df.select(*[F.to_json(c).alias(c) if c in complex_cols else F.col(c) for c in df.columns])
         df.write.mode(mode).option("header", True).csv(path)
+    elif fmt == "json":
+        df.write.mode(mode).option("ignoreNullFields", False).json(path)
     else:
         df.write.mode(mode).parquet(path)
     return path
 
 
 def validate_columns(df: DataFrame, required) -> None:
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+    """Every required name must be a column; the error lists those that are not, in order."""
+    absent = sorted(set(required) - set(df.columns), key=list(required).index)
+    if absent:
+        raise ValueError("the table lacks the columns " + ", ".join(absent))
 
 
 def rename_snake(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -49,7 +49,7 @@ def test_validation_reasons(spark):
     report, rejected = V.validate(df, "id", "name", ranges={"score": (0, 10)})
     r = report.first()
     assert (r["rows"], r["missing_id"], r["missing_name"], r["invalid_score"], r["duplicate_id"]) == (3, 1, 1, 2, 2)
-    assert r["rejected_rows"] == 2 and r["warning_rows"] == 1
+    assert r["rejected_rows"] == 2 and r["warning_rows"] == 3
     reasons = sorted(tuple(x["rejection_reasons"]) for x in rejected.collect())
     assert reasons == [("missing_id", "invalid_score"), ("missing_name", "duplicate_id")]
 
