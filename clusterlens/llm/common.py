@@ -78,11 +78,12 @@ def exclusive_sums(lengths: Column) -> Column:
 HIT_TYPE = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
 
 
-def regex_hits(text: Column, pattern: str, context: int = 24) -> Column:
+def regex_hits(text: Column, pattern: str, context: int = 24, needs: Column | None = None) -> Column:
     """All matches of a pattern that never matches empty text, leftmost and non-overlapping, with positions.
 
     Positions are code points, end exclusive. ``before`` and ``after`` hold up to ``context`` characters between
     the match and its neighbours. Built from the matches and the pieces between them, so it stays in the JVM.
+    ``needs`` may give a cheaper condition that holds for every text with a match; texts without it are not searched.
     """
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -96,7 +97,8 @@ def regex_hits(text: Column, pattern: str, context: int = 24) -> Column:
             (z["o"] + F.length(z["p"]) + F.length(z["h"])).alias("end"),
             z["h"].alias("hit"), F.right(z["p"], F.lit(context)).alias("before"),
             F.left(z["q"], F.lit(context)).alias("after")))
-    return F.when(F.rlike(text, F.lit(pattern)), rows).otherwise(F.array().cast(HIT_TYPE))
+    found = F.rlike(text, F.lit(pattern))
+    return F.when(found if needs is None else needs & found, rows).otherwise(F.array().cast(HIT_TYPE))
 
 
 SPAN_TYPE = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"

@@ -18,18 +18,19 @@ TARGET_PRECISION = 0.95
 TREES, DEPTH = 8, 3
 
 #: Base patterns (fixed values of the contract), written so that Java scans each run of characters once:
-#: possessive repeats, and a match starts where a run starts or the match before it ended.
+#: possessive repeats, and a match starts where a run starts or the match before it ended. What must not stand before a
+#: match is looked up behind its first character, so most characters fail at once.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
+IP = r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?<![0-9]{2})(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
 #: Generators of further candidates: written-out or spaced addresses, numbers with group marks, grouped identifiers.
 GENERATORS = {
     "contact": r"(?<![^\s@<>(),;\[\]])[^\s@<>(),;\[\]]++\x20?(?:@|\(at\)|\[at\])\x20?[^\s@<>(),;\[\]]++",
-    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])",
-    "identifier": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20-]?[0-9A-Z]{4}){2,7}+(?![0-9A-Za-z])",
+    "number": r"(?:[+(](?<![0-9A-Za-z][+(])[0-9]|[0-9](?<![0-9A-Za-z][0-9]))(?:[\x20().-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])",
+    "identifier": r"[A-Z](?<![0-9A-Za-z][A-Z])[A-Z][0-9]{2}(?:[\x20-]?[0-9A-Z]{4}){2,7}+(?![0-9A-Za-z])",
 }
 
 _CONTEXT_WORDS = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|iban|ssn|address|host|server|ip)\W{0,4}$"
@@ -61,10 +62,10 @@ def base_hits(text: Column) -> dict[str, Column]:
     """Matches of the base patterns that pass their checks, by kind. ``text`` must not be null."""
     n_digits = lambda h: F.length(digits_of(h["hit"]))
     return {
-        "email": regex_hits(text, EMAIL),
+        "email": regex_hits(text, EMAIL, needs=F.contains(text, F.lit("@"))),
         "ip": F.filter(regex_hits(text, IP), lambda h: _octets_fit(h["hit"])),
         "card": F.filter(regex_hits(text, CARD), lambda h: luhn(digits_of(h["hit"]))),
-        "phone": F.filter(regex_hits(text, PHONE), lambda h: n_digits(h).between(9, 15))}
+        "phone": F.filter(regex_hits(text, PHONE, needs=F.contains(text, F.lit("+"))), lambda h: n_digits(h).between(9, 15))}
 
 
 def _features(h: Column) -> list[Column]:
@@ -96,7 +97,9 @@ def with_candidates(df: DataFrame, text_col: str) -> DataFrame:
     hits = base_hits(F.col("__text"))
     s = staged(s, {f"__{k}": as_spans(hits[k], i, k).cast(SPAN_TYPE) for i, k in enumerate(KINDS)})
     s = staged(s, {"__base": F.concat(*[F.col(f"__{k}") for k in KINDS])})
-    s = staged(s, {f"__g_{k}": regex_hits(F.col("__text"), p) for k, p in GENERATORS.items()})
+    marks = [F.contains(F.col("__text"), F.lit(m)) for m in ("@", "(at)", "[at]")]
+    needs = {"contact": marks[0] | marks[1] | marks[2]}
+    s = staged(s, {f"__g_{k}": regex_hits(F.col("__text"), p, needs=needs.get(k)) for k, p in GENERATORS.items()})
     cand = F.concat(*[_candidates(F.col("__base"), F.col(f"__g_{k}"), len(KINDS) + i, k).cast(CAND_TYPE)
                       for i, k in enumerate(GENERATORS)])
     return staged(s, {"__cand": cand}).drop(*[f"__g_{k}" for k in GENERATORS])

@@ -20,19 +20,20 @@ MISSES = 0.01
 #: Base patterns (fixed values of the contract).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
-HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
+HEX = r"[0-9a-f](?<![0-9a-f]{2})[0-9a-f]{23,}+"
 KINDS = ("assign", "access", "hex")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIZE = len(ALPHABET) + 1  # code 0 marks the start
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+#: Runs of 16 or more characters of the alphabet with a digit among them.
+TOKEN = r"[A-Za-z0-9+/_=-](?<![A-Za-z0-9+/_=-]{2})(?:(?<=[0-9])|(?=[A-Za-z+/_=-]*+[0-9]))[A-Za-z0-9+/_=-]{15,}+"
 ORDINARY = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{5,}+"
 
 
 def base_hits(text: Column) -> dict[str, Column]:
     """Matches of the base patterns that are long enough, by kind. ``text`` must not be null."""
-    return {"assign": F.filter(regex_hits(text, ASSIGN), lambda h: F.length(F.regexp_extract(h["hit"], ASSIGN, 1)) >= 6),
-            "access": regex_hits(text, ACCESS), "hex": regex_hits(text, HEX)}
+    return {"assign": F.filter(regex_hits(text, ASSIGN, needs=F.rlike(text, F.lit("[:=]"))), lambda h: F.length(F.regexp_extract(h["hit"], ASSIGN, 1)) >= 6),
+            "access": regex_hits(text, ACCESS, needs=F.contains(text, F.lit("AKIA"))), "hex": regex_hits(text, HEX)}
 
 
 def _codes(s: Column) -> Column:
@@ -127,8 +128,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", per_label: int = TRAIN_S
     hits = base_hits(F.col("__text"))
     s = staged(s, {"__base": F.concat(*[as_spans(hits[k], i, k).cast(SPAN_TYPE) for i, k in enumerate(KINDS)]),
                    "__tokens": regex_hits(F.col("__text"), TOKEN)})
-    fits = F.filter("__tokens", lambda h: F.rlike(h["hit"], F.lit("[0-9]"))
-                    & ~F.exists("__base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
+    fits = F.filter("__tokens", lambda h: ~F.exists("__base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
                     & (model.score(h["hit"]) > model.threshold))
     added = as_spans(fits, len(KINDS), "random").cast(SPAN_TYPE)
     out = attach(s, {"base_spans": F.array_sort("__base"), "spans": F.array_sort(F.concat("__base", added))})
