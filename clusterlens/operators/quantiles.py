@@ -14,6 +14,9 @@ narrowing a value bracket with histogram passes instead:
 * a bracket with one distinct value is solved; a bracket with at most
   ``small`` rows is finished by collecting those (bounded) values.
 
+Both ends of a bracket are values of the data and fall into different cells, so every pass narrows it. Infinite
+values never enter a bracket: they are counted beforehand, and ranks among them are known from the counts.
+
 Targets (groups x columns x ranks) are a small broadcast table whose size is
 checked before the broadcast. ``by`` must therefore be a low-cardinality key
 (clusters, categories), never a row key.
@@ -38,9 +41,17 @@ def long_values(df: DataFrame, cols, by=()) -> DataFrame:
     return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, small: int = 4096,
-                    max_passes: int = 64) -> DataFrame:
-    """Return (by..., column, prob, value, n) with pandas / SQL ``quantile_cont`` semantics."""
+def _between(lo: float, hi: float, frac: float) -> float:
+    """Linear interpolation; between a finite and an infinite value the infinite one, between both infinities NaN."""
+    if not frac or lo == hi:
+        return lo
+    if math.isinf(lo) or math.isinf(hi):
+        return lo * (1 - frac) + hi * frac
+    return lo + (hi - lo) * frac
+
+
+def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, small: int = 4096) -> DataFrame:
+    """Return (by..., column, prob, value, n) with pandas / SQL ``quantile_cont`` semantics; NULL and NaN are left out."""
     by = list(by)
     cols = list(cols)
     probs = [float(p) for p in probs]
@@ -48,15 +59,18 @@ def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, smal
     # the unpivoted values are read by every pass: persist them for the duration of the search
     data = long_values(df, cols, by).persist()
     try:
-        return _search(spark, df, data, cols, probs, by, buckets, small, max_passes)
+        return _search(spark, df, data, cols, probs, by, buckets, small)
     finally:
         data.unpersist()
 
 
-def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
+def _search(spark, df, data, cols, probs, by, buckets, small):
     max_groups = MAX_TARGETS // (2 * len(probs))
+    inf = float("inf")
+    finite = F.when(F.abs("value") < inf, F.col("value"))
     stats = data.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+        F.count_if(F.col("value") == -inf).alias("below"), F.count_if(F.col("value") == inf).alias("above")
     ).limit(max_groups + 1).collect()  # bounded collect: fail before a large table reaches the driver
     if len(stats) > max_groups:
         raise ValueError("exact_quantiles: too many groups for a bounded target table; use method='approx'")
@@ -76,9 +90,10 @@ def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
                     continue
                 tid = len(targets)
                 rank_ids[(gi, r)] = tid
-                done = row["lo"] == row["hi"]
-                targets[tid] = {"g": gi, "rank": r, "lo": row["lo"], "hi": row["hi"], "offset": 0,
-                                "n": n, "value": row["lo"] if done else None, "collect": n <= small}
+                value = (-inf if r < row["below"] else inf if r >= n - row["above"]
+                         else row["lo"] if row["lo"] == row["hi"] else None)
+                targets[tid] = {"g": gi, "rank": r, "lo": row["lo"], "hi": row["hi"], "offset": row["below"],
+                                "n": n, "value": value, "collect": n - row["below"] - row["above"] <= small}
 
     tschema = T.StructType([T.StructField(f"_g_{i}", df.schema[b].dataType, True) for i, b in enumerate(by)]
                            + [T.StructField("_column", T.StringType()), T.StructField("tid", T.LongType()),
@@ -87,10 +102,7 @@ def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
 
     # keep each pass's driver result near 200k cells whatever the number of targets
     buckets = int(min(buckets, max(64, 200_000 // max(1, len(targets)))))
-    for _ in range(max_passes):
-        open_t = [t for t, s in targets.items() if s["value"] is None]
-        if not open_t:
-            break
+    while open_t := [t for t, s in targets.items() if s["value"] is None]:
         rows = []
         for t in open_t:
             s = targets[t]
@@ -110,8 +122,10 @@ def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
                 s = targets[row["tid"]]
                 s["value"] = row["vals"][s["rank"] - s["offset"]]
         if bucket_ids:
-            width = F.col("t_hi") - F.col("t_lo")
-            bucket = F.least(F.floor((F.col("value") - F.col("t_lo")) / width * buckets),
+            # halves, if the width itself would overflow
+            scale = F.when(F.col("t_hi") - F.col("t_lo") == inf, F.lit(0.5)).otherwise(F.lit(1.0))
+            width = F.col("t_hi") * scale - F.col("t_lo") * scale
+            bucket = F.least(F.floor((F.col("value") * scale - F.col("t_lo") * scale) / width * buckets),
                              F.lit(buckets - 1)).cast("int")
             cells = (hit.where(~F.col("collect")).withColumn("bucket", bucket)
                      .groupBy("tid", "bucket")
@@ -132,8 +146,6 @@ def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
                             s["collect"] = True
                         break
                     cum += c
-    if any(s["value"] is None for s in targets.values()):
-        raise RuntimeError("exact_quantiles did not converge")
 
     out = []
     for gi, (key, column, n) in enumerate(groups):
@@ -142,9 +154,7 @@ def _search(spark, df, data, cols, probs, by, buckets, small, max_passes):
             lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
             v_lo = targets[rank_ids[(gi, lo_r)]]["value"]
             v_hi = targets[rank_ids[(gi, hi_r)]]["value"]
-            frac = h - lo_r
-            val = v_lo + (v_hi - v_lo) * frac if frac else v_lo
-            out.append((*key, column, p, float(val), int(n)))
+            out.append((*key, column, p, float(_between(v_lo, v_hi, h - lo_r)), int(n)))
     schema = T.StructType([T.StructField(b, df.schema[b].dataType, True) for b in by]
                           + [T.StructField("column", T.StringType()), T.StructField("prob", T.DoubleType()),
                              T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType())])

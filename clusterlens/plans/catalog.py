@@ -638,24 +638,38 @@ def _part_profile_frames(spark, sf):
     return p, genres, types, labels
 
 
-@register("interpretation_label", f"""
-WITH {_lift_sql('g', True, 8)}, {_lift_sql('t', False, 5)}, {_oi_sql('g', 0.08, 2)}, {_oi_sql('t', 0.15, 1)},
+_LABEL_SQL = f"""{_lift_sql('g', True, 8)}, {_lift_sql('t', False, 5)}, {_oi_sql('g', 0.08, 2)}, {_oi_sql('t', 0.15, 1)},
 cl AS (SELECT DISTINCT p_type AS cluster FROM part),
 bits AS (SELECT cl.cluster,
    list_concat(coalesce((SELECT list(value ORDER BY oi) FROM oi_g WHERE oi_g.cluster = cl.cluster), []),
                coalesce((SELECT list(value ORDER BY oi) FROM oi_t WHERE oi_t.cluster = cl.cluster), [])) AS b,
    list_concat(coalesce((SELECT list(value ORDER BY rk) FROM rec_g WHERE rec_g.cluster = cl.cluster AND rk <= 2), []),
                coalesce((SELECT list(value ORDER BY rk) FROM rec_t WHERE rec_t.cluster = cl.cluster AND rk <= 1), [])) AS fb
-   FROM cl)
-SELECT cluster, CASE WHEN len(b) > 0 THEN array_to_string(b[1:4], ', ')
+   FROM cl),
+labels AS (SELECT cluster, CASE WHEN len(b) > 0 THEN array_to_string(b[1:4], ', ')
                      WHEN len(fb) > 0 THEN array_to_string(fb, ', ') ELSE 'cluster ' || cluster END AS interpretation_label
-FROM bits
-""")
+   FROM bits)"""
+
+
+@register("interpretation_label", f"WITH {_LABEL_SQL} SELECT cluster, interpretation_label FROM labels")
 def q_interpretation_label(spark, sf):
     return _part_profile_frames(spark, sf)[3]
 
 
-@register("cluster_profile")
+@register("cluster_profile", _cluster_numeric_sql() + f""", {_LABEL_SQL},
+z AS (SELECT cluster, c.col AS col, (mean - gm) / gs AS z FROM c JOIN g ON c.col = g.col WHERE n > 0),
+zr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, col) AS rk FROM z),
+tg AS (SELECT cluster, string_agg(value, ', ' ORDER BY rk) AS top_genres FROM rec_g WHERE rk <= 5 GROUP BY 1),
+tt AS (SELECT cluster, string_agg(value, ', ' ORDER BY rk) AS top_types FROM rec_t WHERE rk <= 3 GROUP BY 1),
+tz AS (SELECT cluster, string_agg(col, ', ' ORDER BY rk) AS top_numeric_features FROM zr WHERE rk <= 4 GROUP BY 1),
+ts AS (SELECT cluster, share FROM rec_t WHERE rk = 1),
+s AS (SELECT p_type AS cluster, count(*) AS size FROM part GROUP BY 1)
+SELECT cluster, size, round(size / (SELECT count(*) FROM part), 6) + 0.0 AS proportion, top_genres, top_types,
+  top_numeric_features, interpretation_label, round(coalesce(share, 0), 6) + 0.0 AS top_type_share,
+  coalesce(share, 0) >= 0.8 AS format_artifact_warning
+FROM s LEFT JOIN tg USING (cluster) LEFT JOIN tt USING (cluster) LEFT JOIN tz USING (cluster)
+  LEFT JOIN ts USING (cluster) LEFT JOIN labels USING (cluster)
+""")
 def q_cluster_profile(spark, sf):
     p, genres, types, labels = _part_profile_frames(spark, sf)
     sizes = EV.cluster_sizes(p, "p_type")
@@ -1148,6 +1162,21 @@ def q_distribution_report(spark, sf):
                       F.to_json("genres").alias("genres_json"))
 
 
+@register("distribution_report_records", f"""
+WITH {_lift_sql('g', True, 8)}, {_lift_sql('t', False, 5)}
+SELECT 'genres' AS section, cluster, value, cnt AS "count", round(share, 6) + 0.0 AS cluster_share,
+  round(lift, 6) + 0.0 AS lift_vs_global, CAST(rk AS INTEGER) AS "rank" FROM rec_g
+UNION ALL SELECT 'p_brand', cluster, value, cnt, round(share, 6) + 0.0, round(lift, 6) + 0.0, CAST(rk AS INTEGER)
+FROM rec_t
+""")
+def q_distribution_report_records(spark, sf):
+    """P-6: the records of the nested report, taken out of it again."""
+    p = tbl(spark, sf, "part").withColumn("cluster", F.col("p_type"))
+    rep = WF.distribution_report(p, _words(), ["p_brand"])
+    parts = [rep.select(F.lit(n).alias("section"), "cluster", F.inline(n)) for n in ("genres", "p_brand")]
+    return rounded(parts[0].unionByName(parts[1]).drop("global_share"))
+
+
 @register("model_stage_reduced")
 def q_model_stage_reduced(spark, sf):
     """End to end on the PCA-reduced embeddings: K-means search (K 2..5 x 2 seeds), final fit, assign."""

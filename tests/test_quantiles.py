@@ -38,3 +38,26 @@ def test_approx_quantiles_are_close_and_same_shape(spark):
     ap = ap.sort_values(["g", "prob"]).reset_index(drop=True)
     assert list(ex.columns) == list(ap.columns)
     assert (abs(ex["value"] - ap["value"]) < 0.01).all()
+
+
+def test_exact_quantiles_with_infinite_and_extreme_values(spark):
+    inf = float("inf")
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=6000), [inf] * 900, [-inf] * 300, 2.0 ** np.arange(-100.0, 100.0, 25.0),
+                             [1.7e308, -1.7e308]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.87, 0.95, 1.0]
+    got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], probs, buckets=64, small=4).collect()}
+    ordered = np.sort(values)
+    for p in probs:
+        h = (len(ordered) - 1) * p
+        lo, hi = ordered[int(np.floor(h))], ordered[int(np.ceil(h))]
+        want = lo if lo == hi else lo + (hi - lo) * (h - np.floor(h))
+        assert got[p] == want or abs(got[p] - want) <= 1e-9 * abs(want), p
+
+
+def test_exact_quantiles_between_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(0, inf), (0, inf), (1, -inf), (1, 3.0), (2, -inf), (2, inf)], "g int, x double")
+    got = {r["g"]: r["value"] for r in exact_quantiles(df, ["x"], [0.5], by=["g"]).collect()}
+    assert got[0] == inf and got[1] == -inf and np.isnan(got[2])
