@@ -7,7 +7,7 @@ dict (parameters in original coordinates) that ``mixture.assign`` can score.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.operators import mixture as MX
@@ -104,3 +104,45 @@ def training_summary(spark, model: dict, params: dict, n_rows: int, d: int, run_
     schema = ("run_id string, model_kind string, k int, covariance_type string, rows long, dims int, "
               "converged boolean, n_iter int, lower_bound double, inertia double, n_init int, max_iter int")
     return spark.createDataFrame([tuple(rec.values())], schema)
+
+
+_MODEL_SCHEMA = ("component int, model_kind string, covariance_type string, weight double, mean array<double>, "
+                 "covariance array<double>, converged boolean, n_iter int, lower_bound double, inertia double")
+
+
+def model_table(spark: SparkSession, model: dict) -> DataFrame:
+    """S-8 / M-22: the parameters of a fitted model, one row per component; any sink of ``sources.io`` but CSV keeps it.
+
+    ``mean`` is the component's mean or centre. ``covariance`` is its variances (diagonal) or its matrix row by row
+    (full), and null for K-means. Unknown weights and fit scalars are null.
+    """
+    gmm = model["kind"] == "gmm"
+    means = np.asarray(model["means"] if gmm else model["centres"], float)
+    weights = model.get("weights")
+    optional = lambda key, kind: None if model.get(key) is None else kind(model[key])
+    fit = (optional("converged", bool), optional("n_iter", int), optional("lower_bound", float),
+           optional("inertia", float))
+    rows = [(j, model["kind"], model.get("cov_type"), None if weights is None else float(weights[j]), mean.tolist(),
+             np.ravel(model["covs"][j]).astype(float).tolist() if gmm else None, *fit)
+            for j, mean in enumerate(means)]
+    return spark.createDataFrame(rows, _MODEL_SCHEMA)
+
+
+def model_from_table(table: DataFrame) -> dict:
+    """The model that ``model_table`` wrote, ready for ``mixture.assign``; collects one row per component."""
+    rows = table.orderBy("component").collect()
+    if not rows:
+        raise ValueError("the model table has no components")
+    first = rows[0]
+    means = np.array([r["mean"] for r in rows])
+    model = {"kind": first["model_kind"], "k": len(rows), "converged": first["converged"], "n_iter": first["n_iter"],
+             "lower_bound": first["lower_bound"], "inertia": first["inertia"]}
+    model = {key: value for key, value in model.items() if value is not None}
+    if first["weight"] is not None:
+        model["weights"] = np.array([r["weight"] for r in rows])
+    if first["model_kind"] == "kmeans":
+        return {**model, "centres": means}
+    covs = np.array([r["covariance"] for r in rows])
+    if first["covariance_type"] == "full":
+        covs = covs.reshape(len(rows), means.shape[1], means.shape[1])
+    return {**model, "means": means, "covs": covs, "cov_type": first["covariance_type"]}

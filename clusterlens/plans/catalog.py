@@ -1145,6 +1145,19 @@ def q_model_diagnostics(spark, sf):
     return rounded(out)
 
 
+@register("model_parameters", f"""WITH {_ESTEP_SQL}
+SELECT CAST(dense_rank() OVER (ORDER BY p.label) - 1 AS INTEGER) AS component, CAST(i - 1 AS INTEGER) AS dim,
+  round(w.w, 6) + 0.0 AS weight, round(mu, 6) + 0.0 AS mean, round(var, 6) + 0.0 AS variance
+FROM p JOIN w ON p.label = w.label
+""")
+def q_model_parameters(spark, sf):
+    """S-8 / M-22: the label GMM's parameter table, one row per component and dimension."""
+    _, model = _label_gmm(spark, sf)
+    each = F.posexplode(F.arrays_zip("mean", F.col("covariance").alias("variance"))).alias("dim", "p")
+    return rounded(MOD.model_table(spark, model).select("component", "weight", each)
+                   .select("component", "dim", "weight", "p.mean", "p.variance"))
+
+
 @register("final_metrics")
 def q_final_metrics(spark, sf):
     """P-7: size stats, confidence summary, silhouette, Davies-Bouldin, Calinski-Harabasz of the label GMM."""

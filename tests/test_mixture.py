@@ -80,3 +80,34 @@ def test_stacked_diag_estep_matches_per_model(spark):
         hard = np.bincount(resp.argmax(1), minlength=resp.shape[1]).astype(float)
         ref = np.concatenate([[lse.sum(), resp.max(1).sum()], nk, sx.ravel(), sxx.ravel(), hard])
         np.testing.assert_allclose(stacked[m], ref, rtol=1e-9, atol=1e-9)
+
+
+def test_model_tables_survive_parquet(spark, tmp_path):
+    from clusterlens.operators import models as MOD
+    from clusterlens.sources import io
+
+    df, X, lab = _blobs(spark)
+    means = np.array([X[lab == j].mean(0) for j in range(3)])
+    full = np.array([np.cov(X[lab == j].T) for j in range(3)])
+    fitted = {
+        "full": {"kind": "gmm", "cov_type": "full", "covs": full, "means": means, "weights": np.array([0.2, 0.3, 0.5]),
+                 "converged": True, "n_iter": 7, "lower_bound": -3.5},
+        "diag": {"kind": "gmm", "cov_type": "diag", "covs": np.array([np.diag(c) for c in full]), "means": means,
+                 "weights": np.array([0.2, 0.3, 0.5])},
+        "kmeans": {"kind": "kmeans", "centres": means, "inertia": 12.0}}
+    for name, model in fitted.items():
+        path = io.write_table(MOD.model_table(spark, model), str(tmp_path / f"{name}.parquet"))
+        back = MOD.model_from_table(spark.read.parquet(path))
+        assert set(back) - {"k"} == set(model) and back["k"] == 3
+        for key, value in model.items():
+            assert np.array_equal(back[key], value), (name, key)
+        a, b = (MX.assign(df, "x", "id", m).orderBy("id").toPandas() for m in (model, back))
+        assert a["cluster"].equals(b["cluster"])
+
+
+def test_empty_model_table_is_refused(spark):
+    import pytest
+    from clusterlens.operators import models as MOD
+
+    with pytest.raises(ValueError):
+        MOD.model_from_table(spark.createDataFrame([], MOD._MODEL_SCHEMA))
