@@ -81,6 +81,51 @@ def test_licenses(make_docs):
     assert licenses.find_licenses(make_docs([])).count() == 0
 
 
+INDEX = licenses.TemplateIndex(licenses.TEMPLATES)
+
+
+def _found(text):
+    return [f[0] for f in licenses.scan_text(text.encode(), INDEX, licenses.COVERAGE, licenses.BAND)]
+
+
+def test_confusable_licenses():
+    """Each notice is itself and no other license, also with a word around it."""
+    for name, text in licenses.TEMPLATES.items():
+        got = licenses.scan_text(f"some words before {text} and after".encode(), INDEX, licenses.COVERAGE, licenses.BAND)
+        assert [f[:2] for f in got] == [(name, 1.0)], (name, got)
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    gnu = "This work is licensed under the GNU {}General Public License, version {}"
+    for text, want in ((cc.format(""), "CC-BY-4.0"), (cc.format("-NonCommercial"), "CC-BY-NC-4.0-long"), (cc.format("-ShareAlike"), "CC-BY-SA-4.0"),
+                       (cc.format(" Non Commercial"), "CC-BY-NC-4.0-spaced"), (gnu.format("Lesser ", 3), "LGPL-3.0"), (gnu.format("", 2), "GPL-2.0"),
+                       (gnu.format("", 3), "GPL-3.0"), (gnu.format("Affero ", 3), "AGPL-3.0"), (gnu.format("Lesser ", 2.1), "LGPL-2.1")):
+        assert _found(text) == [want]
+    for text in (gnu.format("", 7), cc.format("-Sampling"), "Released under the Python License", "Licensed under CC BY-XY-NC-SA 9.0",
+                 "Licensed under the Apache License, Version 1.1"):
+        assert _found(text) == []
+
+
+def test_edited_full_texts():
+    rng = random.Random(2)
+    for name in ("GPL-2.0-text", "LGPL-2.1-text", "BSD-3-Clause-text", "ISC-text", "CC-BY-SA-4.0-text"):
+        w = licenses.TEMPLATES[name].split()
+        edited = [x if rng.random() > 0.03 else rng.choice(["foo", "", x + " bar"]) for x in w]
+        edited[len(w) // 2:len(w) // 2] = ["added"] * (len(w) // 15)  # more than the band of short notices
+        assert name in _found("prose " * 50 + " ".join(edited))
+    for name in ("GPL-2.0-text", "BSD-3-Clause-text"):  # a third of the text is no license text
+        assert name not in _found(" ".join(licenses.TEMPLATES[name].split()[:len(licenses.TEMPLATES[name].split()) // 3]))
+
+
+def test_edit_distance_against_full_table():
+    rng = random.Random(12)
+    for _ in range(100):
+        a, b = [np.array([rng.randint(0, 3) for _ in range(rng.randint(3, 9))]) for _ in range(2)]
+        cost = np.zeros((len(b) + 1, len(a) + 1), int)
+        cost[:, 0] = range(len(b) + 1)
+        for i, j in itertools.product(range(len(b)), range(len(a))):
+            cost[i + 1, j + 1] = min(cost[i, j] + (a[j] != b[i]), cost[i, j + 1] + 1, cost[i + 1, j] + 1)
+        assert licenses.edit_distance(a, b, 0, 12, 99) == cost[-1].min()
+
+
 def test_alignment_against_full_table():
     rng = random.Random(9)
     for _ in range(200):
