@@ -28,6 +28,11 @@ _SIZE = len(ALPHABET) + 1  # code 0 marks the start
 #: Runs of 16 or more characters of the alphabet with a digit among them.
 TOKEN = r"[A-Za-z0-9+/_=-](?<![A-Za-z0-9+/_=-]{2})(?:(?<=[0-9])|(?=[A-Za-z+/_=-]*+[0-9]))[A-Za-z0-9+/_=-]{15,}+"
 ORDINARY = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{5,}+"
+#: Runs of the alphabet, from which the ordinary model learns digits and separators.
+RUN = r"[A-Za-z0-9+/_=-]{4,}+"
+_PART = r"(?:[0-9]++[a-z]{0,3}|[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+[0-9]{0,4}|[A-Z]++[0-9]{0,4})"
+#: A run with a digit whose parts between separators are numbers, words or numbered words: dates, paths, ids, file names.
+PLAIN = rf"^(?=[^0-9]*+[0-9])[+/_=-]*+{_PART}(?:[+/_=-]++{_PART})*+[+/_=-]*+$"
 
 
 def base_hits(text: Column) -> dict[str, Column]:
@@ -47,23 +52,48 @@ def _pairs(s: Column) -> Column:
                       lambda a, b: a * _SIZE + b)
 
 
-def labelled_strings(df: DataFrame, text_col: str, per_label: int = TRAIN_STRINGS) -> DataFrame:
+def _sample_share(df: DataFrame, per_label: int) -> float:
+    return min(1.0, per_label / 4 / max(df.select().count(), 1))
+
+
+def _sampled(digest: Column, part: float) -> Column:
+    """Whether the text with this digest teaches the models."""
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") <= F.lit(int(part * (1 << 28)))
+
+
+def _held(s: Column) -> Column:
+    return F.pmod(F.xxhash64(s), F.lit(5)) == 0
+
+
+def _plain(hits: Column, base: Column) -> Column:
+    """The strings of ``hits`` that look plain and overlap no base span."""
+    return F.transform(F.filter(hits, lambda h: F.rlike(h["hit"], F.lit(PLAIN)) & ~F.exists(
+        base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))), lambda h: h["hit"])
+
+
+def labelled_strings(df: DataFrame, text_col: str, part: float) -> DataFrame:
     """``s``, ``label`` (1 random, 0 ordinary) and ``held`` from a bounded sample of the rows.
 
-    Ordinary strings are words and identifiers of the texts without a digit (one in 32, by hash). Random ones are the base
-    matches' values, and renderings (hexadecimal, base 64 and its upper case) of digests of the texts.
+    Ordinary strings are words and identifiers of the texts without a digit (one in 32, by hash), runs with digits and
+    separators outside base spans whose parts are plain (``PLAIN``), and numbers, times and paths rendered from digests of
+    the texts. Random ones are the base matches' values, and renderings (hexadecimal, base 64 and its upper case) of the
+    digests.
     """
     text = text_or_empty(F.col(f"`{text_col}`"))
-    n = max(df.select().count(), 1)
-    part = min(1.0, per_label / 4 / n)
     rows = (df.select(text.alias("t")).withColumn("h", F.sha2(F.col("t"), 512)).filter(F.length("t") > 0)
-            .filter(F.conv(F.substring("h", 1, 7), 16, 10).cast("long") <= F.lit(int(part * (1 << 28)))))
+            .filter(_sampled(F.col("h"), part)))
     raw = F.unhex(F.substring("h", 9, 80))
     digest = [F.substring("h", 9, 40), F.translate(F.substring(F.base64(raw), 1, 40), "+/", "-_"),
               F.substring(F.base64(raw), 1, 32), F.substring(F.regexp_replace(F.upper(F.base64(raw)), "[^A-Z0-9]", ""), 1, 20)]
+    number = lambda at: F.conv(F.substring("h", at, 13), 16, 10)
+    time = F.timestamp_seconds(F.pmod(number(9).cast("long"), F.lit(2_000_000_000)))
+    plain = [*[F.reverse(number(at)) for at in (9, 35, 61)], F.date_format(time, "yyyy-MM-dd_HH-mm-ss"),
+             F.concat(F.date_format(time, "/yyyy/MM/dd/"), F.substring(number(22), 1, 8))]
     hits = base_hits(F.col("t"))
-    values = F.concat(F.transform(hits["assign"], lambda h: F.regexp_replace(F.regexp_extract(h["hit"], ASSIGN, 1), r"\.", "")),
-                      F.transform(hits["access"], lambda h: h["hit"]), F.transform(hits["hex"], lambda h: h["hit"]))
+    rows = staged(rows, {f"__{k}": h for k, h in hits.items()} | {"__runs": regex_hits(F.col("t"), RUN)})
+    rows = staged(rows, {"__base": F.concat(*[as_spans(F.col(f"__{k}"), i, k).cast(SPAN_TYPE) for i, k in enumerate(KINDS)])})
+    values = F.concat(F.transform("__assign", lambda h: F.regexp_replace(F.regexp_extract(h["hit"], ASSIGN, 1), r"\.", "")),
+                      F.transform("__access", lambda h: h["hit"]), F.transform("__hex", lambda h: h["hit"]))
     digits_inside = lambda s: F.rlike(s, F.lit("[0-9]"))
     words = F.array_distinct(F.filter(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0)), lambda w:
                                       ~digits_inside(w) & (F.pmod(F.xxhash64(w), F.lit(32)) == 0)))
@@ -71,8 +101,20 @@ def labelled_strings(df: DataFrame, text_col: str, per_label: int = TRAIN_STRING
         F.explode(F.concat(
             F.transform(F.concat(F.array(*digest), F.filter(values, lambda s: digits_inside(s) & (F.length(s) >= 16))),
                         lambda s: F.struct(s.alias("s"), F.lit(1).alias("label"))),
-            F.transform(words, lambda s: F.struct(s.alias("s"), F.lit(0).alias("label"))))).alias("r")).select("r.*")
-    return labelled.distinct().withColumn("held", F.pmod(F.xxhash64("s"), F.lit(5)) == 0)
+            F.transform(F.concat(words, F.array(*plain), _plain(F.col("__runs"), F.col("__base"))),
+                        lambda s: F.struct(s.alias("s"), F.lit(0).alias("label"))))).alias("r")).select("r.*")
+    return labelled.distinct().withColumn("held", _held(F.col("s")))
+
+
+def judged_strings(df: DataFrame, text_col: str, part: float) -> DataFrame:
+    """``s``: every plain token (as it is scored: outside base spans) of all rows, but those that taught the models."""
+    s = staged(df.select(text_or_empty(F.col(f"`{text_col}`")).alias("t")), {"__tokens": regex_hits(F.col("t"), TOKEN)})
+    s = s.filter(F.exists("__tokens", lambda h: F.rlike(h["hit"], F.lit(PLAIN))))
+    hits = base_hits(F.col("t"))
+    s = staged(s, {"__base": F.concat(*[as_spans(hits[k], i, k).cast(SPAN_TYPE) for i, k in enumerate(KINDS)]),
+                   "__taught": _sampled(F.sha2(F.col("t"), 512), part)})
+    return (s.select("__taught", F.explode(_plain(F.col("__tokens"), F.col("__base"))).alias("s"))
+            .filter(~F.col("__taught") | _held(F.col("s"))).select("s"))
 
 
 class MarkovRatio:
@@ -92,10 +134,13 @@ def fit_markov(df: DataFrame, text_col: str = "text", per_label: int = TRAIN_STR
                false_positives: float = FALSE_POSITIVES) -> MarkovRatio:
     """Fit both first-order models with add-one smoothing; the alphabet bounds the table at 67 x 67 numbers.
 
-    The threshold is halfway between two quantiles on held-out strings: the score that all but ``false_positives`` of
-    the ordinary ones stay under, and the one that all but ``MISSES`` of the random ones pass; never below the first.
+    The threshold is halfway between two scores: the one that all but ``false_positives`` of the ordinary strings stay
+    under, and the one that all but ``MISSES`` of the held-out random ones pass; never below the first. The first is the
+    larger of two quantiles: over the plain tokens of all rows that taught nothing, with their counts, and over the held-out
+    ordinary strings.
     """
-    sample = stored(labelled_strings(df, text_col, per_label))
+    part = _sample_share(df, per_label)
+    sample = stored(labelled_strings(df, text_col, part))
     counts = (sample.filter(~F.col("held")).select("label", F.explode(_pairs(F.col("s"))).alias("p"))
               .groupBy("label", "p").count().collect())  # at most 2 x 67 x 67 rows
     n = [[1.0] * (_SIZE * _SIZE) for _ in range(2)]
@@ -110,8 +155,11 @@ def fit_markov(df: DataFrame, text_col: str = "text", per_label: int = TRAIN_STR
     held = sample.filter(F.col("held") & (F.length("s") >= 8)).select("label", model.score(F.col("s")).alias("x"))
     q = held.agg(*[F.percentile_approx(F.when(F.col("label") == k, F.col("x")), p, 10_000)
                    for k, p in ((0, 1.0 - false_positives), (1, MISSES))]).first()
-    if q[0] is not None:
-        model.threshold = q[0] if q[1] is None else max(q[0], (q[0] + q[1]) / 2)
+    judged = judged_strings(df, text_col, part).agg(
+        F.percentile_approx(model.score(F.col("s")), 1.0 - false_positives, 10_000)).first()[0]
+    low = max((x for x in (q[0], judged) if x is not None), default=None)
+    if low is not None:
+        model.threshold = low if q[1] is None else max(low, (low + q[1]) / 2)
     return model
 
 

@@ -71,6 +71,26 @@ def test_secret_models_tell_random_strings(spark, make_docs):
     assert kinds == {10_000: ["random"], 10_001: ["random"], 10_002: [], 10_003: []}
 
 
+def test_ordinary_tokens_with_digits_are_no_secrets(spark, make_docs):
+    base = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    plain = ["2024-01-15_10-30-00", "9807915762804490", "/archive/2023/11/05/48213377", "order-2024-000123-4711", "report_final_v2_2023-10-01",
+             "1700000000-1700003600", "20240115T103000Z-0001", "chapter/12/section/34/page/567", "item_00012345678"]
+    odd = ["Zk3uT9qLw0XbV7nR2sYp8Gd5", "q9-Xk2_vR7+Lm4/pT1=vB6z", "7fK2mQ9xW4bT8rL1nV6cJ3"]
+    rows = base + [(10_000 + i, f"see {t} there") for i, t in enumerate(plain + odd)]
+    out = secrets.find_secrets(make_docs(rows)).filter("doc_id >= 10000").collect()
+    found = {r["doc_id"] - 10_000: [s["kind"] for s in r["spans"]] for r in out}
+    assert [(plain + odd)[i] for i in sorted(found) if found[i]] == odd
+    assert all(found[i] in ([], ["random"]) for i in found)
+
+
+def test_plain_tokens_of_all_rows_set_the_threshold(make_docs):
+    """The quantile is taken over all rows, however few teach the models."""
+    docs = make_docs([(i, f"see item {i}: 2024-01-{i % 28 + 10}_{i % 24 + 10}-30 and token=abc{i}def{i}0123456789") for i in range(400)])
+    judged = secrets.judged_strings(docs, "text", 0.05)
+    taught = secrets.labelled_strings(docs, "text", 0.05).filter("label = 0").count()
+    assert judged.filter(F.col("s").startswith("2024-01-")).count() == judged.count() > 360 and taught < 200
+
+
 def test_redaction(make_docs):
     docs = make_docs([(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'), (2, "clean 𝒳"), (3, None)])
     out = ordered(secrets.redact(secrets.find_secrets(docs)), "text")
