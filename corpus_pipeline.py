@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.llm import decontam, langid, mixing, ngram_join, secrets
-from clusterlens.llm.common import n_words, stored
+from clusterlens.llm.common import n_words, stored, text_or_empty
 from clusterlens.llm.queries import MIX_WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,28 +23,35 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id; of equal ids one row.
+    """One row of each class of near duplicates: the one with the smallest id (null ids last), then the smallest text hash.
 
-    Rows with a null id stay only if no document of their class has an id; of those the first by text, then source.
+    Rows whose text has no word are a class for each id and text.
     """
-    found = stored(ngram_join.near_duplicates(docs).select("doc_id", "class_id", "class_key"))
-    # documents without words are classes of their own
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    left = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"])).select(*[docs[c] for c in COLUMNS], "n")
+    # id and text hash together name a document, so that repeated and null ids keep their class
+    named = docs.select(*COLUMNS).withColumn("__h", F.sha2(text_or_empty(F.col("text")), 256))
+    found = ngram_join.near_duplicates(named.select(F.struct("doc_id", "__h").alias("doc_id"), "text"))
+    found = stored(found.select("doc_id.doc_id", "doc_id.__h", "class_key").groupBy("doc_id", "__h", "class_key")
+                   .agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__h"))
+    first = found.filter(F.col("class_key").isNotNull()).groupBy("class_key").agg(
+        F.min_by(F.struct("doc_id", "__h", "n"), order).alias("r")).select("r.*")
+    keep = first.unionByName(found.filter(F.col("class_key").isNull()).select("doc_id", "__h", "n"))
+    same = named["doc_id"].eqNullSafe(keep["doc_id"]) & (named["__h"] == keep["__h"])
+    left = named.join(keep, same).select(*[named[c] for c in COLUMNS], named["__h"], "n")
     once = left.filter(F.col("n") == 1).select(*COLUMNS)
-    # repeated ids are rare: only these rows are grouped, by their id and class
-    again = left.filter(F.col("n") > 1).withColumn("__h", F.sha2("text", 256))
-    again = again.dropDuplicates(["doc_id", "__h"]).groupBy("doc_id").agg(
-        F.min_by(F.struct(*COLUMNS[1:]), F.struct("__h", "source", "lang", "n_chars")).alias("r")).select("doc_id", "r.*")
+    # rows with the same id and text are rare: only these are grouped
+    again = left.filter(F.col("n") > 1).groupBy("doc_id", "__h").agg(
+        F.min_by(F.struct(*COLUMNS[1:]), F.struct("source", "lang", "n_chars", "text")).alias("r")).select("doc_id", "r.*")
     return once.unionByName(again.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark contract does not call contaminated."""
+    """Documents that the benchmark contract does not call contaminated; every row is judged by its own text."""
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    found = decontam.find_contamination(docs, items)
-    bad = found.filter(decontam.contaminated()).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*COLUMNS)
+    rows = stored(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+    found = decontam.find_contamination(rows, items, id_col="__row")
+    bad = found.filter(decontam.contaminated()).select(F.col("doc_id").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
