@@ -13,7 +13,7 @@ from .common import SPAN_TYPE, as_spans, attach, regex_hits, span_text, staged,
 
 #: Labelled candidates on which the trees and the threshold are fitted, at most (the smallest hashes of all candidates).
 TRAIN_ROWS = 20_000
-#: Precision that the threshold must reach on the held-out fifth of them.
+#: Precision that the threshold must reach on all candidates but those the trees were fitted on.
 TARGET_PRECISION = 0.95
 TREES, DEPTH = 8, 3
 
@@ -136,29 +136,31 @@ def _tree_column(dump: str, x: Column) -> Column:
 def fit_scorer(with_cand: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = TARGET_PRECISION) -> SpanScorer | None:
     """Fit trees on candidates labelled by whether they hold a checked base span; null if one label is missing.
 
-    The bounded sample has the ``train_rows`` smallest hashes over all candidates of all texts. A fifth of it is held
-    out: the threshold is the smallest probability from which on the held-out precision reaches ``precision``.
+    The trees are fitted on the ``train_rows`` smallest hashes of distinct labelled candidates, without a fifth that is held
+    out by hash. All other candidates of all texts, with their true counts, decide the threshold: the smallest
+    probability from which on precision reaches ``precision``.
     """
     cand = with_cand.select(F.explode("__cand").alias("c")).select(
         F.col("c.base").cast("double").alias("label"), F.col("c.x").alias("x"))
     h = F.xxhash64("x", "label")
-    sample = stored(cand.groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("h", h)
-                    .orderBy("h", "n").limit(train_rows)).coalesce(1)
+    distinct = stored(cand.groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("h", h))
+    sample = stored(distinct.orderBy("h", "n").limit(train_rows)).coalesce(1)
     n = {r["label"]: r["k"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("k")).collect()}
     if len(n) < 2:
         return None
     held = F.pmod(F.col("h"), F.lit(5)) == 0
-    weight = F.least(F.col("n"), F.lit(1000)).cast("double")
-    rows = sample.withColumn("features", array_to_vector("x")).withColumn("w", weight)
+    rows = sample.withColumn("features", array_to_vector("x")).withColumn("w", F.col("n").cast("double"))
     train = rows.filter(~held)
     if train.select("label").distinct().count() < 2:
         train = rows
+    last = sample.agg(F.max("h")).first()[0]
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, weightCol="w",
                           featuresCol="features", labelCol="label").fit(train.orderBy("h", "n"))
     scorer = SpanScorer([(w, t.toDebugString) for w, t in zip(model.treeWeights, model.trees)], 1.1)
     p = F.floor(scorer.probability(F.col("x")) * 100) / 100
-    by_p = rows.filter(held).groupBy(p.alias("p")).agg(
-        F.sum(F.col("w") * F.col("label")).alias("good"), F.sum("w").alias("all")).collect()  # at most 101 rows
+    judged = distinct.filter(held | (F.col("h") > last))
+    by_p = judged.groupBy(p.alias("p")).agg(
+        F.sum(F.col("n") * F.col("label")).alias("good"), F.sum("n").alias("all")).collect()  # at most 101 rows
     good = total = 0.0
     for r in sorted(by_p, key=lambda r: -r["p"]):
         good, total = good + r["good"], total + r["all"]

@@ -57,6 +57,23 @@ def test_pii_finds_spans_like_the_labelled_ones(make_docs):
         assert sum(s["kind"] in pii.KINDS for s in got[i]["spans"]) == sum(brute.pii(t)[0])
 
 
+def test_pii_threshold_counts_all_candidates(spark):
+    """A pattern that is mostly clean must not pass, however often it occurs and however few candidates teach the trees."""
+    blank = [0.0] * len(pii.FEATURES)
+    vector = lambda i, j: [float(i), float(j % 97), float(j // 97), *blank[3:]]
+    # length 30: base spans; 10: clean; and one held-out clean vector of length 30 a hundred thousand times
+    cand = [(1.0, vector(30, j), 1000) for j in range(400)] + [(0.0, vector(10, j), 2) for j in range(400)]
+    often = spark.createDataFrame([(0.0, vector(30, j)) for j in range(2000)], "label double, x array<double>")
+    held = often.filter(F.pmod(F.xxhash64("x", "label"), F.lit(5)) == 0).first()["x"]
+    df = spark.createDataFrame([*cand, (0.0, held, 100_000)], "label double, x array<double>, n int")
+    df = df.select(F.explode(F.sequence(F.lit(1), F.col("n"))), "label", "x").select(
+        F.array(F.struct((F.col("label") == 1).alias("base"), "x")).alias("__cand"))
+    for rows in (20_000, 400):
+        scorer = pii.fit_scorer(df, rows)
+        p = df.limit(1).select(scorer.probability(F.lit(held)).alias("p")).first()["p"]
+        assert p < scorer.threshold
+
+
 def test_secret_base_spans(make_docs):
     docs = make_docs(list(enumerate(SECRET_TEXTS)), extra=True)
     _check(secrets.find_secrets(docs), secrets.KINDS, SECRET_TEXTS, brute.secrets)
