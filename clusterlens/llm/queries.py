@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, langid, licenses, mixing, ngram_join, pii, quality, secrets, suffix_dedup, url_filter)
+from . import (decontam, langid, licenses, merkle, mixing, ngram_join, pii, quality, secrets, suffix_dedup, url_filter)
 from .common import n_words
 
 QUERIES: dict = {}
@@ -188,3 +188,69 @@ def op10_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = url_filter.filter_urls(pages, url_filter.BASE_RULES + url_filter.GENERAL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+_MERKLE_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, text,
+         coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+         || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+         coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS tail,
+         coalesce(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen(doc_id::VARCHAR) + 1),
+                    lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+                  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))),
+                4294967295) % 3 = 0, false) AS tampered
+  FROM documents),
+leaves AS (
+  SELECT *, sha256(head || tail) AS leaf,
+         CASE WHEN tampered THEN sha256(head || translate(tail, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+              ELSE sha256(head || tail) END AS begin
+  FROM raw),
+placed AS (
+  SELECT r, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS m, leaf AS digest FROM leaves),
+tree AS (
+  SELECT lang, 0 AS level, pos, m, digest FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, any_value((m + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos))
+  FROM tree WHERE m > 1 GROUP BY lang, level, pos // 8),
+subroots AS (SELECT lang, digest, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS m
+             FROM tree WHERE m = 1),
+over AS (
+  SELECT 0 AS level, pos, m, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, any_value((m + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos)) FROM over WHERE m > 1
+  GROUP BY level, pos // 8),
+nodes AS (
+  SELECT t.lang, t.level, t.pos, t.digest, false AS high FROM tree t WHERE m > 1
+  UNION ALL
+  SELECT s.lang, s.height + o.level, o.pos, o.digest, true FROM over o, (SELECT lang, height FROM subroots) s WHERE o.m > 1),
+own AS (
+  SELECT p.r, p.lang, l.level, p.pos // (8 ** l.level)::BIGINT AS pos, false AS high
+  FROM placed p JOIN (SELECT DISTINCT lang, level FROM tree WHERE m > 1) l ON p.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL
+  SELECT p.r, p.lang, s.height + l.level, s.pos // (8 ** l.level)::BIGINT, true
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang, (SELECT DISTINCT level FROM over WHERE m > 1) l),
+steps AS (
+  SELECT o.r, o.level, coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos < o.pos), '') AS l,
+         coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos > o.pos), '') AS g
+  FROM own o JOIN nodes n ON o.lang IS NOT DISTINCT FROM n.lang AND o.level = n.level AND o.high = n.high AND o.pos // 8 = n.pos // 8
+  GROUP BY o.r, o.level),
+proofs AS (SELECT r, string_agg(l || g, '' ORDER BY level) AS proof, list(l ORDER BY level) AS ls, list(g ORDER BY level) AS gs FROM steps GROUP BY r),
+folds(r, k, digest) AS (
+  SELECT r, 1, begin FROM leaves
+  UNION ALL
+  SELECT f.r, k + 1, sha256(p.ls[k] || f.digest || p.gs[k]) FROM folds f JOIN proofs p USING (r) WHERE k <= len(p.ls))
+SELECT d.doc_id, d.leaf, s.digest AS subroot, (SELECT digest FROM over WHERE m = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = (SELECT digest FROM over WHERE m = 1) AS verified
+FROM leaves d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang LEFT JOIN proofs p USING (r)
+JOIN (SELECT r, max_by(digest, k) AS digest FROM folds GROUP BY r) f USING (r)
+"""
+
+
+@register("op13_merkle", _MERKLE_SQL)
+def op13_merkle(spark, sf_dir):
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    manifest = merkle.build_manifest(table(spark, sf_dir, "documents").select(*columns), columns, "lang", "doc_id",
+                                     altered={"text": merkle.lowered()}, where=merkle.tampered())
+    return merkle.verify(manifest)
