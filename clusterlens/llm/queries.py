@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, langid, licenses, merkle, mixing, ngram_join, pii, quality, secrets, suffix_dedup, url_filter)
+from . import (decontam, langid, licenses, merkle, mixing, ngram_join, pii, quality, secrets, suffix_dedup, topk, url_filter)
 from .common import n_words
 
 QUERIES: dict = {}
@@ -190,6 +190,24 @@ def op10_url_filter(spark, sf_dir):
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+_TOPK_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.r <> c.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@register("op11_topk_search", _TOPK_SQL)
+def op11_topk_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 _MERKLE_SQL = r"""
 WITH RECURSIVE raw AS (
   SELECT row_number() OVER () AS r, doc_id, lang, text,
