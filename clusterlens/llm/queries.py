@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, langid, licenses, merkle, mixing, ngram_join, pii, quality, secrets, suffix_dedup, topk, url_filter)
+from . import (collocations, decontam, langid, licenses, merkle, mixing, ngram_join, pii, quality, secrets, suffix_dedup, topk,
+               url_filter)
 from .common import n_words
 
 QUERIES: dict = {}
@@ -208,6 +209,41 @@ def op11_topk_search(spark, sf_dir):
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
 
 
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)
+  GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r,
+         (c.a::HUGEINT * c.a::HUGEINT * 1000000::HUGEINT // (l.f::HUGEINT * r.f::HUGEINT))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+  JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_of AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM cand WHERE k = 3)
+  GROUP BY lang, phrase),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inner_of i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN sizes s ON s.lang = r.lang WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", _PHRASE_SQL)
+def op12_collocations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.collocations(docs).select(F.col("group").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 _MERKLE_SQL = r"""
 WITH RECURSIVE raw AS (
   SELECT row_number() OVER () AS r, doc_id, lang, text,
