@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Bytes of text in one index segment, about (a longer document is a segment of its own).
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 256 << 10
 #: Test words in one block of queries; every block is one pass over the stored index.
 BLOCK_WORDS = 200_000
 #: Distinct test terms up to which the index keeps only postings of these; beyond, it keeps all.
@@ -23,7 +23,7 @@ WINDOW = 13
 #: Byte table of the contract's tokenizer: A-Z lower-cased, digits, a-z and bytes over 127 kept, the rest a separator.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
-SEGMENT_SCHEMA = ("segment bigint, ids array<bigint>, n_words array<int>, terms array<binary>, "
+SEGMENT_SCHEMA = ("segment bigint, ids array<{}>, n_words array<int>, terms array<binary>, "
                   "starts array<int>, positions array<int>")
 MATCH_SCHEMA = "segment bigint, ordinal int, query bigint, start int, end int"
 
@@ -67,8 +67,8 @@ def _as_batch(rows):
     number, ids, n_words, terms, starts, at = zip(*rows)
     lists = lambda xs, t: pa.array([pa.array(x, t) if isinstance(x, list) else x for x in xs], pa.list_(t))
     return pa.RecordBatch.from_arrays(
-        [pa.array(number, pa.int64()), lists(ids, pa.int64()), lists(n_words, pa.int32()), lists(terms, pa.binary()),
-         lists(starts, pa.int32()), lists(at, pa.int32())],
+        [pa.array(number, pa.int64()), *[pa.array([x], pa.list_(x.type)) for x in ids], lists(n_words, pa.int32()),
+         lists(terms, pa.binary()), lists(starts, pa.int32()), lists(at, pa.int32())],
         ["segment", "ids", "n_words", "terms", "starts", "positions"])
 
 
@@ -79,7 +79,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A segment holds whole documents, about ``SEGMENT_BYTES`` of text: their ids and word counts, its terms, and for
     each term the sorted positions. Documents spread evenly over segments, so no term, however frequent, gathers in one
     task. ``vocabulary`` restricts the postings to terms that will be asked for; ``None`` keeps all. Null texts count
-    as empty. Ids are cast to bigint; repeated and null ids stay documents of their own.
+    as empty. Ids are of any type; repeated and null ids stay documents of their own.
     """
     names = None if vocabulary is None else {**{w: i for i, w in enumerate(vocabulary)}, "__names__": vocabulary}
 
@@ -87,18 +87,18 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts = batch.column(0), batch.column(1)
             size, first = 0, 0
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for i, n in enumerate(lengths):
                 size += n
                 if size >= SEGMENT_BYTES or i == len(lengths) - 1:
                     part = [t or b"" for t in texts.slice(first, i + 1 - first).to_pylist()]
-                    yield _as_batch([_segment(number, ids[first:i + 1], part, names)])
+                    yield _as_batch([_segment(number, ids.slice(first, i + 1 - first), part, names)])
                     number, size, first = number + 1, 0, i + 1
 
-    return stored(docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string").cast("binary"))
-                  .mapInArrow(build, SEGMENT_SCHEMA))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    return stored(rows.mapInArrow(build, SEGMENT_SCHEMA.format(rows.schema["id"].dataType.simpleString())))
 
 
 class _Queries:

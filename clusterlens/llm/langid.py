@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +20,10 @@ SWITCH_PENALTY = 8.0
 #: A language is a candidate for a script that holds at least this share of its training words.
 SCRIPT_SHARE = 0.01
 #: Text handled at a time by a task, and words whose scores it remembers.
-CHUNK_BYTES, CACHE_WORDS = 4 << 20, 200_000
+CHUNK_BYTES, CACHE_WORDS = 1 << 20, 100_000
 
-_WORD = re.compile(r"[^\W\d_]+")
-_LETTER = r"\p{L}"
+#: A word: letters, with the marks that combine with them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 #: First code points of script ranges, and the script that starts there (fixed values, Unicode blocks).
 SCRIPTS = [(0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -52,10 +52,10 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[inside], starts, _SCRIPT_OF_RANGE[np.searchsorted(_STARTS, c[first + 1], "right") - 1]
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Texts of a batch in chunks of about CHUNK_BYTES, with the row at which each chunk starts; null is empty."""
     part, size, first = [], 0, 0
-    for t in batch.column(column):
+    for t in column:
         t = t.as_py() or ""
         part.append(t)
         size += len(t)
@@ -86,7 +86,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for first, texts in _texts(batch, 1):
+            for first, texts in _texts(batch.column(1)):
                 by: dict[str, list[str]] = {}
                 for lang, t in zip(langs[first:first + len(texts)], texts):
                     by.setdefault(lang, []).append(t)
@@ -192,10 +192,6 @@ def label_texts(docs: DataFrame, model: Model, text_col: str = "text", penalty:
     ``und`` with score 0, as is everything if nothing was learned. A model is BUCKETS x languages numbers. Rows are
     kept one to one; input columns named like a result are replaced; an empty table gives an empty result.
     """
-    names = {c.lower() for c in ("lang_pred", "score", "lang_spans")}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
-    columns = kept.columns
-    column = columns.index(text_col)
     spans_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     languages = model.languages
 
@@ -225,18 +221,19 @@ def label_texts(docs: DataFrame, model: Model, text_col: str = "text", penalty:
         return [(languages[best[i]], float(sure[i, best[i]] / total[i]), spans[i]) if total[i] else ("und", 0.0, [])
                 for i in range(len(texts))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double,lang_spans:array<struct<lang:string,start:int,end:int>>>")
+    def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = _Scorer(model)
-        for batch in batches:
-            rows = [r for _, texts in _texts(batch, column) for r in one_chunk(score, texts)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
-                 pa.array([r[2] for r in rows], spans_type)],
-                [*columns, "lang_pred", "score", "lang_spans"])
-
-    out = kept.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
-                      F.expr("cast(array() as array<struct<lang:string,start:int,end:int>>)").alias("lang_spans"))
-    return kept.mapInArrow(run, out.schema)
+        for column in texts:
+            rows = [r for _, part in _texts(column) for r in one_chunk(score, part)]
+            yield pa.StructArray.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
+                 pa.array([r[2] for r in rows], spans_type)], ["lang_pred", "score", "lang_spans"])
+
+    # only the text goes to Python, and only the result comes back
+    found = attach(docs, {"__label": label(F.col(f"`{text_col}`").cast("string"))})
+    out = attach(found, {c: F.col(f"__label.{c}") for c in ("lang_pred", "score", "lang_spans")})
+    return out.drop("__label")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -20,6 +20,8 @@ TARGET_RECALL = 0.9995
 ROWS = 8
 #: A candidate group is compared in blocks of about so many sets and n-grams.
 BLOCK_SETS, BLOCK_GRAMS = 2048, 2_000_000
+#: Texts whose full sets are handed on at a time.
+FULL_ROWS = 512
 
 _SPACES = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c for c in range(256))
 
@@ -29,14 +31,33 @@ def bands_for(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, rows:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows))
 
 
-def shingles(text: bytes, n: int = N_GRAM) -> np.ndarray:
+class _Words:
+    """Hashes of words, remembered while their words take less than ``room`` bytes. Lives as long as one task's stream."""
+
+    def __init__(self, room: int = 8 << 20):
+        self.known: dict[bytes, int] = {}
+        self.room, self.held = room, 0
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get, miss = self.known.get, self._miss
+        return np.array([get(w) or miss(w) for w in words], np.uint64)
+
+    def _miss(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self.held += len(word) + 100
+        if self.held > self.room:
+            self.known.clear()
+            self.held = len(word) + 100
+        self.known[word] = h
+        return h
+
+
+def shingles(text: bytes, n: int = N_GRAM, words: _Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``n`` words; a shorter text is one run; none without words."""
-    words = text.translate(_SPACES).split(b" ")
-    words = [w for w in words if w]
-    if not words:
+    own = [w for w in text.translate(_SPACES).split(b" ") if w]
+    if not own:
         return np.zeros(0, np.uint64)
-    get = _seen.get
-    h = np.array([get(w) or _word_hash(w) for w in words], np.uint64)
+    h = (words or _Words()).of(own)
     k = min(n, len(h))
     out = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
@@ -45,16 +66,6 @@ def shingles(text: bytes, n: int = N_GRAM) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)) ^ np.uint64(k))
 
 
-_seen: dict[bytes, int] = {}
-
-
-def _word_hash(word: bytes) -> int:
-    if len(_seen) > 500_000:
-        _seen.clear()
-    h = _seen[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return h
-
-
 def _digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
@@ -87,10 +98,11 @@ def _sets(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         return h.view(np.int64)
 
     def run(batches):
+        words = _Words()
         for batch in batches:
             keys, sizes, hashes, seen = [], [], [], set()
             for t in batch.column(1):
-                grams = shingles(t.as_py() or b"", n)
+                grams = shingles(t.as_py() or b"", n, words)
                 key = _digest(grams) if len(grams) else None
                 keys.append(key)
                 sizes.append(len(grams))
@@ -238,12 +250,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("n"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
         for batch in batches:
-            grams = [shingles(t.as_py() or b"", n) for t in batch.column(0)]
-            fits = pa.array([_digest(g) == k.as_py() for g, k in zip(grams, batch.column(1))], pa.bool_())
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([g.tobytes() for g in grams], pa.binary())],
-                                             ["key", "root", "blocks", "own", "grams"])
-            yield out.filter(fits)
+            for at in range(0, batch.num_rows, FULL_ROWS):
+                part = batch.slice(at, FULL_ROWS)
+                grams = [shingles(t.as_py() or b"", n, words) for t in part.column(0)]
+                fits = pa.array([_digest(g) == k.as_py() for g, k in zip(grams, part.column(1))], pa.bool_())
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([g.tobytes() for g in grams], pa.binary())],
+                                                 ["key", "root", "blocks", "own", "grams"])
+                yield out.filter(fits)
 
     # the same plan at every size: whole texts meet their candidates by a shuffle
     placed = (base.join(place.hint("merge"), base["doc_id"].eqNullSafe(place["id"])).select("text", "key", "root", "blocks", "own")
