@@ -46,12 +46,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark contract does not call contaminated; every row is judged by its own text."""
+    """Documents that the benchmark contract does not call contaminated; every row is judged by its own text.
+
+    The verdict follows from the text alone, so a digest of the text names the document.
+    """
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    rows = stored(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
-    found = decontam.find_contamination(rows, items, id_col="__row")
-    bad = found.filter(decontam.contaminated()).select(F.col("doc_id").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").select(*COLUMNS)
+    digest = F.unhex(F.md5(text_or_empty(F.col("text"))))
+    found = decontam.find_contamination(docs.select(digest.alias("digest"), "text"), items, id_col="digest")
+    bad = stored(found.filter(decontam.contaminated()).select(F.col("doc_id").alias("digest")).distinct())
+    kept = docs.select(*COLUMNS)
+    return kept.join(bad, digest == bad["digest"], "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
