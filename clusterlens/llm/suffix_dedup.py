@@ -15,8 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import stored
+from .merkle import numbered
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a task scans at once, and bytes whose suffixes it sorts at once.
@@ -97,7 +99,7 @@ def _unpack(p):
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Minimiser runs of all documents: h, c, doc_id, pack.
+    """Minimiser runs of all documents: h, c, doc_id, name, pack.
 
     Of runs with equal gram and surroundings in a batch only the earliest keeps h; the others are marked as repeats.
     """
@@ -106,11 +108,14 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             doc_ids, known = pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False)
-            ties = batch.column(1).to_numpy()
-            texts = [t.as_py() or b"" for t in batch.column(2)]
+            names, ties = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            texts = [t.as_py() or b"" for t in batch.column(3)]
             rank = np.zeros(len(texts), np.int64)  # equal documents share a rank
-            order = np.lexsort((ties, doc_ids, known))
-            differ = (doc_ids[order][1:] != doc_ids[order][:-1]) | (ties[order][1:] != ties[order][:-1]) | (known[order][1:] != known[order][:-1])
+            key = (ties, names, doc_ids, known)
+            order = np.lexsort(key)
+            differ = np.zeros(max(len(order) - 1, 0), bool)
+            for k in key:
+                differ |= k[order][1:] != k[order][:-1]
             rank[order] = np.concatenate([[0], np.cumsum(differ)])
             found = []
             for parts in _pieces(texts, length):
@@ -133,17 +138,19 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             twin = np.zeros(len(h), bool)  # the same place of a document that the table holds twice
             twin[1:] = same[1:] & (rank[d[1:]] == rank[d[:-1]]) & (first[1:] == first[:-1])
-            h = np.where(same, _mix((h ^ ties[d] ^ (first << 20)).view(np.uint64)).view(np.int64), h)  # spread evenly
+            h = np.where(same, _mix((h ^ names[d] ^ (first << 20)).view(np.uint64)).view(np.int64), h)  # spread evenly
             keep = ~twin
             pack = _pack(ties[d], first, more, same.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[keep]), pa.array(c[keep]), ids.take(pa.array(d[keep])), pa.array(pack[keep])],
-                ["h", "c", "doc_id", "pack"])
+                [pa.array(h[keep]), pa.array(c[keep]), ids.take(pa.array(d[keep])), pa.array(names[d[keep]]), pa.array(pack[keep])],
+                ["h", "c", "doc_id", "name", "pack"])
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(run, "h bigint, c bigint, doc_id bigint, pack bigint")
+    return docs.select(*KEY, "text").mapInArrow(run, "h bigint, c bigint, doc_id bigint, name bigint, pack bigint")
 
 
-_FOUND = "doc_id bigint, tie bigint, first int, last int, h bigint"
+#: What names a document: its id, and 84 bits of two hashes of its text. It orders documents of one id as well.
+KEY = ["doc_id", "name", "tie"]
+_FOUND = "doc_id bigint, name bigint, tie bigint, first int, last int, h bigint"
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def _repeated(runs: DataFrame) -> DataFrame:
         many = False
         for batch in batches:
             h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            pack, ids = batch.column(3).to_numpy(), batch.column(2)
+            name, pack, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(2)
             n = len(h)
             if not n:
                 continue
@@ -171,9 +178,9 @@ def _repeated(runs: DataFrame) -> DataFrame:
             doc, known = pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False)
             lead = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
             own = lead >= 0
-            twin = own & ~new_c & (doc == doc[lead]) & (known == known[lead]) & (pack >> 8 == pack[lead] >> 8)
+            twin = own & ~new_c & (doc == doc[lead]) & (known == known[lead]) & (name == name[lead]) & (pack >> 8 == pack[lead] >> 8)
             if leader is not None:
-                twin |= ~own & (doc == leader[0]) & (known == leader[1]) & (pack >> 8 == leader[2])
+                twin |= ~own & (doc == leader[0]) & (known == leader[1]) & (name == leader[2]) & (pack >> 8 == leader[3])
             marked = repeat | (~new_c & ~twin)
             # surroundings of each gram seen in this batch; the first gram may have begun before
             group = np.cumsum(new_h) - new_h[0]
@@ -181,29 +188,29 @@ def _repeated(runs: DataFrame) -> DataFrame:
             if not new_h[0]:
                 kinds[0] += 1 + many
             need = new_c & ~repeat & (kinds[group] > 1)
-            out_ids, out = [ids.filter(pa.array(marked))], [(tie[marked], first[marked], more[marked], None)]
+            out_ids, out = [ids.filter(pa.array(marked))], [(name[marked], tie[marked], first[marked], more[marked], None)]
             if not new_h[0] and held is not None and kinds[0] > 1:
                 held_row, many = held, True
                 out_ids.append(pa.array([held_row[0]], pa.int64()))
-                out.append((np.array([held_row[1]]), np.array([held_row[2]]), np.array([held_row[3]]), np.array([last[0]])))
+                out.append((*[np.array([x]) for x in held_row[1:]], np.array([last[0]])))
                 held = None
             out_ids.append(ids.filter(pa.array(need)))
-            out.append((tie[need], first[need], more[need], h[need]))
-            for i, (t, f, m, g) in zip(out_ids, out):
+            out.append((name[need], tie[need], first[need], more[need], h[need]))
+            for i, (w, t, f, m, g) in zip(out_ids, out):
                 if len(t):
                     yield pa.RecordBatch.from_arrays(
-                        [i, pa.array(t), pa.array(f.astype(np.int32)), pa.array((f + m).astype(np.int32)),
+                        [i, pa.array(w), pa.array(t), pa.array(f.astype(np.int32)), pa.array((f + m).astype(np.int32)),
                          pa.nulls(len(t), pa.int64()) if g is None else pa.array(g)],
-                        ["doc_id", "tie", "first", "last", "h"])
+                        [*KEY, "first", "last", "h"])
             last = (h[-1], c[-1])
             if lead[-1] >= 0:
-                leader = (doc[lead[-1]], known[lead[-1]], pack[lead[-1]] >> 8)
+                leader = (doc[lead[-1]], known[lead[-1]], name[lead[-1]], pack[lead[-1]] >> 8)
             if new_h.any():
                 many = kinds[-1] > 1
                 k = np.flatnonzero(new_h)[-1]
-                held = None if many or repeat[k] else (ids[int(k)].as_py(), tie[k], first[k], more[k])
+                held = None if many or repeat[k] else (ids[int(k)].as_py(), name[k], tie[k], first[k], more[k])
 
-    return (runs.repartition("h").sortWithinPartitions("h", "c", "doc_id", "pack")
+    return (runs.repartition("h").sortWithinPartitions("h", "c", "doc_id", "name", "pack")
             .mapInArrow(run, _FOUND))
 
 
@@ -300,10 +307,10 @@ def _sorted_parts(contexts: DataFrame, length: int) -> DataFrame:
 
         def flush():
             # rows come by key, then document; their order over all keys is by document and place
-            docs = sorted({((r[1] is not None, r[1] or 0), r[2]) for r in rows})
-            number = {d: i for i, d in enumerate(docs)}
-            rank = np.array([(number[(r[1] is not None, r[1] or 0), r[2]] << 32) + r[3] for r in rows], np.int64)
-            owner, off, firsts = _later_copies([r[4] for r in rows], rank, length)
+            doc = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
+            number = {d: i for i, d in enumerate(sorted({doc(r) for r in rows}))}
+            rank = np.array([(number[doc(r)] << 32) + r[4] for r in rows], np.int64)
+            owner, off, firsts = _later_copies([r[5] for r in rows], rank, length)
             fresh = owner >= old
             owner, off = owner[fresh], off[fresh]
             by = np.lexsort((off, owner))
@@ -313,11 +320,11 @@ def _sorted_parts(contexts: DataFrame, length: int) -> DataFrame:
                 new[1:] = (owner[1:] != owner[:-1]) | (off[1:] != off[:-1] + 1)
                 lead = np.flatnonzero(new)
                 end = np.append(lead[1:], len(owner)) - 1
-                at = np.array([r[3] for r in rows])
+                at = np.array([r[4] for r in rows])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[o][1] for o in owner[lead]], pa.int64()), pa.array([rows[o][2] for o in owner[lead]], pa.int64()),
+                    [*[pa.array([rows[o][c] for o in owner[lead]], pa.int64()) for c in (1, 2, 3)],
                      pa.array((at[owner[lead]] + off[lead]).astype(np.int32)), pa.array((at[owner[lead]] + off[end]).astype(np.int32))],
-                    ["doc_id", "tie", "first", "last"])
+                    [*KEY, "first", "last"])
             return firsts
 
         for batch in batches:
@@ -325,18 +332,18 @@ def _sorted_parts(contexts: DataFrame, length: int) -> DataFrame:
                 if size >= SORT_BYTES and rows and r[0] != rows[-1][0]:
                     yield from flush()
                     rows, size, old = [], 0, 0
-                elif size >= 4 * SORT_BYTES and len(r[4]) == length:
+                elif size >= 4 * SORT_BYTES and len(r[5]) == length:
                     # a very frequent string: documents come in order, so its earliest places are all that is kept
                     firsts = yield from flush()
-                    rows = [rows[i] for i in firsts if rows[i][0] == r[0] and len(rows[i][4]) == length]
+                    rows = [rows[i] for i in firsts if rows[i][0] == r[0] and len(rows[i][5]) == length]
                     size, old = len(rows) * length, len(rows)
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if rows:
             yield from flush()
 
-    return (contexts.repartition("h").sortWithinPartitions("h", "doc_id", "tie", "first")
-            .mapInArrow(run, "doc_id bigint, tie bigint, first int, last int"))
+    return (contexts.repartition("h").sortWithinPartitions("h", *KEY, "first")
+            .mapInArrow(run, "doc_id bigint, name bigint, tie bigint, first int, last int"))
 
 
 def _cover(text: bytes, ranges, length: int):
@@ -356,7 +363,7 @@ def _cover(text: bytes, ranges, length: int):
     return gone, spans, kept.hexdigest()
 
 
-_HALF = ("doc_id bigint, tie bigint, n_bytes bigint, text binary, ranges array<struct<first:int,last:int>>, "
+_HALF = ("doc_id bigint, name bigint, tie bigint, n_bytes bigint, text binary, ranges array<struct<first:int,last:int>>, "
          "contexts array<struct<h:bigint,first:int,bytes:binary>>, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -366,33 +373,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removes each byte covered by a ``length``-byte string that also starts earlier: in a document with a smaller id or
     at an earlier place of the same one (null ids come first; documents with the same id and different texts are ordered
-    by a hash of the text; rows equal in id and text are one document and get the same result each). Null texts are
-    empty. Texts are UTF-8 bytes; strings never cross documents and are judged on the input. Ids are cast to bigint.
-    Extra columns are ignored; an empty table gives an empty result. Documents up to 2 GB.
+    by hashes of the text; rows equal in id and text are one document and get the same result each). Null texts are
+    empty. Texts are UTF-8 bytes; strings never cross documents and are judged on the input. Ids of any type that can be
+    ordered; other than integers they are numbered in their order first. Extra columns are ignored; an empty table gives
+    an empty result. Documents up to 2 GB.
 
     Text is shuffled once by document, runs of starts by minimiser; a run that equals an earlier one needs no sorting.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    tie = F.shiftrightunsigned(F.xxhash64(text), 44)
-    base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), tie.alias("tie"), text.cast("binary").alias("text"))
+    given = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    if not isinstance(given.schema["doc_id"].dataType, IntegralType):
+        return _with_numbers(given, lambda df: remove_repeats(df, length=length, gram=gram))
+    base = given.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("name"),
+                        F.shiftrightunsigned(F.xxhash64(F.lit(1), "text"), 44).alias("tie"), F.col("text").cast("binary").alias("text"))
     found = stored(_repeated(_runs(base, length, gram)))
     hot = (found.filter(F.col("h").isNotNull()).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
            .filter(F.col("n") > HOT_CONTEXTS).select("h", F.lit(True).alias("hot")))
     # repeats have no minimiser to look up; they pass by the join
     marked = (found.filter(F.col("h").isNotNull()).join(hot, "h", "left")
               .unionByName(found.filter(F.col("h").isNull()).withColumn("hot", F.lit(None).cast("boolean"))))
-    per_doc = marked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last", "h", "hot")).alias("runs"))
-    both = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["doc_id"]) & (base["tie"] == per_doc["tie"]), "left") \
-        .select(base["doc_id"], base["tie"], "text", "runs")
+    per_doc = marked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "h", "hot")).alias("runs"))
+    both = base.join(per_doc, _same(base, per_doc), "left").select(*[base[c] for c in KEY], "text", "runs")
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, t, body, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, body, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 ranges = [(r["first"], r["last"]) for r in runs or () if r["h"] is None]
                 open_ = [r for r in runs or () if r["h"] is not None]
                 if not open_:
-                    rows.append((doc, t, len(body), None, None, None, *_cover(body, ranges, length)))
+                    rows.append((*key, len(body), None, None, None, *_cover(body, ranges, length)))
                     continue
                 contexts = []
                 for r in open_:
@@ -402,25 +412,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                       "first": s, "bytes": body[s:s + length]} for s in range(a, b + 1)]
                     else:
                         contexts.append({"h": r["h"], "first": a, "bytes": body[a:b + length]})
-                rows.append((doc, t, len(body), body, [{"first": a, "last": b} for a, b in ranges], contexts, None, None, None))
+                rows.append((*key, len(body), body, [{"first": a, "last": b} for a, b in ranges], contexts, None, None, None))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(),
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
                          pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])),
                          pa.list_(pa.struct([("h", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())])),
                          pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), types)],
-                                                 ["doc_id", "tie", "n_bytes", "text", "ranges", "contexts",
+                                                 [*KEY, "n_bytes", "text", "ranges", "contexts",
                                                   "n_removed", "n_spans", "kept_sha256"])
 
     half = stored(both.mapInArrow(halve, _HALF))
-    contexts = (half.filter(F.col("contexts").isNotNull()).dropDuplicates(["doc_id", "tie"])
-                if _has_twins(half) else half.filter(F.col("contexts").isNotNull()))
-    contexts = contexts.select("doc_id", "tie", F.explode("contexts").alias("x")).select(
-        "x.h", "doc_id", "tie", "x.first", "x.bytes")
-    more = _sorted_parts(contexts, length).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("more"))
-    rest = half.filter(F.col("text").isNotNull()).select("doc_id", "tie", "n_bytes", "text", "ranges")
-    rest = rest.join(more, rest["doc_id"].eqNullSafe(more["doc_id"]) & (rest["tie"] == more["tie"]), "left") \
-        .select(rest["doc_id"], "n_bytes", "text", "ranges", "more")
+    contexts = half.filter(F.col("contexts").isNotNull())
+    if _has_twins(half):
+        contexts = contexts.dropDuplicates(KEY)
+    contexts = contexts.select(*KEY, F.explode("contexts").alias("x")).select("x.h", *KEY, "x.first", "x.bytes")
+    more = _sorted_parts(contexts, length).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("more"))
+    rest = half.filter(F.col("text").isNotNull()).select(*KEY, "n_bytes", "text", "ranges")
+    rest = rest.join(more, _same(rest, more), "left").select(rest["doc_id"], "n_bytes", "text", "ranges", "more")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,4 +448,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _has_twins(half: DataFrame) -> bool:
     """Whether some document with open runs is in the table twice."""
-    return half.filter(F.col("text").isNotNull()).groupBy("doc_id", "tie").count().filter("count > 1").limit(1).count() > 0
+    return half.filter(F.col("text").isNotNull()).groupBy(*KEY).count().filter("count > 1").limit(1).count() > 0
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["name"] == b["name"]) & (a["tie"] == b["tie"])
+
+
+def _with_numbers(docs: DataFrame, work) -> DataFrame:
+    """``work`` on ``docs`` with ids replaced by their places in order, and the ids put back. Null ids stay null."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    ids = stored(numbered(known.select(F.lit(0).alias("all"), "doc_id").distinct(), "all", ["doc_id"]).select(
+        F.col("doc_id").alias("id"), "pos"))
+    out = work(known.join(ids, known["doc_id"] == ids["id"]).select(F.col("pos").alias("doc_id"), "text").unionByName(
+        docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), "text")))
+    rest = [c for c in out.columns if c != "doc_id"]
+    named = out.filter(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("pos")).select(F.col("id").alias("doc_id"), *rest)
+    none = F.lit(None).cast(ids.schema["id"].dataType).alias("doc_id")
+    return named.unionByName(out.filter(F.col("doc_id").isNull()).select(none, *rest))

@@ -237,6 +237,29 @@ def test_repeated_rows_are_one_document(make_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
 
 
+def test_many_texts_under_one_id(make_docs):
+    """Null and repeated ids: a passage goes from all texts but one, unique texts keep every byte."""
+    rng = random.Random(6)
+    passage = _prose(rng, 40)[0]
+    rows = [(None if i % 3 else 7, f"{i} " + rng.randbytes(60).hex() + (passage if i % 2 else "")) for i in range(6000)]
+    rows += [(i, f"own {i} " + passage) for i in (-3, 9)]
+    got = suffix_dedup.remove_repeats(make_docs(rows).repartition(4)).collect()
+    assert len(got) == len(rows)
+    shared = [r for r in got if r["n_bytes"] > 200]
+    assert len(shared) == 3002 and sum(r["n_removed"] == 0 for r in shared) == 1
+    # the passage goes, and the few random digits before it that another text has there too
+    assert {r["n_removed"] for r in shared if r["n_removed"]} <= set(range(len(passage), len(passage) + 12))
+    assert all(r["n_removed"] == 0 for r in got if r["n_bytes"] <= 200)
+    assert next(r for r in shared if r["n_removed"] == 0)["doc_id"] is None  # null ids come first
+
+
+def test_text_ids(make_docs):
+    docs = [(i, t) for i, t in _repeat_docs() if i is not None]
+    want = {f"k{r[0] + 1000:09d}": list(r)[1:] for r in suffix_dedup.remove_repeats(make_docs(docs)).collect()}
+    named = make_docs(docs).withColumn("doc_id", F.format_string("k%09d", F.col("doc_id") + 1000))
+    assert {r[0]: list(r)[1:] for r in suffix_dedup.remove_repeats(named).collect()} == want
+
+
 # ---- n-gram join
 
 def _near_docs():
