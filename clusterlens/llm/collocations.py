@@ -29,22 +29,17 @@ FILTER_BITS = 1 << 26
 #: Bytes of text that a task takes at a time.
 STEP_BYTES = 4 << 20
 
-_BREAK = b"\n"
+#: Stands between the pieces of a text; no byte of UTF-8.
+_BREAK = b"\xff"
 #: Byte table of the contract: A-Z lower-cased, ``.,;:!?`` and line ends are breaks.
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: bytes) -> list[bytes]:
-    """Words of a text with a break between its pieces."""
-    out: list[bytes] = []
-    for piece in text.translate(_TABLE).split(_BREAK):
-        w = piece.split()
-        if w:
-            if out:
-                out.append(_BREAK)
-            out += w
-    return out
+    """Words of a text, with breaks between its pieces."""
+    text = text.translate(_TABLE).replace(b"\xff\xff", _BREAK)
+    return text.replace(_BREAK, b" \xff ").split()
 
 
 def _numbered(tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -68,22 +63,47 @@ def _rolled(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def chunks(tokens: list[bytes], codes: np.ndarray, hashes: np.ndarray, overlap: int, trigger: int) -> list[bytes]:
-    """The chunks of one document, ended by ``overlap`` breaks; consecutive ones share ``overlap`` tokens."""
-    n = len(tokens)
-    tokens = tokens + [_BREAK] * overlap
-    if n <= overlap:
-        return [b" ".join(tokens)]
+def cuts(codes: np.ndarray, hashes: np.ndarray, ends: np.ndarray, overlap: int, trigger: int) -> np.ndarray:
+    """Where chunks begin in texts that lie end to end, each followed by ``overlap`` breaks (``ends``: behind these)."""
+    begins = np.concatenate([[0], ends[:-1]])
+    if len(codes) <= overlap:
+        return begins
     h = hashes[codes]
-    windows = _rolled([h[i:n - overlap + 1 + i] for i in range(overlap)])
-    # a chunk holds at least one start of its own
-    at = np.flatnonzero(windows % np.uint64(trigger) == 0)
-    at = at[at > 0].tolist()
-    return [b" ".join(tokens[a:b + overlap]) for a, b in zip([0, *at], [*at, n])]
+    n = len(codes) - overlap + 1
+    hit = _rolled([h[i:n + i] for i in range(overlap)]) % np.uint64(trigger) == 0
+    hit[begins] = True
+    for back in range(1, overlap + 1):  # the closing breaks begin no chunk
+        last = ends - back
+        hit[last[last < n]] = False
+    return np.flatnonzero(hit)
+
+
+def chunks(texts: list[bytes], overlap: int, trigger: int) -> tuple[list[bytes], np.ndarray]:
+    """The chunks of all texts in order, and how many each text has; consecutive ones share ``overlap`` tokens."""
+    tokens: list[bytes] = []
+    ends = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        own = words(t)
+        if own:
+            tokens += own
+            tokens += [_BREAK] * overlap
+        ends[i] = len(tokens)
+    real = np.unique(ends[ends > 0])
+    if not len(real):
+        return [], np.zeros(len(texts), np.int64)
+    codes, names = _numbered(tokens)
+    at = cuts(codes, _hashes(names), real, overlap, trigger)
+    text_end = real[np.searchsorted(real, at, "right")]
+    stop = np.minimum(np.append(at[1:], len(tokens)) + overlap, text_end)
+    out = [b" ".join(tokens[a:b]) for a, b in zip(at.tolist(), stop.tolist())]
+    return out, np.diff(np.concatenate([[0], np.searchsorted(at, ends)]))
+
+
+BLOCK_SCHEMA = "group string, names array<string>, hashes binary, codes binary, lengths binary, freq binary"
 
 
 def build_dictionary(docs: DataFrame, text: Column, group: Column, max_words: int = 3, trigger: int = TRIGGER) -> DataFrame:
-    """Write the distinct chunks of all texts: group, chunk (tokens joined by a space), freq.
+    """Write the distinct chunks of all texts with their frequencies, in blocks of numbered tokens of one group each.
 
     The last ``max_words - 1`` tokens of a chunk are its overlap with the next one (breaks at the end of a text). A null
     text has no chunk.
@@ -91,54 +111,75 @@ def build_dictionary(docs: DataFrame, text: Column, group: Column, max_words: in
     overlap, step = max_words - 1, STEP_BYTES
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, bytes], int] = {}
-        held = 0
+        def out(groups, texts):
+            found, n = chunks(texts, overlap, trigger)
+            counts: dict[tuple[str, bytes], int] = {}
+            for key in zip(np.repeat(np.array(groups, object), n), found):
+                counts[key] = counts.get(key, 0) + 1
+            if counts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()),
+                     pa.array(list(counts.values()), pa.int64())], ["group", "chunk", "freq"])
+
+        groups, texts, size = [], [], 0
+        for batch in batches:
+            for g, t in zip(batch.column(0), batch.column(1)):
+                groups.append(g.as_py())
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size > step:
+                    yield from out(groups, texts)
+                    groups, texts, size = [], [], 0
+        yield from out(groups, texts)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list, list]] = {}
+        size = 0
 
         def out():
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()),
-                 pa.array(list(counts.values()), pa.int64())], ["group", "chunk", "freq"])
+            for group, (texts, freq) in held.items():
+                codes, names = _numbered(b" ".join(texts).split(b" "))
+                lengths = np.fromiter((t.count(b" ") + 1 for t in texts), np.int32, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group], pa.string()), pa.array([[n.decode() for n in names[1:]]], pa.list_(pa.string())),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in
+                       (_hashes(names), codes.astype(np.int32), lengths, np.array(freq, np.int64))]],
+                    ["group", "names", "hashes", "codes", "lengths", "freq"])
 
         for batch in batches:
-            for g, t in zip(batch.column(0), batch.column(1)):
-                tokens = words(t.as_py())
-                if not tokens:
-                    continue
-                codes, names = _numbered(tokens)
-                own = g.as_py()
-                for c in chunks(tokens, codes, _hashes(names), overlap, trigger):
-                    key = (own, c)
-                    counts[key] = counts.get(key, 0) + 1
-                    held += len(c)
-                if held > step:
-                    yield out()
-                    counts, held = {}, 0
-        if counts:
-            yield out()
+            for g, c, f in zip(*(batch.column(i) for i in range(3))):
+                texts, freq = held.setdefault(g.as_py(), ([], []))
+                texts.append(c.as_py())
+                freq.append(f.as_py())
+                size += len(texts[-1])
+                if size >= step:
+                    yield from out()
+                    held, size = {}, 0
+        yield from out()
 
     rows = docs.select(group.cast("string").alias("group"), text.cast("string").cast("binary").alias("text")) \
         .filter(F.col("text").isNotNull())
-    parsed = rows.mapInArrow(parse, "group string, chunk string, freq bigint")
-    return stored(parsed.groupBy("group", "chunk").agg(F.sum("freq").alias("freq")))
+    counted = rows.mapInArrow(parse, "group string, chunk binary, freq bigint").groupBy("group", "chunk").agg(F.sum("freq").alias("freq"))
+    return stored(counted.mapInArrow(pack, BLOCK_SCHEMA))
 
 
 class _Pieces:
-    """A run of chunks of one group: numbered tokens, weights, and where n-grams may start."""
-
-    def __init__(self, group: str, texts: list[bytes], freq: np.ndarray, overlap: int):
-        self.group = group
-        tokens = b" ".join(texts).split(b" ")
-        self.codes, self.names = _numbered(tokens)
-        lengths = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
-        ends = np.cumsum(lengths)
-        own = np.ones(len(tokens), bool)
+    """A block of the dictionary: numbered tokens, weights, and where n-grams may start."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, overlap: int):
+        raw = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+        self.group = batch.column("group")[i].as_py()
+        self.names = batch.column("names")[i].values
+        self.hashes = raw("hashes", np.uint64)
+        self.codes = raw("codes", np.int32).astype(np.int64)
+        lengths, freq = raw("lengths", np.int32), raw("freq", np.int64)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        own = self.codes > 0
         for back in range(1, overlap + 1):
             own[ends - back] = False
+        self.starts = np.flatnonzero(own)
         self.weights = np.repeat(freq, lengths)
-        self.starts = np.flatnonzero(own & (self.codes > 0))
-        self.seed = np.uint64(xxhash.xxh3_64_intdigest(group.encode()))
-        self.hashes = _hashes(self.names)
+        self.seed = np.uint64(xxhash.xxh3_64_intdigest(self.group.encode()))
 
     def hash_of(self, at: np.ndarray, n: int, codes: np.ndarray) -> np.ndarray:
         return _rolled([np.full(len(at), self.seed), *[self.hashes[codes[at + i]] for i in range(n)]])
@@ -157,19 +198,19 @@ class _Pieces:
             at = at[_passes(own, self.hash_of(at, n, codes))]
         if not len(at):
             return np.zeros((0, n), np.int64), np.zeros(0, np.int64)
-        key, width = codes[at], len(self.names)
-        rows = key[:, None]
+        key, width, reach = codes[at], len(self.hashes), len(self.hashes)
         for i in range(1, n):
-            values, key = np.unique(key, return_inverse=True)  # keeps keys below rows x tokens
-            key = key * width + codes[at + i]
-            rows = np.column_stack([rows, codes[at + i]])
-        order = np.argsort(key, kind="stable")
+            if reach * width >= 1 << 63:
+                values, key = np.unique(key, return_inverse=True)
+                reach = len(values)
+            key, reach = key * width + codes[at + i], reach * width
+        order = np.argsort(key)
         first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-        return rows[order[first]], np.add.reduceat(self.weights[at][order], first)
+        lead = at[order[first]]
+        return np.column_stack([codes[lead + i] for i in range(n)]), np.add.reduceat(self.weights[at][order], first)
 
     def texts(self, grams: np.ndarray) -> pa.Array:
-        names = pa.array(self.names, pa.binary()).cast(pa.string())
-        parts = [names.take(pa.array(grams[:, i])) for i in range(grams.shape[1])]
+        parts = [self.names.take(pa.array(grams[:, i] - 1)) for i in range(grams.shape[1])]
         return pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
 
 
@@ -185,33 +226,16 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _each(dictionary: DataFrame, overlap: int, schema: str, make, name: str) -> DataFrame:
-    """Run ``make`` on the chunks of each group in steps of bounded size; it yields lists of Arrow columns."""
-    step = STEP_BYTES
-
+def _each(dictionary: DataFrame, overlap: int, schema: str, make, names: str) -> DataFrame:
+    """Run ``make`` on every block; it gives Arrow columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, list]] = {}
-        size = 0
-
-        def done():
-            for group, (texts, freq) in held.items():
-                cols = make(_Pieces(group, texts, np.array(freq, np.int64), overlap))
-                if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays(cols, name.split())
-
         for batch in batches:
-            for g, c, f in zip(*(batch.column(i) for i in range(3))):
-                texts, freq = held.setdefault(g.as_py(), ([], []))
-                text = c.as_buffer().to_pybytes()
-                texts.append(text)
-                freq.append(f.as_py())
-                size += len(text)
-                if size >= step:
-                    yield from done()
-                    held, size = {}, 0
-        yield from done()
+            for i in range(batch.num_rows):
+                cols = make(_Pieces(batch, i, overlap))
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays(cols, names.split())
 
-    return dictionary.select("group", "chunk", "freq").mapInArrow(run, schema)
+    return dictionary.mapInArrow(run, schema)
 
 
 def _counts(dictionary: DataFrame, n: int, overlap: int, own) -> DataFrame:

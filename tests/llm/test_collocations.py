@@ -85,22 +85,23 @@ def test_empty(spark):
 def test_chunks_cover_their_text():
     rng = random.Random(1)
     for _ in range(50):
-        tokens = collocations.words(" ".join(rng.choice(["a", "b", "c", "d."]) for _ in range(rng.randint(1, 80))).encode())
-        codes, names = collocations._numbered(tokens)
+        texts = [" ".join(rng.choice(["a", "b", "c", "d."]) for _ in range(rng.choice([0, 0, 1, 2, 80]))).encode() for _ in range(5)]
         for overlap in (1, 2, 3):
-            parts = [c.split(b" ") for c in collocations.chunks(tokens, codes, collocations._hashes(names), overlap, 3)]
-            assert [t for c in parts for t in c[:-overlap]] == tokens
-            assert all(a[-overlap:] == b[:overlap] for a, b in zip(parts, parts[1:]) if len(b) > overlap)
+            found, n = collocations.chunks(texts, overlap, 3)
+            at = 0
+            for t, k in zip(texts, n):
+                parts = [c.split(b" ") for c in found[at:at + k]]
+                at += k
+                assert [x for c in parts for x in c[:-overlap]] == collocations.words(t)
+                assert all(a[-overlap:] == b[:overlap] for a, b in zip(parts, parts[1:]))
+            assert at == len(found)
 
 
 def test_equal_passages_share_chunks():
     rng = random.Random(2)
     passage = " ".join(f"w{rng.randrange(50)}" for _ in range(400))
-    made = []
-    for lead in ("one two three ", "quite another beginning of a text "):
-        tokens = collocations.words((lead + passage).encode())
-        codes, names = collocations._numbered(tokens)
-        made.append(set(collocations.chunks(tokens, codes, collocations._hashes(names), 2, 16)))
+    made = [set(collocations.chunks([(lead + passage).encode()], 2, 16)[0])
+            for lead in ("one two three ", "quite another beginning of a text ")]
     assert len(made[0] & made[1]) >= len(made[0]) - 2
 
 
