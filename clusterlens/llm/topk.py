@@ -74,7 +74,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colu
                           quantised(F.col(f"`{vector_col}`"), scale).alias("v")).filter(F.col("v").isNotNull())
     spark = vectors.sparkSession
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
-    keys = [_leading(F.col("v"), LEADING_TERMS), F.col("id")]
+    keyed = rows.withColumn("key", _leading(F.col("v"), LEADING_TERMS))  # a column, or each comparison would compute it
     size = BLOCK_ROWS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,8 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colu
                     ["block", "ids", "queries", "dims", "vectors", "upper", "lower"])
                 number += 1
 
-    return stored(rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(pack, INDEX_SCHEMA))
+    laid = keyed.repartitionByRange(ranges, "key", "id").sortWithinPartitions("key", "id").select("id", "q", "v")
+    return stored(laid.mapInArrow(pack, INDEX_SCHEMA))
 
 
 class _Block:
