@@ -27,7 +27,7 @@ TRIGGER = 32
 #: Bits of the array of frequent n-grams (a fixed size: the larger, the fewer rare n-grams are counted in vain).
 FILTER_BITS = 1 << 26
 #: Bytes of text that a task takes at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 #: Stands between the pieces of a text; no byte of UTF-8.
 _BREAK = b"\xff"
@@ -99,7 +99,7 @@ def chunks(texts: list[bytes], overlap: int, trigger: int) -> tuple[list[bytes],
     return out, np.diff(np.concatenate([[0], np.searchsorted(at, ends)]))
 
 
-BLOCK_SCHEMA = "group string, names array<string>, hashes binary, codes binary, lengths binary, freq binary"
+BLOCK_SCHEMA = "group string, names binary, hashes binary, codes binary, lengths binary, freq binary"
 
 
 def build_dictionary(docs: DataFrame, text: Column, group: Column, max_words: int = 3, trigger: int = TRIGGER) -> DataFrame:
@@ -141,9 +141,9 @@ def build_dictionary(docs: DataFrame, text: Column, group: Column, max_words: in
                 codes, names = _numbered(b" ".join(texts).split(b" "))
                 lengths = np.fromiter((t.count(b" ") + 1 for t in texts), np.int32, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group], pa.string()), pa.array([[n.decode() for n in names[1:]]], pa.list_(pa.string())),
-                     *[pa.array([x.tobytes()], pa.binary()) for x in
-                       (_hashes(names), codes.astype(np.int32), lengths, np.array(freq, np.int64))]],
+                    [pa.array([group], pa.string()), *[pa.array([x], pa.binary()) for x in (
+                        b" ".join(names[1:]), _hashes(names).tobytes(), codes.astype(np.int32).tobytes(), lengths.tobytes(),
+                        np.array(freq, np.int64).tobytes())]],
                     ["group", "names", "hashes", "codes", "lengths", "freq"])
 
         for batch in batches:
@@ -169,7 +169,7 @@ class _Pieces:
     def __init__(self, batch: pa.RecordBatch, i: int, overlap: int):
         raw = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
         self.group = batch.column("group")[i].as_py()
-        self.names = batch.column("names")[i].values
+        self.names = batch.column("names")[i]
         self.hashes = raw("hashes", np.uint64)
         self.codes = raw("codes", np.int32).astype(np.int64)
         lengths, freq = raw("lengths", np.int32), raw("freq", np.int64)
@@ -210,7 +210,8 @@ class _Pieces:
         return np.column_stack([codes[lead + i] for i in range(n)]), np.add.reduceat(self.weights[at][order], first)
 
     def texts(self, grams: np.ndarray) -> pa.Array:
-        parts = [self.names.take(pa.array(grams[:, i] - 1)) for i in range(grams.shape[1])]
+        names = pa.array(self.names.as_py().split(b" "), pa.binary()).cast(pa.string())
+        parts = [names.take(pa.array(grams[:, i] - 1)) for i in range(grams.shape[1])]
         return pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
 
 
