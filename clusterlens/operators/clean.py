@@ -3,10 +3,11 @@ the composed clean step and its summary (A-12)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterlens.functions.text import (clean_label, coerce_numeric, normalize_category, normalize_multilabel,
+from clusterlens.functions.text import (clean_label, coerce_numeric, key_digest, normalize_category, normalize_multilabel,
                                         null_tokens, parse_duration_minutes)
 from clusterlens.operators.quantiles import medians
 
@@ -32,24 +33,53 @@ def newly_missing_counts(before: DataFrame, cols, tokens=DEFAULT_TOKENS) -> Data
     return row.select(stack.alias("s")).select("s.*")
 
 
+def _row_name(df: DataFrame):
+    """A long that names a row by its file and place there, for tables that are read straight from files; else None."""
+    name = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        df.select(name).schema
+    except AnalysisException:
+        return None
+    return name.alias("_at")
+
+
 def dedup(df: DataFrame, keys, order_col: str, keep: str = "first") -> DataFrame:
-    """W-1 as an aggregation: keep the first / last row per key by ``order_col``, or drop
-    every duplicated key (``keep='none'``). ``min_by``/``max_by`` aggregate map-side, so a
-    hot key never lands whole in one task (a window per key would sort it in one task)."""
+    """W-1: keep the first / last row per key by ``order_col``, or drop every duplicated key (``keep='none'``).
+
+    Rows of a file scan are found late: a hash aggregate over the 128-bit digest of the key, the order and the row's
+    address picks the winners, which then fetch their rows by a semi join on the address. Only the keys and the order
+    column are read for the first step, and whole rows are never aggregated. Other tables aggregate whole rows with
+    ``min_by`` / ``max_by``, map-side first, so that a hot key never lands whole in one task. Of rows with equal key
+    and order one stays.
+    """
+    if keep not in ("first", "last", "none"):
+        raise ValueError("keep must be first, last or none")
     keys = list(keys)
+    name = _row_name(df)
+    if name is None:
+        return _dedup_rows(df, keys, order_col, keep)
+    digest = [F.col(k) for k in keys]
+    narrow = df.select(*key_digest(digest, ("_d1", "_d2")), F.col(order_col).alias("_order"), name)
+    groups = narrow.groupBy("_d1", "_d2")
+    if keep == "none":
+        won = groups.agg(F.any_value("_at").alias("_w"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1)
+    else:
+        pick = F.min_by if keep == "first" else F.max_by
+        won = groups.agg(F.coalesce(pick("_at", "_order"), F.any_value("_at")).alias("_w"))
+    won = won.select(F.col("_d1").alias("_w1"), F.col("_d2").alias("_w2"), "_w")
+    full = df.select("*", *key_digest(digest, ("_d1", "_d2")), name)
+    same = (F.col("_d1") == F.col("_w1")) & (F.col("_d2") == F.col("_w2")) & (F.col("_at") == F.col("_w"))
+    return full.join(won.hint("shuffle_hash"), same, "left_semi").drop("_d1", "_d2", "_at")
+
+
+def _dedup_rows(df: DataFrame, keys: list[str], order_col: str, keep: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
-    if keep == "first":
-        agg = F.min_by(row, F.col(order_col)).alias("r")
-        out = df.groupBy(*keys).agg(agg)
-    elif keep == "last":
-        agg = F.max_by(row, F.col(order_col)).alias("r")
-        out = df.groupBy(*keys).agg(agg)
-    elif keep == "none":
-        out = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("r"))
-               .where(F.col("_n") == 1).drop("_n"))
+    if keep == "none":
+        out = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("r")).where(F.col("_n") == 1).drop("_n"))
     else:
-        raise ValueError("keep must be first, last or none")
+        pick = F.min_by if keep == "first" else F.max_by
+        out = df.groupBy(*keys).agg(F.coalesce(pick(row, F.col(order_col)), F.any_value(row)).alias("r"))
     return out.select(*keys, "r.*").select(*df.columns)
 
 

@@ -1,7 +1,8 @@
 """Cluster-quality metrics (M-9..M-14, J-5, J-6), over all rows and without size limits.
 
 Row data stays on the executors: centroids are a partial-aggregated ``Summarizer`` per cluster and join the rows by
-cluster, ARI / NMI are joins and sums over a ``groupBy(a, b).count()`` contingency table. The silhouette is the
+cluster, ARI / NMI are sums over a ``groupBy(a, b).count()`` contingency table and its margins, in one plan. Pairs of
+clusters meet in blocks by an equi-join. The silhouette is the
 squared-Euclidean one: the mean squared distance of a row to a cluster has a closed form in the cluster's mean and mean
 squared norm, so one pass over the rows is exact and no pairs of rows are built.
 """
@@ -9,10 +10,10 @@ squared norm, so one pass over the rows is exact and no pairs of rows are built.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterlens.functions.vectors import lit_vector, sq_dist
@@ -33,12 +34,22 @@ def _with_own_centroid(df, vec_col, cluster_col):
     return table, joined.withColumn("_d2", sq_dist(F.col(vec_col).cast("array<double>"), "_c"))
 
 
+#: Blocks of clusters that are paired with each other; every pair of blocks can be a task of its own.
+PAIR_BLOCKS = 16
+
+
+def _pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All pairs of a row of ``left`` and one of ``right``, two tables of one row per cluster, as an equi-join by block."""
+    return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)))).join(
+        right.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(PAIR_BLOCKS)).cast("int")), "_block").drop("_block")
+
+
 def davies_bouldin(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     """M-10: mean over clusters of max_j (s_i + s_j) / d(c_i, c_j); NULL for one cluster."""
     _, j = _with_own_centroid(df, vec_col, cluster_col)
     spread = j.groupBy("_k").agg(F.avg(F.sqrt("_d2")).alias("s"), F.any_value("_c").alias("c"))
     other = spread.select(F.col("_k").alias("k2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    pairs = spread.join(other, F.col("_k") != F.col("k2"))  # pairs of clusters, not of rows: the metric is over these
+    pairs = _pairs(spread, other, "k2").filter(F.col("_k") != F.col("k2"))
     d = F.sqrt(sq_dist("c", "c2"))
     ratio = F.when(d > 0, (F.col("s") + F.col("s2")) / d).otherwise(0.0)
     return pairs.groupBy("_k").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
@@ -99,15 +110,17 @@ def silhouette(df: DataFrame, vec_col: str, cluster_col: str, id_col: str | None
     def score(batches):
         number_, m, q, size, mu = bc.value
         total, count = 0.0, 0
-        for pdf in batches:
-            for i in range(0, len(pdf), 4096):
-                part = pdf.iloc[i:i + 4096]
-                X = np.stack(part["x"].to_numpy()).astype(float) - mu
-                total += float(row_silhouettes(X, part["k"].map(number_).to_numpy(), m, q, size).sum())
-                count += len(part)
-        yield pd.DataFrame({"s": [total], "n": [count]})
-
-    return (x.mapInPandas(score, "s double, n long")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            X = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            own = np.array([number_[v] for v in batch.column(0).to_pylist()])
+            for i in range(0, len(X), 4096):
+                total += float(row_silhouettes(X[i:i + 4096] - mu, own[i:i + 4096], m, q, size).sum())
+            count += len(X)
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([count])], ["s", "n"])
+
+    return (x.mapInArrow(score, "s double, n long")
             .agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").alias("rows")))
 
 
@@ -138,32 +151,34 @@ def ari_nmi_from_table(ct) -> tuple[float, float]:
 
 
 def ari_nmi(df: DataFrame, a: str, b: str) -> DataFrame:
-    """M-12 / M-13: sums over the contingency table, its margins joined back to the cells."""
-    ct = contingency(df, a, b)
-    rows = ct.groupBy("a").agg(F.sum("nij").alias("na"))
-    cols = ct.groupBy("b").agg(F.sum("nij").alias("nb"))
-    one = lambda t, c: t.agg(F.sum(F.col(c) * F.col(c)).alias("sq"), F.sum(c).alias("n"), F.count(F.lit(1)).alias("k")).first()
-    c, ra, cb = one(ct, "nij"), one(rows, "na"), one(cols, "nb")
-    n, ssq = c["n"] or 0.0, c["sq"] or 0.0
-    fp, fn = (cb["sq"] or 0.0) - ssq, (ra["sq"] or 0.0) - ssq
-    tp = ssq - n
-    tn = n * n - fp - fn - ssq
-    ari = 1.0 if fn == 0 and fp == 0 else 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))
-    nmi = 1.0
-    if n and not (ra["k"] == 1 and cb["k"] == 1):
-        cell = (ct.join(rows.withColumnRenamed("a", "a2"), F.col("a").eqNullSafe(F.col("a2")))
-                .join(cols.withColumnRenamed("b", "b2"), F.col("b").eqNullSafe(F.col("b2"))))
-        mi = cell.agg(F.sum(F.col("nij") / n * F.log(F.col("nij") * n / (F.col("na") * F.col("nb"))))).first()[0]
-        entropy = lambda t, x: -t.agg(F.sum(F.col(x) / n * F.log(F.col(x) / n))).first()[0]
-        nmi = 0.0 if abs(mi) < np.finfo(float).eps else float(mi / ((entropy(rows, "na") + entropy(cols, "nb")) / 2))
-    return df.sparkSession.createDataFrame([(float(ari), nmi)], "ari double, nmi double")
+    """M-12 / M-13 in one scan and one lazy plan: every cell of the contingency table gets its two margins, and all sums
+    over rows, columns and cells are sums over cells (sum of na squared = sum of nij na, and so on)."""
+    margin = lambda c: F.sum("nij").over(Window.partitionBy(c))
+    cells = contingency(df, a, b).select("nij", margin("a").alias("na"), margin("b").alias("nb"))
+    nij, na, nb = F.col("nij"), F.col("na"), F.col("nb")
+    sums = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum(nij).alias("n"), F.sum(nij * nij).alias("sq"), F.sum(nij * na).alias("sa"),
+                     F.sum(nij * nb).alias("sb"), F.sum(nij * F.log(na)).alias("la"), F.sum(nij * F.log(nb)).alias("lb"),
+                     F.sum(nij * F.log(nij)).alias("lab"))
+    n = F.coalesce("n", F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    s = sums.select("cells", n.alias("n"), (zero("sq") - n).alias("tp"), (zero("sb") - zero("sq")).alias("fp"),
+                    (zero("sa") - zero("sq")).alias("fn"), (n * n - zero("sa") - zero("sb") + zero("sq")).alias("tn"),
+                    ((F.col("lab") - F.col("la") - F.col("lb")) / n + F.log(n)).alias("mi"),
+                    (F.log(n) - F.col("la") / n).alias("ha"), (F.log(n) - F.col("lb") / n).alias("hb"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    ari = F.when((fn == 0) & (fp == 0), F.lit(1.0)).otherwise(
+        2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)))
+    # a mutual information of rounding errors is none
+    small = F.abs("mi") < float(np.finfo(float).eps) * F.greatest(F.log(n), F.lit(1.0)) * 4
+    nmi = F.when((F.col("cells") <= 1) | (n == 0), F.lit(1.0)).when(small, F.lit(0.0)).otherwise(F.col("mi") * 2 / (F.col("ha") + F.col("hb")))
+    return s.select(ari.alias("ari"), nmi.alias("nmi"))
 
 
 def close_means(df: DataFrame, vec_col: str, cluster_col: str, threshold: float = 0.5) -> DataFrame:
-    """J-6 / M-23: distance between every pair of cluster means i < j (a k-row theta join)."""
+    """J-6 / M-23: distance between every pair of cluster means i < j, which meet in blocks."""
     c = centroids(df, vec_col, cluster_col)
     a = c.select(F.col("cluster").alias("cluster_a"), F.col("centroid").alias("ca"))
     b = c.select(F.col("cluster").alias("cluster_b"), F.col("centroid").alias("cb"))
-    pairs = a.join(b, F.col("cluster_a") < F.col("cluster_b"))  # k(k-1)/2 rows of the parameter table
+    pairs = _pairs(a, b, "cluster_b").filter(F.col("cluster_a") < F.col("cluster_b"))
     d = F.sqrt(sq_dist("ca", "cb"))
     return pairs.select("cluster_a", "cluster_b", d.alias("distance"), (d < threshold).alias("close"))

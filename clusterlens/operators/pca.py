@@ -197,5 +197,5 @@ def transform(df: DataFrame, vec_col: str, id_col, model: PCAFit, out_col: str =
                     [*batch.columns[:n_keys], pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], [*keys, out_col])
 
     src = df.select(*[F.col(f"`{c}`") for c in keys], F.col(f"`{vec_col}`").cast("array<double>").alias("x"))
-    schema = T.StructType([src.schema[c] for c in keys]).add(out_col, "array<double>")
+    schema = T.StructType([src.schema[c] for c in keys]).add(out_col, T.ArrayType(T.DoubleType()))
     return src.mapInArrow(project, schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clusterlens.functions.text import key_digest
 from clusterlens.operators.quantiles import quantiles
 
 
@@ -20,12 +21,19 @@ def _unpivot_row(row_df: DataFrame, cols, fields) -> DataFrame:
 
 def null_distinct_profile(df: DataFrame, cols=None, approx: bool = False, missing_share=0.3,
                           cardinality_share=0.2) -> DataFrame:
-    """A-1, A-2, A-7, A-8: null and distinct counts per column with the share flags."""
+    """A-1, A-2, A-7, A-8: null and distinct counts per column with the share flags. NaN is one value."""
     cols = list(cols or df.columns)
-    dist = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"{c}__null_count") for c in cols],
-                 *[dist(c).alias(f"{c}__distinct_count") for c in cols])
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"{c}__null_count") for c in cols]
+    if approx:
+        row = df.agg(F.count(F.lit(1)).alias("_n"), *nulls,
+                     *[F.approx_count_distinct(c).alias(f"{c}__distinct_count") for c in cols])
+    else:
+        # distinct values of all columns in one pass over (column, 128-bit digest); values themselves are not shuffled
+        row = df.agg(F.count(F.lit(1)).alias("_n"), *nulls)
+        seen = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("c"), *key_digest([F.col(c)]))) for i, c in enumerate(cols)])
+        found = df.select(F.explode(F.filter(seen, lambda x: x.isNotNull())).alias("s")).select("s.*").groupBy("c", "d1", "d2").agg(F.lit(1)) \
+            .agg(*[F.count_if(F.col("c") == i).alias(f"{c}__distinct_count") for i, c in enumerate(cols)])
+        row = row.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one")  # one row with one row
     n = F.greatest(F.col("rows"), F.lit(1))
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__null_count").alias("null_count"),
                                F.col(f"{c}__distinct_count").alias("distinct_count")) for c in cols])
@@ -37,7 +45,7 @@ def null_distinct_profile(df: DataFrame, cols=None, approx: bool = False, missin
 
 def duplicate_key_count(df: DataFrame, key: str) -> DataFrame:
     """A-3: rows after the first of each key (NULL keys form one group)."""
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return (df.select(*key_digest([F.col(key)])).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"))
             .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
 
 

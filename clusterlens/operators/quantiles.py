@@ -1,36 +1,24 @@
 """Exact quantiles (linear interpolation) without a per-group value map.
 
-Spark's ``percentile`` / ``median`` keep every distinct value of a group in
-one hash map and merge it in one task; with a hot group (a third of all rows)
-that is one task holding a third of the column. Here each quantile is found by
-narrowing a value bracket with histogram passes instead:
-
-* pass: rows whose value falls in a target's bracket are bucketed into
-  ``buckets`` equal-width cells; ``groupBy(target, bucket)`` with partial
-  aggregation returns (count, min, max) per cell - at most targets x buckets
-  rows reach the driver, whatever the group sizes;
-* the driver keeps the cell holding the wanted rank; its actual min/max
-  become the next bracket;
-* a bracket with one distinct value is solved; a bracket with at most
-  ``small`` rows is finished by collecting those (bounded) values.
-
-Both ends of a bracket are values of the data and fall into different cells, so every pass narrows it. Infinite
-values never enter a bracket: they are counted beforehand, and ranks among them are known from the counts.
-
-Targets (groups x columns x ranks) are a small broadcast table whose size is
-checked before the broadcast. ``by`` must therefore be a low-cardinality key
-(clusters, categories), never a row key.
+Spark's ``percentile`` / ``median`` keep every distinct value of a group in one hash map and merge it in one task; with
+a hot group (a third of all rows) that is one task holding a third of the column. Here two passes find the same value:
+
+* pass 1: a mergeable sketch for each (group, column) gives, for every wanted rank, a bracket of two values between which
+  the rank lies. The sketch's rank error is at most n / ACCURACY, the bracket is a few times as wide;
+* pass 2: values inside a bracket are counted one by one, all values between brackets together, with partial
+  aggregation. A running sum of the counts by value then says which value holds which rank.
+
+Everything stays on the executors: brackets are a table joined by group and column, and the rows of one group that meet
+in a task are its distinct values inside brackets, a few n / ACCURACY. There is no limit on the number of groups.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_TARGETS = 200_000
+#: Rank error of the sketch as a share of the rows, inverted; brackets reach MARGIN times as far to either side.
+ACCURACY, MARGIN = 2000, 2
 
 
 def long_values(df: DataFrame, cols, by=()) -> DataFrame:
@@ -41,124 +29,70 @@ def long_values(df: DataFrame, cols, by=()) -> DataFrame:
     return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _between(lo: float, hi: float, frac: float) -> float:
+def _between(lo: Column, hi: Column, frac: Column) -> Column:
     """Linear interpolation; between a finite and an infinite value the infinite one, between both infinities NaN."""
-    if not frac or lo == hi:
-        return lo
-    if math.isinf(lo) or math.isinf(hi):
-        return lo * (1 - frac) + hi * frac
-    return lo + (hi - lo) * frac
-
-
-def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 2048, small: int = 4096) -> DataFrame:
-    """Return (by..., column, prob, value, n) with pandas / SQL ``quantile_cont`` semantics; NULL and NaN are left out."""
-    by = list(by)
-    cols = list(cols)
-    probs = [float(p) for p in probs]
-    spark = df.sparkSession
-    # the unpivoted values are read by every pass: persist them for the duration of the search
-    data = long_values(df, cols, by).persist()
-    try:
-        return _search(spark, df, data, cols, probs, by, buckets, small)
-    finally:
-        data.unpersist()
-
-
-def _search(spark, df, data, cols, probs, by, buckets, small):
-    max_groups = MAX_TARGETS // (2 * len(probs))
     inf = float("inf")
-    finite = F.when(F.abs("value") < inf, F.col("value"))
-    stats = data.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
-        F.count_if(F.col("value") == -inf).alias("below"), F.count_if(F.col("value") == inf).alias("above")
-    ).limit(max_groups + 1).collect()  # bounded collect: fail before a large table reaches the driver
-    if len(stats) > max_groups:
-        raise ValueError("exact_quantiles: too many groups for a bounded target table; use method='approx'")
-
-    # One target per distinct wanted rank of each (group, column).
-    groups = []
-    targets = {}  # tid -> dict(gidx, rank, lo, hi, offset, value)
-    rank_ids = {}
-    for gi, row in enumerate(stats):
-        key = tuple(row[b] for b in by)
-        n = row["n"]
-        groups.append((key, row["column"], n))
-        for p in probs:
-            h = (n - 1) * p
-            for r in {int(math.floor(h)), int(math.ceil(h))}:
-                if (gi, r) in rank_ids:
-                    continue
-                tid = len(targets)
-                rank_ids[(gi, r)] = tid
-                value = (-inf if r < row["below"] else inf if r >= n - row["above"]
-                         else row["lo"] if row["lo"] == row["hi"] else None)
-                targets[tid] = {"g": gi, "rank": r, "lo": row["lo"], "hi": row["hi"], "offset": row["below"],
-                                "n": n, "value": value, "collect": n - row["below"] - row["above"] <= small}
-
-    tschema = T.StructType([T.StructField(f"_g_{i}", df.schema[b].dataType, True) for i, b in enumerate(by)]
-                           + [T.StructField("_column", T.StringType()), T.StructField("tid", T.LongType()),
-                              T.StructField("t_lo", T.DoubleType()), T.StructField("t_hi", T.DoubleType()),
-                              T.StructField("collect", T.BooleanType())])
-
-    # keep each pass's driver result near 200k cells whatever the number of targets
-    buckets = int(min(buckets, max(64, 200_000 // max(1, len(targets)))))
-    while open_t := [t for t, s in targets.items() if s["value"] is None]:
-        rows = []
-        for t in open_t:
-            s = targets[t]
-            key, column, _n = groups[s["g"]]
-            rows.append((*key, column, t, float(s["lo"]), float(s["hi"]), bool(s.get("collect", False))))
-        tdf = F.broadcast(spark.createDataFrame(rows, tschema))
-        cond = [F.col("column") == F.col("_column")]
-        cond += [F.col(b).eqNullSafe(F.col(f"_g_{i}")) for i, b in enumerate(by)]
-        hit = data.join(tdf, cond, "inner").where(F.col("value").between(F.col("t_lo"), F.col("t_hi")))
-
-        collect_ids = [t for t in open_t if targets[t].get("collect")]
-        bucket_ids = [t for t in open_t if not targets[t].get("collect")]
-        if collect_ids:
-            got = (hit.where(F.col("collect"))
-                   .groupBy("tid").agg(F.sort_array(F.collect_list("value")).alias("vals")).collect())
-            for row in got:
-                s = targets[row["tid"]]
-                s["value"] = row["vals"][s["rank"] - s["offset"]]
-        if bucket_ids:
-            # halves, if the width itself would overflow
-            scale = F.when(F.col("t_hi") - F.col("t_lo") == inf, F.lit(0.5)).otherwise(F.lit(1.0))
-            width = F.col("t_hi") * scale - F.col("t_lo") * scale
-            bucket = F.least(F.floor((F.col("value") * scale - F.col("t_lo") * scale) / width * buckets),
-                             F.lit(buckets - 1)).cast("int")
-            cells = (hit.where(~F.col("collect")).withColumn("bucket", bucket)
-                     .groupBy("tid", "bucket")
-                     .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("mn"), F.max("value").alias("mx"))
-                     .collect())
-            per = {}
-            for row in cells:
-                per.setdefault(row["tid"], []).append((row["bucket"], row["c"], row["mn"], row["mx"]))
-            for t in bucket_ids:
-                s = targets[t]
-                cum = s["offset"]
-                for _b, c, mn, mx in sorted(per.get(t, [])):
-                    if s["rank"] < cum + c:
-                        s["lo"], s["hi"], s["offset"] = mn, mx, cum
-                        if mn == mx:
-                            s["value"] = mn
-                        elif c <= small:
-                            s["collect"] = True
-                        break
-                    cum += c
-
-    out = []
-    for gi, (key, column, n) in enumerate(groups):
-        for p in probs:
-            h = (n - 1) * p
-            lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
-            v_lo = targets[rank_ids[(gi, lo_r)]]["value"]
-            v_hi = targets[rank_ids[(gi, hi_r)]]["value"]
-            out.append((*key, column, p, float(_between(v_lo, v_hi, h - lo_r)), int(n)))
-    schema = T.StructType([T.StructField(b, df.schema[b].dataType, True) for b in by]
-                          + [T.StructField("column", T.StringType()), T.StructField("prob", T.DoubleType()),
-                             T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType())])
-    return spark.createDataFrame(out, schema)
+    return (F.when((frac == 0) | (lo == hi), lo).when((F.abs(lo) == inf) | (F.abs(hi) == inf), lo * (1 - frac) + hi * frac)
+            .otherwise(lo + (hi - lo) * frac))
+
+
+def _brackets(data: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """keys, n, ranks (from 0) and their brackets (lo, hi)."""
+    wide = MARGIN / ACCURACY
+    ends = [(max(p - wide, 0.0), min(p + wide, 1.0)) for p in probs]
+    asked = sorted({e for pair in ends for e in pair})
+    got = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", asked, ACCURACY).alias("q"),
+                                  F.min("value").alias("least"), F.max("value").alias("most"))
+    place = F.array(*[F.lit(p) for p in probs])
+    ranks = F.array_distinct(F.flatten(F.transform(place, lambda p: F.array(
+        F.floor((F.col("n") - 1) * p), F.ceil((F.col("n") - 1) * p)))))
+    # at both ends, and in groups where a few ranks more or less count, the bracket reaches the extreme value itself
+    few = F.col("n") < 4 * ACCURACY
+    lo = lambda e: F.when(few | F.lit(e == 0.0), F.col("least")).otherwise(F.col("q")[asked.index(e)])
+    hi = lambda e: F.when(few | F.lit(e == 1.0), F.col("most")).otherwise(F.col("q")[asked.index(e)])
+    return got.select(*keys, "n", ranks.alias("ranks"), F.array_distinct(F.array(*[
+        F.struct(lo(a).alias("lo"), hi(b).alias("hi")) for a, b in ends])).alias("brackets"))
+
+
+def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Join by keys, NULL meeting NULL; the keys of ``rows`` are kept."""
+    other = table.select(*[F.col(k).alias(f"t_{k}") if k in keys else F.col(k) for k in table.columns])
+    same = None
+    for k in keys:
+        c = rows[k].eqNullSafe(other[f"t_{k}"])
+        same = c if same is None else same & c
+    return rows.join(other, same).drop(*[f"t_{k}" for k in keys])
+
+
+def exact_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
+    """Return (by..., column, prob, value, n) with pandas / SQL ``quantile_cont`` semantics; NULL and NaN are left out.
+
+    Lazy; the input is read twice. NULL groups are a group; infinite values take part.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    names = {b: f"g{i}" for i, b in enumerate(by)}
+    data = long_values(df, list(cols), by).select(*[F.col(b).alias(g) for b, g in names.items()], "column", "value")
+    keys = [*names.values(), "column"]
+    wanted = _brackets(data, keys, probs)
+    cells = _met(data, wanted.select(*keys, "brackets"), keys)
+    inside = F.exists("brackets", lambda b: F.col("value").between(b["lo"], b["hi"]))
+    gap = F.size(F.filter("brackets", lambda b: b["hi"] < F.col("value")))
+    # -1 marks a value that stands for itself; between brackets all values of one gap are counted together
+    cells = cells.select(*keys, "value", F.when(inside, F.lit(-1)).otherwise(gap).alias("gap"),
+                         F.when(inside, F.col("value")).alias("own")).groupBy(*keys, "gap", "own").agg(
+        F.count(F.lit(1)).alias("c"), F.min("value").alias("at"))
+    upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = _met(cells.withColumn("upto", F.sum("c").over(upto)), wanted.select(*keys, "n", "ranks"), keys).withColumn(
+        "held", F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))).filter(F.size("held") > 0)
+    value = F.when(F.col("gap") == -1, F.col("own")).otherwise(
+        F.raise_error(F.lit("the quantile sketch passed its error bound")).cast("double"))
+    found = hit.select(*keys, "n", F.explode("held").alias("rank"), value.alias("v")).groupBy(*keys, "n").agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))
+    h = lambda p: (F.col("n") - 1) * p
+    each = F.explode(F.transform(F.array(*[F.lit(p) for p in probs]), lambda p: F.struct(
+        p.alias("prob"), _between(F.col("of")[F.floor(h(p))], F.col("of")[F.ceil(h(p))], h(p) - F.floor(h(p))).alias("value"))))
+    return found.select(*keys, "n", each.alias("x")).select(
+        *[F.col(g).alias(b) for b, g in names.items()], "column", "x.prob", "x.value", "n")
 
 
 def approx_quantiles(df: DataFrame, cols, probs, by=(), accuracy: int = 10_000) -> DataFrame:
@@ -175,7 +109,7 @@ def approx_quantiles(df: DataFrame, cols, probs, by=(), accuracy: int = 10_000)
 
 
 def quantiles(df: DataFrame, cols, probs, by=(), method: str = "exact") -> DataFrame:
-    """Dispatch: ``exact`` (bracket search, default) or ``approx`` (sketch, one pass)."""
+    """Dispatch: ``exact`` (two passes, default) or ``approx`` (sketch, one pass)."""
     if method == "approx":
         return approx_quantiles(df, cols, probs, by)
     if method != "exact":

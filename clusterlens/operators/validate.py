@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterlens.functions.text import clean_label, coerce_numeric, parse_duration_minutes
+from clusterlens.functions.text import coerce_numeric, key_digest, parse_duration_minutes
+
+
+#: Matches at the first character that is no white space of any kind.
+_INK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def _blank(c):
     """NULL, or nothing but white space of any kind."""
-    return clean_label(F.col(c).cast("string")).isNull()
+    return ~F.coalesce(F.col(c).cast("string").rlike(_INK), F.lit(False))
 
 
 def _number(c):
@@ -22,9 +26,9 @@ def flag_frame(df: DataFrame, key: str, name: str | None = None, ranges=None, no
                duration_col: str | None = None) -> tuple[DataFrame, list[str]]:
     """Add one boolean column per check. NULL values never fail a range check.
 
-    The duplicate-key flag joins per-key counts back to the rows (aggregate map-side,
-    then an equi-join that AQE splits when one key is hot) instead of a window that
-    would sort a hot key inside one task.
+    The duplicate-key flag joins the digests of keys that occur twice back to the rows, instead of a window that would sort
+    a hot key inside one task: 128 bits of a key are counted (map-side first), and only digests of repeated keys are
+    on the other side of the join, which AQE broadcasts while they are few and splits where one key is hot.
     """
     flags = {f"missing_{key}": _blank(key)}
     if name:
@@ -43,11 +47,12 @@ def flag_frame(df: DataFrame, key: str, name: str | None = None, ranges=None, no
     if duration_col:
         flags[f"invalid_{duration_col}"] = (F.trim(F.coalesce(F.col(duration_col), F.lit(""))) != "") & \
             parse_duration_minutes(duration_col).isNull()
-    out = df.select("*", *[v.alias(k) for k, v in flags.items()])
-    dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("_dup_n")).where(F.col("_dup_n") > 1)
-    dup = dup.withColumnRenamed(key, "_dup_key")
-    out = out.join(dup, out[key].eqNullSafe(dup["_dup_key"]), "left")
-    out = out.withColumn(f"duplicate_{key}", F.col("_dup_n").isNotNull()).drop("_dup_key", "_dup_n")
+    digest = key_digest([F.col(key)], ("_d1", "_d2"))
+    out = df.select("*", *[v.alias(k) for k, v in flags.items()], *digest)
+    dup = df.select(*key_digest([F.col(key)], ("_e1", "_e2"))).groupBy("_e1", "_e2").agg(F.count(F.lit(1)).alias("_dup_n")) \
+        .where(F.col("_dup_n") > 1)
+    out = out.join(dup, (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2")), "left")
+    out = out.withColumn(f"duplicate_{key}", F.col("_dup_n").isNotNull()).drop("_d1", "_d2", "_e1", "_e2", "_dup_n")
     return out, list(flags) + [f"duplicate_{key}"]
 
 
