@@ -19,11 +19,44 @@ TRAINING = {
 }
 
 
-class GMMAdapter:
-    family = "gmm"
+class Adapter:
+    """X-2: what a search and a final fit need of a model family. A model is a dict of parameters in original coordinates."""
 
-    def search(self, matrix, candidate_k, seeds, **kw):
-        return SEL.search(matrix, "gmm", candidate_k, seeds=seeds, **kw)
+    family: str
+    scoring: list
+
+    def selection_candidates(self, candidate_k, cov_types=("diag", "full")) -> list[dict]:
+        return SEL.candidates(self.family, candidate_k, cov_types)
+
+    def search(self, matrix: MX.Matrix, candidate_k, seeds, **kw):
+        return SEL.search(matrix, self.family, candidate_k, seeds=seeds, **kw)
+
+    def fit_candidate(self, matrix: MX.Matrix, params: dict, seed: int) -> tuple[dict, dict]:
+        """A fitted model and the record of its metrics for one seed."""
+        kw = {k: params[k] for k in ("n_init", "max_iter", "tol") if k in params}
+        cov = {"cov_types": (params["covariance_type"],)} if self.family == "gmm" else {}
+        _, record, _ = SEL.search(matrix, self.family, [params["k"]], seeds=(seed,), **cov, **kw)
+        return self.fit(matrix, params, seed), record
+
+    def pick_best_params(self, ranked: DataFrame) -> dict:
+        row = ranked.orderBy("selection_rank").first().asDict()
+        return {c: row[c] for c in ("k", "covariance_type") if row.get(c) is not None}
+
+    def best_row(self, ranked: DataFrame, params: dict) -> dict:
+        return SEL.best_row(ranked, params).first().asDict()
+
+    def fit(self, matrix: MX.Matrix, params: dict, seed: int) -> dict:
+        raise NotImplementedError
+
+    def predict(self, model: dict, df: DataFrame, vec_col: str, id_col) -> DataFrame:
+        return MX.assign(df, vec_col, id_col, model)
+
+    def diagnostics(self, spark, model: dict, n_rows: int, d: int, **kw) -> DataFrame:
+        return diagnostics(spark, model, n_rows, d, **kw)
+
+
+class GMMAdapter(Adapter):
+    family, scoring = "gmm", SEL.GMM_SCORING
 
     def fit(self, matrix: MX.Matrix, params: dict, seed: int) -> dict:
         fits = {i: MX.GMMFit(int(params["k"]), params["covariance_type"], seed * 7919 + i,
@@ -35,11 +68,8 @@ class GMMAdapter:
                 "lower_bound": f.lower_bound, "k": f.k}
 
 
-class KMeansAdapter:
-    family = "kmeans"
-
-    def search(self, matrix, candidate_k, seeds, **kw):
-        return SEL.search(matrix, "kmeans", candidate_k, seeds=seeds, **kw)
+class KMeansAdapter(Adapter):
+    family, scoring = "kmeans", SEL.KMEANS_SCORING
 
     def fit(self, matrix: MX.Matrix, params: dict, seed: int) -> dict:
         fits = {i: MX.KMeansFit(int(params["k"]), seed * 7919 + i) for i in range(int(params.get("n_init", 1)))}

@@ -3,32 +3,41 @@
 All candidate x seed x init fits run together in the multi-model engine. Two more scans over all rows score every
 chosen fit: the first adds up cluster sizes, means, norms and distances (Davies-Bouldin) and the contingency cells of
 each pair of seeds (stability ARI / NMI), the second the squared-Euclidean silhouettes. Only such sums leave the
-tasks. The per-seed metric table is a small Spark DataFrame: seed aggregation, guardrails and ranking are DataFrame
-operations on it.
+tasks. Each fit gives a VARIANT record (``operators.records``); seed aggregation, guardrails, ranking and the summary are
+DataFrame operations on these.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterlens.operators import mixture as MX
+from clusterlens.operators import records as REC
 from clusterlens.operators.metrics import ari_nmi_from_table, row_silhouettes
 
 GUARDRAILS = {"reject_smallest_cluster_below": 0.005, "warn_smallest_cluster_below": 0.01, "tiny_cluster_threshold": 0.01,
               "reject_if_degenerate": True, "stability_warn_below": 0.6}
-_RECORD = ("candidate int, seed int, k int, covariance_type string, smallest_cluster_proportion double, "
-           "largest_cluster_proportion double, tiny_cluster_count int, n_iter int, converged boolean, silhouette double, "
-           "degenerate_component boolean, ")
-KMEANS_RECORD = _RECORD + "inertia double, davies_bouldin double"
-GMM_RECORD = _RECORD + "bic double, aic double, log_likelihood double, lower_bound double, mean_max_responsibility double"
+_COMMON = {"smallest_cluster_proportion": "double", "largest_cluster_proportion": "double", "tiny_cluster_count": "double",
+           "n_iter": "double", "converged": "boolean", "degenerate_component": "boolean", "silhouette": "double"}
+KMEANS_FIELDS = {**_COMMON, "inertia": "double", "davies_bouldin": "double", "calinski_harabasz": "double"}
+GMM_FIELDS = {**_COMMON, "bic": "double", "aic": "double", "log_likelihood": "double", "lower_bound": "double",
+              "mean_max_responsibility": "double"}
+_STABILITY = ("candidate int, stability_ari_mean double, stability_ari_std double, stability_nmi_mean double, "
+              "stability_nmi_std double")
 KMEANS_SCORING = [("silhouette", "max"), ("davies_bouldin", "min"), ("inertia", "min")]
 GMM_SCORING = [("bic", "min"), ("aic", "min")]
 
 
+def seed_sequence(base_seed: int = 42, n_seeds: int = 5, seed_stride: int = 1) -> list[int]:
+    """M-16: the seeds of a stability search; one seed switches stability off."""
+    return [base_seed + i * seed_stride for i in range(n_seeds)]
+
+
 def candidates(family: str, candidate_k, cov_types=("diag", "full")):
     """M-15: the candidate grid."""
     if family == "kmeans":
@@ -153,6 +162,7 @@ def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13),
                "smallest_cluster_proportion": float(sizes.min() / n),
                "largest_cluster_proportion": float(sizes.max() / n),
                "tiny_cluster_count": int((sizes / n < g["tiny_cluster_threshold"]).sum()),
+               "cluster_size_distribution": [{"cluster": j, "count": int(c), "proportion": float(c / n)} for j, c in enumerate(sizes)],
                "n_iter": int(f.n_iter), "converged": bool(f.converged),
                "silhouette": sil_by_fit.get((ci, s))}
         if family == "kmeans":
@@ -166,31 +176,47 @@ def search(matrix: MX.Matrix, family: str = "kmeans", candidate_k=range(2, 13),
             R[~np.isfinite(R)] = 0.0
             np.fill_diagonal(R, 0.0)
             rec["davies_bouldin"] = float(R.max(1).mean()) if k > 1 else None
+            # rows are about the global mean, so the centres' squared norms are the spread between clusters
+            means = second[ci][list(seeds).index(s)][2]
+            between = float((sizes * (means ** 2).sum(1)).sum())
+            rec["calinski_harabasz"] = None if k < 2 or n <= k else 1.0 if f.inertia == 0 else between * (n - k) / (f.inertia * (k - 1))
         else:
             bic, aic = MX.bic_aic(f.log_likelihood, n, k, matrix.d, f.cov_type)
             rec.update({"degenerate_component": bool((f.weights < 1e-4).any()), "bic": float(bic), "aic": float(aic),
                         "log_likelihood": float(f.log_likelihood), "lower_bound": float(f.lower_bound),
                         "mean_max_responsibility": float(f.mean_max_resp)})
         recs.append(rec)
-    per_seed = spark.createDataFrame(recs, KMEANS_RECORD if family == "kmeans" else GMM_RECORD)
-    metric_cols = [c for c in per_seed.columns if c not in ("candidate", "seed", "k", "covariance_type",
-                                                            "converged", "degenerate_component")]
-    agg = per_seed.groupBy("candidate", "k", "covariance_type").agg(
-        *[F.avg(c).alias(c) for c in metric_cols],
-        *[F.stddev_pop(c).alias(f"{c}_std") for c in metric_cols],
-        F.bool_and("converged").alias("converged"), F.bool_and("degenerate_component").alias("degenerate_component"),
-        F.bool_or("degenerate_component").alias("degenerate_any_seed"),
-        F.count(F.lit(1)).alias("seed_count"))
-    st_rows = [(ci, float(np.mean([a for a, _ in v])), float(np.std([a for a, _ in v])),
-                float(np.mean([b for _, b in v])), float(np.std([b for _, b in v]))) for ci, v in stab.items()]
-    st = spark.createDataFrame(st_rows, "candidate int, stability_ari_mean double, stability_ari_std double, "
-                                        "stability_nmi_mean double, stability_nmi_std double") if st_rows else None
-    table = agg.join(st, "candidate", "left") if st is not None else agg.withColumn(
-        "stability_ari_mean", F.lit(None).cast("double"))
+    keys = ("candidate", "seed", "k", "covariance_type")
+    rows = [(*[r[c] for c in keys], json.dumps({c: v for c, v in r.items() if c not in keys})) for r in recs]
+    per_seed = REC.from_dicts(spark, rows, "candidate int, seed int, k int, covariance_type string")
+    table = seed_aggregate(per_seed, KMEANS_FIELDS if family == "kmeans" else GMM_FIELDS)
+    st_rows = [(ci, *[float(x) for v in zip(*pairs) for x in (np.mean(v), np.std(v))]) for ci, pairs in stab.items()]
+    table = table.join(spark.createDataFrame(st_rows, _STABILITY), "candidate", "left")
     ranked = rank(guard(table, g), scoring)
-    best = ranked.first().asDict()
-    warn = warnings(ranked, g)
-    return ranked, best, warn
+    ranked = spark.createDataFrame(ranked.collect(), ranked.schema)  # a row for each candidate of the grid
+    best = ranked.orderBy("selection_rank").first().asDict()
+    return ranked, best, warnings(ranked, g)
+
+
+def seed_aggregate(per_seed: DataFrame, schema: dict) -> DataFrame:
+    """A-30: the records of one candidate over its seeds, as columns of ``schema`` with ``<field>_std`` of the numbers.
+
+    ``per_seed``: candidate, seed, k, covariance_type, record. Adds ``degenerate_any_seed``, ``seed_count``,
+    ``seed_values`` and ``random_seed`` (the first), and the sizes of the clusters where all seeds agree on them.
+    """
+    by = ["candidate", "k", "covariance_type"]
+    wanted = {}
+    for c, t in schema.items():
+        wanted[c] = t
+        if t == "double":
+            wanted[f"{c}_std"] = t
+    merged = REC.columns_of(REC.aggregate_records(per_seed, by), wanted)
+    seeds = per_seed.groupBy(*by).agg(
+        F.bool_or(F.try_variant_get("record", "$.degenerate_component", "boolean")).alias("degenerate_any_seed"),
+        F.count(F.lit(1)).cast("int").alias("seed_count"), F.array_sort(F.collect_list("seed")).alias("seed_values"),
+        F.min("seed").alias("random_seed"))
+    same = [merged[c].eqNullSafe(seeds[c]) for c in by]
+    return merged.join(seeds, same[0] & same[1] & same[2]).drop(*[seeds[c] for c in by])
 
 
 def guard(table: DataFrame, g: dict = GUARDRAILS) -> DataFrame:
@@ -210,21 +236,44 @@ def rank(table: DataFrame, scoring) -> DataFrame:
     for c, mode in scoring:
         order.append(F.col(c).asc_nulls_last() if mode == "min" else F.col(c).desc_nulls_last())
     order += [F.coalesce("stability_ari_mean", F.lit(-1.0)).desc(), F.col("k").asc()]
-    from pyspark.sql import Window
     return table.withColumn("selection_rank", F.row_number().over(Window.orderBy(*order)))  # candidate grid only
 
 
+def best_row(ranked: DataFrame, params: dict) -> DataFrame:
+    """J-8: the first row, by rank, in which all ``params`` that are columns have their values; else the first row."""
+    fits = F.lit(True)
+    for c, v in params.items():
+        if c in ranked.columns:
+            fits = fits & F.col(c).eqNullSafe(F.lit(v))
+    return ranked.orderBy(F.desc(fits), "selection_rank").limit(1)
+
+
+def selection_summary(ranked: DataFrame, scoring, params: dict | None = None) -> DataFrame:
+    """M-19: one row: the scoring metrics in order, counts of candidates and of valid ones, and the best row's parameters."""
+    top = best_row(ranked, params or {}).select(F.col("k").alias("best_k"), F.col("covariance_type").alias("best_covariance_type"),
+                                                F.col("selection_rank").alias("best_rank"), F.col("selection_valid").alias("best_valid"),
+                                                *[F.col(c).alias(f"best_{c}") for c, _ in scoring], F.lit(1).alias("_one"))
+    counts = ranked.agg(F.count(F.lit(1)).alias("candidate_count"), F.count_if("selection_valid").alias("valid_candidate_count"),
+                        F.lit(1).alias("_one"))
+    names = [F.lit(scoring[i][0] if i < len(scoring) else None).cast("string").alias(f"selection_metric_{n}")
+             for i, n in enumerate(("primary", "secondary", "tertiary"))]
+    return counts.join(top, "_one", "left").select(*names, "candidate_count", "valid_candidate_count", *top.columns[:-1])
+
+
 def warnings(ranked: DataFrame, g: dict = GUARDRAILS) -> DataFrame:
-    """M-18: long (candidate, k, kind, value) warnings table."""
+    """M-18: long (candidate, k, covariance_type, kind, value, message) warnings table."""
+    value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     items = F.array(
-        F.when(F.col("degenerate_component"), F.struct(F.lit("degenerate").alias("kind"),
-                                                       F.lit(1.0).alias("value"))),
-        F.when(F.col("smallest_cluster_proportion") < g["warn_smallest_cluster_below"],
-               F.struct(F.lit("imbalance").alias("kind"), F.col("smallest_cluster_proportion").alias("value"))),
-        F.when(F.coalesce("stability_ari_mean", F.lit(1.0)) < g["stability_warn_below"],
-               F.struct(F.lit("low_stability").alias("kind"), F.col("stability_ari_mean").alias("value"))))
-    return (ranked.select("candidate", "k", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("w"))
-            .select("candidate", "k", "w.kind", "w.value"))
+        F.when(F.col("degenerate_component"), value("degenerate", F.lit(1.0))),
+        F.when(F.col("smallest_cluster_proportion") < g["warn_smallest_cluster_below"], value("imbalance", F.col("smallest_cluster_proportion"))),
+        F.when(F.col("stability_ari_mean") < g["stability_warn_below"], value("low_stability", F.col("stability_ari_mean"))))
+    at = F.concat(F.lit("k="), F.col("k").cast("string"), F.coalesce(F.concat(F.lit(" cov="), F.col("covariance_type")), F.lit("")))
+    shown = F.format_string("%.4f", F.col("w.value"))
+    message = (F.when(F.col("w.kind") == "degenerate", F.concat(F.lit("degenerate component for "), at))
+               .when(F.col("w.kind") == "imbalance", F.concat(F.lit("smallest cluster share "), shown, F.lit(" for "), at))
+               .otherwise(F.concat(F.lit("mean ARI "), shown, F.lit(" between seeds for "), at)))
+    return (ranked.select("candidate", "k", "covariance_type", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("w"))
+            .select("candidate", "k", "covariance_type", "w.kind", "w.value", message.alias("message")))
 
 
 def final_params(best: dict, training: dict | None = None, override: dict | None = None) -> dict:

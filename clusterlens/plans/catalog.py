@@ -845,14 +845,43 @@ def q_kmeans_fixed_start(spark, sf):
                               F.round("inertia", 4).alias("inertia")))
 
 
+@register("kmeans_converged", f"""
+WITH RECURSIVE {_EMB_SQL},
+c0 AS (SELECT label AS cl, x AS cx FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM e)
+       WHERE rn = 1),
+it(t, cl, cx) AS (
+  SELECT 0, cl, cx FROM c0
+  UNION ALL
+  SELECT t + 1, cl, list(m ORDER BY i) FROM (
+    SELECT t, cl, i, avg(v) AS m FROM (
+      SELECT t, cl, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (
+        SELECT it.t, e.vec_id, any_value(e.x) AS x, arg_min(it.cl, list_distance(e.x, it.cx)) AS cl FROM e, it WHERE it.t < 60
+        GROUP BY it.t, e.vec_id)) GROUP BY t, cl, i) GROUP BY t, cl),
+last AS (SELECT cl, cx FROM it WHERE t = 60),
+fin AS (SELECT e.vec_id, arg_min(l.cl, list_distance(e.x, l.cx)) AS cl, min(list_distance(e.x, l.cx)) AS d FROM e, last l GROUP BY e.vec_id)
+SELECT CAST(last.cl AS INTEGER) AS cluster, count(fin.vec_id) AS size, round(list_sum(last.cx), 6) + 0.0 AS centre_sum,
+       round((SELECT sum(d * d) FROM fin), 4) + 0.0 AS inertia
+FROM last LEFT JOIN fin ON fin.cl = last.cl GROUP BY last.cl, last.cx
+""")
+def q_kmeans_converged(spark, sf):
+    """M-8: Lloyd steps until no centre moves, from one row of each label."""
+    labels, centres = _fixed_centres(spark, sf)
+    with MX.Matrix.of(emb(spark, sf), "x", "vec_id") as m:
+        f = MX.kmeans_many(m, {0: MX.KMeansFit(len(centres), seed=0)}, max_iter=60, tol=0.0, init_centres={0: np.asarray(centres)})[0]
+        C = f.centres + m.shift
+    rows = [(int(labels[j]), int(f.sizes[j]), float(C[j].sum()), float(f.inertia)) for j in range(len(C))]
+    out = spark.createDataFrame(rows, "cluster int, size long, centre_sum double, inertia double")
+    return out.select("cluster", "size", (F.round("centre_sum", 6) + F.lit(0.0)).alias("centre_sum"),
+                      (F.round("inertia", 4) + F.lit(0.0)).alias("inertia"))
+
+
 @register("kmeans_fit")
 def q_kmeans_fit(spark, sf):
-    """M-8 / M-14: k-means++ then Lloyd (k = 10); per-cluster size with empty clusters kept."""
+    """M-8 / M-14: k-means|| seeding, then Lloyd (k = 10); per-cluster size with empty clusters kept."""
     e = emb(spark, sf)
-    m = MX.Matrix.of(e, "x", "vec_id")
-    fits = MX.kmeans_many(m, {0: MX.KMeansFit(10, seed=42)}, max_iter=300, tol=1e-4)
-    model = {"kind": "kmeans", "centres": fits[0].centres + m.shift}
-    m.release()
+    with MX.Matrix.of(e, "x", "vec_id") as m:
+        fits = MX.kmeans_many(m, {0: MX.KMeansFit(10, seed=42)}, max_iter=300, tol=1e-4)
+        model = {"kind": "kmeans", "centres": fits[0].centres + m.shift}
     return rounded(EV_sizes(MX.assign(e, "x", "vec_id", model), 10))
 
 
@@ -918,6 +947,59 @@ def q_bic_aic(spark, sf):
     return spark.createDataFrame([row], "log_likelihood double, bic double, aic double, n_parameters long")
 
 
+def _em_step_sql(cov_type):
+    """One EM step on the first two dimensions, from the labels' shares, means and (co)variances."""
+    a, b, c = ("var_pop(x1) + 1e-6", "covar_pop(x1, x2)" if cov_type == "full" else "0.0", "var_pop(x2) + 1e-6")
+    return f"""
+WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2 FROM embeddings),
+p AS (SELECT label AS k, count(*) / (SELECT count(*) FROM e) AS w, avg(x1) AS m1, avg(x2) AS m2, {a} AS a, {b} AS b, {c} AS c
+      FROM e GROUP BY label),
+lp AS (SELECT vec_id, x1, x2, k, ln(w) - ln(2 * pi()) - 0.5 * ln(a * c - b * b)
+         - 0.5 * (c * (x1 - m1) ^ 2 - 2 * b * (x1 - m1) * (x2 - m2) + a * (x2 - m2) ^ 2) / (a * c - b * b) AS lp FROM e, p),
+l AS (SELECT vec_id, max(lp) + ln(sum(exp(lp - mx))) AS lse FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id) AS mx FROM lp) GROUP BY vec_id),
+r AS (SELECT lp.*, exp(lp - lse) AS r FROM lp JOIN l USING (vec_id)),
+m AS (SELECT k, sum(r) AS nk, sum(r * x1) / sum(r) AS n1, sum(r * x2) / sum(r) AS n2 FROM r GROUP BY k)
+SELECT CAST(dense_rank() OVER (ORDER BY m.k) - 1 AS INTEGER) AS component, round(any_value(nk) / (SELECT count(*) FROM e), 6) + 0.0 AS weight,
+  round(any_value(n1), 6) + 0.0 AS mean_1, round(any_value(n2), 6) + 0.0 AS mean_2,
+  round(sum(r * (x1 - n1) ^ 2) / any_value(nk) + 1e-6, 6) + 0.0 AS cov_11,
+  round({"sum(r * (x1 - n1) * (x2 - n2)) / any_value(nk)" if cov_type == "full" else "0.0::DOUBLE"}, 6) + 0.0 AS cov_12,
+  round(sum(r * (x2 - n2) ^ 2) / any_value(nk) + 1e-6, 6) + 0.0 AS cov_22,
+  round((SELECT avg(lse) FROM l), 6) + 0.0 AS lower_bound
+FROM r JOIN m USING (k) GROUP BY m.k"""
+
+
+def _em_step(spark, sf, cov_type):
+    """M-5: one EM step of the engine from given parameters, components in the order of their labels."""
+    e = tbl(spark, sf, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("x"))
+    x1, x2 = F.col("x")[0], F.col("x")[1]
+    start = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), F.var_pop(x1).alias("a"),
+                                   F.covar_pop(x1, x2).alias("b"), F.var_pop(x2).alias("c")).orderBy("label").collect()
+    with MX.Matrix.of(e, "x", "vec_id") as m:
+        f = MX.GMMFit(len(start), cov_type, seed=0)
+        f.weights = np.array([r["n"] / m.n for r in start])
+        f.means = np.array([[r["m1"], r["m2"]] for r in start]) - m.shift
+        full = np.array([[[r["a"] + 1e-6, r["b"]], [r["b"], r["c"] + 1e-6]] for r in start])
+        f.covs = full if cov_type == "full" else full[:, [0, 1], [0, 1]]
+        MX.gmm_many(m, {0: f}, max_iter=1, tol=0.0)
+        means = f.means + m.shift
+    rows = []
+    for j in range(f.k):
+        c = f.covs[j] if cov_type == "full" else np.diag(f.covs[j])
+        rows.append((j, float(f.weights[j]), *map(float, means[j]), float(c[0, 0]), float(c[0, 1]), float(c[1, 1]), float(f.lower_bound)))
+    return rounded(spark.createDataFrame(rows, "component int, weight double, mean_1 double, mean_2 double, cov_11 double, cov_12 double, "
+                                               "cov_22 double, lower_bound double"))
+
+
+@register("em_step_diag", _em_step_sql("diag"))
+def q_em_step_diag(spark, sf):
+    return _em_step(spark, sf, "diag")
+
+
+@register("em_step_full", _em_step_sql("full"))
+def q_em_step_full(spark, sf):
+    return _em_step(spark, sf, "full")
+
+
 @register("representative_rows", f"""WITH {_ESTEP_SQL},
 rr AS (SELECT 'representative' AS kind, cluster, vec_id,
        row_number() OVER (PARTITION BY cluster ORDER BY round(max_probability, 6) DESC, vec_id) AS rk FROM asg
@@ -1011,10 +1093,8 @@ def q_select_model(spark, sf):
     ranked, _, _ = SEL.search(m, "kmeans", range(2, 9), seeds=(42, 43, 44), n_init=2, max_iter=300)
     out = ranked.select("selection_rank", "k", "silhouette", "davies_bouldin", "inertia", "stability_ari_mean",
                         "smallest_cluster_proportion", "selection_valid", "passes_stability_guardrail")
-    out = rounded(out).persist()
-    out.count()
     m.release()
-    return out
+    return rounded(out)
 
 
 @register("select_gmm")
@@ -1025,11 +1105,9 @@ def q_select_gmm(spark, sf):
     m = MX.Matrix.of(red, "pc", "vec_id")
     ranked, _, _ = SEL.search(m, "gmm", range(2, 5), cov_types=("diag", "full"), seeds=(42, 43), n_init=1,
                               max_iter=100)
-    out = rounded(ranked.select("selection_rank", "k", "covariance_type", "bic", "aic", "log_likelihood",
-                                "stability_ari_mean", "selection_valid")).persist()
-    out.count()
     m.release()
-    return out
+    return rounded(ranked.select("selection_rank", "k", "covariance_type", "bic", "aic", "log_likelihood",
+                                 "stability_ari_mean", "selection_valid"))
 
 
 
@@ -1108,16 +1186,23 @@ def q_confidence_histogram(spark, sf):
     return rounded(P.histogram(a, ["max_probability", "assignment_entropy"], 30))
 
 
-@register("metadata_join", f"""WITH {_ESTEP_SQL}
-SELECT asg.vec_id, asg.cluster, e.label, round(asg.max_probability, 6) + 0.0 AS max_probability
-FROM asg LEFT JOIN e ON asg.vec_id IS NOT DISTINCT FROM e.vec_id
+_NAME_SQL = "CASE WHEN vec_id % 7 = 0 THEN NULL ELSE 'vec-' || CAST(vec_id % 50 AS VARCHAR) END"
+
+
+@register("metadata_join", f"""WITH {_ESTEP_SQL},
+meta AS (SELECT vec_id, {_NAME_SQL} AS name, label FROM embeddings)
+SELECT a.vec_id, a.name, a.cluster, m.label, round(a.max_probability, 6) + 0.0 AS max_probability
+FROM (SELECT vec_id, {_NAME_SQL} AS name, cluster, max_probability FROM asg) a
+LEFT JOIN meta m ON a.vec_id IS NOT DISTINCT FROM m.vec_id AND a.name IS NOT DISTINCT FROM m.name
 """)
 def q_metadata_join(spark, sf):
-    """J-1: assignments LEFT JOIN metadata on the key, NULL-safe."""
+    """S-11 / J-1: rows keyed by a number and a text that may be NULL are scored and joined to their metadata, NULL-safe."""
     e, model = _label_gmm(spark, sf)
-    a = MX.assign(e, "x", "vec_id", model).select("vec_id", "cluster", "max_probability")
-    j = WF.metadata_join(a, tbl(spark, sf, "embeddings").select("vec_id", "label"), ["vec_id"])
-    return rounded(j.select("vec_id", "cluster", "label", "max_probability"))
+    name = F.when(F.col("vec_id") % 7 != 0, F.concat(F.lit("vec-"), (F.col("vec_id") % 50).cast("string"))).alias("name")
+    keys = ["vec_id", "name"]
+    a = MX.assign(e.select("vec_id", name, "x"), "x", keys, model).select(*keys, "cluster", "max_probability")
+    j = WF.metadata_join(a, tbl(spark, sf, "embeddings").select("vec_id", name, "label"), keys)
+    return rounded(j.select(*keys, "cluster", "label", "max_probability"))
 
 
 @register("projection_2d")
@@ -1223,10 +1308,8 @@ def q_selection_warnings(spark, sf):
     """M-18: degenerate / imbalance / low-stability warnings of a K-means search (K 2..12 x 3 seeds)."""
     m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
     ranked, _, warn = SEL.search(m, "kmeans", range(2, 13), seeds=(42, 43, 44), n_init=1, max_iter=100)
-    out = rounded(warn).persist()
-    out.count()
     m.release()
-    return out
+    return rounded(warn)
 
 
 @register("training_summary")
@@ -1238,3 +1321,119 @@ def q_training_summary(spark, sf):
     out = MOD.training_summary(spark, model, params, m.n, m.d, run_id="embeddings-kmeans")
     m.release()
     return rounded(out, 4)
+
+
+# ---------------------------------------------------------------- records of a search, from given tables
+from clusterlens.operators import records as REC  # noqa: E402
+
+_SEED_FIELDS = {"silhouette": "double", "inertia": "double", "davies_bouldin": "double", "bic": "double", "lower_bound": "double",
+                "smallest_cluster_proportion": "double", "converged": "boolean", "degenerate_component": "boolean", "run": "string",
+                "source": "string"}
+#: Line items stand in for fits: the line number is the candidate, the order's number modulo 3 the seed.
+_FIT_SQL = """
+fits AS (SELECT CAST(l_linenumber AS INTEGER) AS candidate, CAST(l_orderkey % 3 + 42 AS INTEGER) AS seed,
+  CAST(l_linenumber + 1 AS INTEGER) AS k, CASE WHEN l_linenumber % 2 = 0 THEN 'diag' ELSE 'full' END AS covariance_type,
+  round(avg(l_discount), 6) AS silhouette, round(avg(l_extendedprice), 2) AS inertia, round(avg(l_quantity), 6) AS davies_bouldin,
+  CASE WHEN l_linenumber >= 3 THEN round(avg(l_quantity) * 10, 4) END AS bic,
+  CASE WHEN l_orderkey % 3 < 2 THEN round(avg(l_tax), 6) END AS lower_bound,
+  round(avg(l_tax) * l_linenumber / 10, 6) AS smallest_cluster_proportion,
+  NOT (l_linenumber = 6 AND l_orderkey % 3 = 1) AS converged,
+  l_linenumber = 4 OR (l_linenumber = 5 AND l_orderkey % 3 = 0) AS degenerate_component
+  FROM lineitem GROUP BY l_linenumber, l_orderkey % 3),
+agg AS (SELECT candidate, k, covariance_type,
+  avg(silhouette) AS silhouette, CASE WHEN count(silhouette) > 1 THEN stddev_pop(silhouette) END AS silhouette_std,
+  avg(inertia) AS inertia, avg(davies_bouldin) AS davies_bouldin, avg(bic) AS bic,
+  avg(lower_bound) AS lower_bound, CASE WHEN count(lower_bound) > 1 THEN stddev_pop(lower_bound) END AS lower_bound_std,
+  avg(smallest_cluster_proportion) AS smallest_cluster_proportion, bool_and(converged) AS converged,
+  bool_and(degenerate_component) AS degenerate_component, bool_or(degenerate_component) AS degenerate_any_seed,
+  CAST(count(*) AS INTEGER) AS seed_count, min(seed) AS random_seed,
+  CASE WHEN k = 8 THEN NULL ELSE 0.3 + 0.1 * k END AS stability_ari_mean FROM fits GROUP BY candidate, k, covariance_type),
+guarded AS (SELECT *, smallest_cluster_proportion >= 0.005 AS passes_size_guardrail,
+  NOT degenerate_component AS passes_degenerate_guardrail, coalesce(stability_ari_mean, 1.0) >= 0.6 AS passes_stability_guardrail,
+  smallest_cluster_proportion >= 0.005 AND NOT degenerate_component AS selection_valid FROM agg),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY selection_valid DESC, passes_stability_guardrail DESC, silhouette DESC NULLS LAST,
+  davies_bouldin NULLS LAST, inertia NULLS LAST, coalesce(stability_ari_mean, -1.0) DESC, k) AS INTEGER) AS selection_rank FROM guarded)"""
+
+
+def _fit_records(spark, sf):
+    """One record for each fit, of two shapes: candidates from 3 on also have a BIC."""
+    li = tbl(spark, sf, "lineitem")
+    line, order = F.col("l_linenumber"), F.col("l_orderkey") % 3
+    g = li.groupBy(line.cast("int").alias("candidate"), order.alias("o")).agg(
+        *[F.avg(c).alias(c) for c in ("l_discount", "l_extendedprice", "l_quantity", "l_tax")])
+    o, c = F.col("o"), F.col("candidate")
+    base = g.select(
+        "candidate", (o + 42).cast("int").alias("seed"), (c + 1).cast("int").alias("k"),
+        F.when(c % 2 == 0, "diag").otherwise("full").alias("covariance_type"), F.round("l_discount", 6).alias("silhouette"),
+        F.round("l_extendedprice", 2).alias("inertia"), F.round("l_quantity", 6).alias("davies_bouldin"),
+        F.round(F.col("l_quantity") * 10, 4).alias("bic"), F.when(o < 2, F.round("l_tax", 6)).alias("lower_bound"),
+        F.round(F.col("l_tax") * c / 10, 6).alias("smallest_cluster_proportion"), (~((c == 6) & (o == 1))).alias("converged"),
+        ((c == 4) | ((c == 5) & (o == 0))).alias("degenerate_component"), F.concat(F.lit("run-"), o).alias("run"),
+        F.lit("lineitem").alias("source"))
+    keys = ["candidate", "seed", "k", "covariance_type"]
+    return REC.union_records(REC.as_records(base.filter(c < 3).drop("bic"), keys), REC.as_records(base.filter(c >= 3), keys))
+
+
+def _candidate_table(spark, sf):
+    table = SEL.seed_aggregate(_fit_records(spark, sf), _SEED_FIELDS)
+    return table.withColumn("stability_ari_mean", F.when(F.col("k") != 8, F.lit(0.3) + F.lit(0.1) * F.col("k")))
+
+
+@register("seed_aggregate", f"""
+WITH {_FIT_SQL}
+SELECT candidate, k, covariance_type, round(silhouette, 4) + 0.0 AS silhouette, round(silhouette_std, 4) + 0.0 AS silhouette_std,
+  round(bic, 4) + 0.0 AS bic, round(lower_bound, 4) + 0.0 AS lower_bound, round(lower_bound_std, 4) + 0.0 AS lower_bound_std,
+  converged, degenerate_component, degenerate_any_seed, CAST(NULL AS VARCHAR) AS run, 'lineitem' AS source, seed_count, random_seed FROM agg
+""")
+def q_seed_aggregate(spark, sf):
+    """A-30 / U-3: records of two shapes over three seeds; texts stay only where all seeds agree."""
+    return rounded(SEL.seed_aggregate(_fit_records(spark, sf), _SEED_FIELDS).select(
+        "candidate", "k", "covariance_type", "silhouette", "silhouette_std", "bic", "lower_bound", "lower_bound_std", "converged",
+        "degenerate_component", "degenerate_any_seed", "run", "source", "seed_count", "random_seed"), 4)
+
+
+@register("guardrails", f"""
+WITH {_FIT_SQL}
+SELECT candidate, k, passes_size_guardrail, passes_degenerate_guardrail, passes_stability_guardrail, selection_valid FROM guarded
+""")
+def q_guardrails(spark, sf):
+    """M-17: guardrail flags of a candidate table."""
+    return SEL.guard(_candidate_table(spark, sf)).select(
+        "candidate", "k", "passes_size_guardrail", "passes_degenerate_guardrail", "passes_stability_guardrail", "selection_valid")
+
+
+def _ranked(spark, sf):
+    return SEL.rank(SEL.guard(_candidate_table(spark, sf)), SEL.KMEANS_SCORING)
+
+
+@register("rank_candidates", f"""
+WITH {_FIT_SQL}
+SELECT selection_rank, candidate, k, selection_valid, passes_stability_guardrail, round(silhouette, 6) + 0.0 AS silhouette FROM ranked
+""")
+def q_rank_candidates(spark, sf):
+    """K-1: valid before stable before the scoring metrics."""
+    return rounded(_ranked(spark, sf).select("selection_rank", "candidate", "k", "selection_valid", "passes_stability_guardrail", "silhouette"))
+
+
+@register("selection_summary", f"""
+WITH {_FIT_SQL}, b AS (SELECT * FROM ranked WHERE k = 4 AND covariance_type = 'full')
+SELECT 'silhouette' AS selection_metric_primary, 'davies_bouldin' AS selection_metric_secondary, 'inertia' AS selection_metric_tertiary,
+  (SELECT count(*) FROM ranked) AS candidate_count, (SELECT count(*) FROM ranked WHERE selection_valid) AS valid_candidate_count,
+  k AS best_k, covariance_type AS best_covariance_type, selection_rank AS best_rank, selection_valid AS best_valid,
+  round(silhouette, 6) + 0.0 AS best_silhouette, round(davies_bouldin, 6) + 0.0 AS best_davies_bouldin, round(inertia, 6) + 0.0 AS best_inertia FROM b
+""")
+def q_selection_summary(spark, sf):
+    """M-19 / J-8: counts, and the row that has all of the given best parameters."""
+    return rounded(SEL.selection_summary(_ranked(spark, sf), SEL.KMEANS_SCORING, {"k": 4, "covariance_type": "full"}))
+
+
+@register("candidate_warnings", f"""
+WITH {_FIT_SQL}, w AS (
+  SELECT candidate, k, covariance_type, 'degenerate' AS kind, 1.0::DOUBLE AS value FROM ranked WHERE degenerate_component
+  UNION ALL SELECT candidate, k, covariance_type, 'imbalance', smallest_cluster_proportion FROM ranked WHERE smallest_cluster_proportion < 0.01
+  UNION ALL SELECT candidate, k, covariance_type, 'low_stability', stability_ari_mean::DOUBLE FROM ranked WHERE stability_ari_mean < 0.6)
+SELECT candidate, k, covariance_type, kind, round(value, 6) + 0.0 AS value FROM w
+""")
+def q_candidate_warnings(spark, sf):
+    """M-18: warnings of the candidate table."""
+    return rounded(SEL.warnings(_ranked(spark, sf)).drop("message"))
