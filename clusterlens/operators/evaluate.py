@@ -1,8 +1,7 @@
 """Cluster profiling (A-21..A-26, K-2, K-3, K-5, W-3, P-3..P-7).
 
 Every per-cluster statistic is one ``groupBy(cluster)`` with partial
-aggregation; quantiles use the exact bracket search (no per-group value
-maps). Top-n-per-cluster uses ``row_number() <= n``, which Spark plans with a
+aggregation; quantiles use the exact two-pass plan (no per-group value maps). Top-n-per-cluster uses ``row_number() <= n``, which Spark plans with a
 map-side WindowGroupLimit, so a hot cluster is cut to n rows per partition
 before the shuffle.
 """
@@ -113,33 +112,64 @@ def interpretation_labels(genre_records: DataFrame, type_records: DataFrame, sou
     return out.select("cluster", label.alias("interpretation_label"))
 
 
-def cluster_profile(sizes: DataFrame, genre_records: DataFrame, type_records: DataFrame,
-                    topz: DataFrame, labels: DataFrame, warn_share: float = 0.8) -> DataFrame:
-    """P-4 / P-5: one row per cluster (k rows) joining the k-row frames."""
+def examples(rows: DataFrame, cluster_col: str, name_col: str, n: int = 3) -> DataFrame:
+    """K-2 as lists: cluster, ``representative`` (most certain names) and ``ambiguous`` (highest entropy), ties by name.
+
+    Each list is cut to ``n`` rows a cluster before the shuffle.
+    """
+    def first(order: str, out: str) -> DataFrame:
+        w = Window.partitionBy("cluster").orderBy(F.desc_nulls_last(order), F.col("name"))
+        kept = rows.select(F.col(cluster_col).alias("cluster"), F.col(name_col).cast("string").alias("name"), order) \
+            .withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+        return _ranked_list(kept, "r", "name", out)
+    return _beside(first("max_probability", "representative"), first("assignment_entropy", "ambiguous"))
+
+
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join two tables of one row per cluster; a NULL cluster is a cluster."""
+    other = right.withColumnRenamed("cluster", "_c")
+    return left.join(other, left["cluster"].eqNullSafe(other["_c"]), "left").drop("_c")
+
+
+def dominance(type_records: DataFrame, source_records: DataFrame | None = None, warn_share: float = 0.8) -> DataFrame:
+    """P-4: cluster, top_type_share, top_source_share and the warning that one of them explains the cluster."""
+    top = lambda r, name: r.where(F.col("rank") == 1).select("cluster", F.col("cluster_share").alias(name))
+    out = top(type_records, "top_type_share")
+    out = out.withColumn("top_source_share", F.lit(0.0)) if source_records is None else _beside(out, top(source_records, "top_source_share"))
+    out = out.select("cluster", F.coalesce("top_type_share", F.lit(0.0)).alias("top_type_share"),
+                     F.coalesce("top_source_share", F.lit(0.0)).alias("top_source_share"))
+    return out.withColumn("format_artifact_warning", (F.col("top_type_share") >= warn_share) | (F.col("top_source_share") >= warn_share))
+
+
+def cluster_profile(sizes: DataFrame, genre_records: DataFrame, type_records: DataFrame, topz: DataFrame, labels: DataFrame,
+                    warn_share: float = 0.8, source_records: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """P-4 / P-5: one row per cluster (k rows) joining the k-row frames; ``names`` is what ``examples`` gives."""
     g = _ranked_list(genre_records.where(F.col("rank") <= 5), "rank", "value", "top_genres")
     t = _ranked_list(type_records.where(F.col("rank") <= 3), "rank", "value", "top_types")
     z = _ranked_list(topz, "rank", "column", "top_numeric_features")
-    share = type_records.where(F.col("rank") == 1).select("cluster", F.col("cluster_share").alias("top_type_share"))
-    out = sizes.join(g, "cluster", "left").join(t, "cluster", "left").join(z, "cluster", "left") \
-        .join(labels, "cluster", "left").join(share, "cluster", "left")
-    return out.select("cluster", "size", "proportion",
-                      F.array_join("top_genres", ", ").alias("top_genres"),
+    out = sizes
+    for part in (g, t, z, labels, dominance(type_records, source_records, warn_share), *([names] if names is not None else [])):
+        out = _beside(out, part)
+    shown = [F.array_join(c, ", ").alias(c) for c in ("representative", "ambiguous")] if names is not None else []
+    return out.select("cluster", "size", "proportion", F.array_join("top_genres", ", ").alias("top_genres"),
                       F.array_join("top_types", ", ").alias("top_types"),
-                      F.array_join("top_numeric_features", ", ").alias("top_numeric_features"),
-                      "interpretation_label", F.coalesce("top_type_share", F.lit(0.0)).alias("top_type_share"),
-                      (F.coalesce("top_type_share", F.lit(0.0)) >= warn_share).alias("format_artifact_warning"))
+                      F.array_join("top_numeric_features", ", ").alias("top_numeric_features"), "interpretation_label", *shown,
+                      F.coalesce("top_type_share", F.lit(0.0)).alias("top_type_share"),
+                      F.coalesce("top_source_share", F.lit(0.0)).alias("top_source_share"),
+                      F.coalesce("format_artifact_warning", F.lit(False)).alias("format_artifact_warning"))
 
 
 def assignment_summary(assigned: DataFrame) -> DataFrame:
-    """A-22 / A-32: confidence and entropy summary (exact medians)."""
+    """A-22 / A-32: confidence and entropy summary (exact medians), one lazy row."""
     base = assigned.agg(F.avg("max_probability").alias("mean_max_responsibility"),
                         F.avg("assignment_entropy").alias("assignment_entropy_mean"),
                         F.max("assignment_entropy").alias("assignment_entropy_max"),
-                        F.avg((F.col("max_probability") < 0.5).cast("double")).alias("low_confidence_fraction"))
-    med = {r["column"]: r["value"] for r in
-           exact_quantiles(assigned, ["max_probability", "assignment_entropy"], [0.5]).collect()}
-    return base.select("*", F.lit(med.get("max_probability")).cast("double").alias("median_max_responsibility"),
-                       F.lit(med.get("assignment_entropy")).cast("double").alias("assignment_entropy_median"))
+                        F.avg((F.col("max_probability") < 0.5).cast("double")).alias("low_confidence_fraction"), F.lit(1).alias("_one"))
+    med = exact_quantiles(assigned, ["max_probability", "assignment_entropy"], [0.5])
+    of = lambda c: F.max(F.when(F.col("column") == c, F.col("value")))
+    med = med.agg(of("max_probability").alias("median_max_responsibility"),
+                  of("assignment_entropy").alias("assignment_entropy_median"), F.lit(1).alias("_one"))
+    return base.join(med, "_one").drop("_one")
 
 
 def share_dominance(type_records: DataFrame, warn_share: float = 0.8) -> DataFrame:

@@ -7,7 +7,9 @@ the retained one-hot levels and the tag vocabulary (<= ``vocab_size``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterlens.operators.quantiles import medians
@@ -19,7 +21,6 @@ def tag_vocab(df: DataFrame, tags, size: int = 50) -> DataFrame:
     """A-13: explode tags, count, order by (count desc, tag), keep ``size`` (distributed top-k)."""
     counts = (df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.col("n").desc(), F.col("tag")).limit(size)
-    from pyspark.sql import Window
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("tag"))))
 
 
@@ -28,16 +29,48 @@ def multi_hot_columns(tags, prefix: str, vocab, dtype: str = "int") -> list:
     return [F.array_contains(tags, t).cast(dtype).alias(f"{prefix}__{t}") for t in sorted(vocab)]
 
 
+#: Columns that one categorical column may become; a frequency bound keeps it below 1 / min_frequency anyway.
+MAX_LEVELS = 10_000
+
+
 def frequent_levels(df: DataFrame, col: str, min_frequency: float) -> tuple[list[str], bool]:
-    """A-14: levels with count >= min_frequency * n (alphabetical), and whether any level folds.
+    """A-14: levels with count >= min_frequency * n (alphabetical), and whether any level folds."""
+    return level_counts(df, [col], min_frequency)[0][col]
 
-    Only retained levels reach the driver (at most 1 / min_frequency of them); the number
-    of levels and rows comes from one aggregate over the (level, count) table."""
-    counts = df.groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("c")).persist()
-    tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("levels")).first()
-    keep = sorted(r["level"] for r in counts.where(F.col("c") >= F.lit(min_frequency * tot["n"])).collect())
-    counts.unpersist()
-    return keep, len(keep) < tot["levels"]
+
+def level_counts(df: DataFrame, categorical, min_frequency: float, tags=None, vocab_size: int = 50) -> tuple[dict, dict]:
+    """A-13 / A-14 of all columns in one pass: {column: (retained levels, whether some fold)} and {name: tags by frequency}.
+
+    ``tags``: {name: array column}. Each row gives its levels and tags as (column, value) pairs, which are counted
+    together. Only what becomes a feature reaches the driver: levels by their share, at most MAX_LEVELS of a column
+    (more is an error), and ``vocab_size`` tags a column, by count and then name.
+    """
+    categorical, tags = list(categorical), tags or {}
+    names = categorical + list(tags)
+    if not names:
+        return {}, {}
+    pair = lambda i, v: F.struct(F.lit(i).alias("c"), v.cast("string").alias("v"))
+    parts = [F.array(*[pair(i, F.col(c)) for i, c in enumerate(categorical)])] if categorical else []
+    own_pairs = lambda j, t: F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda v: pair(j, v))
+    parts += [own_pairs(j, t) for j, t in enumerate(tags.values(), len(categorical))]
+    counts = df.select(F.explode(F.concat(*parts)).alias("s")).select("s.*").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "v"))
+    of = Window.partitionBy("c")
+    known = F.col("v").isNotNull()
+    ranked = counts.withColumn("rows", F.sum("n").over(of)).withColumn("levels", F.count_if(known).over(of)).withColumn("r", place)
+    is_tag = F.col("c") >= len(categorical)
+    want = F.when(is_tag, known & (F.col("r") <= vocab_size)).otherwise(known & (F.col("n") >= min_frequency * F.col("rows")))
+    kept = ranked.filter(want & (F.col("r") <= MAX_LEVELS + 1)).collect()
+    by: dict = {}
+    for r in sorted(kept, key=lambda r: r["r"]):
+        by.setdefault(names[r["c"]], []).append(r)
+    levels = {}
+    for c in categorical:
+        own = by.get(c, [])
+        if len(own) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels of a share of {min_frequency} or more")
+        levels[c] = (sorted(r["v"] for r in own), bool(own) and len(own) < own[0]["levels"] or not own)
+    return levels, {t: [r["v"] for r in by.get(t, [])] for t in tags}
 
 
 def one_hot_columns(col: str, levels, has_infrequent: bool, prefix: str = "categorical"):
@@ -60,31 +93,50 @@ def standardized_columns(stats: dict, prefix: str = "numeric"):
     return [((F.col(c) - F.lit(m)) / F.lit(s)).alias(f"{prefix}__{c}") for c, (m, s) in stats.items()]
 
 
+def _imputed_stats(base: DataFrame, cols, med: dict) -> dict:
+    """A-16 after A-15: mean and population std of each column with its gaps filled by the median, from one aggregate of
+    the values that are there (variances of two parts combine exactly). Std 0 -> 1."""
+    row = base.agg(F.count(F.lit(1)).alias("n"), *[a for c in cols for a in (
+        F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__m"), F.var_pop(c).alias(f"{c}__v"))]).first()
+    out = {}
+    for c in cols:
+        n, n1 = row["n"], row[f"{c}__n"]
+        n0, gap = n - n1, row[f"{c}__m"] - med[c]
+        mean = (n1 * row[f"{c}__m"] + n0 * med[c]) / n
+        std = math.sqrt((n1 * row[f"{c}__v"] + gap * gap * n1 * n0 / n) / n)
+        out[c] = (mean, std if std > 0 else 1.0)
+    return out
+
+
 def build_features(df: DataFrame, id_cols, numeric=(), categorical=(), multi_label=None,
                    min_frequency: float = 0.01, vocab_size: int = 50, quantile_method: str = "exact"):
     """Assemble the matrix. ``multi_label``: {name: array column expression}.
 
     Returns (DataFrame[id..., features], feature_names, wide DataFrame of named columns).
-    Numerics: median-impute (all-NULL columns dropped) then standardise (population std).
+    Numerics: median-impute (NULL and NaN; columns without a value are dropped), then standardise (population std).
     Categoricals: NULL -> 'missing', min-frequency fold, one-hot. Tags: multi-hot over the vocabulary.
+    The input is computed once and kept while medians, moments, and all levels and tags are found, one pass each.
     """
-    id_cols = list(id_cols)
+    id_cols, numeric, categorical = list(id_cols), list(numeric), list(categorical)
     multi_label = multi_label or {}
-    base = df.select(*id_cols, *numeric, *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c)
-                                           for c in categorical],
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+    base = df.select(*id_cols, *[value(c) for c in numeric],
+                     *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in categorical],
                      *[expr.alias(f"__tags_{name}") for name, expr in multi_label.items()])
-    med = medians(base, numeric, method=quantile_method) if numeric else {}
-    num = [c for c in numeric if c in med]
-    base = base.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) if c in num else F.col(c)
-                         for c in base.columns])
-    stats = standardize_stats(base, num) if num else {}
+    base = base.persist()
+    try:
+        med = medians(base, numeric, method=quantile_method) if numeric else {}
+        num = [c for c in numeric if c in med]
+        stats = _imputed_stats(base, num, med) if num else {}
+        levels, vocab = level_counts(base, categorical, min_frequency, {n: F.col(f"__tags_{n}") for n in multi_label}, vocab_size)
+    finally:
+        base.unpersist()
+    base = base.select(*[F.coalesce(F.col(c), F.lit(med[c])).alias(c) if c in num else F.col(c) for c in base.columns])
     cols = standardized_columns(stats)
     for c in categorical:
-        levels, infrequent = frequent_levels(base, c, min_frequency)
-        cols += one_hot_columns(c, levels, infrequent)
+        cols += one_hot_columns(c, *levels[c])
     for name in multi_label:
-        vocab = [r["tag"] for r in tag_vocab(base, F.col(f"__tags_{name}"), vocab_size).collect()]
-        cols += multi_hot_columns(F.col(f"__tags_{name}"), name, vocab, "double")
+        cols += multi_hot_columns(F.col(f"__tags_{name}"), name, vocab[name], "double")
     wide = base.select(*id_cols, *cols)
     names = [c for c in wide.columns if c not in id_cols]
     matrix = wide.select(*id_cols, F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("features"))
@@ -114,11 +166,3 @@ def matrix_quality(matrix: DataFrame, names, features: str = "features") -> Data
                       "rows_with_null", F.lit(fam_num).cast("long").alias("numeric_features"),
                       F.lit(fam_cat).cast("long").alias("categorical_features"),
                       F.lit(d - fam_num - fam_cat).cast("long").alias("multi_hot_features"))
-
-
-def assert_finite(matrix: DataFrame, features: str = "features") -> None:
-    """F-19: raise when any cell is NaN / +-inf / NULL (one aggregate)."""
-    bad = matrix.agg(F.count_if(F.exists(F.col(features), lambda v: v.isNull() | F.isnan(v)
-                                         | (F.abs(v) == float("inf")))).alias("bad")).first()["bad"]
-    if bad:
-        raise ValueError(f"feature matrix has {bad} rows with non-finite values")

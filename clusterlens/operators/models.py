@@ -90,9 +90,10 @@ def get_adapter(name: str):
     return REGISTRY[name]()
 
 
-def diagnostics(spark, model: dict, n_rows: int, d: int, close_threshold: float = 0.5,
-                near_zero: float = 0.01) -> DataFrame:
-    """M-22 / M-23: per-component parameters plus health checks, from the k-row parameter table."""
+def diagnostics(spark, model: dict, n_rows: int, d: int, close_threshold: float = 0.5, near_zero: float = 0.01,
+                assigned: DataFrame | None = None, low_confidence: float = 0.5, high_entropy: float = 1.0) -> DataFrame:
+    """M-22 / M-23: per-component parameters plus health checks, from the k-row parameter table; with the ``assigned``
+    rows also the shares of rows with low confidence and with high entropy, over all rows and per component."""
     w = np.asarray(model["weights"], float)
     means = np.asarray(model["means"] if model["kind"] == "gmm" else model["centres"], float)
     k = len(w)
@@ -114,6 +115,13 @@ def diagnostics(spark, model: dict, n_rows: int, d: int, close_threshold: float
     close_pairs = int(((D < close_threshold) & np.triu(np.ones((k, k), bool), 1)).sum())
     rows = [(j, float(w[j]), float(np.linalg.norm(means[j])), cov_ok[j]) for j in range(k)]
     comp = spark.createDataFrame(rows, "component int, weight double, mean_norm double, covariance_valid boolean")
+    if assigned is not None:
+        low, high = F.col("max_probability") < low_confidence, F.col("assignment_entropy") > high_entropy
+        share = lambda c: F.avg(c.cast("double"))
+        per = assigned.groupBy(F.col("cluster").alias("component")).agg(
+            F.avg("assignment_entropy").alias("mean_entropy"), share(low).alias("low_confidence_share"), share(high).alias("high_entropy_share"))
+        total = assigned.agg(share(low).alias("low_confidence_total"), share(high).alias("high_entropy_total"), F.lit(1).alias("_one"))
+        comp = comp.join(per, "component", "left").withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
     return comp.select(
         "*", F.lit(float(w.min())).alias("smallest_weight"),
         F.lit(int((w < near_zero).sum())).alias("near_zero_weights"),

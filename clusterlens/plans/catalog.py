@@ -466,7 +466,7 @@ b AS (SELECT p.p_partkey, p.p_name, p.p_brand, p.p_type, CAST(p.p_size AS DOUBLE
        li.avg_discount FROM part p LEFT JOIN li ON p.p_partkey = li.l_partkey)"""
 
 
-def _matrix_sql():
+def _matrix_sql(norm="{}"):
     med = ", ".join(f"median({c}) AS m_{c}" for c in _PART_NUM)
     imp = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _PART_NUM)
     st = ", ".join(f"avg({c}) AS a_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _PART_NUM)
@@ -484,7 +484,7 @@ feats_{c} AS (SELECT level, 'categorical__{c}_' || level AS feature FROM keep_{c
   UNION ALL SELECT NULL, 'categorical__{c}_infrequent_sklearn' WHERE (SELECT count(*) FROM cnt_{c}) > (SELECT count(*) FROM keep_{c}))""")
     return f"""WITH {_PART_INPUT_SQL},
 m AS (SELECT {med} FROM b),
-i AS (SELECT p_partkey, coalesce(p_type, 'missing') AS p_type, coalesce(p_brand, 'missing') AS p_brand,
+i AS (SELECT p_partkey, {norm.format("coalesce(p_type, 'missing')")} AS p_type, {norm.format("coalesce(p_brand, 'missing')")} AS p_brand,
       string_split(p_name, ' ') AS tags, {imp} FROM b, m),
 s AS (SELECT {st} FROM i),
 {", ".join(lv)},
@@ -593,12 +593,12 @@ def q_top_per_cluster(spark, sf):
     return a.unionByName(b)
 
 
-def _lift_sql(name, tags: bool, top):
+def _lift_sql(name, tags: bool, top, value="CAST(p_brand AS VARCHAR)"):
     if tags:
         ex = ("SELECT p_type AS cluster, CASE WHEN trim(t) = '' THEN 'missing' ELSE trim(t) END AS value FROM "
               "(SELECT p_type, unnest(string_split(p_name, ' ')) AS t FROM part)")
     else:
-        ex = "SELECT p_type AS cluster, coalesce(CAST(p_brand AS VARCHAR), 'missing') AS value FROM part"
+        ex = f"SELECT p_type AS cluster, coalesce({value}, 'missing') AS value FROM part"
     return f"""ex_{name} AS ({ex}),
 cv_{name} AS (SELECT cluster, value, count(*) AS cnt FROM ex_{name} GROUP BY 1, 2),
 cs_{name} AS (SELECT p_type AS cluster, count(*) AS n_c FROM part GROUP BY 1),
@@ -674,7 +674,7 @@ def q_cluster_profile(spark, sf):
     p, genres, types, labels = _part_profile_frames(spark, sf)
     sizes = EV.cluster_sizes(p, "p_type")
     num = EV.cluster_numeric(part_input(spark, sf), "p_type", _PART_NUM)
-    return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels))
+    return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels).drop("top_source_share"))
 
 
 # ---------------------------------------------------------------- B5: metrics on embeddings (cluster = label)
@@ -1086,29 +1086,38 @@ def q_top_loadings(spark, sf):
     return rounded(PCA.top_loadings(PCA.loadings(spark, model, names), 10, 5))
 
 
+#: Search settings: all of the configured grid but the number of starts, for which see the README.
+KMEANS_GRID = {"candidate_k": range(2, 13), "seeds": SEL.seed_sequence(42, 5), "n_init": 2, "max_iter": 500}
+GMM_GRID = {"candidate_k": range(2, 13), "cov_types": ("diag", "full"), "seeds": SEL.seed_sequence(42, 5), "n_init": 1, "max_iter": 300}
+
+
+def _kmeans_search(spark, sf, **changes):
+    with MX.Matrix.of(emb(spark, sf), "x", "vec_id") as m:
+        return SEL.search(m, "kmeans", **{**KMEANS_GRID, **changes})
+
+
+def _gmm_search(spark, sf, **changes):
+    """On the first ten principal components (gmm_reduced)."""
+    e = emb(spark, sf)
+    with MX.Matrix.of(e, "x", "vec_id") as m:
+        model = PCA.fit(m, 10)
+    with MX.Matrix.of(PCA.transform(e, "x", "vec_id", model), "pc", "vec_id") as m:
+        return SEL.search(m, "gmm", **{**GMM_GRID, **changes})
+
+
 @register("select_model")
 def q_select_model(spark, sf):
-    """M-15..M-19: K-means search K 2..8 x 3 seeds (n_init 2) with stability, guardrails and ranking."""
-    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
-    ranked, _, _ = SEL.search(m, "kmeans", range(2, 9), seeds=(42, 43, 44), n_init=2, max_iter=300)
-    out = ranked.select("selection_rank", "k", "silhouette", "davies_bouldin", "inertia", "stability_ari_mean",
-                        "smallest_cluster_proportion", "selection_valid", "passes_stability_guardrail")
-    m.release()
-    return rounded(out)
+    """M-15..M-19: K-means search K 2..12 x 5 seeds with stability, guardrails and ranking."""
+    return rounded(_kmeans_search(spark, sf)[0].select(
+        "selection_rank", "k", "silhouette", "davies_bouldin", "inertia", "stability_ari_mean", "smallest_cluster_proportion",
+        "selection_valid", "passes_stability_guardrail"))
 
 
 @register("select_gmm")
 def q_select_gmm(spark, sf):
-    """GMM search over K 2..4 x {diag, full} x 2 seeds on the PCA-reduced embeddings (gmm_reduced)."""
-    e, model = _pca(spark, sf)
-    red = PCA.transform(e, "x", "vec_id", model)
-    m = MX.Matrix.of(red, "pc", "vec_id")
-    ranked, _, _ = SEL.search(m, "gmm", range(2, 5), cov_types=("diag", "full"), seeds=(42, 43), n_init=1,
-                              max_iter=100)
-    m.release()
-    return rounded(ranked.select("selection_rank", "k", "covariance_type", "bic", "aic", "log_likelihood",
-                                 "stability_ari_mean", "selection_valid"))
-
+    """GMM search over K 2..12 x {diag, full} x 5 seeds on the PCA-reduced embeddings (gmm_reduced)."""
+    return rounded(_gmm_search(spark, sf)[0].select("selection_rank", "k", "covariance_type", "bic", "aic", "log_likelihood",
+                                                    "stability_ari_mean", "selection_valid"))
 
 
 # ---------------------------------------------------------------- flagship
@@ -1128,7 +1137,8 @@ def flagship_profile(spark, sf):
     labels = EV.interpretation_labels(genres, types, None, meta.select("cluster"))
     num = EV.cluster_numeric(meta, "cluster", _PART_NUM)
     sizes = EV.cluster_sizes(assigned, "cluster", 6)
-    return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels))
+    names = EV.examples(assigned.select("p_partkey", "cluster", "max_probability", "assignment_entropy"), "cluster", "p_partkey")
+    return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels, names=names))
 
 
 @register("flagship_profile")
@@ -1221,13 +1231,11 @@ def q_projection_2d(spark, sf):
 
 @register("model_diagnostics")
 def q_model_diagnostics(spark, sf):
-    """M-22 / M-23: fitted diagonal GMM (k = 10, n_init 2) parameters and health checks."""
+    """M-22 / M-23: fitted diagonal GMM (k = 10, n_init 5) parameters and health checks."""
     e = emb(spark, sf)
-    m = MX.Matrix.of(e, "x", "vec_id")
-    model = MOD.get_adapter("gmm").fit(m, {"k": 10, "covariance_type": "diag", "n_init": 2, "max_iter": 100}, 42)
-    out = MOD.diagnostics(spark, model, m.n, m.d)
-    m.release()
-    return rounded(out)
+    with MX.Matrix.of(e, "x", "vec_id") as m:
+        model = MOD.get_adapter("gmm").fit(m, {**MOD.TRAINING["gmm"], "k": 10, "covariance_type": "diag"}, 42)
+        return rounded(MOD.diagnostics(spark, model, m.n, m.d, assigned=MX.assign(e, "x", "vec_id", model)))
 
 
 @register("model_parameters", f"""WITH {_ESTEP_SQL}
@@ -1243,19 +1251,53 @@ def q_model_parameters(spark, sf):
                    .select("component", "dim", "weight", "p.mean", "p.variance"))
 
 
-@register("final_metrics")
+@register("final_metrics", f"""WITH {_ESTEP_SQL},
+f AS (SELECT e.vec_id, asg.cluster AS label, e.x FROM asg JOIN e USING (vec_id)),
+fu AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM f),
+fc AS (SELECT label, list(m ORDER BY i) AS cx, any_value(n) AS n FROM (SELECT label, i, avg(v) AS m, count(*) AS n FROM fu GROUP BY 1, 2) GROUP BY 1),
+fg AS (SELECT list(m ORDER BY i) AS gx FROM (SELECT i, avg(v) AS m FROM fu GROUP BY 1)),
+per AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x) ^ 2) AS s
+        FROM f a JOIN f b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+ab AS (SELECT p.vec_id, max(CASE WHEN p.lb = p.la THEN p.s / (c.n - 1) END) AS a, min(CASE WHEN p.lb <> p.la THEN p.s / c.n END) AS b
+       FROM per p JOIN fc c ON c.label = p.lb GROUP BY p.vec_id),
+sp AS (SELECT f.label, avg(list_distance(f.x, fc.cx)) AS s, sum(list_distance(f.x, fc.cx) ^ 2) AS w FROM f JOIN fc USING (label) GROUP BY 1),
+db AS (SELECT a.label, max((sa.s + sb.s) / list_distance(a.cx, b.cx)) AS r FROM fc a JOIN fc b ON a.label <> b.label
+       JOIN sp sa ON sa.label = a.label JOIN sp sb ON sb.label = b.label GROUP BY 1),
+bw AS (SELECT sum(n * list_distance(cx, gx) ^ 2) AS b, count(*) AS k, sum(n) AS n FROM fc, fg),
+sz AS (SELECT count(*) AS size FROM asg GROUP BY cluster)
+SELECT 'bic' AS selection_metric_primary, 'aic' AS selection_metric_secondary, CAST(NULL AS VARCHAR) AS selection_metric_tertiary,
+  (SELECT min(size) FROM sz) AS min_cluster_size, (SELECT max(size) FROM sz) AS max_cluster_size,
+  round((SELECT avg(size) FROM sz), 6) + 0.0 AS mean_cluster_size,
+  round((SELECT avg(max_probability) FROM asg), 6) + 0.0 AS mean_max_responsibility,
+  round((SELECT median(max_probability) FROM asg), 6) + 0.0 AS median_max_responsibility,
+  round((SELECT avg(assignment_entropy) FROM asg), 6) + 0.0 AS assignment_entropy_mean,
+  round((SELECT median(assignment_entropy) FROM asg), 6) + 0.0 AS assignment_entropy_median,
+  round((SELECT max(assignment_entropy) FROM asg), 6) + 0.0 AS assignment_entropy_max,
+  round((SELECT avg(CASE WHEN max_probability < 0.5 THEN 1.0 ELSE 0.0 END) FROM asg), 6) + 0.0 AS low_confidence_fraction,
+  round((SELECT avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) FROM ab), 6) + 0.0 AS silhouette,
+  round((SELECT avg(r) FROM db), 6) + 0.0 AS davies_bouldin,
+  round((SELECT b * (n - k) / ((SELECT sum(w) FROM sp) * (k - 1)) FROM bw), 6) + 0.0 AS calinski_harabasz,
+  round((SELECT -2 * avg(lse) * count(*) + (2 * 10 * 64 + 10 - 1) * ln(count(*)) FROM lse), 6) + 0.0 AS bic,
+  round((SELECT -2 * avg(lse) * count(*) + 2 * (2 * 10 * 64 + 10 - 1) FROM lse), 6) + 0.0 AS aic,
+  round((SELECT avg(lse) FROM lse), 6) + 0.0 AS average_log_likelihood
+""")
 def q_final_metrics(spark, sf):
-    """P-7: size stats, confidence summary, silhouette, Davies-Bouldin, Calinski-Harabasz of the label GMM."""
+    """P-7: size and confidence statistics, silhouette, Davies-Bouldin, Calinski-Harabasz, BIC, AIC and likelihood of the label GMM."""
     e, model = _label_gmm(spark, sf)
     a = MX.assign(e, "x", "vec_id", model)
-    return rounded(WF.final_metrics(a, e, "vec_id", "x", k=10))
+    ll = a.agg(F.avg("log_density").alias("ll"), F.count(F.lit(1)).alias("n")).first()
+    k, d = len(model["weights"]), len(model["means"][0])
+    bic, aic = MX.bic_aic(ll["ll"], ll["n"], k, d, "diag")
+    best = {"bic": bic, "aic": aic, "log_likelihood": ll["ll"]}
+    out = WF.final_metrics(a, e, "vec_id", "x", best=best, scoring=SEL.GMM_SCORING).drop("cluster_size_distribution")
+    return rounded(out)
 
 
 @register("distribution_report")
 def q_distribution_report(spark, sf):
     """P-6: nested (cluster -> genres / type records) report over part clustered by p_type."""
     p = tbl(spark, sf, "part").withColumn("cluster", F.col("p_type"))
-    rep = WF.distribution_report(p, _words(), ["p_brand"])
+    rep = WF.distribution_report(p, _words(), ["p_brand"], type_col="p_brand")
     return rep.select("cluster", F.size("genres").alias("n_genre_records"), F.size("p_brand").alias("n_type_records"),
                       F.to_json("genres").alias("genres_json"))
 
@@ -1277,11 +1319,11 @@ def q_distribution_report_records(spark, sf):
 
 @register("model_stage_reduced")
 def q_model_stage_reduced(spark, sf):
-    """End to end on the PCA-reduced embeddings: K-means search (K 2..5 x 2 seeds), final fit, assign."""
+    """End to end on the PCA-reduced embeddings: K-means search, final fit, assign."""
     e = emb(spark, sf)
     red, _ = WF.reduce_matrix(e.withColumnRenamed("x", "features"), "vec_id", 0.9)
-    res = WF.model_stage(red, "vec_id", "kmeans_reduced", features="pc", candidate_k=range(2, 6), seeds=(42, 43),
-                         search_kw={"n_init": 1, "max_iter": 100}, final_override={"n_init": 2, "max_iter": 100})
+    res = WF.model_stage(red, "vec_id", "kmeans_reduced", features="pc", candidate_k=KMEANS_GRID["candidate_k"], seeds=KMEANS_GRID["seeds"],
+                         search_kw={"n_init": 1})
     return rounded(EV.cluster_sizes(res["assignments"], "cluster", res["model"]["k"]))
 
 
@@ -1298,29 +1340,120 @@ def q_share_dominance(spark, sf):
 
 @register("metric_curve")
 def q_metric_curve(spark, sf):
-    """K-6 / C-5: BIC / AIC / log-likelihood by K and covariance type (from the GMM search)."""
-    return q_select_gmm(spark, sf).select("covariance_type", "k", "bic", "aic", "log_likelihood") \
-        .orderBy("covariance_type", "k")
+    """K-6 / C-5: the metrics of both families by K, in long form (family, covariance_type, k, metric, value)."""
+    def long(ranked, family, metrics):
+        items = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in metrics])
+        return ranked.select(F.lit(family).alias("family"), "covariance_type", "k", F.inline(items))
+    kmeans = _kmeans_search(spark, sf)[0]
+    gmm = _gmm_search(spark, sf)[0]
+    return rounded(long(kmeans, "kmeans", ["inertia", "silhouette", "davies_bouldin", "calinski_harabasz"]).unionByName(
+        long(gmm, "gmm", ["bic", "aic", "log_likelihood"])))
 
 
 @register("selection_warnings")
 def q_selection_warnings(spark, sf):
-    """M-18: degenerate / imbalance / low-stability warnings of a K-means search (K 2..12 x 3 seeds)."""
-    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
-    ranked, _, warn = SEL.search(m, "kmeans", range(2, 13), seeds=(42, 43, 44), n_init=1, max_iter=100)
-    m.release()
-    return rounded(warn)
+    """M-18: degenerate / imbalance / low-stability warnings of the K-means search."""
+    return rounded(_kmeans_search(spark, sf)[2])
 
 
 @register("training_summary")
 def q_training_summary(spark, sf):
     """M-20 / M-24: final K-means fit with parameter precedence (training <- best <- override) and its record."""
-    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
-    params = SEL.final_params({"k": 10}, MOD.TRAINING["kmeans"], {"n_init": 3, "max_iter": 100})
-    model = MOD.get_adapter("kmeans_reduced").fit(m, params, 42)
-    out = MOD.training_summary(spark, model, params, m.n, m.d, run_id="embeddings-kmeans")
-    m.release()
-    return rounded(out, 4)
+    params = SEL.final_params({"k": 10}, MOD.TRAINING["kmeans"], {"tol": 1e-5})
+    with MX.Matrix.of(emb(spark, sf), "x", "vec_id") as m:
+        model = MOD.get_adapter("kmeans_reduced").fit(m, params, 42)
+        return rounded(MOD.training_summary(spark, model, params, m.n, m.d, run_id="embeddings-kmeans"), 4)
+
+
+# ---------------------------------------------------------------- stages over column roles
+from clusterlens.plans import stages as ST  # noqa: E402
+
+_PART_ROLES = ST.Roles(ids=("p_partkey",), numeric=("p_size", "p_retailprice", "n_lines", "qty_sum", "avg_discount", "absent"),
+                       categorical=("p_type", "p_brand"), multi_label=("p_name",), log=("n_lines", "qty_sum"))
+
+
+@register("transform_matrix", _matrix_sql("lower(trim({}))") + """
+SELECT p_partkey, feature, round(value, 6) + 0.0 AS value FROM longf""")
+def q_transform_matrix(spark, sf):
+    """F-15 / F-16: raw part columns by their roles -> transformed table -> feature matrix."""
+    li = tbl(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty_sum"),
+                                                             F.avg("l_discount").alias("avg_discount"))
+    p = tbl(spark, sf, "part").withColumn("p_name", F.replace("p_name", F.lit(" "), F.lit("|")))
+    raw = p.join(li, p["p_partkey"] == li["l_partkey"], "left").drop("l_partkey")
+    out, _ = ST.transform(raw, _PART_ROLES)
+    _, names, wide = ST.feature_matrix(out, _PART_ROLES)
+    return rounded(FE.unpivot_features(wide, ["p_partkey"], names))
+
+
+_SOURCE_SQL = "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'size ' || CAST(p_size // 10 AS VARCHAR) END"
+_EVAL_SQL = f"""{_cluster_numeric_sql()}, {_lift_sql('g', True, 8)}, {_lift_sql('t', False, 5)}, {_lift_sql('s', False, 5, _SOURCE_SQL)},
+{_oi_sql('g', 0.08, 2)}, {_oi_sql('t', 0.15, 1)}, {_oi_sql('s', 0.12, 1)},
+cl AS (SELECT p_type AS cluster, count(*) AS size, count(*) / (SELECT count(*) FROM part) AS proportion FROM part GROUP BY 1),
+bits AS (SELECT cl.cluster, list_concat(list_concat(
+   coalesce((SELECT list(value ORDER BY oi) FROM oi_g WHERE oi_g.cluster = cl.cluster), []),
+   coalesce((SELECT list(value ORDER BY oi) FROM oi_t WHERE oi_t.cluster = cl.cluster), [])),
+   coalesce((SELECT list(value ORDER BY oi) FROM oi_s WHERE oi_s.cluster = cl.cluster), [])) AS b,
+   list_concat(coalesce((SELECT list(value ORDER BY rk) FROM rec_g WHERE rec_g.cluster = cl.cluster AND rk <= 2), []),
+               coalesce((SELECT list(value ORDER BY rk) FROM rec_t WHERE rec_t.cluster = cl.cluster AND rk <= 1), [])) AS fb FROM cl),
+labels AS (SELECT cluster, CASE WHEN len(b) > 0 THEN array_to_string(b[1:4], ', ') WHEN len(fb) > 0 THEN array_to_string(fb, ', ')
+           ELSE 'cluster ' || cluster END AS interpretation_label FROM bits),
+z AS (SELECT cluster, c.col AS col, (mean - gm) / gs AS z FROM c JOIN g ON c.col = g.col WHERE n > 0),
+zr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, col) AS rk FROM z),
+ex AS (SELECT p_type AS cluster, p_name || ' #' || p_partkey AS name,
+  row_number() OVER (PARTITION BY p_type ORDER BY p_partkey % 97 DESC, p_name || ' #' || p_partkey) AS r,
+  row_number() OVER (PARTITION BY p_type ORDER BY p_partkey % 89 DESC, p_name || ' #' || p_partkey) AS a FROM part),
+rep AS (SELECT cluster, string_agg(name, ', ' ORDER BY r) FILTER (r <= 3) AS representative,
+  string_agg(name, ', ' ORDER BY a) FILTER (a <= 3) AS ambiguous FROM ex GROUP BY 1),
+tg AS (SELECT cluster, string_agg(value, ', ' ORDER BY rk) AS top_genres FROM rec_g WHERE rk <= 5 GROUP BY 1),
+tt AS (SELECT cluster, string_agg(value, ', ' ORDER BY rk) AS top_types FROM rec_t WHERE rk <= 3 GROUP BY 1),
+tz AS (SELECT cluster, string_agg(col, ', ' ORDER BY rk) AS top_numeric_features FROM zr WHERE rk <= 4 GROUP BY 1),
+sh AS (SELECT t.cluster, t.share AS top_type_share, s.share AS top_source_share FROM rec_t t LEFT JOIN rec_s s ON s.cluster = t.cluster AND s.rk = 1
+       WHERE t.rk = 1)"""
+
+
+def _evaluated(spark, sf):
+    """part clustered by its type, with stand-ins for confidence and entropy that follow from the key."""
+    p = part_input(spark, sf)
+    key = F.col("p_partkey")
+    assigned = p.select(key, F.col("p_type").alias("cluster"), ((key % 97) / 97).alias("max_probability"), ((key % 89) / 89).alias("assignment_entropy"))
+    meta = p.select(key, F.concat("p_name", F.lit(" #"), key).alias("title"), F.replace("p_name", F.lit(" "), F.lit("|")).alias("p_name"), "p_brand",
+                    F.when(key % 10 != 0, F.concat(F.lit("size "), F.floor(F.col("p_size") / 10).cast("string"))).alias("size_class"), *_PART_NUM)
+    roles = ST.Roles(ids=("p_partkey",), numeric=tuple(_PART_NUM), categorical=("p_brand", "size_class"), multi_label=("p_name",))
+    return ST.evaluate(assigned, meta, roles, name_col="title")
+
+
+@register("evaluate_profile", _EVAL_SQL + """
+SELECT cluster, size, round(proportion, 6) + 0.0 AS proportion, top_genres, top_types, top_numeric_features, interpretation_label,
+  representative, ambiguous, round(top_type_share, 6) + 0.0 AS top_type_share, round(top_source_share, 6) + 0.0 AS top_source_share,
+  top_type_share >= 0.8 OR top_source_share >= 0.8 AS format_artifact_warning
+FROM cl JOIN tg USING (cluster) JOIN tt USING (cluster) JOIN tz USING (cluster) JOIN labels USING (cluster) JOIN rep USING (cluster) JOIN sh USING (cluster)
+""")
+def q_evaluate_profile(spark, sf):
+    """P-4 / P-5: the whole profile: examples, label from tags, types and sources, both dominance shares."""
+    return rounded(_evaluated(spark, sf)["profile"])
+
+
+@register("evaluate_report", _EVAL_SQL + """
+SELECT cl.cluster, size, round(proportion, 6) + 0.0 AS proportion, interpretation_label, representative, ambiguous,
+  round(top_type_share, 6) + 0.0 AS top_type_share, round(top_source_share, 6) + 0.0 AS top_source_share,
+  (SELECT count(*) FROM rec_g r WHERE r.cluster = cl.cluster) AS n_genres, (SELECT count(*) FROM rec_t r WHERE r.cluster = cl.cluster) AS n_types,
+  (SELECT count(*) FROM rec_s r WHERE r.cluster = cl.cluster) AS n_sources, top_numeric_features, c.col AS "column", c.n AS n,
+  round(c.mean, 4) + 0.0 AS mean, round(c.median, 4) + 0.0 AS median, round(c.std, 4) + 0.0 AS std, round(z.z, 4) + 0.0 AS z_score_vs_global
+FROM cl JOIN labels USING (cluster) JOIN rep USING (cluster) JOIN sh USING (cluster) JOIN tz USING (cluster)
+JOIN c ON c.cluster = cl.cluster AND c.n > 0 JOIN z ON z.cluster = c.cluster AND z.col = c.col
+""")
+def q_evaluate_report(spark, sf):
+    """P-6: the nested report, its numeric part taken out of it again."""
+    rep = _evaluated(spark, sf)["report"]
+    count = lambda c, name: F.size(c).cast("long").alias(name)
+    flat = rep.select("cluster", "size", F.round("proportion", 6).alias("proportion"), "interpretation_label",
+                      F.array_join("representative", ", ").alias("representative"), F.array_join("ambiguous", ", ").alias("ambiguous"),
+                      F.round("dominance_signals.top_type_share", 6).alias("top_type_share"),
+                      F.round("dominance_signals.top_source_share", 6).alias("top_source_share"), count("genres", "n_genres"),
+                      count("p_brand", "n_types"), count("size_class", "n_sources"),
+                      F.array_join("top_numeric_features_by_z_score", ", ").alias("top_numeric_features"), F.inline("numeric_distributions"))
+    return flat.select(*[c for c in flat.columns if c not in ("mean", "median", "std", "p25", "p75", "z_score_vs_global")],
+                       *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("mean", "median", "std", "z_score_vs_global")])
 
 
 # ---------------------------------------------------------------- records of a search, from given tables
