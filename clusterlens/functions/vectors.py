@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["as_double_array", "sq_dist", "euclid", "array_sum", "lit_vector", "entropy_of", "argmax_index"]
+__all__ = ["sq_dist", "array_sum", "lit_vector"]
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def as_double_array(col) -> Column:
-    return _c(col).cast("array<double>")
-
-
 def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -25,19 +21,5 @@ def sq_dist(a, b) -> Column:
     return array_sum(F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y)))
 
 
-def euclid(a, b) -> Column:
-    return F.sqrt(sq_dist(a, b))
-
-
 def lit_vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
-
-
-def entropy_of(prob: Column, eps: float = 1e-12) -> Column:
-    """-sum p ln(p + eps) over a probability array."""
-    return -array_sum(F.transform(prob, lambda p: p * F.log(p + F.lit(eps))))
-
-
-def argmax_index(arr: Column) -> Column:
-    """0-based position of the first maximum."""
-    return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")

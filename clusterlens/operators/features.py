@@ -139,8 +139,18 @@ def build_features(df: DataFrame, id_cols, numeric=(), categorical=(), multi_lab
         cols += multi_hot_columns(F.col(f"__tags_{name}"), name, vocab[name], "double")
     wide = base.select(*id_cols, *cols)
     names = [c for c in wide.columns if c not in id_cols]
-    matrix = wide.select(*id_cols, F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("features"))
-    return matrix, names, wide
+    return as_matrix(wide, id_cols, names), names, wide
+
+
+def as_matrix(wide: DataFrame, id_cols, names: list[str]) -> DataFrame:
+    """S-7: the named columns as one array; their names are kept with it, also in Parquet files."""
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
+    return wide.select(*id_cols, values.alias("features", metadata={"feature_names": list(names)}))
+
+
+def feature_names(matrix: DataFrame, features: str = "features") -> list[str]:
+    """The names that ``as_matrix`` kept."""
+    return list(matrix.schema[features].metadata.get("feature_names", []))
 
 
 def unpivot_features(wide: DataFrame, id_cols, names) -> DataFrame:
@@ -151,18 +161,36 @@ def unpivot_features(wide: DataFrame, id_cols, names) -> DataFrame:
 
 
 def matrix_quality(matrix: DataFrame, names, features: str = "features") -> DataFrame:
-    """A-19 / A-20: rows, dims, null and zero cells, rows with a null, family counts (one aggregate)."""
+    """A-19 / A-20: rows, dims, null and zero cells, rows with a null, duplicate rows, family counts (one pass)."""
     d = len(names)
-    fam_num = sum(1 for n in names if n.startswith("numeric__"))
-    fam_cat = sum(1 for n in names if n.startswith("categorical__"))
+    families = family_counts(names)
     arr = F.col(features)
-    out = matrix.agg(
+    same = matrix.select("*", F.xxhash64(arr).alias("h1"), F.xxhash64(F.lit("second"), arr).alias("h2"))
+    # equal rows meet by a digest; each group keeps the sums of its rows
+    per = same.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.size(F.filter(arr, lambda v: v.isNull() | F.isnan(v)))).cast("long").alias("null_cells"),
         F.sum(F.size(F.filter(arr, lambda v: v == 0.0))).cast("long").alias("zero_cells"),
         F.count_if(F.exists(arr, lambda v: v.isNull() | F.isnan(v))).alias("rows_with_null"))
+    out = per.agg(F.sum(F.col("rows") - 1).alias("duplicate_rows"), *[F.sum(c).alias(c) for c in ("rows", "null_cells", "zero_cells", "rows_with_null")])
     return out.select("rows", F.lit(d).cast("long").alias("dims"), "null_cells", "zero_cells",
                       (F.col("zero_cells") / F.nullif(F.col("rows") * F.lit(d), F.lit(0))).alias("zero_cell_ratio"),
-                      "rows_with_null", F.lit(fam_num).cast("long").alias("numeric_features"),
-                      F.lit(fam_cat).cast("long").alias("categorical_features"),
-                      F.lit(d - fam_num - fam_cat).cast("long").alias("multi_hot_features"))
+                      "rows_with_null", "duplicate_rows",
+                      *[F.lit(n).cast("long").alias(f"{f}_features") for f, n in families.items()])
+
+
+def family_counts(names: list[str]) -> dict[str, int]:
+    """F-17: how many features are numbers, categories and tags."""
+    num = sum(n.startswith("numeric__") for n in names)
+    cat = sum(n.startswith("categorical__") for n in names)
+    return {"numeric": num, "categorical": cat, "multi_hot": len(names) - num - cat}
+
+
+def feature_gaps(wide: DataFrame, names: list[str]) -> DataFrame:
+    """A-19 by feature: (feature, family, nulls, zeros) in one aggregate."""
+    value = lambda n: F.col(f"`{n}`").cast("double")
+    row = wide.agg(*[a for i, n in enumerate(names) for a in (
+        F.count_if(value(n).isNull() | F.isnan(value(n))).alias(f"n{i}"), F.count_if(value(n) == 0).alias(f"z{i}"))])
+    family = lambda n: "numeric" if n.startswith("numeric__") else "categorical" if n.startswith("categorical__") else "multi_hot"
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(family(n)).alias("family"), F.col(f"n{i}").alias("nulls"),
+                                                  F.col(f"z{i}").alias("zeros")) for i, n in enumerate(names)])))

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterlens.functions.text import normalize_category
-
 
 def _tags_or_missing(tags, missing: str):
     """Array of trimmed tags; empty item -> missing; null/empty array -> [missing]."""
@@ -65,7 +63,3 @@ def category_lift(df, cluster_col, value_col, top_n=5, missing="missing"):
 def multilabel_lift(df, cluster_col, tags, top_n=8, missing="missing", keep_missing=True):
     """P-2: multi-label distribution per cluster, share denominator = rows, top 8."""
     return distribution_lift(df, cluster_col, tags=tags, top_n=top_n, missing=missing, keep_missing=keep_missing)
-
-
-def normalized_category(col):
-    return normalize_category(col)

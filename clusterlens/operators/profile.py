@@ -43,6 +43,13 @@ def null_distinct_profile(df: DataFrame, cols=None, approx: bool = False, missin
                       (F.col("distinct_count") / n > cardinality_share).alias("high_cardinality"))
 
 
+def top_missing(profile: DataFrame, n: int = 15) -> DataFrame:
+    """C-3: the ``n`` columns with the most nulls of a profile, ties by name, with their share and place."""
+    order = Window.orderBy(F.desc("null_count"), "column")  # one row for each column of the table
+    return profile.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(
+        "rank", "column", "null_count", (F.col("null_count") / F.greatest("rows", F.lit(1))).alias("null_share"))
+
+
 def duplicate_key_count(df: DataFrame, key: str) -> DataFrame:
     """A-3: rows after the first of each key (NULL keys form one group)."""
     return (df.select(*key_digest([F.col(key)])).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"))

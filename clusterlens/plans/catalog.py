@@ -319,6 +319,20 @@ def q_profile_numeric(spark, sf):
     return rounded(P.numeric_summary(tbl(spark, sf, "lineitem"), _LI_NUM), 4)
 
 
+def _missing_sql():
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM j" for c in _PROFILE_COLS)
+    return f"""WITH j AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), u AS ({parts})
+SELECT "rank", "column", null_count, null_share FROM (
+  SELECT CAST(row_number() OVER (ORDER BY nulls DESC, col) AS INTEGER) AS "rank", col AS "column", nulls AS null_count,
+         round(nulls / greatest(n, 1), 6) + 0.0 AS null_share FROM u) WHERE "rank" <= 15"""
+
+
+@register("missing_top15", _missing_sql())
+def q_missing_top15(spark, sf):
+    """C-3: the columns with the most nulls."""
+    return rounded(P.top_missing(P.null_distinct_profile(docs_labels(spark, sf), _PROFILE_COLS)))
+
+
 @register("top_categories", """
 WITH u AS (SELECT 'p_brand' AS "column", coalesce(CAST(p_brand AS VARCHAR), 'missing') AS value FROM part
            UNION ALL SELECT 'p_type', coalesce(CAST(p_type AS VARCHAR), 'missing') FROM part),
@@ -513,6 +527,8 @@ SELECT count(DISTINCT p_partkey) AS "rows", count(DISTINCT feature) AS dims,
   count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS null_cells, count(*) FILTER (WHERE value = 0) AS zero_cells,
   round(count(*) FILTER (WHERE value = 0) / count(*), 6) + 0.0 AS zero_cell_ratio,
   count(DISTINCT p_partkey) FILTER (WHERE value IS NULL OR isnan(value)) AS rows_with_null,
+  (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM (SELECT list(value ORDER BY feature) AS v FROM longf GROUP BY p_partkey) GROUP BY v))
+    AS duplicate_rows,
   count(DISTINCT feature) FILTER (WHERE feature LIKE 'numeric\\_\\_%' ESCAPE '\\') AS numeric_features,
   count(DISTINCT feature) FILTER (WHERE feature LIKE 'categorical\\_\\_%' ESCAPE '\\') AS categorical_features,
   count(DISTINCT feature) FILTER (WHERE feature LIKE 'p\\_name\\_\\_%' ESCAPE '\\') AS multi_hot_features
@@ -679,7 +695,7 @@ def q_cluster_profile(spark, sf):
 
 # ---------------------------------------------------------------- B5: metrics on embeddings (cluster = label)
 from clusterlens.operators import metrics as M  # noqa: E402
-from clusterlens.functions.vectors import argmax_index, lit_vector, sq_dist  # noqa: E402
+from clusterlens.functions.vectors import lit_vector, sq_dist  # noqa: E402
 
 _EMB_SQL = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 _CENT_SQL = """u AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e),
@@ -1167,14 +1183,85 @@ def q_clean_table(spark, sf):
     return out.select("event_id", "user_id", "event_type", "value")
 
 
-@register("clean_summary", """
-SELECT count(*) AS rows_in, count(DISTINCT event_id) AS rows_out, count(*) - count(DISTINCT event_id) AS rows_dropped,
-       CAST(1 AS BIGINT) AS imputed_columns FROM events
+def _dirty_orders(spark, sf):
+    """orders with repeated keys, missing tokens, gaps in the numbers and a key that is not there."""
+    o = tbl(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    x = o.select(F.when(key % 50 == 0, F.lit(None)).when(key % 10 == 1, key - 1).otherwise(key).alias("k"), key.alias("line"),
+                 F.when(key % 6 == 0, F.lit(" Unknown ")).otherwise(F.col("o_orderpriority")).alias("priority"),
+                 F.when(key % 4 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("price"),
+                 F.when(key % 9 == 0, F.lit("")).otherwise((key % 100).cast("string")).alias("units"))
+    return C.clean(x, key="k", numeric=["price", "units"], categorical=["priority"], order_col="line", keep="first")
+
+
+_DIRTY_SQL = """
+o AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS k, o_orderkey AS line,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS price,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) END AS units FROM orders),
+keyed AS (SELECT * FROM o WHERE k IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY line) AS rn FROM keyed) WHERE rn = 1)"""
+
+
+@register("clean_summary", f"""WITH {_DIRTY_SQL}
+SELECT (SELECT count(*) FROM o) AS rows_in, (SELECT count(*) FROM one) AS rows_out, (SELECT count(*) FROM o) - (SELECT count(*) FROM one) AS rows_dropped,
+  (SELECT count(*) FROM keyed) - (SELECT count(*) FROM one) AS duplicates_removed,
+  (SELECT count(*) FROM o WHERE line % 6 = 0) AS priority_tokens, (SELECT count(*) FROM one WHERE price IS NULL OR units IS NULL) AS rows_imputed,
+  CAST((SELECT (count(price) > 0)::INT + (count(units) > 0)::INT FROM one) AS BIGINT) AS imputed_columns,
+  round((SELECT median(price) FROM one), 4) + 0.0 AS price_median, round((SELECT median(units) FROM one), 4) + 0.0 AS units_median
 """)
 def q_clean_summary(spark, sf):
-    _, s = _cleaned_events(spark, sf)
-    return spark.createDataFrame([(s["rows_in"], s["rows_out"], s["rows_dropped"], len(s["imputed_columns"]))],
-                                 "rows_in long, rows_out long, rows_dropped long, imputed_columns long")
+    """A-12: every field of the cleaning summary."""
+    _, s = _dirty_orders(spark, sf)
+    row = (s["rows_in"], s["rows_out"], s["rows_dropped"], s["duplicates_removed"], s["tokens_replaced"]["priority"], s["rows_imputed"],
+           len(s["imputed_columns"]), s["medians"]["price"], s["medians"]["units"])
+    return rounded(spark.createDataFrame([row], "rows_in long, rows_out long, rows_dropped long, duplicates_removed long, priority_tokens long, "
+                                                "rows_imputed long, imputed_columns long, price_median double, units_median double"), 4)
+
+
+@register("validate_duration", f"""
+WITH d AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'soon' WHEN event_id % 13 = 0 THEN '  ' ELSE {_DUR_SQL} END AS t FROM events),
+f AS (SELECT t, TRY_CAST(nullif(regexp_extract(lower(trim(t)), '(\d+)\s*hr', 1), '') AS BIGINT) AS h,
+      TRY_CAST(nullif(regexp_extract(lower(trim(t)), '(\d+)\s*min', 1), '') AS BIGINT) AS m FROM d)
+SELECT count(*) AS "rows", count(*) FILTER (WHERE trim(t) = '') AS missing_t,
+  count(*) FILTER (WHERE trim(t) <> '' AND coalesce(h, 0) * 60 + coalesce(m, 0) <= 0) AS invalid_t FROM f
+""")
+def q_validate_duration(spark, sf):
+    """V-6: durations that are there but say nothing."""
+    dur = F.expr(_DUR_SQL.replace("VARCHAR", "STRING"))
+    e = tbl(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 11 == 0, "soon").when(F.col("event_id") % 13 == 0, "  ")
+                                        .otherwise(dur).alias("t"))
+    return V.validate(e, key="event_id", name="t", duration_col="t")[0].select("rows", "missing_t", "invalid_t")
+
+
+from clusterlens.sources import io as IO  # noqa: E402
+
+
+@register("ingest_summary", """
+SELECT column_name AS "column", upper(replace(column_name, '_', ' ')) AS original,
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS dtype,
+  (SELECT count(*) FROM customer) AS "rows" FROM duckdb_columns() WHERE table_name = 'customer'
+""")
+def q_ingest_summary(spark, sf):
+    """S-9 / S-10 / A-9: a table with a foreign spelling of its header, checked, renamed and summarised."""
+    c = tbl(spark, sf, "customer")
+    raw = c.toDF(*[x.replace("_", " ").upper() for x in c.columns])
+    df, mapping = IO.ingest(raw, required=["C CUSTKEY", "C NAME"])
+    return IO.schema_summary(df, mapping)
+
+
+@register("interpretation_slice", "SELECT p_partkey, p_name, p_type FROM part")
+def q_interpretation_slice(spark, sf):
+    """S-12: the columns that interpret a cluster, as far as the table has them."""
+    return IO.select_present(tbl(spark, sf, "part"), ["p_partkey", "p_name", "absent", "p_type"])
+
+
+@register("feature_gaps", _matrix_sql() + """
+SELECT feature, CASE WHEN starts_with(feature, 'numeric__') THEN 'numeric' WHEN starts_with(feature, 'categorical__') THEN 'categorical' ELSE 'multi_hot' END
+  AS family, count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS nulls, count(*) FILTER (WHERE value = 0) AS zeros FROM longf GROUP BY feature""")
+def q_feature_gaps(spark, sf):
+    """A-19 / C-4: nulls and zeros of every feature with its family."""
+    _, names, wide = _part_matrix(spark, sf)
+    return FE.feature_gaps(wide, names)
 
 
 def _conf_hist_sql():

@@ -100,7 +100,7 @@ def feature_matrix(transformed: DataFrame, roles: Roles) -> tuple[DataFrame, lis
                                        min_frequency=roles.min_frequency)
     names = names + hot
     wide = wide.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
-    return wide.select(*ids, F.array(*[F.col(f"`{c}`") for c in names]).alias("features")), names, wide
+    return FE.as_matrix(wide, ids, names), names, wide
 
 
 def evaluate(assigned: DataFrame, meta: DataFrame, roles: Roles, name_col: str | None = None, type_col: str | None = None,
