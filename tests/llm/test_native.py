@@ -233,3 +233,25 @@ def test_url_filter_keeps_columns_and_rows(spark):
     assert out.columns == ["page_id", "url", "token", "host", "path", "rule", "verdict"]
     assert out.first()["verdict"] == "block"
     assert url_filter.filter_urls(pages.limit(0), url_filter.BASE_RULES).count() == 0
+
+
+def test_quality_of_long_and_unspaced_texts(make_docs):
+    """The verdict depends neither on the length of a text nor on a script without spaces."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(3, 9))) for _ in range(9000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    kana = lambda n: " ".join("".join(chr(rng.randint(0x3041, 0x3096)) for _ in range(30)) for _ in range(n))
+    few = " ".join(rng.choice(vocabulary[:20]) for _ in range(3000))
+    rows = [(0, text(2000)), (1, text(200_000)), (2, kana(200)), (3, " ".join("x" * 30 + str(i) for i in range(200))), (4, few), (5, "ab " * 60)]
+    got = dict(zip(range(6), ordered(quality.quality_filter(make_docs(rows)), "kept", "rejected_by")))
+    assert got[0] == got[1] == got[2] == [True, None]
+    assert got[3] == [False, "mean_word_length"] and got[4][0] is False and got[5][0] is False
+
+
+def test_quality_repeats_where_short_hashes_agree(make_docs, monkeypatch):
+    """Windows that agree only in the bits that fit beside the position are not repeats."""
+    monkeypatch.setattr(quality, "_unit", lambda n: F.lit(1 << 61))
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 120)))) for i in range(30)]
+    got = ordered(quality.base_columns(make_docs(rows)), "n_repeat_words")
+    assert [g[0] for g in got] == [brute.quality(t)[4] for _, t in rows]
