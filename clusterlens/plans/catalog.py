@@ -17,7 +17,7 @@ from clusterlens.operators import features as FE
 from clusterlens.operators import lift as L
 from clusterlens.operators import profile as P
 from clusterlens.operators import validate as V
-from clusterlens.plans.registry import register, rounded, tbl
+from clusterlens.plans.registry import register, rounded, tbl, settled
 
 WS_SQL = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+"
 
@@ -849,13 +849,10 @@ FROM c3 LEFT JOIN fin ON fin.cl = c3.cl GROUP BY c3.cl, c3.cx
 """)
 def q_kmeans_fixed_start(spark, sf):
     labels, centres = _fixed_centres(spark, sf)
-    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
-    fits = {0: MX.KMeansFit(len(centres), seed=0)}
-    MX.kmeans_many(m, fits, max_iter=3, tol=-1.0, init_centres={0: np.asarray(centres)})
-    f = fits[0]
-    C = f.centres + m.shift
+    with MX.Matrix.of(emb(spark, sf), "x", "vec_id") as m:
+        f = MX.kmeans_many(m, {0: MX.KMeansFit(len(centres), seed=0)}, max_iter=3, tol=-1.0, init_centres={0: np.asarray(centres)})[0]
+        C = f.centres + m.shift
     rows = [(int(labels[j]), int(f.sizes[j]), float(C[j].sum()), float(f.inertia)) for j in range(len(C))]
-    m.release()
     out = spark.createDataFrame(rows, "cluster int, size long, centre_sum double, inertia double")
     return rounded(out.select("cluster", "size", F.round("centre_sum", 6).alias("centre_sum"),
                               F.round("inertia", 4).alias("inertia")))
@@ -1031,7 +1028,7 @@ def q_representative_rows(spark, sf):
                                                                           "cluster", "vec_id", "rank")
     amb = EV.top_rows(a, "cluster", "assignment_entropy", "vec_id", 3).select(F.lit("ambiguous").alias("kind"),
                                                                              "cluster", "vec_id", "rank")
-    return rep.unionByName(amb)
+    return settled(rep.unionByName(amb), a)
 
 
 @register("assignment_summary", f"""WITH {_ESTEP_SQL}
@@ -1049,13 +1046,12 @@ def q_assignment_summary(spark, sf):
 
 @register("gmm_fit")
 def q_gmm_fit(spark, sf):
-    """M-5: diagonal GMM (k = 10, k-means init, tol 1e-3): weight, hard size, converged per component."""
-    e = emb(spark, sf)
-    m = MX.Matrix.of(e, "x", "vec_id")
-    f = MX.gmm_many(m, {0: MX.GMMFit(10, "diag", seed=42)}, max_iter=100, tol=1e-3)[0]
-    m.release()
-    rows = [(j, float(f.weights[j]), int(f.sizes[j]), bool(f.converged), int(f.n_iter)) for j in range(f.k)]
-    return spark.createDataFrame(rows, "component int, weight double, size long, converged boolean, n_iter int")
+    """M-5: diagonal and full GMM (k = 10, k-means init, tol 1e-3) in the same scans: weight, hard size, converged per component."""
+    fits = {i: MX.GMMFit(10, c, seed=42) for i, c in enumerate(("diag", "full"))}
+    with MX.Matrix.of(emb(spark, sf), "x", "vec_id") as m:
+        MX.gmm_many(m, fits, max_iter=300, tol=1e-3)
+    rows = [(f.cov_type, j, float(f.weights[j]), int(f.sizes[j]), bool(f.converged), int(f.n_iter)) for f in fits.values() for j in range(f.k)]
+    return spark.createDataFrame(rows, "covariance_type string, component int, weight double, size long, converged boolean, n_iter int")
 
 
 def _cov_sql():
@@ -1066,9 +1062,8 @@ FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.i, b.i"""
 
 @register("pca_covariance", _cov_sql())
 def q_pca_covariance(spark, sf):
-    m = MX.Matrix.of(emb(spark, sf), "x", "vec_id")
-    cov = PCA.covariance(m)
-    m.release()
+    with MX.Matrix.of(emb(spark, sf), "x", "vec_id") as m:
+        cov = PCA.covariance(m)
     d = len(cov)
     rows = [(i, j, float(cov[i, j])) for i in range(d) for j in range(d)]
     return rounded(spark.createDataFrame(rows, "i int, j int, cov double"))
@@ -1076,9 +1071,8 @@ def q_pca_covariance(spark, sf):
 
 def _pca(spark, sf, target=0.9):
     e = emb(spark, sf)
-    m = MX.Matrix.of(e, "x", "vec_id")
-    model = PCA.fit(m, target)
-    m.release()
+    with MX.Matrix.of(e, "x", "vec_id") as m:
+        model = PCA.fit(m, target)
     return e, model
 
 
@@ -1095,6 +1089,26 @@ def q_pca_transform(spark, sf):
     return rounded(pc.select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2")))
 
 
+@register("pca_energy", f"""WITH {_EMB_SQL}, u AS (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e),
+t AS (SELECT sum(s) AS total FROM (SELECT var_samp(v) AS s FROM u GROUP BY i))
+SELECT solver, round(total, 6) + 0.0 AS total_variance, round(total, 6) + 0.0 AS score_variance, 0.0::DOUBLE AS mean_score
+FROM t, (VALUES ('covariance_eigh'), ('randomized')) s(solver)
+""")
+def q_pca_energy(spark, sf):
+    """M-1 / M-2: all components of either solver together hold all of the variance, and their scores have mean 0."""
+    e = emb(spark, sf)
+    out = None
+    for solver in ("covariance_eigh", "randomized"):
+        with MX.Matrix.of(e, "x", "vec_id") as m:
+            model = PCA.fit(m, m.d, svd_solver=solver)
+        pc = PCA.transform(e, "x", "vec_id", model).select("vec_id", F.posexplode("pc").alias("i", "v"))
+        per = pc.groupBy("i").agg(F.var_samp("v").alias("s"), F.avg("v").alias("m"))
+        row = per.agg(F.round(F.lit(float(model.explained_variance.sum())), 6).alias("total_variance"), F.round(F.sum("s"), 6).alias("score_variance"),
+                      F.round(F.max(F.abs("m")), 6).alias("mean_score")).select(F.lit(solver).alias("solver"), "*")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
 @register("top_loadings")
 def q_top_loadings(spark, sf):
     _, model = _pca(spark, sf)
@@ -1140,21 +1154,20 @@ def q_select_gmm(spark, sf):
 def flagship_profile(spark, sf):
     """part (+ lineitem aggregates) -> features -> K-means -> cluster profile."""
     matrix, _, _ = _part_matrix(spark, sf)
-    m = MX.Matrix.of(matrix, "features", "p_partkey")
-    fit = MX.kmeans_many(m, {0: MX.KMeansFit(6, seed=42)}, max_iter=300, tol=1e-4)[0]
-    model = {"kind": "kmeans", "centres": fit.centres + m.shift}
-    # score the persisted matrix once; every profile aggregate below reuses the persisted assignment
-    assigned = MX.assign(m.df, "x", "id", model).withColumnRenamed("id", "p_partkey").persist()
-    meta = part_input(spark, sf).join(assigned.select("p_partkey", "cluster"), "p_partkey").persist()
-    meta.count()
-    m.release()
+    with MX.Matrix.of(matrix, "features", "p_partkey") as m:
+        fit = MX.kmeans_many(m, {0: MX.KMeansFit(6, seed=42)}, max_iter=300, tol=1e-4)[0]
+        model = {"kind": "kmeans", "centres": fit.centres + m.shift}
+        # score the persisted matrix once; every profile aggregate below reuses the persisted assignment
+        assigned = MX.assign(m.df, "x", "id", model).withColumnRenamed("id", "p_partkey").persist()
+        meta = part_input(spark, sf).join(assigned.select("p_partkey", "cluster"), "p_partkey").persist()
+        meta.count()
     genres = L.multilabel_lift(meta, "cluster", _words(), 8)
     types = L.category_lift(meta, "cluster", "p_type", 5)
     labels = EV.interpretation_labels(genres, types, None, meta.select("cluster"))
     num = EV.cluster_numeric(meta, "cluster", _PART_NUM)
     sizes = EV.cluster_sizes(assigned, "cluster", 6)
     names = EV.examples(assigned.select("p_partkey", "cluster", "max_probability", "assignment_entropy"), "cluster", "p_partkey")
-    return rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels, names=names))
+    return settled(rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels, names=names)), meta, assigned)
 
 
 @register("flagship_profile")
@@ -1280,7 +1293,7 @@ def q_confidence_histogram(spark, sf):
     """C-6: confidence and entropy histograms of the assignment table."""
     e, model = _label_gmm(spark, sf)
     a = MX.assign(e, "x", "vec_id", model).persist()
-    return rounded(P.histogram(a, ["max_probability", "assignment_entropy"], 30))
+    return settled(rounded(P.histogram(a, ["max_probability", "assignment_entropy"], 30)), a)
 
 
 _NAME_SQL = "CASE WHEN vec_id % 7 = 0 THEN NULL ELSE 'vec-' || CAST(vec_id % 50 AS VARCHAR) END"
@@ -1306,9 +1319,8 @@ def q_metadata_join(spark, sf):
 def q_projection_2d(spark, sf):
     """M-4 / C-10: first two centred components with cluster and opacity = clip(max prob, 0.2, 1)."""
     e, model = _label_gmm(spark, sf)
-    m = MX.Matrix.of(e, "x", "vec_id")
-    p2 = PCA.fit(m, 2)
-    m.release()
+    with MX.Matrix.of(e, "x", "vec_id") as m:
+        p2 = PCA.fit(m, 2)
     pts = PCA.transform(e, "x", "vec_id", p2).select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
     a = MX.assign(e, "x", "vec_id", model).select("vec_id", "cluster", "max_probability")
     return rounded(pts.join(a, "vec_id").select(

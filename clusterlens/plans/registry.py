@@ -35,3 +35,12 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def tbl(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def settled(report: DataFrame, *held: DataFrame) -> DataFrame:
+    """A report of a few rows for each cluster as a local table; the tables kept for it are released."""
+    try:
+        return report.sparkSession.createDataFrame(report.collect(), report.schema)
+    finally:
+        for df in held:
+            df.unpersist()
