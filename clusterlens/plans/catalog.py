@@ -1233,8 +1233,8 @@ def q_clean_summary(spark, sf):
 
 @register("validate_duration", f"""
 WITH d AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'soon' WHEN event_id % 13 = 0 THEN '  ' ELSE {_DUR_SQL} END AS t FROM events),
-f AS (SELECT t, TRY_CAST(nullif(regexp_extract(lower(trim(t)), '(\d+)\s*hr', 1), '') AS BIGINT) AS h,
-      TRY_CAST(nullif(regexp_extract(lower(trim(t)), '(\d+)\s*min', 1), '') AS BIGINT) AS m FROM d)
+f AS (SELECT t, TRY_CAST(nullif(regexp_extract(lower(trim(t)), '(\\d+)\\s*hr', 1), '') AS BIGINT) AS h,
+      TRY_CAST(nullif(regexp_extract(lower(trim(t)), '(\\d+)\\s*min', 1), '') AS BIGINT) AS m FROM d)
 SELECT count(*) AS "rows", count(*) FILTER (WHERE trim(t) = '') AS missing_t,
   count(*) FILTER (WHERE trim(t) <> '' AND coalesce(h, 0) * 60 + coalesce(m, 0) <= 0) AS invalid_t FROM f
 """)
