@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ SWITCH_PENALTY = 8.0
 #: A language is a candidate for a script that holds at least this share of its training words.
 SCRIPT_SHARE = 0.01
 #: Text handled at a time by a task, and words whose scores it remembers.
-CHUNK_BYTES, CACHE_WORDS = 1 << 20, 100_000
+CHUNK_BYTES, CACHE_WORDS = 2 << 20, 200_000
 
 #: A word: letters, with the marks that combine with them.
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
@@ -52,10 +53,13 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[inside], starts, _SCRIPT_OF_RANGE[np.searchsorted(_STARTS, c[first + 1], "right") - 1]
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a batch in chunks of about CHUNK_BYTES, with the row at which each chunk starts; null is empty."""
+def _texts(column: pa.Array, order: list[int] | None = None) -> Iterator[tuple[int, list[str]]]:
+    """Texts in chunks of about CHUNK_BYTES, with the place at which each chunk starts; null is empty.
+
+    ``order`` gives the rows in another order than the batch's.
+    """
     part, size, first = [], 0, 0
-    for t in column:
+    for t in column if order is None else (column[i] for i in order):
         t = t.as_py() or ""
         part.append(t)
         size += len(t)
@@ -225,7 +229,12 @@ def label_texts(docs: DataFrame, model: Model, text_col: str = "text", penalty:
     def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = _Scorer(model)
         for column in texts:
-            rows = [r for _, part in _texts(column) for r in one_chunk(score, part)]
+            # texts of like length together: a chunk takes as many steps as its longest text has words
+            order = np.argsort(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), kind="stable").tolist()
+            rows: list = [None] * len(column)
+            for first, part in _texts(column, order):
+                for i, r in zip(order[first:first + len(part)], one_chunk(score, part)):
+                    rows[i] = r
             yield pa.StructArray.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
                  pa.array([r[2] for r in rows], spans_type)], ["lang_pred", "score", "lang_spans"])
