@@ -7,7 +7,7 @@ in scheduling, so every unconverged model advances in the SAME scan:
 * ``mapInArrow`` views each batch's flat buffer as a matrix and adds its sufficient statistics to per-model
   accumulators, a block of rows at a time; the factors of all models are stacked, so a block is a few matrix products;
 * the partitions' vectors are added up: in chunks under ``groupBy(model, chunk)``, or on the driver where all of them
-  together are small. The driver receives no row data;
+  together are below 1 MB. The driver receives no row data, and of each scan about one vector per model;
 * the driver runs the M-step / centre update and drops converged models.
 
 Statistics are computed about a fixed shift (the global mean) to avoid cancellation in E[x^2] - mean^2. Random draws
@@ -77,6 +77,7 @@ class Matrix:
     shift: np.ndarray
     mean_var: float
     parts: int = 1
+    kept: DataFrame | None = None  # the persisted frame under df, where df reads several of its partitions in one task
 
     @classmethod
     def of(cls, df: DataFrame, vec_col: str, id_col) -> "Matrix":
@@ -94,15 +95,18 @@ class Matrix:
                 raise MatrixError(f"the matrix has {row['missing']} null rows and {row['bad']} rows with null, NaN or infinite values")
             if row["least"] != row["most"] or not row["most"]:
                 raise MatrixError(f"the rows of the matrix have {row['least']} to {row['most']} columns")
-            stat = m.agg(Summarizer.metrics("mean", "variance").summary(array_to_vector("x")).alias("s")).first()["s"]
+            # a scan costs a task for each partition, so small ones are read together: a shuffle before may have left hundreds
+            parts, wanted = row["part"] + 1, max(m.sparkSession.sparkContext.defaultParallelism, -(-8 * row["n"] * row["most"] // PART_BYTES))
+            read, parts = (m.coalesce(wanted), wanted) if parts > wanted else (m, parts)
+            stat = read.agg(Summarizer.metrics("mean", "variance").summary(array_to_vector("x")).alias("s")).first()["s"]
         except Exception:
             m.unpersist()
             raise
         var = np.asarray(stat["variance"].toArray()) * (row["n"] - 1) / row["n"]  # population variance
-        return cls(m, int(row["n"]), int(row["most"]), np.asarray(stat["mean"].toArray()), float(var.mean()), row["part"] + 1)
+        return cls(read, int(row["n"]), int(row["most"]), np.asarray(stat["mean"].toArray()), float(var.mean()), parts, m)
 
     def release(self):
-        self.df.unpersist()
+        (self.df if self.kept is None else self.kept).unpersist()
 
     def __enter__(self):
         return self
@@ -113,7 +117,8 @@ class Matrix:
 
 CHUNK = 4096  # numbers of a statistics vector that are added up under one key
 SHARD_BYTES = 64 << 20  # budget for one scan's broadcast parameters and per-partition statistics
-DIRECT_BYTES = 8 << 20  # partitions' vectors that may meet on the driver instead of in a shuffle
+DIRECT_BYTES = 1 << 20  # partitions' vectors of one scan that may meet on the driver instead of in a shuffle; a fit takes hundreds
+PART_BYTES = 32 << 20  # numbers that one task of a scan reads at least, where there are more partitions than cores
 CELLS = 1 << 21  # numbers of one block's widest intermediate matrix
 
 
@@ -230,7 +235,7 @@ def _top_rows(matrix: Matrix, fn, payload: dict) -> dict:
         found = matrix.df.mapInArrow(per_partition, "model long, key double, extra double, x array<double>")
         want = {mid: fn.want(p) for mid, p in shard.items()}
         if matrix.parts * sum(want.values()) * matrix.d * 8 > DIRECT_BYTES:
-            found = found.withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy("key"))) \
+            found = found.withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy("key", "x"))) \
                 .filter(F.col("r") <= max(want.values())).drop("r")
         by: dict = {}
         for m, k, e, x in zip(*[c.to_pylist() for c in found.toArrow().columns]):

@@ -143,3 +143,39 @@ def test_randomized_pca_of_few_directions(spark):
     with MX.Matrix.of(_frame(spark, X), "x", "id") as m:
         fast = PCA.fit(m, 4, svd_solver="randomized")
         assert fast.explained_variance[2:] == pytest.approx([0, 0], abs=1e-9) and fast.ratio[:2].sum() == pytest.approx(1)
+
+
+def test_iterations_send_the_driver_less_than_all_partitions_vectors(spark, monkeypatch):
+    """The vectors of many models meet in a shuffle before the driver takes them, also where they are a few MB in all."""
+    rng = np.random.default_rng(11)
+    got = []
+    with MX.Matrix.of(_frame(spark, rng.normal(size=(400, 64))).repartition(8), "x", "id") as m:
+        payload = {i: rng.normal(size=(10, 64)) for i in range(40)}
+        old = type(m.df).toArrow
+        monkeypatch.setattr(type(m.df), "toArrow", lambda df: (got.append(old(df)), got[-1])[1])
+        stats = MX._reduce(m, MX._lloyd_scan, payload)
+    one = sum(v.nbytes for v in stats.values())
+    assert len(got) == 1 and got[0].nbytes < 1.5 * one
+
+
+def test_top_rows_of_equal_keys_are_the_same_on_either_path(spark, monkeypatch):
+    X = np.random.default_rng(12).normal(size=(60, 2))
+    out = []
+    for direct in (MX.DIRECT_BYTES, 0):
+        monkeypatch.setattr(MX, "DIRECT_BYTES", direct)
+        with MX.Matrix.of(_frame(spark, X, np.zeros(60, np.int64)).repartition(60), "x", "id") as m:
+            m.df, m.parts = m.kept, 60
+            out.append(MX._top_rows(m, MX._draw, {0: (None, 5, 4)})[0][1])
+    np.testing.assert_array_equal(*out)
+
+
+def test_many_small_partitions_are_read_together(spark, monkeypatch):
+    X = np.random.default_rng(13).normal(size=(300, 3))
+    cores = spark.sparkContext.defaultParallelism
+    with MX.Matrix.of(_frame(spark, X).repartition(60), "x", "id") as m:
+        assert m.parts == m.df.rdd.getNumPartitions() == cores < 60
+        assert m.df.count() == 300
+    assert not m.kept.is_cached
+    monkeypatch.setattr(MX, "PART_BYTES", 200)
+    with MX.Matrix.of(_frame(spark, X).repartition(60), "x", "id") as m:
+        assert m.parts == m.df.rdd.getNumPartitions() == 300 * 3 * 8 / 200
