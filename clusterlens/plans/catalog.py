@@ -1159,15 +1159,16 @@ def flagship_profile(spark, sf):
         model = {"kind": "kmeans", "centres": fit.centres + m.shift}
         # score the persisted matrix once; every profile aggregate below reuses the persisted assignment
         assigned = MX.assign(m.df, "x", "id", model).withColumnRenamed("id", "p_partkey").persist()
-        meta = part_input(spark, sf).join(assigned.select("p_partkey", "cluster"), "p_partkey").persist()
-        meta.count()
+        held = part_input(spark, sf).join(assigned.select("p_partkey", "cluster"), "p_partkey").persist()
+        held.count()
+        meta = held.coalesce(m.parts)  # every aggregate below is a stage of as many tasks as the table has partitions
     genres = L.multilabel_lift(meta, "cluster", _words(), 8)
     types = L.category_lift(meta, "cluster", "p_type", 5)
     labels = EV.interpretation_labels(genres, types, None, meta.select("cluster"))
     num = EV.cluster_numeric(meta, "cluster", _PART_NUM)
     sizes = EV.cluster_sizes(assigned, "cluster", 6)
     names = EV.examples(assigned.select("p_partkey", "cluster", "max_probability", "assignment_entropy"), "cluster", "p_partkey")
-    return settled(rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels, names=names)), meta, assigned)
+    return settled(rounded(EV.cluster_profile(sizes, genres, types, EV.top_z_features(num, 4), labels, names=names)), held, assigned)
 
 
 @register("flagship_profile")
