@@ -6,7 +6,7 @@ in scheduling, so every unconverged model advances in the SAME scan:
 * the parameters of all active models are broadcast (k x d (x d) each), in shards of bounded size;
 * ``mapInArrow`` views each batch's flat buffer as a matrix and adds its sufficient statistics to per-model
   accumulators, a block of rows at a time; the factors of all models are stacked, so a block is a few matrix products;
-* the partitions' vectors are added up: in chunks under ``groupBy(model, chunk)``, or on the driver where all of them
+* the partitions' vectors are added up: in chunks by (model, chunk), or on the driver where all of them
   together are below 1 MB. The driver receives no row data, and of each scan about one vector per model;
 * the driver runs the M-step / centre update and drops converged models.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +118,7 @@ class Matrix:
 CHUNK = 4096  # numbers of a statistics vector that are added up under one key
 SHARD_BYTES = 64 << 20  # budget for one scan's broadcast parameters and per-partition statistics
 DIRECT_BYTES = 1 << 20  # partitions' vectors of one scan that may meet on the driver instead of in a shuffle; a fit takes hundreds
+SUM_BYTES = 8 << 20  # partitions' vectors that one task adds up
 PART_BYTES = 32 << 20  # numbers that one task of a scan reads at least, where there are more partitions than cores
 CELLS = 1 << 21  # numbers of one block's widest intermediate matrix
 
@@ -163,9 +164,23 @@ def _reduce(matrix: Matrix, fn, payload) -> dict:
     return out
 
 
-def _is_small(matrix: Matrix, payload) -> bool:
+def _sent(matrix: Matrix, payload) -> int:
+    """About how many bytes the vectors of all partitions take."""
     size = sum(map(_nbytes, payload.values())) if isinstance(payload, dict) else 8 * matrix.d ** 2
-    return 2 * matrix.parts * size <= DIRECT_BYTES
+    return 2 * matrix.parts * size
+
+
+def _add_chunks(batches):
+    """Sums of the vectors of each (model, chunk)."""
+    acc: dict = {}
+    for batch in batches:
+        for m, c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            v = v.values.to_numpy()
+            acc[m, c] = acc[m, c] + v if (m, c) in acc else v
+    if acc:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m for m, _ in acc], pa.int64()), pa.array([c for _, c in acc], pa.int32()),
+             pa.array(list(acc.values()), pa.list_(pa.float64()))], ["model", "chunk", "s"])
 
 
 def _reduce_one(matrix: Matrix, fn, payload) -> dict:
@@ -185,10 +200,11 @@ def _reduce_one(matrix: Matrix, fn, payload) -> dict:
                 [pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.int32()),
                  pa.array([p[2] for p in parts], pa.list_(pa.float64()))], ["model", "chunk", "s"])
 
-    part = matrix.df.mapInArrow(per_partition, "model long, chunk int, s array<double>")
-    if not _is_small(matrix, payload):
-        part = part.groupBy("model", "chunk").agg(Summarizer.sum(array_to_vector("s")).alias("t")) \
-            .select("model", "chunk", vector_to_array("t").alias("s"))
+    schema = "model long, chunk int, s array<double>"
+    part = matrix.df.mapInArrow(per_partition, schema)
+    if (sent := _sent(matrix, payload)) > DIRECT_BYTES:
+        tasks = max(matrix.df.sparkSession.sparkContext.defaultParallelism, sent // SUM_BYTES)
+        part = part.repartition(tasks, "model", "chunk").mapInArrow(_add_chunks, schema)
     got = part.toArrow()
     bc.destroy()
     cells: dict = {}
