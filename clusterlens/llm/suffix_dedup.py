@@ -21,10 +21,10 @@ from .common import stored
 from .merkle import numbered
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text that a task scans at once, and bytes whose suffixes it sorts at once.
-SCAN_BYTES, SORT_BYTES = 1 << 20, 1 << 20
-#: A minimiser with more different surroundings is dealt out by the strings themselves.
-HOT_CONTEXTS = 4000
+#: Bytes of text that a task scans at once (its arrays stay in the cache), and bytes whose suffixes it sorts at once.
+SCAN_BYTES, SORT_BYTES = 1 << 17, 1 << 20
+#: A minimiser with more different surroundings is dealt out by the strings themselves, 100 bytes for each.
+HOT_CONTEXTS = 20_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(7)
@@ -89,6 +89,32 @@ def _pieces(texts: list[bytes], length: int):
         yield parts
 
 
+def _named(batch: pa.RecordBatch, at: int = 0) -> tuple[np.ndarray, ...]:
+    """The columns that name documents, from column ``at`` on, as keys for np.lexsort; null ids come first."""
+    ids = batch.column(at)
+    return (batch.column(at + 2).to_numpy(), batch.column(at + 1).to_numpy(), pc.fill_null(ids, 0).to_numpy(),
+            pc.is_valid(ids).to_numpy(zero_copy_only=False))
+
+
+def _ranks(key: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Places of the documents in their order; equal documents share a rank."""
+    order = np.lexsort(key)
+    differ = np.zeros(len(order) - 1, bool)
+    for k in key:
+        differ |= k[order][1:] != k[order][:-1]
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(differ)])
+    return rank
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column, and where each of its values begins in them and the last ends."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
+
+
 #: One long holds the tie (20 bits), the first start (31), the number of starts less one (7) and the mark of a repeat.
 def _pack(tie, first, more, repeat):
     return (tie << 39) | (first << 8) | (more << 1) | repeat
@@ -106,17 +132,11 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scanner(length, gram)
         for batch in batches:
-            ids = batch.column(0)
-            doc_ids, known = pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False)
-            names, ties = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            if not batch.num_rows:
+                continue
+            ids, names, ties = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             texts = [t.as_py() or b"" for t in batch.column(3)]
-            rank = np.zeros(len(texts), np.int64)  # equal documents share a rank
-            key = (ties, names, doc_ids, known)
-            order = np.lexsort(key)
-            differ = np.zeros(max(len(order) - 1, 0), bool)
-            for k in key:
-                differ |= k[order][1:] != k[order][:-1]
-            rank[order] = np.concatenate([[0], np.cumsum(differ)])
+            rank = _ranks(_named(batch))
             found = []
             for parts in _pieces(texts, length):
                 buf = np.frombuffer(b"".join([p for _, _, p in parts]), np.uint8)
@@ -150,16 +170,28 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 #: What names a document: its id, and 84 bits of two hashes of its text. It orders documents of one id as well.
 KEY = ["doc_id", "name", "tie"]
-_FOUND = "doc_id bigint, name bigint, tie bigint, first int, last int, h bigint"
+_FOUND = "doc_id bigint, name bigint, tie bigint, first int, last int, h bigint, hot boolean"
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
     """Runs that repeat an earlier one whole (h null), and runs whose gram occurs with other surroundings (h kept)."""
+    def batch_of(ids, name, tie, first, more, h, hot):
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(name), pa.array(tie), pa.array(first.astype(np.int32)), pa.array((first + more).astype(np.int32)),
+             pa.nulls(len(ids), pa.int64()) if h is None else pa.array(h), pa.nulls(len(ids), pa.bool_()) if hot is None else pa.array(hot)],
+            [*KEY, "first", "last", "h", "hot"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None      # the earliest run of the last gram, while no other surroundings have come
+        waiting, kinds_held = [], 0  # runs of the last gram, one for each of its surroundings; how many of these there were
         last = None      # h and c of the last row
         leader = None    # id (0 and False for null) and place of the earliest run with these
-        many = False
+
+        def pass_on(kinds):
+            if kinds > 1:
+                for ids, *rest in waiting:
+                    yield batch_of(ids, *rest, np.full(len(ids), kinds > HOT_CONTEXTS))
+            waiting.clear()
+
         for batch in batches:
             h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             name, pack, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(2)
@@ -182,41 +214,39 @@ def _repeated(runs: DataFrame) -> DataFrame:
             if leader is not None:
                 twin |= ~own & (doc == leader[0]) & (known == leader[1]) & (name == leader[2]) & (pack >> 8 == leader[3])
             marked = repeat | (~new_c & ~twin)
-            # surroundings of each gram seen in this batch; the first gram may have begun before
+            if marked.any():
+                yield batch_of(ids.filter(pa.array(marked)), name[marked], tie[marked], first[marked], more[marked], None, None)
+            # surroundings of each gram seen in this batch; the first gram may have begun before, the last may go on
             group = np.cumsum(new_h) - new_h[0]
             kinds = np.bincount(group, weights=new_c & ~repeat, minlength=group[-1] + 1)
-            if not new_h[0]:
-                kinds[0] += 1 + many
-            need = new_c & ~repeat & (kinds[group] > 1)
-            out_ids, out = [ids.filter(pa.array(marked))], [(name[marked], tie[marked], first[marked], more[marked], None)]
-            if not new_h[0] and held is not None and kinds[0] > 1:
-                held_row, many = held, True
-                out_ids.append(pa.array([held_row[0]], pa.int64()))
-                out.append((*[np.array([x]) for x in held_row[1:]], np.array([last[0]])))
-                held = None
-            out_ids.append(ids.filter(pa.array(need)))
-            out.append((name[need], tie[need], first[need], more[need], h[need]))
-            for i, (w, t, f, m, g) in zip(out_ids, out):
-                if len(t):
-                    yield pa.RecordBatch.from_arrays(
-                        [i, pa.array(w), pa.array(t), pa.array(f.astype(np.int32)), pa.array((f + m).astype(np.int32)),
-                         pa.nulls(len(t), pa.int64()) if g is None else pa.array(g)],
-                        [*KEY, "first", "last", "h"])
+            if new_h[0]:
+                yield from pass_on(kinds_held)
+            else:
+                kinds[0] += kinds_held
+                if group[-1]:
+                    yield from pass_on(kinds[0])
+            pick = lambda rows: (ids.filter(pa.array(rows)), name[rows], tie[rows], first[rows], more[rows], h[rows])
+            ended = new_c & ~repeat & (group < group[-1]) & (kinds[group] > 1)
+            if ended.any():
+                yield batch_of(*pick(ended), kinds[group[ended]] > HOT_CONTEXTS)
+            waiting.append(pick(new_c & ~repeat & (group == group[-1])))
+            kinds_held = kinds[-1]
+            if kinds_held > HOT_CONTEXTS:
+                yield from pass_on(kinds_held)
             last = (h[-1], c[-1])
             if lead[-1] >= 0:
                 leader = (doc[lead[-1]], known[lead[-1]], name[lead[-1]], pack[lead[-1]] >> 8)
-            if new_h.any():
-                many = kinds[-1] > 1
-                k = np.flatnonzero(new_h)[-1]
-                held = None if many or repeat[k] else (ids[int(k)].as_py(), name[k], tie[k], first[k], more[k])
+        yield from pass_on(kinds_held)
 
     return (runs.repartition("h").sortWithinPartitions("h", "c", "doc_id", "name", "pack")
             .mapInArrow(run, _FOUND))
 
 
-def suffix_order(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def suffix_order(buf: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
     """Places of all suffixes of ``buf`` in the order of their first ``depth`` bytes or more; ``buf`` ends with a 0.
 
+    With a mask ``wanted`` only the places it holds: others are sorted only as far as the order of these rests on them.
+
     Two stages: suffixes smaller than their successors are sorted directly; all others follow from these in one scan
     over the buckets of first bytes, as a suffix larger than its successor has its place right after the place of the
     successor is known.
@@ -228,7 +258,13 @@ def suffix_order(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     smaller = np.ones(n, bool)
     inside = nxt < n - 1
     smaller[:-1][inside] = step[nxt[inside]] > 0
-    direct = np.flatnonzero(smaller)
+    needed = np.ones(n, bool)
+    if wanted is not None:  # a suffix rests on its successors up to one that is sorted directly
+        stop = np.minimum.accumulate(np.where(smaller, np.arange(n), n)[::-1])[::-1]
+        since = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))
+        needed = (since >= 0) & (np.arange(n) <= stop[since])
+    direct = np.flatnonzero(smaller & needed)
+    induced = ~smaller & needed
     padded = np.concatenate([buf, np.zeros(depth, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]
     direct = direct[np.argsort(np.ascontiguousarray(rows).view(f"S{depth}").ravel(), kind="stable")]
@@ -238,7 +274,7 @@ def suffix_order(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 
     def hand_on(places, c):
         before = places[places > 0] - 1
-        before = before[~smaller[before] & (buf[before] > c)]
+        before = before[induced[before] & (buf[before] > c)]
         if len(before):
             first = buf[before]
             by = np.argsort(first, kind="stable")
@@ -254,12 +290,15 @@ def suffix_order(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
             order.append(larger)
             hand_on(larger, c)
             before = larger[larger > 0] - 1
-            larger = before[~smaller[before] & (buf[before] == c)]
+            larger = before[induced[before] & (buf[before] == c)]
         own = direct[heads[c]:heads[c + 1]]
         if len(own):
             order.append(own)
             hand_on(own, c)
-    return np.concatenate(order)
+    if not order:
+        return np.zeros(0, np.int64)
+    places = np.concatenate(order)
+    return places if wanted is None else places[wanted[places]]
 
 
 def common_prefixes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = LENGTH) -> np.ndarray:
@@ -279,18 +318,18 @@ def common_prefixes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int =
     return out
 
 
-def _later_copies(contexts: list[bytes], rank: np.ndarray, length: int):
-    """Starts (context, offset) whose string also starts earlier; ``rank`` orders the contexts, equal for one document.
+def _later_copies(data: np.ndarray, begin: np.ndarray, rank: np.ndarray, length: int):
+    """Starts (context, offset) whose string also starts earlier; contexts lie in ``data`` and begin at ``begin``, which
+    ends with the end of the last; ``rank`` orders the contexts, equal for one document.
 
-    Second result: of each different string, the contexts that hold its earliest start, for strings that are contexts.
+    Third result: of each different string, the contexts that hold its earliest start, for strings that are contexts.
     """
-    sizes = np.array([len(x) for x in contexts])
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    buf = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    order = suffix_order(buf, length)
-    owner = np.searchsorted(begin, order, "right") - 1
-    full = begin[owner] + sizes[owner] - order >= length
-    order, owner = order[full], owner[full]
+    sizes = np.diff(begin)
+    buf = np.append(data, np.uint8(0))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    wanted = np.append(np.arange(len(data)) <= (begin[1:] - length)[owner], False)  # strings that end in their context
+    order = suffix_order(buf, length, wanted)
+    owner = owner[order]
     same = common_prefixes(buf, order[1:], order[:-1], length) >= length
     lead = np.flatnonzero(np.concatenate([[True], ~same]))
     place = rank[owner] + (order - begin[owner])
@@ -302,45 +341,51 @@ def _later_copies(contexts: list[bytes], rank: np.ndarray, length: int):
 
 def _sorted_parts(contexts: DataFrame, length: int) -> DataFrame:
     """Sort the suffixes of all contexts of a key together; returns the starts that repeat an earlier string."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, old = [], 0, 0  # the first ``old`` rows were reported before
-
-        def flush():
-            # rows come by key, then document; their order over all keys is by document and place
-            doc = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
-            number = {d: i for i, d in enumerate(sorted({doc(r) for r in rows}))}
-            rank = np.array([(number[doc(r)] << 32) + r[4] for r in rows], np.int64)
-            owner, off, firsts = _later_copies([r[5] for r in rows], rank, length)
-            fresh = owner >= old
-            owner, off = owner[fresh], off[fresh]
-            by = np.lexsort((off, owner))
-            owner, off = owner[by], off[by]
-            if len(owner):
-                new = np.ones(len(owner), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (off[1:] != off[:-1] + 1)
-                lead = np.flatnonzero(new)
-                end = np.append(lead[1:], len(owner)) - 1
-                at = np.array([r[4] for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([rows[o][c] for o in owner[lead]], pa.int64()) for c in (1, 2, 3)],
-                     pa.array((at[owner[lead]] + off[lead]).astype(np.int32)), pa.array((at[owner[lead]] + off[end]).astype(np.int32))],
-                    [*KEY, "first", "last"])
-            return firsts
+    def sort(rows: pa.RecordBatch, old: int):
+        """The repeats, and the contexts with earliest places; the first ``old`` rows were reported before."""
+        data, begin = _flat(rows.column(5))
+        first = rows.column(4).to_numpy().astype(np.int64)
+        # rows come by key, then document; their order over all keys is by document and place
+        owner, off, firsts = _later_copies(data[begin[0]:begin[-1]], begin - begin[0], (_ranks(_named(rows, 1)) << 32) + first, length)
+        fresh = owner >= old
+        owner, off = owner[fresh], off[fresh]
+        by = np.lexsort((off, owner))
+        owner, off = owner[by], off[by]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (off[1:] != off[:-1] + 1)
+        lead = np.flatnonzero(new)
+        end = np.append(lead, len(owner))[1:] - 1
+        which = pa.array(owner[lead])
+        return pa.RecordBatch.from_arrays(
+            [*[rows.column(c).take(which) for c in (1, 2, 3)],
+             pa.array((first[owner[lead]] + off[lead]).astype(np.int32)), pa.array((first[owner[lead]] + off[end]).astype(np.int32))],
+            [*KEY, "first", "last"]), firsts
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, old = [], 0, 0  # rows not sorted yet, of these the first ``old`` were reported before
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= SORT_BYTES and rows and r[0] != rows[-1][0]:
-                    yield from flush()
-                    rows, size, old = [], 0, 0
-                elif size >= 4 * SORT_BYTES and len(r[5]) == length:
-                    # a very frequent string: documents come in order, so its earliest places are all that is kept
-                    firsts = yield from flush()
-                    rows = [rows[i] for i in firsts if rows[i][0] == r[0] and len(rows[i][5]) == length]
-                    size, old = len(rows) * length, len(rows)
-                rows.append(r)
-                size += len(r[5])
-        if rows:
-            yield from flush()
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += int(np.ptp(_flat(batch.column(5))[1][[0, -1]]))
+            if size < SORT_BYTES:
+                continue
+            rows = pa.concat_batches(held)
+            h, (_, begin) = rows.column(0).to_numpy(), _flat(rows.column(5))
+            borders, at = np.flatnonzero(h[1:] != h[:-1]) + 1, 0
+            while len(after := borders[begin[borders] - begin[at] >= SORT_BYTES]):
+                yield sort(rows.slice(at, after[0] - at), old)[0]
+                at, old = int(after[0]), 0
+            key = max(at, int(borders[-1])) if len(borders) else at  # where the last key begins
+            if begin[-1] - begin[key] >= 4 * SORT_BYTES and (np.diff(begin[key:]) == length).all():
+                # a very frequent string: documents come in order, so its earliest places are all that is kept
+                found, firsts = sort(rows.slice(at), old)
+                yield found
+                rows, at = rows.take(pa.array(firsts[firsts >= key - at] + at)), 0
+                old, begin = rows.num_rows, _flat(rows.column(5))[1]
+            held, size = [rows.slice(at)], int(begin[-1] - begin[at])
+        if held:
+            yield sort(pa.concat_batches(held), old)[0]
 
     return (contexts.repartition("h").sortWithinPartitions("h", *KEY, "first")
             .mapInArrow(run, "doc_id bigint, name bigint, tie bigint, first int, last int"))
@@ -365,6 +410,76 @@ def _cover(text: bytes, ranges, length: int):
 
 _HALF = ("doc_id bigint, name bigint, tie bigint, n_bytes bigint, text binary, ranges array<struct<first:int,last:int>>, "
          "contexts array<struct<h:bigint,first:int,bytes:binary>>, n_removed bigint, n_spans bigint, kept_sha256 string")
+_RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_CONTEXT = pa.list_(pa.struct([("h", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())]))
+
+
+def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each document's rows of ``docs`` (first null) and then its rows of ``runs``, together in one task."""
+    both = docs.withColumn("first", F.lit(None).cast("int")).unionByName(runs, allowMissingColumns=True)
+    return both.repartition(*KEY).sortWithinPartitions(*KEY, "first")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows cut between documents, with the number of its document for each row."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # of the rows held back only the first is looked at: all are of one document
+        rows = pa.concat_batches([held[0].slice(0, 1), batch]) if held else batch
+        new = _differ(rows)
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if cut:
+            rows = pa.concat_batches([*held, batch.slice(0, cut - 1)]) if held else batch.slice(0, cut)
+            yield rows, np.append(0, np.cumsum(_differ(rows)[1:]))
+            held = [batch.slice(cut - 1 if held else cut)]
+        else:
+            held.append(batch)
+    if held:
+        rows = pa.concat_batches(held)
+        yield rows, np.zeros(rows.num_rows, np.int64)
+
+
+def _differ(rows: pa.RecordBatch) -> np.ndarray:
+    """Rows of another document than the row before."""
+    out = np.zeros(rows.num_rows, bool)
+    for k in _named(rows):
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    """Ranges of starts whose strings touch, made one: (document, first, last), by document and place."""
+    a = (doc << 32) + first
+    by = np.argsort(a, kind="stable")
+    a, end = a[by], np.maximum.accumulate(((doc << 32) + last + length)[by])
+    lead = np.flatnonzero(np.append(True, a[1:] > end[:-1])[:len(a)])
+    stop = end[np.append(lead, len(a))[1:] - 1]
+    return a[lead] >> 32, a[lead] & 0xFFFFFFFF, (stop & 0xFFFFFFFF) - length
+
+
+def _string_keys(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes, to deal them out by."""
+    up = _powers(rows.shape[1])[0]
+    return _mix(np.concatenate([(_TABLE[rows[i:i + 4096]] * up).sum(1, dtype=np.uint64) for i in range(0, len(rows), 4096)])).view(np.int64)
+
+
+def _contexts(data: np.ndarray, start: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray,
+              hot: np.ndarray, length: int):
+    """Key, first start, and bytes of the open runs, which begin at ``start`` in ``data``; strings of hot minimisers one by one."""
+    strings = (last - first + 1)[hot]
+    shift = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = np.repeat(start[hot], strings) + shift
+    keys = h[:0] if not len(at) else _string_keys(np.lib.stride_tricks.sliding_window_view(data, length)[at])
+    cold = ~hot
+    doc = np.append(doc[cold], np.repeat(doc[hot], strings))
+    by = np.argsort(doc, kind="stable")
+    begin = np.append(start[cold], at)
+    end = np.append((start + last - first)[cold], at) + length
+    raw = memoryview(data)
+    return (doc[by], np.append(h[cold], keys)[by], np.append(first[cold], np.repeat(first[hot], strings) + shift)[by],
+            pa.array([raw[x:y] for x, y in zip(begin[by].tolist(), end[by].tolist())], pa.binary()))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -386,63 +501,72 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _with_numbers(given, lambda df: remove_repeats(df, length=length, gram=gram))
     base = given.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("name"),
                         F.shiftrightunsigned(F.xxhash64(F.lit(1), "text"), 44).alias("tie"), F.col("text").cast("binary").alias("text"))
-    found = stored(_repeated(_runs(base, length, gram)))
-    hot = (found.filter(F.col("h").isNotNull()).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n") > HOT_CONTEXTS).select("h", F.lit(True).alias("hot")))
-    # repeats have no minimiser to look up; they pass by the join
-    marked = (found.filter(F.col("h").isNotNull()).join(hot, "h", "left")
-              .unionByName(found.filter(F.col("h").isNull()).withColumn("hot", F.lit(None).cast("boolean"))))
-    per_doc = marked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "h", "hot")).alias("runs"))
-    both = base.join(per_doc, _same(base, per_doc), "left").select(*[base[c] for c in KEY], "text", "runs")
+    found = _repeated(_runs(base, length, gram))
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for *key, body, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                ranges = [(r["first"], r["last"]) for r in runs or () if r["h"] is None]
-                open_ = [r for r in runs or () if r["h"] is not None]
-                if not open_:
-                    rows.append((*key, len(body), None, None, None, *_cover(body, ranges, length)))
-                    continue
-                contexts = []
-                for r in open_:
-                    a, b = r["first"], r["last"]
-                    if r["hot"]:
-                        contexts += [{"h": int.from_bytes(hashlib.blake2b(body[s:s + length], digest_size=8).digest(), "little", signed=True),
-                                      "first": s, "bytes": body[s:s + length]} for s in range(a, b + 1)]
-                    else:
-                        contexts.append({"h": r["h"], "first": a, "bytes": body[a:b + length]})
-                rows.append((*key, len(body), body, [{"first": a, "last": b} for a, b in ranges], contexts, None, None, None))
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
-                         pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])),
-                         pa.list_(pa.struct([("h", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())])),
-                         pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), types)],
-                                                 [*KEY, "n_bytes", "text", "ranges", "contexts",
-                                                  "n_removed", "n_spans", "kept_sha256"])
-
-    half = stored(both.mapInArrow(halve, _HALF))
+        for rows, doc in _whole(batches):
+            # columns: KEY, text, first, last, h, hot
+            is_run = pc.is_valid(rows.column(4)).to_numpy(zero_copy_only=False)
+            whole = rows.filter(pa.array(~is_run))
+            runs, doc, of = rows.filter(pa.array(is_run)), doc[~is_run], doc[is_run]
+            first, last = (runs.column(c).to_numpy().astype(np.int64) for c in (4, 5))
+            open_ = pc.is_valid(runs.column(6)).to_numpy(zero_copy_only=False)
+            n = doc[-1] + 1
+            is_open = np.zeros(n, bool)
+            is_open[of[open_]] = True
+            data, begin = _flat(whole.column(3))
+            r_doc, r_first, r_last = _merged(of[~open_], first[~open_], last[~open_], length)
+            r_cut = np.searchsorted(r_doc, np.arange(n + 1))
+            lists = pa.ListArray.from_arrays(pa.array(r_cut.astype(np.int32)), pa.StructArray.from_arrays(
+                [pa.array(r_first.astype(np.int32)), pa.array(r_last.astype(np.int32))], fields=list(_RANGE.value_type)))
+            text_at = begin[np.searchsorted(doc, of[open_])]  # equal documents hold equal texts: the first will do
+            c_doc, key, at, strings = _contexts(
+                data, text_at + first[open_], of[open_], first[open_], last[open_], runs.column(6).drop_null().to_numpy(),
+                runs.column(7).drop_null().to_numpy(zero_copy_only=False), length)
+            parts = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(c_doc, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(
+                    [pa.array(key), pa.array(at.astype(np.int32)), strings], fields=list(_CONTEXT.value_type)))
+            keep = is_open[doc]
+            pick = pa.array(doc, mask=~keep)
+            spans = list(zip(r_first.tolist(), r_last.tolist()))
+            done = [(None, None, None) if k else _cover(data[x:y].tobytes(), spans[r_cut[d]:r_cut[d + 1]], length)
+                    for k, d, x, y in zip(keep.tolist(), doc.tolist(), begin[:-1].tolist(), begin[1:].tolist())]
+            removed, n_spans, sha = zip(*done)
+            yield pa.RecordBatch.from_arrays(
+                [*whole.columns[:3], pa.array(np.diff(begin)), pc.if_else(pa.array(keep), whole.column(3), pa.scalar(None, whole.column(3).type)),
+                 lists.take(pick), parts.take(pick), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())],
+                [*KEY, "n_bytes", "text", "ranges", "contexts", "n_removed", "n_spans", "kept_sha256"])
+
+    half = stored(_with_runs(base, found).select(*KEY, "text", "first", "last", "h", "hot").mapInArrow(halve, _HALF))
     contexts = half.filter(F.col("contexts").isNotNull())
     if _has_twins(half):
         contexts = contexts.dropDuplicates(KEY)
     contexts = contexts.select(*KEY, F.explode("contexts").alias("x")).select("x.h", *KEY, "x.first", "x.bytes")
-    more = _sorted_parts(contexts, length).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("more"))
+    more = _sorted_parts(contexts, length)
     rest = half.filter(F.col("text").isNotNull()).select(*KEY, "n_bytes", "text", "ranges")
-    rest = rest.join(more, _same(rest, more), "left").select(rest["doc_id"], "n_bytes", "text", "ranges", "more")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ranges = [[(x["first"], x["last"]) for x in (a or []) + (b or [])]
-                      for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            out = [_cover(t.as_py(), r, length) for t, r in zip(batch.column(2), ranges)]
+        for rows, doc in _whole(batches):
+            # columns: KEY, text, first, last, n_bytes, ranges
+            is_run = pc.is_valid(rows.column(4)).to_numpy(zero_copy_only=False)
+            whole = rows.filter(pa.array(~is_run))
+            runs, doc, of = rows.filter(pa.array(is_run)), doc[~is_run], doc[is_run]
+            settled = whole.column(7)
+            own = np.repeat(doc, pc.list_value_length(settled).to_numpy())
+            first, last = (np.append(pc.struct_field(settled.flatten(), i).to_numpy(), runs.column(4 + i).to_numpy()).astype(np.int64)
+                           for i in (0, 1))
+            r_doc, r_first, r_last = _merged(np.append(own, of), first, last, length)
+            cut = np.searchsorted(r_doc, np.arange(doc[-1] + 2))
+            spans = list(zip(r_first.tolist(), r_last.tolist()))
+            out = [_cover(t.as_py(), spans[cut[d]:cut[d + 1]], length) for t, d in zip(whole.column(3), doc.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.int64()),
+                [whole.column(0), whole.column(6), pa.array([x[0] for x in out], pa.int64()),
                  pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     done = half.filter(F.col("text").isNull()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rest = _with_runs(rest, more).select(*KEY, "text", "first", "last", "n_bytes", "ranges")
     return done.unionByName(rest.mapInArrow(finish, schema))
 
 
@@ -451,10 +575,6 @@ def _has_twins(half: DataFrame) -> bool:
     return half.filter(F.col("text").isNotNull()).groupBy(*KEY).count().filter("count > 1").limit(1).count() > 0
 
 
-def _same(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["name"] == b["name"]) & (a["tie"] == b["tie"])
-
-
 def _with_numbers(docs: DataFrame, work) -> DataFrame:
     """``work`` on ``docs`` with ids replaced by their places in order, and the ids put back. Null ids stay null."""
     known = docs.filter(F.col("doc_id").isNotNull())
