@@ -23,6 +23,9 @@ from .merkle import numbered
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a task scans at once (its arrays stay in the cache), and bytes whose suffixes it sorts at once.
 SCAN_BYTES, SORT_BYTES = 1 << 17, 1 << 20
+#: Bytes of runs that a task settles at once, and runs that it hands on at once. Runs travel in buckets by their minimisers:
+#: packed, as a row for each run would cost more than all work on it; many, so that one bucket fits into memory.
+RUN_BYTES, RUNS, BUCKET_BITS = 16 << 20, 1 << 21, 14
 #: A minimiser with more different surroundings is dealt out by the strings themselves, 100 bytes for each.
 HOT_CONTEXTS = 20_000
 
@@ -115,17 +118,25 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
-#: One long holds the tie (20 bits), the first start (31), the number of starts less one (7) and the mark of a repeat.
-def _pack(tie, first, more, repeat):
-    return (tie << 39) | (first << 8) | (more << 1) | repeat
+#: One long holds whether there is an id (1 bit), the tie (20 bits), the first start (31), the number of starts less one
+#: (7) and the mark of a repeat.
+def _pack(known, tie, first, more, repeat):
+    return (known << 59) | (tie << 39) | (first << 8) | (more << 1) | repeat
 
 
 def _unpack(p):
-    return p >> 39, (p >> 8) & 0x7FFFFFFF, (p >> 1) & 0x7F, p & 1
+    return p >> 59, (p >> 39) & 0xFFFFF, (p >> 8) & 0x7FFFFFFF, (p >> 1) & 0x7F, p & 1
+
+
+def _shared(h: np.ndarray) -> np.ndarray:
+    """Places of the values that occur more than once."""
+    order = np.argsort(h)
+    equal = h[order[1:]] == h[order[:-1]]
+    return order[(np.append(equal, False) | np.append(False, equal))[:len(h)]]
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Minimiser runs of all documents: h, c, doc_id, name, pack.
+    """Minimiser runs of all documents in buckets by h: each has h, c, doc_id (0 for null), name and pack, as longs.
 
     Of runs with equal gram and surroundings in a batch only the earliest keeps h; the others are marked as repeats.
     """
@@ -134,10 +145,37 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, names, ties = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            key = _named(batch)
+            ties, names, ids, known = key
             texts = [t.as_py() or b"" for t in batch.column(3)]
-            rank = _ranks(_named(batch))
-            found = []
+            rank = _ranks(key)
+
+            def hand_on(found):
+                h, c, d, first, more = (np.concatenate(x) for x in zip(*found))
+                by = _shared(h)
+                by = by[np.lexsort((first[by], rank[d[by]], c[by], h[by]))]
+                same = np.zeros(len(by), bool)
+                same[1:] = (h[by[1:]] == h[by[:-1]]) & (c[by[1:]] == c[by[:-1]])
+                twin = np.zeros(len(by), bool)  # the same place of a document that the table holds twice
+                twin[1:] = same[1:] & (rank[d[by[1:]]] == rank[d[by[:-1]]]) & (first[by[1:]] == first[by[:-1]])
+                repeat = np.zeros(len(h), np.int64)
+                repeat[by[same]] = 1
+                again = by[same]
+                h[again] = _mix((h[again] ^ names[d[again]] ^ (first[again] << 20)).view(np.uint64)).view(np.int64)  # spread evenly
+                keep = np.ones(len(h), bool)
+                keep[by[twin]] = False
+                bucket = (h.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                order = order[keep[order]]
+                d, bucket = d[order], bucket[order]
+                rows = np.stack([h[order], c[order], ids[d], names[d], _pack(known[d].astype(np.int64), ties[d], first[order], more[order], repeat[order])], 1)
+                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(rows))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cuts[:-1]].astype(np.int32)),
+                     pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * rows.itemsize * 5).astype(np.int32)), pa.py_buffer(rows)])],
+                    ["bucket", "runs"])
+
+            found, n = [], 0
             for parts in _pieces(texts, length):
                 buf = np.frombuffer(b"".join([p for _, _, p in parts]), np.uint8)
                 sizes = np.array([len(p) for _, _, p in parts])
@@ -149,23 +187,14 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 h, c, p, first, last = scan(buf, valid, owner)
                 off = np.array([o for _, o, _ in parts]) - begin
                 found.append((h, c, np.array([d for d, _, _ in parts])[p], first + off[p], last - first))
-            if not found:
-                continue
-            h, c, d, first, more = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((first, rank[d], c, h))
-            h, c, d, first, more = (x[order] for x in (h, c, d, first, more))
-            same = np.zeros(len(h), bool)
-            same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-            twin = np.zeros(len(h), bool)  # the same place of a document that the table holds twice
-            twin[1:] = same[1:] & (rank[d[1:]] == rank[d[:-1]]) & (first[1:] == first[:-1])
-            h = np.where(same, _mix((h ^ names[d] ^ (first << 20)).view(np.uint64)).view(np.int64), h)  # spread evenly
-            keep = ~twin
-            pack = _pack(ties[d], first, more, same.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[keep]), pa.array(c[keep]), ids.take(pa.array(d[keep])), pa.array(names[d[keep]]), pa.array(pack[keep])],
-                ["h", "c", "doc_id", "name", "pack"])
+                n += len(h)
+                if n >= RUNS:
+                    yield hand_on(found)
+                    found, n = [], 0
+            if found:
+                yield hand_on(found)
 
-    return docs.select(*KEY, "text").mapInArrow(run, "h bigint, c bigint, doc_id bigint, name bigint, pack bigint")
+    return docs.select(*KEY, "text").mapInArrow(run, "bucket int, runs binary")
 
 
 #: What names a document: its id, and 84 bits of two hashes of its text. It orders documents of one id as well.
@@ -175,71 +204,52 @@ _FOUND = "doc_id bigint, name bigint, tie bigint, first int, last int, h bigint,
 
 def _repeated(runs: DataFrame) -> DataFrame:
     """Runs that repeat an earlier one whole (h null), and runs whose gram occurs with other surroundings (h kept)."""
-    def batch_of(ids, name, tie, first, more, h, hot):
+    def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
+        data, begin = _flat(rows.column(1))
+        h, c, doc, name, pack = np.frombuffer(data[begin[0]:begin[-1]].tobytes(), np.int64).reshape(-1, 5).T
+        repeats = np.flatnonzero(pack & 1)
+        by = np.flatnonzero(~pack & 1)
+        by = by[_shared(h[by])]
+        by = by[np.lexsort((pack[by], name[by], doc[by], pack[by] >> 59, c[by], h[by]))]
+        new_h, new_c = np.ones(len(by), bool), np.ones(len(by), bool)
+        new_h[1:] = h[by[1:]] != h[by[:-1]]
+        new_c[1:] = new_h[1:] | (c[by[1:]] != c[by[:-1]])
+        # a row that equals the first of its surroundings is the same document given twice
+        lead = by[np.maximum.accumulate(np.where(new_c, np.arange(len(by)), 0))]
+        twin = (doc[by] == doc[lead]) & (name[by] == name[lead]) & (pack[by] >> 8 == pack[lead] >> 8)
+        group = np.cumsum(new_h) - 1
+        kinds = np.bincount(group, weights=new_c)[group]
+        need = new_c & (kinds > 1)
+        repeats = np.append(repeats, by[~new_c & ~twin])
+        at = np.append(repeats, by[need])
+        known, tie, first, more, _ = _unpack(pack[at])
+        settled = np.arange(len(at)) < len(repeats)
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(name), pa.array(tie), pa.array(first.astype(np.int32)), pa.array((first + more).astype(np.int32)),
-             pa.nulls(len(ids), pa.int64()) if h is None else pa.array(h), pa.nulls(len(ids), pa.bool_()) if hot is None else pa.array(hot)],
+            [pa.array(doc[at], mask=known == 0), pa.array(name[at]), pa.array(tie), pa.array(first.astype(np.int32)),
+             pa.array((first + more).astype(np.int32)), pa.array(h[at], mask=settled),
+             pa.array(np.append(np.zeros(len(repeats), bool), kinds[need] > HOT_CONTEXTS), mask=settled)],
             [*KEY, "first", "last", "h", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, kinds_held = [], 0  # runs of the last gram, one for each of its surroundings; how many of these there were
-        last = None      # h and c of the last row
-        leader = None    # id (0 and False for null) and place of the earliest run with these
-
-        def pass_on(kinds):
-            if kinds > 1:
-                for ids, *rest in waiting:
-                    yield batch_of(ids, *rest, np.full(len(ids), kinds > HOT_CONTEXTS))
-            waiting.clear()
-
+        held, size = [], 0
         for batch in batches:
-            h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            name, pack, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(2)
-            n = len(h)
-            if not n:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < RUN_BYTES:
                 continue
-            tie, first, more, repeat = _unpack(pack)
-            new_h, new_c = np.ones(n, bool), np.ones(n, bool)
-            new_h[1:] = h[1:] != h[:-1]
-            new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
-            if last is not None:
-                new_h[0] = h[0] != last[0]
-                new_c[0] = new_h[0] or c[0] != last[1]
-            repeat = repeat == 1
-            # a row that equals the leader of its surroundings is the same document given twice
-            doc, known = pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False)
-            lead = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
-            own = lead >= 0
-            twin = own & ~new_c & (doc == doc[lead]) & (known == known[lead]) & (name == name[lead]) & (pack >> 8 == pack[lead] >> 8)
-            if leader is not None:
-                twin |= ~own & (doc == leader[0]) & (known == leader[1]) & (name == leader[2]) & (pack >> 8 == leader[3])
-            marked = repeat | (~new_c & ~twin)
-            if marked.any():
-                yield batch_of(ids.filter(pa.array(marked)), name[marked], tie[marked], first[marked], more[marked], None, None)
-            # surroundings of each gram seen in this batch; the first gram may have begun before, the last may go on
-            group = np.cumsum(new_h) - new_h[0]
-            kinds = np.bincount(group, weights=new_c & ~repeat, minlength=group[-1] + 1)
-            if new_h[0]:
-                yield from pass_on(kinds_held)
-            else:
-                kinds[0] += kinds_held
-                if group[-1]:
-                    yield from pass_on(kinds[0])
-            pick = lambda rows: (ids.filter(pa.array(rows)), name[rows], tie[rows], first[rows], more[rows], h[rows])
-            ended = new_c & ~repeat & (group < group[-1]) & (kinds[group] > 1)
-            if ended.any():
-                yield batch_of(*pick(ended), kinds[group[ended]] > HOT_CONTEXTS)
-            waiting.append(pick(new_c & ~repeat & (group == group[-1])))
-            kinds_held = kinds[-1]
-            if kinds_held > HOT_CONTEXTS:
-                yield from pass_on(kinds_held)
-            last = (h[-1], c[-1])
-            if lead[-1] >= 0:
-                leader = (doc[lead[-1]], known[lead[-1]], name[lead[-1]], pack[lead[-1]] >> 8)
-        yield from pass_on(kinds_held)
-
-    return (runs.repartition("h").sortWithinPartitions("h", "c", "doc_id", "name", "pack")
-            .mapInArrow(run, _FOUND))
+            rows = pa.concat_batches(held)
+            bucket = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            if cut:
+                yield settle(rows.slice(0, cut))
+            held = [rows.slice(cut)]
+            size = held[0].nbytes
+        if held:
+            yield settle(pa.concat_batches(held))
+
+    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 def suffix_order(buf: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
