@@ -22,10 +22,12 @@ from .merkle import numbered
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a task scans at once (its arrays stay in the cache), and bytes whose suffixes it sorts at once.
-SCAN_BYTES, SORT_BYTES = 1 << 17, 1 << 20
+SCAN_BYTES, SORT_BYTES = 1 << 16, 1 << 20
 #: Bytes of runs that a task settles at once, and runs that it hands on at once. Runs travel in buckets by their minimisers:
 #: packed, as a row for each run would cost more than all work on it; many, so that one bucket fits into memory.
 RUN_BYTES, RUNS, BUCKET_BITS = 16 << 20, 1 << 21, 14
+#: Buckets of documents, by which what is found of their runs comes to them: packed likewise.
+DOC_BITS = 13
 #: A minimiser with more different surroundings is dealt out by the strings themselves, 100 bytes for each.
 HOT_CONTEXTS = 20_000
 
@@ -112,6 +114,8 @@ def _ranks(key: tuple[np.ndarray, ...]) -> np.ndarray:
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary column, and where each of its values begins in them and the last ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
@@ -125,7 +129,22 @@ def _pack(known, tie, first, more, repeat):
 
 
 def _unpack(p):
-    return p >> 59, (p >> 39) & 0xFFFFF, (p >> 8) & 0x7FFFFFFF, (p >> 1) & 0x7F, p & 1
+    return (p >> 59) & 1, (p >> 39) & 0xFFFFF, (p >> 8) & 0x7FFFFFFF, (p >> 1) & 0x7F
+
+
+def _bucketed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each bucket, with the longs of its rows; ``bucket`` is in order."""
+    rows = np.stack(columns, 1)
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)]), len(bucket))
+    ends = pa.py_buffer((cuts * rows.itemsize * len(columns)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cuts[:-1]]), pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, ends, pa.py_buffer(rows)])], names)
+
+
+def _longs(column: pa.Array, n: int) -> np.ndarray:
+    """What ``_bucketed`` has packed, as ``n`` columns."""
+    data, begin = _flat(column)
+    return np.frombuffer(data[begin[0]:begin[-1]].tobytes(), np.int64).reshape(-1, n).T
 
 
 def _shared(h: np.ndarray) -> np.ndarray:
@@ -168,12 +187,8 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 order = order[keep[order]]
                 d, bucket = d[order], bucket[order]
-                rows = np.stack([h[order], c[order], ids[d], names[d], _pack(known[d].astype(np.int64), ties[d], first[order], more[order], repeat[order])], 1)
-                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(rows))
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts[:-1]].astype(np.int32)),
-                     pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * rows.itemsize * 5).astype(np.int32)), pa.py_buffer(rows)])],
-                    ["bucket", "runs"])
+                pack = _pack(known[d].astype(np.int64), ties[d], first[order], more[order], repeat[order])
+                return _bucketed(bucket.astype(np.int32), [h[order], c[order], ids[d], names[d], pack], ["bucket", "runs"])
 
             found, n = [], 0
             for parts in _pieces(texts, length):
@@ -199,14 +214,24 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 #: What names a document: its id, and 84 bits of two hashes of its text. It orders documents of one id as well.
 KEY = ["doc_id", "name", "tie"]
-_FOUND = "doc_id bigint, name bigint, tie bigint, first int, last int, h bigint, hot boolean"
+#: What becomes of a run: it repeats an earlier one whole, or its strings are compared with those of its minimiser, or, if
+#: that is a hot one, by themselves.
+REPEAT, OPEN, HOT = 0, 1, 2
+
+
+def _place(docs: DataFrame) -> DataFrame:
+    """Documents with ``place``: twice their bucket and 1; twice the bucket is the place of what was found of them."""
+    mixed = F.col("name").bitwiseXOR(F.shiftleft(F.coalesce("doc_id", F.lit(0).cast("bigint")), 64 - DOC_BITS))
+    return docs.withColumn("place", (F.shiftrightunsigned(mixed, 64 - DOC_BITS) * 2 + 1).cast("int"))
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
-    """Runs that repeat an earlier one whole (h null), and runs whose gram occurs with other surroundings (h kept)."""
+    """Runs that repeat an earlier one whole, and runs whose gram occurs with other surroundings.
+
+    In buckets of documents; each has doc_id (0 for null), name, h, and pack with what becomes of it above, as longs.
+    """
     def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
-        data, begin = _flat(rows.column(1))
-        h, c, doc, name, pack = np.frombuffer(data[begin[0]:begin[-1]].tobytes(), np.int64).reshape(-1, 5).T
+        h, c, doc, name, pack = _longs(rows.column(1), 5)
         repeats = np.flatnonzero(pack & 1)
         by = np.flatnonzero(~pack & 1)
         by = by[_shared(h[by])]
@@ -222,13 +247,11 @@ def _repeated(runs: DataFrame) -> DataFrame:
         need = new_c & (kinds > 1)
         repeats = np.append(repeats, by[~new_c & ~twin])
         at = np.append(repeats, by[need])
-        known, tie, first, more, _ = _unpack(pack[at])
-        settled = np.arange(len(at)) < len(repeats)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[at], mask=known == 0), pa.array(name[at]), pa.array(tie), pa.array(first.astype(np.int32)),
-             pa.array((first + more).astype(np.int32)), pa.array(h[at], mask=settled),
-             pa.array(np.append(np.zeros(len(repeats), bool), kinds[need] > HOT_CONTEXTS), mask=settled)],
-            [*KEY, "first", "last", "h", "hot"])
+        kind = np.append(np.full(len(repeats), REPEAT), np.where(kinds[need] > HOT_CONTEXTS, HOT, OPEN))
+        bucket = ((name[at] ^ (doc[at] << (64 - DOC_BITS))).view(np.uint64) >> np.uint64(64 - DOC_BITS)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        at, bucket = at[order], bucket[order]
+        return _bucketed(bucket.astype(np.int32) * 2, [doc[at], name[at], h[at], pack[at] | (kind[order] << 60)], ["place", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -249,7 +272,7 @@ def _repeated(runs: DataFrame) -> DataFrame:
         if held:
             yield settle(pa.concat_batches(held))
 
-    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
+    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "place int, runs binary")
 
 
 def suffix_order(buf: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -424,6 +447,33 @@ _RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _CONTEXT = pa.list_(pa.struct([("h", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())]))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]):
+    """Texts (place, KEY, text) in the order of their documents, with a number for each document, and what was found of them:
+    number of the document, first, last, what becomes of the run, h. Of each bucket all that was found comes before the texts.
+    """
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = batch.column(0).to_numpy()
+        found = pa.array(place % 2 == 0)
+        texts = batch.filter(pc.invert(found))
+        held.append(batch.select([0, 5]).filter(found))
+        runs = pa.concat_batches(held)
+        held = [runs.filter(pc.greater_equal(runs.column(0), int(place[-1]) & ~1))]  # texts of the last bucket may follow
+        if not texts.num_rows:
+            continue
+        doc, name, h, pack = _longs(runs.column(1), 4)
+        known, tie, first, more = _unpack(pack)
+        n = texts.num_rows
+        rank = _ranks(tuple(np.append(a, b) for a, b in zip(_named(texts, 1), (tie, name, doc, known == 1))))
+        numbers, of_text = np.unique(rank[:n], return_inverse=True)
+        of = np.minimum(np.searchsorted(numbers, rank[n:]), len(numbers) - 1)
+        here = numbers[of] == rank[n:]
+        order = np.argsort(of_text, kind="stable")
+        yield (texts.take(pa.array(order)), of_text[order], of[here], first[here], (first + more)[here], (pack >> 60)[here], h[here])
+
+
 def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Each document's rows of ``docs`` (first null) and then its rows of ``runs``, together in one task."""
     both = docs.withColumn("first", F.lit(None).cast("int")).unionByName(runs, allowMissingColumns=True)
@@ -514,25 +564,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _repeated(_runs(base, length, gram))
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, doc in _whole(batches):
-            # columns: KEY, text, first, last, h, hot
-            is_run = pc.is_valid(rows.column(4)).to_numpy(zero_copy_only=False)
-            whole = rows.filter(pa.array(~is_run))
-            runs, doc, of = rows.filter(pa.array(is_run)), doc[~is_run], doc[is_run]
-            first, last = (runs.column(c).to_numpy().astype(np.int64) for c in (4, 5))
-            open_ = pc.is_valid(runs.column(6)).to_numpy(zero_copy_only=False)
+        for whole, doc, of, first, last, kind, h in _joined(batches):
+            open_ = kind != REPEAT
             n = doc[-1] + 1
             is_open = np.zeros(n, bool)
             is_open[of[open_]] = True
-            data, begin = _flat(whole.column(3))
+            data, begin = _flat(whole.column(4))
             r_doc, r_first, r_last = _merged(of[~open_], first[~open_], last[~open_], length)
             r_cut = np.searchsorted(r_doc, np.arange(n + 1))
             lists = pa.ListArray.from_arrays(pa.array(r_cut.astype(np.int32)), pa.StructArray.from_arrays(
                 [pa.array(r_first.astype(np.int32)), pa.array(r_last.astype(np.int32))], fields=list(_RANGE.value_type)))
             text_at = begin[np.searchsorted(doc, of[open_])]  # equal documents hold equal texts: the first will do
             c_doc, key, at, strings = _contexts(
-                data, text_at + first[open_], of[open_], first[open_], last[open_], runs.column(6).drop_null().to_numpy(),
-                runs.column(7).drop_null().to_numpy(zero_copy_only=False), length)
+                data, text_at + first[open_], of[open_], first[open_], last[open_], h[open_], kind[open_] == HOT, length)
             parts = pa.ListArray.from_arrays(
                 pa.array(np.searchsorted(c_doc, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(
                     [pa.array(key), pa.array(at.astype(np.int32)), strings], fields=list(_CONTEXT.value_type)))
@@ -543,11 +587,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     for k, d, x, y in zip(keep.tolist(), doc.tolist(), begin[:-1].tolist(), begin[1:].tolist())]
             removed, n_spans, sha = zip(*done)
             yield pa.RecordBatch.from_arrays(
-                [*whole.columns[:3], pa.array(np.diff(begin)), pc.if_else(pa.array(keep), whole.column(3), pa.scalar(None, whole.column(3).type)),
+                [*whole.columns[1:4], pa.array(np.diff(begin)), pc.if_else(pa.array(keep), whole.column(4), pa.scalar(None, whole.column(4).type)),
                  lists.take(pick), parts.take(pick), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())],
                 [*KEY, "n_bytes", "text", "ranges", "contexts", "n_removed", "n_spans", "kept_sha256"])
 
-    half = stored(_with_runs(base, found).select(*KEY, "text", "first", "last", "h", "hot").mapInArrow(halve, _HALF))
+    both = _place(base).select("place", *KEY, "text").unionByName(found, allowMissingColumns=True)
+    half = stored(both.repartition(F.shiftright("place", 1)).sortWithinPartitions("place").mapInArrow(halve, _HALF))
     contexts = half.filter(F.col("contexts").isNotNull())
     if _has_twins(half):
         contexts = contexts.dropDuplicates(KEY)
