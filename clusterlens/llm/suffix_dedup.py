@@ -25,9 +25,9 @@ LENGTH, GRAM = 100, 32
 SCAN_BYTES, SORT_BYTES = 1 << 16, 1 << 20
 #: Bytes of runs that a task settles at once, and runs that it hands on at once. Runs travel in buckets by their minimisers:
 #: packed, as a row for each run would cost more than all work on it; many, so that one bucket fits into memory.
-RUN_BYTES, RUNS, BUCKET_BITS = 16 << 20, 1 << 21, 14
+RUN_BYTES, RUNS, BUCKET_BITS = 8 << 20, 1 << 19, 13
 #: Buckets of documents, by which what is found of their runs comes to them: packed likewise.
-DOC_BITS = 13
+DOC_BITS = 12
 #: A minimiser with more different surroundings is dealt out by the strings themselves, 100 bytes for each.
 HOT_CONTEXTS = 20_000
 
@@ -219,6 +219,24 @@ KEY = ["doc_id", "name", "tie"]
 REPEAT, OPEN, HOT = 0, 1, 2
 
 
+#: While tables are stored: shuffle files go when their query ends, not when the driver happens to collect its garbage; and
+#: rows of an Arrow batch, of which a worker holds some copies.
+_WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2500"}
+
+
+def _released(df: DataFrame) -> DataFrame:
+    """``stored`` with these settings."""
+    conf = df.sparkSession.conf
+    old = {k: conf.get(k, None) for k in _WHILE_STORED}
+    try:
+        for k, v in _WHILE_STORED.items():
+            conf.set(k, v)
+        return stored(df)
+    finally:
+        for k, v in old.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 def _place(docs: DataFrame) -> DataFrame:
     """Documents with ``place``: twice their bucket and 1; twice the bucket is the place of what was found of them."""
     mixed = F.col("name").bitwiseXOR(F.shiftleft(F.coalesce("doc_id", F.lit(0).cast("bigint")), 64 - DOC_BITS))
@@ -456,22 +474,22 @@ def _joined(batches: Iterator[pa.RecordBatch]):
         if not batch.num_rows:
             continue
         place = batch.column(0).to_numpy()
-        found = pa.array(place % 2 == 0)
-        texts = batch.filter(pc.invert(found))
-        held.append(batch.select([0, 5]).filter(found))
+        is_text = place % 2 == 1
+        held.append(batch.select([0, 5]).filter(pa.array(~is_text)))
         runs = pa.concat_batches(held)
         held = [runs.filter(pc.greater_equal(runs.column(0), int(place[-1]) & ~1))]  # texts of the last bucket may follow
-        if not texts.num_rows:
+        at = np.flatnonzero(is_text)
+        if not len(at):
             continue
         doc, name, h, pack = _longs(runs.column(1), 4)
         known, tie, first, more = _unpack(pack)
-        n = texts.num_rows
-        rank = _ranks(tuple(np.append(a, b) for a, b in zip(_named(texts, 1), (tie, name, doc, known == 1))))
-        numbers, of_text = np.unique(rank[:n], return_inverse=True)
-        of = np.minimum(np.searchsorted(numbers, rank[n:]), len(numbers) - 1)
-        here = numbers[of] == rank[n:]
+        texts = _named(batch.select([1, 2, 3]).take(pa.array(at)))
+        rank = _ranks(tuple(np.append(a, b) for a, b in zip(texts, (tie, name, doc, known == 1))))
+        numbers, of_text = np.unique(rank[:len(at)], return_inverse=True)
+        of = np.minimum(np.searchsorted(numbers, rank[len(at):]), len(numbers) - 1)
+        here = numbers[of] == rank[len(at):]
         order = np.argsort(of_text, kind="stable")
-        yield (texts.take(pa.array(order)), of_text[order], of[here], first[here], (first + more)[here], (pack >> 60)[here], h[here])
+        yield (batch.take(pa.array(at[order])), of_text[order], of[here], first[here], (first + more)[here], (pack >> 60)[here], h[here])
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -561,7 +579,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _with_numbers(given, lambda df: remove_repeats(df, length=length, gram=gram))
     base = given.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("name"),
                         F.shiftrightunsigned(F.xxhash64(F.lit(1), "text"), 44).alias("tie"), F.col("text").cast("binary").alias("text"))
-    found = _repeated(_runs(base, length, gram))
+    found = _released(_repeated(_runs(base, length, gram)))
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, doc, of, first, last, kind, h in _joined(batches):
@@ -592,7 +610,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [*KEY, "n_bytes", "text", "ranges", "contexts", "n_removed", "n_spans", "kept_sha256"])
 
     both = _place(base).select("place", *KEY, "text").unionByName(found, allowMissingColumns=True)
-    half = stored(both.repartition(F.shiftright("place", 1)).sortWithinPartitions("place").mapInArrow(halve, _HALF))
+    half = _released(both.repartition(F.shiftright("place", 1)).sortWithinPartitions("place").mapInArrow(halve, _HALF))
     contexts = half.filter(F.col("contexts").isNotNull())
     if _has_twins(half):
         contexts = contexts.dropDuplicates(KEY)
