@@ -25,7 +25,7 @@ LENGTH, GRAM = 100, 32
 SCAN_BYTES, SORT_BYTES = 1 << 16, 1 << 20
 #: Bytes of runs that a task settles at once, and runs that it hands on at once. Runs travel in buckets by their minimisers:
 #: packed, as a row for each run would cost more than all work on it; many, so that one bucket fits into memory.
-RUN_BYTES, RUNS, BUCKET_BITS = 8 << 20, 1 << 19, 13
+RUN_BYTES, RUNS, BUCKET_BITS = 8 << 20, 1 << 18, 13
 #: Buckets of documents, by which what is found of their runs comes to them: packed likewise.
 DOC_BITS = 12
 #: A minimiser with more different surroundings is dealt out by the strings themselves, 100 bytes for each.
@@ -303,17 +303,15 @@ def suffix_order(buf: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None
     successor is known.
     """
     n = len(buf)
-    step = np.diff(buf.astype(np.int16))
-    nonzero = np.where(step != 0, np.arange(n - 1), n - 1)
-    nxt = np.minimum.accumulate(nonzero[::-1])[::-1]  # where the run of equal bytes ends
-    smaller = np.ones(n, bool)
-    inside = nxt < n - 1
-    smaller[:-1][inside] = step[nxt[inside]] > 0
+    places = np.arange(n, dtype=np.int32)
+    ends = np.where(buf[1:] != buf[:-1], places[:-1], np.int32(n - 1))
+    ends = np.minimum.accumulate(ends[::-1])[::-1]  # where the run of equal bytes ends
+    smaller = np.append(buf[np.minimum(ends + 1, n - 1)] >= buf[ends], True)
     needed = np.ones(n, bool)
     if wanted is not None:  # a suffix rests on its successors up to one that is sorted directly
-        stop = np.minimum.accumulate(np.where(smaller, np.arange(n), n)[::-1])[::-1]
-        since = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))
-        needed = (since >= 0) & (np.arange(n) <= stop[since])
+        stop = np.minimum.accumulate(np.where(smaller, places, np.int32(n))[::-1])[::-1]
+        since = np.maximum.accumulate(np.where(wanted, places, np.int32(-1)))
+        needed = (since >= 0) & (places <= stop[since])
     direct = np.flatnonzero(smaller & needed)
     induced = ~smaller & needed
     padded = np.concatenate([buf, np.zeros(depth, np.uint8)])
@@ -348,8 +346,8 @@ def suffix_order(buf: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None
             hand_on(own, c)
     if not order:
         return np.zeros(0, np.int64)
-    places = np.concatenate(order)
-    return places if wanted is None else places[wanted[places]]
+    out = np.concatenate(order)
+    return out if wanted is None else out[wanted[out]]
 
 
 def common_prefixes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = LENGTH) -> np.ndarray:
@@ -377,8 +375,8 @@ def _later_copies(data: np.ndarray, begin: np.ndarray, rank: np.ndarray, length:
     """
     sizes = np.diff(begin)
     buf = np.append(data, np.uint8(0))
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    wanted = np.append(np.arange(len(data)) <= (begin[1:] - length)[owner], False)  # strings that end in their context
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    wanted = np.append(np.arange(len(data), dtype=np.int32) <= (begin[1:] - length).astype(np.int32)[owner], False)  # strings that end in their context
     order = suffix_order(buf, length, wanted)
     owner = owner[order]
     same = common_prefixes(buf, order[1:], order[:-1], length) >= length
@@ -501,9 +499,7 @@ def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """The rows cut between documents, with the number of its document for each row."""
     held = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
         # of the rows held back only the first is looked at: all are of one document
         rows = pa.concat_batches([held[0].slice(0, 1), batch]) if held else batch
         new = _differ(rows)
@@ -555,7 +551,7 @@ def _contexts(data: np.ndarray, start: np.ndarray, doc: np.ndarray, first: np.nd
     by = np.argsort(doc, kind="stable")
     begin = np.append(start[cold], at)
     end = np.append((start + last - first)[cold], at) + length
-    raw = memoryview(data)
+    raw = data.tobytes()  # Arrow would not let go of slices of a memoryview
     return (doc[by], np.append(h[cold], keys)[by], np.append(first[cold], np.repeat(first[hot], strings) + shift)[by],
             pa.array([raw[x:y] for x, y in zip(begin[by].tolist(), end[by].tolist())], pa.binary()))
 

@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF001, SF01, ordered
 from pyspark.sql import functions as F
@@ -260,6 +261,43 @@ def test_text_ids(make_docs):
     assert {r[0]: list(r)[1:] for r in suffix_dedup.remove_repeats(named).collect()} == want
 
 
+def test_only_wanted_suffixes_are_sorted():
+    rng = np.random.default_rng(5)
+    for size, share in ((2, 0.5), (3, 0.02), (256, 0.1), (1, 0.3), (2, 0.0)):
+        buf = np.append(rng.integers(0, size, 2000).astype(np.uint8), np.uint8(0))
+        wanted = rng.random(len(buf)) < share
+        order = suffix_dedup.suffix_order(buf, 100)
+        assert suffix_dedup.suffix_order(buf, 100, wanted).tolist() == order[wanted[order]].tolist()
+
+
+def test_packed_runs_in_small_batches(make_docs, monkeypatch):
+    """Runs travel in a row for each bucket; buckets go over several batches, and each text still gets what was found of it."""
+    for name, value in (("RUNS", 40), ("RUN_BYTES", 900), ("BUCKET_BITS", 3), ("DOC_BITS", 1)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setitem(suffix_dedup._WHILE_STORED, "spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    docs = _repeat_docs()
+    table = make_docs(docs).repartition(3)
+    got = {r[0]: list(r)[1:] for r in suffix_dedup.remove_repeats(table).collect()}
+    assert got == dict(zip([d for d, _ in docs], brute.repeats(docs)))
+    monkeypatch.setattr(suffix_dedup, "RUNS", 1 << 18)
+    base = table.select("doc_id", F.xxhash64("text").alias("name"), F.lit(0).cast("bigint").alias("tie"), F.col("text").cast("binary")).coalesce(1)
+    assert suffix_dedup._runs(base.filter("text is not null"), 100, 32).count() <= 8 < len(docs)
+
+
+def test_cut_strings_leave_no_memory_behind():
+    data = np.frombuffer(pa.array([bytes(range(250)) * 4000]).buffers()[2], np.uint8)
+    before, of = pa.total_allocated_bytes(), np.arange(0, 900_000, 1000)
+    args = (data, of, of // 1000, of, of + 50, of, of % 2000 == 0, 100)
+    for _ in range(3):
+        doc, key, first, strings = suffix_dedup._contexts(*args)
+    assert len(strings) == 450 * 51 + 450 and strings[0].as_py() == data[:100].tobytes()
+    assert len(np.unique(key[:51])) == 51 and first[:51].tolist() == list(range(51)) and (np.diff(doc) >= 0).all()
+    del strings
+    assert pa.total_allocated_bytes() == before
+    del args, data
+    assert pa.total_allocated_bytes() <= before - 1_000_000
+
+
 # ---- n-gram join
 
 def _near_docs():
